@@ -5,21 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, sharding
+from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding
 from .base import table
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"), quality.held_out("doc_id", folds=7, fold=2))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), quality.held_out("doc_id", folds=3, fold=1)
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = quality.score(docs.select("doc_id", "text"), weights)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,8 +42,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_class_lm": op1_class_lm,
     "op2_packing": op2_packing,
+    "op3_fingerprint": op3_fingerprint,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
