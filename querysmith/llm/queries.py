@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding
+from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding, substring_dedup
 from .base import table
 
 
@@ -41,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_packing": op2_packing,
@@ -48,5 +52,6 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
