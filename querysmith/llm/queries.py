@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding, substring_dedup
+from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding, substring_dedup, suffix_dedup
 from .base import table
 
 
@@ -45,6 +45,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_packing": op2_packing,
@@ -53,5 +57,6 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
