@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, fingerprint, packing, quality, sharding, substring_dedup, suffix_dedup
+from . import byte_bpe, class_lm, fingerprint, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup
 from .base import table
 
 
@@ -49,6 +49,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("rid")
+
+
 QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_packing": op2_packing,
@@ -58,5 +62,6 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
