@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, fingerprint, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup
+from . import (
+    byte_bpe,
+    class_lm,
+    embedding_dedup,
+    fingerprint,
+    jaccard_join,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+)
 from .base import table
 
 
@@ -45,6 +56,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -61,6 +76,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
