@@ -1,8 +1,52 @@
-"""The corpus pipeline."""
+"""A corpus pipeline: quality filter, near-duplicate removal, byte-level repeat removal, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querysmith.llm import jaccard_join, packing, quality, suffix_dedup
+from querysmith.llm.base import settle, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels outside the held-out fold, takes for good ones.
+
+    The labels' texts come from docs, so the stage depends on its own input and the labels only.
+    """
+    held = quality.held_out("doc_id", folds=3, fold=1)
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, weights, out="quality_score").filter("quality_score >= 0.5").drop("quality_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group that is linked by Jaccard 0.8 or more of word 5-grams."""
+    kept = jaccard_join.join(docs).filter("kept").select("rid")
+    return docs.withColumn("rid", F.monotonically_increasing_id()).join(kept, "rid", "left_semi").drop("rid")
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes covered by 50-byte strings that a document with a smaller id has too."""
+    clean = suffix_dedup.remove_repeats(docs, rewrite=True)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality_filter), ("jaccard_join", near_duplicates), ("suffix_dedup", repeated_bytes), ("packing", pack)]
+#: Training and tokenizing can't be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
+    return docs

@@ -93,32 +93,38 @@ def runs_of(values: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nda
     return least[start], content, start, count
 
 
-def store(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Chunks of whole documents: chunk, ids, ends (byte offsets), text (all bytes together)."""
+def store(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Chunks of whole documents: chunk, ids, ends (byte offsets), text (all bytes together), rows.
+
+    rows: with carry all columns but the text of each document, as JSON, else empty.
+    """
     spark = docs.sparkSession
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary())])
-        chunk, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("rows", pa.list_(pa.string()))])
+        chunk, ids, parts, rows, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def made():
-            return record(schema, [chunk], [ids], [np.cumsum([len(p) for p in parts]).tolist()], [b"".join(parts)])
+            return record(schema, [chunk], [ids], [np.cumsum([len(p) for p in parts]).tolist()], [b"".join(parts)], [rows])
 
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text, row in zip(*(batch.column(n).to_pylist() for n in ("id", "text", "row")), strict=True):
                 if ids and held + len(text or b"") > CHUNK_BYTES:
                     yield made()
-                    chunk, ids, parts, held = chunk + 1, [], [], 0
+                    chunk, ids, parts, rows, held = chunk + 1, [], [], [], 0
                 ids.append(doc)
+                if row is not None:
+                    rows.append(row)
                 parts.append(text or b"")
                 held += len(parts[-1])
         if ids:
             yield made()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    packed = map_arrow(rows, chunks, "chunk long, ids array<long>, ends array<long>, text binary")
+    row = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != text_col))) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), row.alias("row"))
+    packed = map_arrow(rows, chunks, "chunk long, ids array<long>, ends array<long>, text binary, rows array<string>")
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
@@ -240,7 +246,7 @@ def resolve(chunks: DataFrame, found: DataFrame, symbols: Callable, length: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                row = {n: batch.column(n)[i].as_py() for n in ("chunk", "ids", "ends", "text", "found")}
                 chunk = Chunk(row["ids"], row["ends"], row["text"], symbols, length, k)
                 flags = np.frombuffer(b"".join(f["flags"] for f in row["found"]), np.uint8)
                 flag, own = flags[chunk.pair], chunk.ids[chunk.doc] == chunk.pair_id[chunk.pair]
@@ -277,12 +283,13 @@ def finish(chunks: DataFrame, covers: DataFrame, make: Callable[[bytes, np.ndarr
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                carried = row["rows"] or [None] * len(row["ids"])
                 cover = np.frombuffer(b"".join(row["payloads"] or []), np.int64).reshape(-1, 3)
                 cover = cover[np.argsort(cover[:, 0], kind="stable")]
                 edges = np.searchsorted(cover[:, 0], np.arange(len(row["ids"]) + 1))
                 rows, at = [], 0
-                for d, (doc, end) in enumerate(zip(row["ids"], row["ends"], strict=True)):
-                    rows.append((doc, *make(row["text"][at:end], merge(cover[edges[d] : edges[d + 1], 1:]))))
+                for d, (doc, end, other) in enumerate(zip(row["ids"], row["ends"], carried, strict=True)):
+                    rows.append((doc, *make(row["text"][at:end], merge(cover[edges[d] : edges[d + 1], 1:])), *([other] if "row" in arrow.names else [])))
                     at = end
                 yield record(arrow, *map(list, zip(*rows, strict=True)))
 

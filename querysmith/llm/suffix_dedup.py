@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import repeats, substring_dedup
 from .base import map_arrow, record, settle
@@ -244,7 +245,7 @@ def _as_windows(length: int):
     return convert
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     Runs of strings with one minimiser and equal content are settled by their content (see repeats). The
@@ -255,10 +256,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     A null text is empty; texts shorter than length are kept; a null id counts as larger than all others;
     rows with equal ids don't remove from each other; an empty table gives no rows; other columns are
-    ignored. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with texts
-    also kept, the remaining text (bytes of a character that was cut are dropped).
+    ignored. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; or, with
+    rewrite, the rows of docs with the remaining text (bytes of a character that was cut are dropped).
     """
-    chunks = repeats.store(docs, id_col, text_col)
+    chunks = repeats.store(docs, id_col, text_col, rewrite)
     size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = repeats.sighted(chunks, byte_values, length, gram, size, (length - gram + 2) / 2)
     parts = settle(repeats.resolve(chunks, found, byte_values, length, gram, _send(length)))
@@ -283,7 +284,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         kept.append(text[at:])
         joined = b"".join(kept)
         out = (len(text), len(text) - len(joined), len(spans), hashlib.sha256(joined).hexdigest())
-        return (*out, joined.decode(errors="ignore")) if texts else out
-
-    arrow = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
-    return repeats.finish(chunks, covers, make, RESULT + (", kept string" if texts else ""), arrow)
+        return (*out, joined.decode(errors="ignore")) if rewrite else out
+
+    fields = [("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]
+    if not rewrite:
+        return repeats.finish(chunks, covers, make, RESULT, pa.schema(fields))
+    done = repeats.finish(chunks, covers, make, f"{RESULT}, kept string, row string", pa.schema([*fields, ("kept", pa.string()), ("row", pa.string())]))
+    other = StructType([f for f in docs.schema.fields if f.name != text_col])
+    full = done.select("kept", F.from_json("row", other).alias("row"))
+    return full.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
