@@ -17,13 +17,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     held = quality.held_out("doc_id", folds=3, fold=1)
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
-    return quality.score(docs, weights, out="quality_score").filter("quality_score >= 0.5").drop("quality_score")
+    return quality.score(docs, weights, out="__quality").filter("__quality >= 0.5").drop("__quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group that is linked by Jaccard 0.8 or more of word 5-grams."""
-    kept = jaccard_join.join(docs).filter("kept").select("rid")
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(kept, "rid", "left_semi").drop("rid")
+    kept = jaccard_join.join(docs).filter("kept").select(F.col("rid").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
