@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querysmith.llm import jaccard_join, packing, quality, suffix_dedup
-from querysmith.llm.base import settle, table
+from querysmith.llm.base import release, scope, settle, table
+
+#: Tables behind the last stage's result, which are deleted when the next stage starts.
+_behind: list = []
+
+
+def _stage(f):
+    """A stage whose input has been written: tables that made this input are no longer read.
+
+    Those of the last stage stay until the session ends, as its result is read when the caller likes.
+    """
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_behind)
+        with scope() as made:
+            out = f(spark, docs, sf_dir)
+        _behind[:] = [] if f.__name__ == "pack" else made
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels outside the held-out fold, takes for good ones.
 
@@ -20,18 +43,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, weights, out="__quality").filter("__quality >= 0.5").drop("__quality")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group that is linked by Jaccard 0.8 or more of word 5-grams."""
     kept = jaccard_join.join(docs).filter("kept").select(F.col("rid").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 
 
+@_stage
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without bytes covered by 50-byte strings that a document with a smaller id has too."""
     clean = suffix_dedup.remove_repeats(docs, rewrite=True)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -6,6 +6,7 @@ import atexit
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -64,9 +65,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def forget(df: DataFrame) -> None:
     """Delete the table behind a settled frame that nothing will read again."""
-    for entry in [x for x in _made if any(x[1] in f for f in df.inputFiles()[:1])]:
-        drop_path(*entry)
-        _made.remove(entry)
+    files = df.inputFiles()[:1]
+    release([x for x in _made if any(x[1].rsplit("/", 1)[-1] in f for f in files)])
+
+
+def release(entries: list[tuple[SparkSession, str]]) -> None:
+    for entry in entries:
+        if entry in _made:
+            _made.remove(entry)
+            drop_path(*entry)
+
+
+@contextmanager
+def scope() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Lists the tables that are made inside, so that they can be released when their reader is done."""
+    before, made = list(_made), []
+    yield made
+    made += [x for x in _made if x not in before]
 
 
 def hash60(*parts: Column) -> Column:

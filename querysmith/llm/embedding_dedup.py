@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join, pairs, repeats
-from .base import map_arrow, record, settle
+from .base import forget, map_arrow, record, settle
 
 #: Least cosine, least recall of pairs at it, collisions a pair needs at least, vectors a window aims to hold, most lines.
 COSINE, RECALL, COLLISIONS, WINDOW, MOST_LINES = 0.9, 0.997, 2, 256, 400
@@ -126,6 +126,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_
     signs, lines, collisions = calibrate(rows.count(), cosine, recall)
     reps = pairs.classes(map_arrow(rows.select("v"), lambda b: _classes(b, lines, signs), pairs.CLASSES))
     found = settle(pairs.linked(reps, _match(cosine, collisions)))
+    forget(reps)
     members = settle(map_arrow(rows.withColumn("rid", F.monotonically_increasing_id()), _keys, "rid long, id long, key binary"))
     out = jaccard_join.result(members, found)
     return out.select(F.col("doc_id").alias("vec_id"), "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components, pairs, repeats
-from .base import map_arrow, record, settle, slices
+from .base import forget, map_arrow, record, settle, slices
 from .substring_dedup import word_values
 
 #: Words of a shingle, least similarity, trees of the forest, their greatest depth, least recall at that similarity.
@@ -166,6 +166,7 @@ def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     reps = pairs.classes(map_arrow(texts.select("text"), lambda b: _classes(b, size, trees, depth), pairs.CLASSES))
     found = settle(pairs.linked(reps, _match(least)))
+    forget(reps)
     named = texts.withColumn("rid", F.monotonically_increasing_id())
     members = settle(map_arrow(named, lambda b: _keys(b, size), "rid long, id long, key binary"))
     return result(members, found)
