@@ -90,7 +90,8 @@ def runs_of(values: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nda
     count = np.diff(np.append(start, len(least)))
     end = start + count + length - 1
     content = mix(((prefix[end] - prefix[start]) * powers(len(values))[1][start]) ^ (count.astype(np.uint64) << np.uint64(40)))
-    return least[start], content, start, count
+    # Least values crowd near zero; mixed again they spread evenly over buckets.
+    return mix(least[start] ^ np.uint64(BASE)), content, start, count
 
 
 def store(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
