@@ -52,9 +52,9 @@ def index(values: DataFrame, value: str = "value", hashes: int = HASHES) -> Data
 def look_up(entries: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k most similar distinct entries of each query (ties: the smaller value): qid, value, similarity, rank.
 
-    queries (qid, signature) is a stated set, broadcast if it is small; entries are scanned once.
+    queries (qid, signature) is a stated set; Spark broadcasts it if its size allows, else it pairs partitions.
     """
-    scored = entries.join(F.broadcast(queries.select("qid", F.col("signature").alias("q"))), how="cross").select("qid", "value", similarity(F.col("q"), F.col("signature")).alias("similarity"))
+    scored = entries.crossJoin(queries.select("qid", F.col("signature").alias("q"))).select("qid", "value", similarity(F.col("q"), F.col("signature")).alias("similarity"))
     best = scored.groupBy("qid", "value").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "value"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)

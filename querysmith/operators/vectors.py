@@ -19,13 +19,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def top_k(entries: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """The k nearest entries (id, v) of each query (qid, q): qid, id, distance, rank; ties: the smaller id.
 
-    queries is a stated set against all rows. With same, only entries that agree in that column are looked
+    queries is a stated set against all rows; Spark broadcasts it if its size allows. With same, only entries that agree in that column are looked
     at, and the search is an equi-join; an entry isn't its own hit.
     """
     if same:
         met = entries.join(queries, same)
     else:
-        met = entries.crossJoin(F.broadcast(queries))
+        met = entries.crossJoin(queries)
     near = met.filter(F.col("id") != F.col("qid")).select("qid", "id", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return near.filter(F.col("distance").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -48,7 +48,7 @@ def usable(samples: DataFrame) -> DataFrame:
 def load_samples(train: DataFrame, dev: DataFrame | None, databases: DataFrame, most: int | None = None) -> DataFrame:
     """Usable samples of both sets whose database exists; the first `most` by idx if asked for."""
     both = train if dev is None else train.unionByName(dev, allowMissingColumns=True)
-    known = usable(both).join(F.broadcast(databases.select("db_id").distinct()), "db_id", "left_semi")
+    known = usable(both).join(databases.select("db_id"), "db_id", "left_semi")
     return known if most is None else known.orderBy("idx").limit(most)
 
 
