@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -55,7 +56,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()))
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.model = self.tok.model
         self.plain = re.compile("[\x00-\u024f]+").fullmatch
         self.split = regex.compile(PIECE).findall
@@ -63,13 +64,15 @@ class WordTokenizer:
         self.pieces = Cached(self._piece, CACHE // 2)
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin1").translate(BYTE_CHARS)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin1").translate(BYTE_CHARS)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Words of Latin letters that are composed already: lower-cased and split here, else by the library."""
-        if self.plain(word) and unicodedata.is_normalized("NFC", word):
-            return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+        if word.isascii() or self.plain(word) and unicodedata.is_normalized("NFC", word):
+            low = word.lower()
+            return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.split(low)))
         return self._encode(word)
 
     def _encode(self, text: str) -> bytes:
@@ -77,8 +80,9 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.odd.search(text):
-            return self._encode(text)
+        for odd in self.odd:
+            if odd in text:
+                return self._encode(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
