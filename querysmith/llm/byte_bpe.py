@@ -85,19 +85,21 @@ class ByteBPE:
         """Concatenation; the tree's shape doesn't matter as joining bytes is associative."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        ids = tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(chunk))))
-        return " ".join(map(str, ids)), ids
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        ids = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(chunk))))
+        return " ".join(map(str, ids)), self.decode(ids)
 
-    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """Cached encodings whose concatenation is the text's.
+    def ids(self, text: str) -> list[int]:
+        return [int(i) for p in self.parts(text) for i in p[0].split()]
+
+    def parts(self, text: str) -> list[tuple[str, bytes]]:
+        """Cached encodings (listed ids and the bytes they decode to) whose concatenation is the text's.
 
         A match can't reach across a space that has anything but white space on one side, so texts are cut
         before their spaces; a text with a space between white space goes through the pattern whole.
         """
         if "  " in text or any(w + " " in text for w in SPACE if w != " "):
-            ids = tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
-            return [(" ".join(map(str, ids)), ids)] if ids else []
+            return [self._chunk(text)]
         first, *rest = text.split(" ")
         got = self.chunks
         return ([got[first]] if first else []) + [got[" " + x] for x in rest]
@@ -118,12 +120,11 @@ def digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, id_col:
     for batch in slices(batches, text_col):
         n, ids_sha, text_sha = [], [], []
         for text in column(batch, text_col):
-            parts = bpe.parts(text or "")
-            listed = " ".join([p[0] for p in parts])
-            ids = list(chain.from_iterable([p[1] for p in parts]))
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(listed.encode()).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            lists, data = zip(*parts, strict=True) if (parts := bpe.parts(text or "")) else ((), ())
+            listed = " ".join(lists).encode()
+            n.append(listed.count(b" ") + 1 if listed else 0)
+            ids_sha.append(hashlib.sha256(listed).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join(data)).hexdigest())
         yield record(kind, batch.column(id_col).cast(pa.int64()), n, ids_sha, text_sha)
 
 
@@ -134,7 +135,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def run(batches):
         bpe = coder(path, pattern)
         for batch in slices(batches, text_col):
-            ids = [list(chain.from_iterable([p[1] for p in bpe.parts(t or "")])) for t in column(batch, text_col)]
+            ids = [bpe.ids(t or "") for t in column(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out])
 
     return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))]))
