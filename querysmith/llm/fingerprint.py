@@ -43,7 +43,7 @@ class Sampler:
         self.keys: dict[tuple[str, int], int] = {}
         self.cost = np.empty((1024, samples), np.float32)
         self.value = np.empty((1024, samples), np.uint16)
-        self.streams = [mix(np.arange(1, samples + 1, dtype=np.uint64) * GOLD + np.array([j], np.uint64) * M1) for j in range(5)]
+        self.streams = [mix(np.arange(1, samples + 1, dtype=np.uint64) * GOLD + np.array([j], np.uint64) * M1) for j in range(3)]
 
     def learn(self, keys: list[tuple[str, int]]) -> None:
         start = len(self.keys)
@@ -54,7 +54,8 @@ class Sampler:
             part = keys[i : i + 2048]
             term = np.array([xxhash.xxh64_intdigest(w) for w, _ in part], np.uint64)[:, None]
             weight = np.log(np.array([n for _, n in part], np.float64))[:, None]
-            u = [((mix(term ^ s) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 for s in self.streams]
+            drawn = [x for s in self.streams for m in [mix(term ^ s)] for x in (m >> np.uint64(32), m & np.uint64(0xFFFFFFFF))]
+            u = [(x.astype(np.float64) + 0.5) * 2.0**-32 for x in drawn[:5]]
             r, ln_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
             t = np.floor(weight / r + u[4])
             at = slice(start + i, start + i + len(part))
