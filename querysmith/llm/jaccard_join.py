@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, pairs, repeats
+from . import components, pairs, repeats, substring_dedup
 from .base import forget, map_arrow, record, settle, slices
+from .packing import only
 from .substring_dedup import word_values
 
 #: Words of a shingle, least similarity, trees of the forest, their greatest depth, least recall at that similarity.
@@ -74,6 +75,7 @@ def _classes(batches: Iterator[pa.RecordBatch], size: int, trees: int, depth: in
                 s = shingles(text or b"", size)
                 yield key_of(s), lambda s=s: (prefixes(s, trees, depth).view(np.int64).tolist(), _pack(s))
 
+    only(substring_dedup._values)
     rows = []
     for row in pairs.combine(items()):
         rows.append(row)

@@ -6,6 +6,7 @@ import bisect
 import re
 import struct
 import unicodedata
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,12 +30,24 @@ _shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
 
 
+_caches: list[weakref.ref] = []
+
+
+def only(*kept: dict) -> None:
+    """Empty all other caches of this worker, which an earlier operator may have filled."""
+    for ref in _caches:
+        cache = ref()
+        if cache is not None and not any(cache is k for k in kept):
+            cache.clear()
+
+
 class Cached(dict):
     """A dict that makes missing values by a function and forgets its older half when it is full."""
 
     def __init__(self, make: Callable, most: int = CACHE):
         super().__init__()
         self.make, self.most = make, most
+        _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -97,6 +110,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
     tok, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+    only(tok.words, tok.pieces)
     kind = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
     for batch in slices(batches, text_col):
         rows: list[tuple] = []

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import column, hash60, importable, map_arrow, record, slices
-from .packing import Cached
+from .packing import Cached, only
 
 #: Weights (a fixed size, so they can be broadcast), labelled documents to fit on, passes over them.
 BITS, MAX_LABELLED, PASSES = 18, 6000, 3
@@ -55,6 +55,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    only(_hashes)
     kind = pa.schema([("h", pa.int64()), ("label", pa.int32()), ("ids", pa.binary())])
     for batch in slices(batches):
         yield record(kind, batch.column("h"), batch.column("label"), [features(t or "", bits).tobytes() for t in column(batch, "text")])
@@ -105,6 +106,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
 
     def run(batches):
         w = model.value
+        only(_hashes)
         for batch in slices(batches, text_col):
             scores = [score_text(w, features(t or "", bits)) for t in column(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import _made, importable, map_arrow, record, shared_dir
+from .packing import only
 
 #: Bytes of text in a chunk; runs that a bucket of minimisers aims to hold.
 CHUNK_BYTES, BUCKET_RUNS = 3 << 20, 400_000
@@ -105,6 +106,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
         from pyspark import TaskContext
 
         schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("rows", pa.list_(pa.string()))])
+        only()
         chunk, ids, parts, rows, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def made():
