@@ -13,14 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import importable, map_arrow, record, settle, slices
+from .base import forget, importable, map_arrow, record, settle, slices
 from .packing import Cached
 
-#: Words whose counts are broadcast (and their greatest length in bytes), words that are clustered on
-#: their own, units that all other words share by their ends, classes, rounds of exchange.
-KNOWN, KNOWN_BYTES, OWN, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 1000, 128, 64, 6
-#: Weight of the class frequencies in a class's transitions; words a worker counts before it hands them on.
-SMOOTHING, FLUSH = 20.0, 400_000
+#: Words whose counts are broadcast and that are clustered on their own (and their greatest length in bytes),
+#: units that all other words share by their ends, least number of classes, rounds of exchange.
+KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 6
+#: Weight of the class frequencies in a class's transitions; words and bigrams a worker counts before it
+#: hands them on; training tokens for which there is one task of exchange.
+SMOOTHING, FLUSH, PAIRS, TASK = 20.0, 400_000, 2_000_000, 1_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -32,54 +33,75 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each unit: units move, one after another, to the class that most raises the likelihood.
+def phi(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+class Joint:
+    """Bigram counts of classes, and moves of units between them.
 
-    Unit 0 (the end of a text) has class 0 for itself. The likelihood of a class bigram model is
-    sum phi(N(c, d)) - sum phi(N(c, .)) - sum phi(N(., d)), where phi(x) = x ln x.
+    The likelihood of a class bigram model is sum phi(N(c, d)) - sum phi(N(c, .)) - sum phi(N(., d)), where
+    phi(x) = x ln x.
     """
-    units = len(bigrams)
+
+    def __init__(self, counts: np.ndarray):
+        self.n = counts.astype(np.float64)
+        self.rows, self.cols, self.phi = self.n.sum(1), self.n.sum(0), phi(self.n)
+
+    def likelihood(self) -> float:
+        return float(self.phi.sum() - phi(self.rows).sum() - phi(self.cols).sum())
+
+    def move(self, right: np.ndarray, left: np.ndarray, self_n: float, old: int) -> int:
+        """Put a unit of class old, with counts of classes after and before it (without itself), into the class that most raises the likelihood."""
+        n, out, into = self.n, right.sum() + self_n, left.sum() + self_n
+        n[old] -= right
+        n[:, old] -= left
+        n[old, old] -= self_n
+        self.rows[old] -= out
+        self.cols[old] -= into
+        self.phi[old], self.phi[:, old] = phi(n[old]), phi(n[:, old])
+        r, le = np.flatnonzero(right), np.flatnonzero(left)
+        gain = (phi(n[:, r] + right[r]) - self.phi[:, r]).sum(1) + (phi(n[le] + left[le, None]) - self.phi[le]).sum(0)
+        d = n.diagonal()
+        gain += phi(d + right + left + self_n) - phi(d + right) - phi(d + left) + phi(d)
+        gain -= phi(self.rows + out) - phi(self.rows) + phi(self.cols + into) - phi(self.cols)
+        gain[0] = -np.inf
+        new = int(gain.argmax())
+        if gain[new] <= gain[old] + 1e-9:
+            new = old
+        n[new] += right
+        n[:, new] += left
+        n[new, new] += self_n
+        self.phi[new], self.phi[:, new] = phi(n[new]), phi(n[:, new])
+        self.rows[new] += out
+        self.cols[new] += into
+        return new
+
+
+def dealt(total: np.ndarray, classes: int) -> np.ndarray:
+    """First classes: units by falling count in turn; unit 0 (the end of a text) has class 0 for itself."""
+    of = np.zeros(len(total), np.int64)
+    of[np.argsort(-total[1:], kind="stable") + 1] = 1 + np.arange(len(total) - 1) % max(1, classes - 1)
+    return of
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """Class of each unit: units move, one after another, to the class that most raises the likelihood."""
     n = bigrams.astype(np.float64)
     total = n.sum(0) + n.sum(1)
-    of = np.zeros(units, np.int64)
-    for i, u in enumerate(np.argsort(-total[1:], kind="stable") + 1):
-        of[u] = 1 + i % max(1, classes - 1)
+    of = dealt(total, classes)
     if classes < 3:
         return of
-    member = np.zeros((units, classes))
-    member[np.arange(units), of] = 1
-    joint = member.T @ n @ member
-
-    def phi(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
+    member = np.eye(classes)[of]
+    joint = Joint(member.T @ n @ member)
     for _ in range(rounds):
         moved = 0
-        for u in range(1, units):
-            if not total[u]:
-                continue
-            old, self_n = of[u], n[u, u]
+        for u in np.flatnonzero(total[1:]) + 1:
+            old = of[u]
             member[u, old] = 0
-            right, left = n[u] @ member, n[:, u] @ member
-            joint[old] -= right
-            joint[:, old] -= left
-            joint[old, old] -= self_n
-            rows, cols = joint.sum(1) + left, joint.sum(0) + right
-            out, into = right.sum() + self_n, left.sum() + self_n
-            gain = (phi(joint + right) - phi(joint)).sum(1) + (phi(joint.T + left) - phi(joint.T)).sum(1)
-            d = joint.diagonal()
-            gain += phi(d + right + left + self_n) - phi(d + right) - phi(d + left) + phi(d)
-            gain -= phi(rows + out) - phi(rows) + phi(cols + into) - phi(cols)
-            gain[0] = -np.inf
-            new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            joint[new] += right
-            joint[:, new] += left
-            joint[new, new] += self_n
-            member[u, new] = 1
-            of[u] = new
-            moved += new != old
+            of[u] = joint.move(n[u] @ member, n[:, u] @ member, n[u, u], old)
+            member[u, of[u]] = 1
+            moved += of[u] != old
         if not moved:
             break
     return of
@@ -101,13 +123,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Units:
     """Numbers of words: known words by rank from 1, others after them by their ending; 0 is the end."""
 
-    def __init__(self, known: list[bytes], own: int):
+    def __init__(self, known: list[bytes]):
         self.known = len(known) + 1
         rank = {w: i + 1 for i, w in enumerate(known)}
         self.number = Cached(lambda w: rank.get(w) or self.known + ending(w), 400_000)
-        own = min(own, len(known))
-        self.count = 1 + own + ENDINGS
-        self.unit = np.concatenate([np.arange(own + 1), [1 + own + ending(w) for w in known[own:]], 1 + own + np.arange(ENDINGS)]).astype(np.int64)
+        self.count = self.known + ENDINGS
 
     def numbers(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the words, and the words."""
@@ -122,7 +142,7 @@ def _units_of(known) -> Units:
     """One table for each broadcast, as long as the worker lives."""
     if known.id not in _units:
         _units.clear()
-        _units[known.id] = Units(*known.value)
+        _units[known.id] = Units(known.value)
     return _units[known.id]
 
 
@@ -137,23 +157,101 @@ class Handle:
         return self.broadcast.value
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], known, blocks: int) -> Iterator[pa.RecordBatch]:
+def _bigrams(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     units = _units_of(known)
-    size = units.count
-    counts = np.zeros(size * size, np.int64)
+    kind = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    keys: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        keys.clear()
+        return record(kind, pa.array((found // units.count).astype(np.int32)), pa.array((found % units.count).astype(np.int32)), pa.array(n.astype(np.int64)))
+
     for batch in slices(batches):
         runs = [np.zeros(1, np.int64)]
         for text in batch.column("text").to_pylist():
-            runs += [units.unit[units.numbers(text)[0]], runs[0]]
+            runs += [units.numbers(text)[0], runs[0]]
         chain = np.concatenate(runs)
-        if len(chain) > 1:
-            counts += np.bincount(chain[:-1] * size + chain[1:], minlength=size * size)
-    if counts.any():
-        bounds = np.linspace(0, size, blocks + 1).astype(int)
-        parts = [counts[a * size : b * size].tobytes() for a, b in zip(bounds, bounds[1:])]  # noqa: B905
+        keys.append(chain[:-1] * units.count + chain[1:])
+        if sum(map(len, keys)) > PAIRS:
+            yield summed()
+    if sum(map(len, keys)):
+        yield summed()
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each unit with its neighbours and how often they come after and before it."""
+    for batch in batches:
+        lists = batch.column("near")
+        near, ends = lists.flatten(), np.cumsum(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False)))
+        other, out, into = (near.field(c).to_numpy(zero_copy_only=False) for c in ("other", "out", "into"))
+        for i, u in enumerate(batch.column("unit").to_pylist()):
+            at = slice(ends[i], ends[i + 1])
+            yield u, other[at], out[at], into[at]
+
+
+def _joint(batches: Iterator[pa.RecordBatch], model, blocks: int) -> Iterator[pa.RecordBatch]:
+    of, classes = model.value
+    sums = np.zeros((classes, classes), np.int64)
+    for u, other, out, _ in _unit_rows(batches):
+        sums[of[u]] += np.bincount(of[other], out, classes).astype(np.int64)
+    if sums.any():
+        parts = [a.tobytes() for a in np.array_split(sums, blocks)]
         yield record(pa.schema([("block", pa.int32()), ("counts", pa.binary())]), list(range(blocks)), parts)
 
 
+def _moves(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """One round of exchange over the units of a task, which sees the moves of its own units only."""
+    of, counts = model.value
+    of, joint, moved = of.copy(), Joint(counts), {}
+    for u, other, out, into in _unit_rows(batches):
+        if u:
+            apart, c = other != u, of[other]
+            right, left = np.bincount(c, out * apart, len(counts)), np.bincount(c, into * apart, len(counts))
+            new = joint.move(right, left, float(out[~apart].sum()), of[u])
+            if new != of[u]:
+                of[u] = moved[u] = new
+    if moved:
+        yield record(pa.schema([("unit", pa.int32()), ("class", pa.int32())]), list(moved), [int(c) for c in moved.values()])
+
+
+def cluster(training: DataFrame, share: Handle, total: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and bigram counts of classes: exchange over sparse rows of bigram counts, one for each unit.
+
+    The rows stay in Spark; in each round every task moves its units, given the classes that all units had
+    before. Only classes of units and counts of classes reach the driver. Moves that tasks make beside each
+    other can lower the likelihood; then the best classes found are kept.
+    """
+    sc = training.sparkSession.sparkContext
+    pairs = map_arrow(training, lambda b: _bigrams(b, share), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.col("n").alias("out"), zero.alias("into")), F.struct(F.col("b").alias("unit"), F.col("a").alias("other"), zero.alias("out"), F.col("n").alias("into")))
+    near = F.collect_list(F.struct("other", "out", "into")).alias("near")
+    rows = settle(pairs.select(F.explode(sides).alias("s")).select("s.*").repartition(max(2 * sc.defaultParallelism, int(total.sum()) // TASK), "unit").groupBy("unit").agg(near))
+    blocks = 8
+
+    def counted(of: np.ndarray) -> np.ndarray:
+        model = sc.broadcast((of, classes))
+        parts = map_arrow(rows, lambda b: _joint(b, model, blocks), "block int, counts binary")
+        found = {r["block"]: r["counts"] for r in map_arrow(parts.repartition(blocks, "block"), _add, "block int, counts binary").collect()}
+        return np.concatenate([np.frombuffer(found[b], np.int64) for b in range(blocks)]).reshape(classes, classes) if found else np.zeros((classes, classes), np.int64)
+
+    of = dealt(total, classes)
+    best = (of, counted(of))
+    for _ in range(rounds):
+        model = sc.broadcast(best)
+        moved = map_arrow(rows, lambda b, model=model: _moves(b, model), "unit int, class int").collect()
+        of = best[0].copy()
+        for r in moved:
+            of[r["unit"]] = r["class"]
+        joint = counted(of) if moved else best[1]
+        if not moved or Joint(joint).likelihood() <= Joint(best[1]).likelihood():
+            break
+        best = (of, joint)
+    forget(rows)
+    return best
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -178,7 +276,7 @@ def _score(batches: Iterator[pa.RecordBatch], known, model) -> Iterator[pa.Recor
         for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
             at, found = units.numbers(text)
             at = np.append(at, 0)
-            c = m["class_of_unit"][units.unit[at]]
+            c = m["class_of_unit"][at]
             score = m["transition"][np.concatenate([[0], c[:-1]]), c].sum() - m["class_total"][c].sum()
             near = at < units.known
             counts = m["counts"][at[near]]
@@ -186,7 +284,7 @@ def _score(batches: Iterator[pa.RecordBatch], known, model) -> Iterator[pa.Recor
             base = np.log10(counts + 1).sum()
             score += np.log10(np.maximum(counts, 1)).sum() + m["unknown"][c[near]][~seen].sum()
             far = Counter([found[i] for i in np.flatnonzero(~near)])
-            tail = [{"word": w, "n": n, "class": int(m["class_of_unit"][units.unit[units.known + ending(w)]])} for w, n in far.items()]
+            tail = [{"word": w, "n": n, "class": int(m["class_of_unit"][units.known + ending(w)])} for w, n in far.items()]
             rows.append((rid, doc, out, len(at), int(seen.sum()), base, score, tail))
             rid += 1
         yield record(schema, *map(list, zip(*rows, strict=True)))
@@ -196,15 +294,17 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     """Train on the rows for which held_out (over the id) is false and score all whole texts.
 
     P(text) = product of P(class | class before) P(word | class), a text starting after and ending with the
-    end token. Classes come from exchange clustering of units: the OWN most frequent words, and ENDINGS
-    groups of all others by their last bytes. Class transitions are smoothed by class frequencies; a word
+    end token. Classes come from exchange clustering of units: each of the KNOWN words, and ENDINGS
+    groups of all others by their last bytes; there are twice as many classes as the cube root of
+    the known words, CLASSES at least. Class transitions are smoothed by class frequencies; a word
     has its share c / (N + n1 + 1) of its class's N tokens, and the one type of unseen words the share
     (n1 + 1) / (N + n1 + 1), where n1 is the class's number of words seen once; so the probabilities over
     the training words and one unseen type sum to one, as those of base_score do.
 
     All training tokens are counted (partial counts in each task, then a shuffle by word). The counts of at
     most KNOWN words of bounded length are broadcast; all other words meet their counts in a shuffle join,
-    where no word is frequent. Only KNOWN words and a matrix of fixed size reach the driver.
+    where no word is frequent. Only KNOWN words and
+    the counts of classes reach the driver; bigram counts of units stay in Spark.
 
     A null text is empty (one end token); null ids count as empty text for the split and are kept; repeated
     rows are scored one by one; without training rows every probability falls back to a constant; an
@@ -233,28 +333,20 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     train_tokens = n_end + sum(r["c"] for r in ends.values())
     types = (n_end > 0) + sum(r["v"] for r in ends.values())
 
-    table = Units(known, OWN)
-    share = Handle(sc.broadcast((known, OWN)))
-    blocks = 16
-    partial = map_arrow(training, lambda b: _bigrams(b, share, blocks), "block int, counts binary")
-    summed = map_arrow(partial.repartition(blocks, "block"), _add, "block int, counts binary").collect()
-    bigrams = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(summed, key=lambda r: r["block"])]).reshape(table.count, -1) if summed else np.zeros((table.count, table.count), np.int64)
-    of = exchange(bigrams)
-
-    member = np.zeros((table.count, CLASSES))
-    member[np.arange(table.count), of] = 1
-    joint = member.T @ bigrams @ member
-    own = min(OWN, len(known))
-    unit_n, unit_once = np.zeros(table.count), np.zeros(table.count)
+    own = len(known)
+    share = Handle(sc.broadcast(known))
+    unit_n, unit_once = np.zeros(1 + own + ENDINGS), np.zeros(1 + own + ENDINGS)
     unit_n[0] = n_end
     for e, r in ends.items():
         unit_n[1 + own + e], unit_once[1 + own + e] = r["c"], r["n1"]
-    for i, (c, w) in enumerate(top[:own]):
+    for i, (c, w) in enumerate(top):
         unit_n[1 + i], unit_once[1 + i] = c, c == 1
         unit_n[1 + own + ending(w)] -= c
         unit_once[1 + own + ending(w)] -= c == 1
-    class_n, class_once = unit_n @ member, unit_once @ member
-    frequency = (joint.sum(0) + 1) / (joint.sum() + CLASSES)
+    classes = max(CLASSES, round(2 * own ** (1 / 3)))
+    of, joint = cluster(training, share, unit_n, classes)
+    class_n, class_once = np.bincount(of, unit_n, classes), np.bincount(of, unit_once, classes)
+    frequency = (joint.sum(0) + 1) / (joint.sum() + classes)
     transition = np.log10((joint + SMOOTHING * frequency) / (joint.sum(1, keepdims=True) + SMOOTHING))
     model = sc.broadcast({
         "class_of_unit": of, "transition": transition, "class_total": np.log10(class_n + class_once + 1), "unknown": np.log10(class_once + 1),

@@ -66,6 +66,18 @@ def test_exchange_finds_classes():
     assert of[0] == 0 and len({*of[1:11]}) == 1 and len({*of[11:]}) == 1 and of[1] != of[11]
 
 
+def test_class_lm_clusters_words_past_the_first_thousand(spark):
+    rng = np.random.default_rng(1)
+    filler = [" ".join(f"f{i}" for i in rng.permutation(1100)) for _ in range(30)]  # these are more frequent
+    words = lambda kind: [f"{kind}{i:03d}" for i in rng.permutation(400)]
+    texts = filler + [" ".join(w for pair in zip(words("a"), words("b"), strict=True) for w in pair) for _ in range(20)]
+    fits, fits_not = texts[-1].split()[:200], sorted(texts[-1].split()[:200])
+    rows = [*enumerate(texts), (1000, " ".join(fits)), (1001, " ".join(fits_not))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in class_lm.score_texts(docs, F.col("doc_id") >= 1000).filter("held_out").collect()}
+    assert got[1000] > got[1001] + 20  # the same words: only their classes tell the texts apart
+
+
 # Packing
 
 
