@@ -60,6 +60,11 @@ def look_up(entries: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def bands_for(least: float, recall: float = 0.999999, hashes: int = HASHES) -> int:
+    """The fewest equal bands in which a pair at similarity least agrees somewhere with probability recall or more."""
+    return next(b for b in range(1, hashes + 1) if hashes % b == 0 and 1 - (1 - least ** (hashes // b)) ** b >= recall)
+
+
 def banded_pairs(entries: DataFrame, least: float, bands: int = 20) -> DataFrame:
     """Pairs of distinct values whose estimate is least or more and that agree in a whole band: a, b, similarity.
 
@@ -70,5 +75,5 @@ def banded_pairs(entries: DataFrame, least: float, bands: int = 20) -> DataFrame
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", (i * rows + 1).cast("int"), rows.cast("int"))).alias("h"))))
     keyed = one.select("value", "signature", band.alias("band")).select("value", "signature", "band.i", "band.h")
     left, right = keyed.select(F.col("value").alias("a"), F.col("signature").alias("sa"), "i", "h"), keyed.select(F.col("value").alias("b"), F.col("signature").alias("sb"), "i", "h")
-    met = left.join(right, ["i", "h"]).filter("a < b").dropDuplicates(["a", "b"])
-    return met.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= least)
+    met = left.join(right, ["i", "h"]).filter("a < b").select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
+    return met.filter(F.col("similarity") >= least).dropDuplicates(["a", "b"])

@@ -276,7 +276,7 @@ def _(spark, sf_dir):
 @query("minhash_pairs")
 def _(spark, sf_dir):
     entries = read(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct().withColumn("signature", lsh.signature(F.col("value")))
-    return lsh.banded_pairs(entries, 0.5, 25)
+    return lsh.banded_pairs(entries, 0.5, lsh.bands_for(0.5))
 
 
 _COSINE = "1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querysmith.functions import schema_text, sql_text, text
 from querysmith.operators import compare, dedup, evaluate, lsh, profile, reward, stats, vectors, vote
+from querysmith.queries import QUERIES
 from querysmith.sources import catalog
 
 
@@ -79,6 +80,15 @@ def test_minhash_against_a_model(spark):
     assert [r[:2] for r in rows(lsh.banded_pairs(entries, 0.5, 50))] == [("blue car", "blue cart")]
 
 
+def test_minhash_pairs_finds_all_pairs(spark, tiny):
+    assert 1 - (1 - 0.5 ** (100 // lsh.bands_for(0.5))) ** lsh.bands_for(0.5) >= 0.999999
+    signed = rows(spark.read.parquet(f"{tiny}/part.parquet").select(F.col("p_name").alias("v")).distinct().select("v", lsh.signature(F.col("v"))))
+    same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True))
+    want = {(a, b, same(x, y) / 100) for a, x in signed for b, y in signed if a < b and same(x, y) >= 50}
+    got = rows(QUERIES["minhash_pairs"](spark, tiny))
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_cosine_search(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, [0.0, 1.0], "b"), (4, [0.0, 0.0], "b")], "id int, v array<double>, g string")
     asked = e.filter("id = 1").select(F.col("id").alias("qid"), F.col("v").alias("q"), "g")
