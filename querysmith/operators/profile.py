@@ -69,13 +69,18 @@ def samples(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return found.select(F.lit(column).alias("column"), shown(F.col("v"), kind).alias("value"))
 
 
-def text_values(tables: dict[str, DataFrame], most: int = 500, longest: int = 500) -> DataFrame:
-    """Distinct trimmed values of all text columns, the `most` smallest of each: table, column, value."""
+def text_values(tables: dict[str, DataFrame], most: int | None = 500, longest: int | None = 500) -> DataFrame:
+    """Distinct trimmed values of all text columns, the `most` smallest of each (None: all, of any length): table, column, value."""
     parts = []
     for t, df in tables.items():
         for f in df.schema.fields:
             if f.dataType.simpleString() == "string":
-                trimmed = df.select(F.trim(F.col(f.name)).alias("value")).filter(F.length("value").between(1, longest)).distinct().orderBy("value").limit(most)
+                trimmed = df.select(F.trim(F.col(f.name)).alias("value")).filter(F.length("value") >= 1)
+                if longest is not None:
+                    trimmed = trimmed.filter(F.length("value") <= longest)
+                trimmed = trimmed.distinct()
+                if most is not None:
+                    trimmed = trimmed.orderBy("value").limit(most)
                 parts.append(trimmed.select(F.lit(t).alias("table"), F.lit(f.name).alias("column"), "value"))
     return reduce(DataFrame.unionByName, parts)
 

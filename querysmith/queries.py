@@ -312,7 +312,7 @@ def _(spark, sf_dir):
     "SELECT qid, '-- Potentially relevant values:' || chr(10) || string_agg('- part.p_type: ''' || value || '''', chr(10) ORDER BY rank) AS hints FROM h GROUP BY qid",
 )
 def _(spark, sf_dir):
-    values = profile.text_values({"part": read(spark, sf_dir, "part").select("p_type")}, most=100_000)
+    values = profile.text_values({"part": read(spark, sf_dir, "part").select("p_type")}, most=None, longest=None)
     entries = lsh.index(values).select("value", "signature").distinct()
     asked = entries.orderBy("value").limit(3).select(F.col("value").alias("qid"), "signature")
     hits = lsh.look_up(entries, asked, 4).join(values, "value")

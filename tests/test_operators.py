@@ -89,6 +89,13 @@ def test_minhash_pairs_finds_all_pairs(spark, tiny):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
+def test_value_hints_look_at_values_of_any_length(spark, tmp_path):
+    long = "LARGE " * 100 + "PLATED"
+    spark.createDataFrame([(v,) for v in ("LARGE", "SMALL", long)], "p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    hints = dict(rows(QUERIES["value_hints"](spark, str(tmp_path))))
+    assert set(hints) == {"LARGE", "SMALL", long} and all(f"'{long}'" in h for h in hints.values())
+
+
 def test_cosine_search(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, [0.0, 1.0], "b"), (4, [0.0, 0.0], "b")], "id int, v array<double>, g string")
     asked = e.filter("id = 1").select(F.col("id").alias("qid"), F.col("v").alias("q"), "g")
