@@ -661,7 +661,7 @@ def _(spark, sf_dir):
 @query("verified_mutations")
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    return execute.mutated(spark, workload.questions(spark).filter("qid <= 6"), "qid", "gold").select("qid", "error_type")
+    return execute.mutated(spark, workload.questions(spark), "qid", "gold").select("qid", "error_type")
 
 
 @query("rewards", f"SELECT qid, i, round(CAST(CASE WHEN pred_status <> 'ok' THEN 0.0 WHEN correct THEN 1.0 ELSE 0.1 END + CASE WHEN len({_TABLES.format('sql')}) > 0 AND {_TABLES.format('sql')} = {_TABLES.format('gold')} THEN 0.05 ELSE 0 END AS DOUBLE), 4) AS reward FROM {_FACTS}")

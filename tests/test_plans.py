@@ -44,6 +44,13 @@ def test_clean_and_build(spark, tiny, tmp_path):
     assert all(len(json.loads(x[0])["messages"]) >= 2 for x in lines) and len(lines) == train
 
 
+def test_every_question_is_mutated(spark, tiny, monkeypatch):
+    seen = []
+    monkeypatch.setattr(execute, "mutated", lambda s, samples, *a: seen.append({r["qid"] for r in samples.collect()}) or samples.selectExpr("qid", "'' AS error_type"))
+    assert __spark_entry__.queries()["verified_mutations"](spark, tiny).count() == len(workload.QUESTIONS)
+    assert seen == [{q[0] for q in workload.QUESTIONS}]
+
+
 def test_files(spark, tmp_path):
     array, lines = tmp_path / "a.json", tmp_path / "b.jsonl"
     array.write_text(json.dumps([{"question": "q", "SQL": "s", "db_id": "d"}, {"question": "", "SQL": "s", "db_id": "d"}]))
