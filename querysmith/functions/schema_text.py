@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def quoted_sample(value: Column, type_: Column) -> Column:
-    """Text in single quotes, other values plain."""
-    return F.when(type_ == "VARCHAR", F.concat(F.lit("'"), value, F.lit("'"))).otherwise(value)
+    """Text in single quotes (in double ones if it has a single quote inside), backslashes and line ends escaped; other values plain."""
+    safe = value
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        safe = F.replace(safe, F.lit(raw), F.lit(shown))
+    single, double = value.contains("'"), value.contains('"')
+    plain = F.concat(F.lit("'"), F.when(single & double, F.replace(safe, F.lit("'"), F.lit("\\'"))).otherwise(safe), F.lit("'"))
+    text = F.when(single & ~double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(plain)
+    return F.when(type_ == "VARCHAR", text).otherwise(value)
 
 
 def example_lists(samples: DataFrame, columns: DataFrame, n: int = 3) -> DataFrame:
@@ -44,9 +50,9 @@ def ddl(columns: DataFrame, examples: DataFrame | None = None) -> DataFrame:
 
 
 def link_comments(links: DataFrame) -> DataFrame:
-    """All foreign keys as one comment block."""
+    """All foreign keys as one comment block, by table."""
     line = F.concat(F.lit("-- "), "from_table", F.lit("."), "from_column", F.lit(" -> "), "to_table", F.lit("."), "to_column")
-    return links.agg(F.concat(F.lit("\n-- Foreign Keys:\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("schema_text"))
+    return links.agg(F.concat(F.lit("\n-- Foreign Keys:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_table", "place", line.alias("line")))), lambda x: x["line"]), "\n")).alias("schema_text"))
 
 
 def whole(tables: DataFrame) -> DataFrame:

@@ -41,33 +41,11 @@ def word_count(text: Column) -> Column:
 
 
 def question_skeleton(text: Column) -> Column:
-    """Quoted strings, then dates, then numbers, replaced by <STRING>, <DATE> and <NUMBER>."""
-    out = F.regexp_replace(text, r"""'[^']*'|"[^"]*\"""", "<STRING>")
-    out = F.regexp_replace(out, r"\b\d{4}-\d{1,2}-\d{1,2}\b", "<DATE>")
-    out = F.regexp_replace(out, r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", "<DATE>")
-    return F.regexp_replace(out, r"\b\d+(?:\.\d+)?\b", "<NUMBER>")
-
-
-def extract_sql(text: Column) -> Column:
-    """The SQL in a reply: a sql fence, a fenced SELECT, a labelled SELECT up to a blank line, a [SQL] tag,
-    the longest SELECT (ended by a semicolon), or else the text up to its last semicolon."""
-    text = F.coalesce(text, F.lit(""))
-
-    def first(pattern: str) -> Column:
-        found = F.regexp_extract(text, pattern, 1)
-        return F.when(text.rlike(pattern), trimmed(found))
-
-    selects = F.regexp_extract_all(text, F.lit(r"(?is)(SELECT\b[^;]*;?)"), 1)
-    longest = F.reduce(selects, F.lit(""), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best))
-    body = trimmed(text)
-    return F.coalesce(
-        first(r"(?is)```sql\s*(.*?)\s*```"),
-        first(r"(?is)```\s*(SELECT.*?)\s*```"),
-        first(r"(?is)(?:SQL|Answer|Query|Result)\s*:\s*(SELECT\b.*?)(?:\n\n|\z)"),
-        first(r"(?is)\[SQL\]\s*(.*?)(?:\[/SQL\]|\z)"),
-        F.when(F.size(selects) > 0, F.concat(F.regexp_replace(trimmed(longest), r";+$", ""), F.lit(";"))),
-        F.when(body.contains(";"), F.regexp_extract(body, r"(?s)^(.*;)", 1)).otherwise(body),
-    )
+    """Quoted strings, then dates (year first or last, by hyphens or slashes), then numbers, as <STRING>, <DATE>, <NUMBER>."""
+    day = r"\d{1,2}"
+    date = rf"\b(?:\d{{4}}[-/]{day}[-/]{day}|{day}[-/]{day}[-/]\d{{4}})\b"
+    out = F.regexp_replace(text, r"""['"][^'"]+['"]""", "<STRING>")
+    return F.regexp_replace(F.regexp_replace(out, date, "<DATE>"), r"\b\d+(?:\.\d+)?\b", "<NUMBER>")
 
 
 def trimmed(text: Column) -> Column:
@@ -131,24 +109,52 @@ def message_hash(messages: Column) -> Column:
 
 
 def numbered(steps: Column) -> Column:
-    """Non-empty steps as numbered lines, or a single line saying that there are none."""
+    """Non-empty steps as numbered lines, or a single line where there are none."""
     kept = F.filter(steps, lambda s: F.trim(s) != "")
     lines = F.transform(kept, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
-    return F.when(F.size(kept) > 0, F.concat_ws("\n", lines)).otherwise("1. Write the query directly.")
+    return F.when(F.size(kept) > 0, F.concat_ws("\n", lines)).otherwise("1. Construct the SQL query to answer the question")
+
+
+#: Lines of prompts with examples (fixed values).
+NO_REASONING = "To answer this question, we need to query the relevant tables and apply the appropriate conditions."
+INSTRUCTION = "Generate the SQL query."
+DIVIDE = "Break this question into sub-questions, solve each one, and combine them into the final SQL query."
 
 
 def examples_prompt(examples: Column, style: str = "direct") -> Column:
-    """Numbered examples (question, sql, reasoning) for a prompt; style: direct, cot or divide."""
+    """Numbered examples (question, sql, reasoning), a blank line between; style: direct, cot or divide."""
 
     def one(e: Column, i: Column) -> Column:
         head = F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\nQuestion: "), e["question"])
-        why = F.when(F.coalesce(e["reasoning"], F.lit("")) != "", F.concat(F.lit("Reasoning: "), e["reasoning"])) if style == "cot" else F.lit(None)
-        parts = F.when(F.lit(style == "divide"), F.lit("Sub-questions: solve each part, then combine."))
-        return F.concat_ws("\n", head, why, parts, F.concat(F.lit("SQL: "), e["sql"]))
+        reasoning = F.when(F.coalesce(e["reasoning"], F.lit("")) != "", e["reasoning"]).otherwise(NO_REASONING)
+        why = F.concat(F.lit("Reasoning: "), reasoning) if style == "cot" else F.lit(None)
+        return F.concat_ws("\n", head, why, F.concat(F.lit("SQL: "), e["sql"]))
 
     return F.concat_ws("\n\n", F.transform(examples, one))
 
 
+def example_question(schema: Column, question: Column, evidence: Column, examples: Column, style: str = "direct") -> Column:
+    """The user message of a prompt with examples: headed parts, empty ones left out."""
+    shown = F.when(F.size(examples) > 0, F.concat(F.lit("### Examples:\n"), examples_prompt(examples, style)))
+    hint = F.when(F.trim(evidence) != "", F.concat(F.lit("### Evidence:\n"), evidence))
+    return F.concat_ws("\n\n", F.concat(F.lit("### Database Schema:\n"), schema), shown, F.concat(F.lit("### Question:\n"), question), hint, F.lit(DIVIDE if style == "divide" else INSTRUCTION))
+
+
+def cache_key(*parts: Column) -> Column:
+    """SHA-256 of a JSON array of the parts (null: empty text), by which answers are cached."""
+    return F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 256)
+
+
+def descriptions(reply: Column) -> Column:
+    """Array of (column, description) of a JSON array reply; null where it can't be parsed."""
+    return F.from_json(F.regexp_extract(unfenced(reply), r"(?s)(\[.*\])", 1), "array<struct<column:string,description:string>>")
+
+
+def quoted_name(name: Column) -> Column:
+    """A name in back-ticks, those inside doubled."""
+    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
 def task_of(system: Column) -> Column:
     """The task that a system message stands for, by its first matching key word."""
     low = F.lower(F.coalesce(system, F.lit("")))

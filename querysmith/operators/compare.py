@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, NumericType, StringType
 
+from . import ranks
+
 TOLERANCE = 1e-4
 #: Result keys of failed and of empty results (fixed values).
 ERROR_KEY, EMPTY_KEY = "__ERROR__", "__EMPTY__"
@@ -27,38 +29,50 @@ def _frame(df: DataFrame) -> DataFrame:
     return out.select(*(normalised(F.col(f.name), f.dataType).alias(f.name) for f in out.schema.fields))
 
 
-def same_results(pred: DataFrame | None, gold: DataFrame | None, tolerance: float = TOLERANCE) -> bool:
+def same_results(pred: DataFrame | None, gold: DataFrame | None, tolerance: float = TOLERANCE, sizes: tuple[int, int] | None = None) -> bool:
     """Whether two results are equal whatever the order of their rows and the names of their columns.
 
-    None stands for a failed query: equal to None only. Rows are compared as multisets first; only if that
-    fails, rows are ranked by all columns and compared place by place, numbers with the tolerance and
-    others as text, so that 1 equals '1'. Nulls sort first and equal nulls. Only booleans reach the driver.
+    None stands for a failed query: equal to None only. Rows are compared as multisets first. If that fails,
+    columns in which both sides are fractions are compared with the tolerance and all others as text, so that
+    1 equals '1': rows that agree in the latter are ranked by the former, in ranges of the first of them, and
+    compared place by place. Nulls sort first and equal nulls. Only counts and booleans reach the driver;
+    sizes are the numbers of rows where they are known.
     """
     if pred is None or gold is None:
         return pred is None and gold is None
     p, g = _frame(pred), _frame(gold)
-    sizes = p.agg(F.count(F.lit(1)).alias("p")).crossJoin(g.agg(F.count(F.lit(1)).alias("g"))).first()
-    if sizes["p"] != sizes["g"]:
+    n, m = sizes or (p.count(), g.count())
+    if n != m:
         return False
-    if not sizes["p"]:
+    if not n:
         return True
     if len(p.columns) != len(g.columns):
         return False
-    if [f.dataType for f in p.schema] == [f.dataType for f in g.schema]:
-        signed = p.withColumn("__n", F.lit(1)).unionByName(g.withColumn("__n", F.lit(-1)))
-        if signed.groupBy(*p.columns).agg(F.sum("__n").alias("n")).filter("n != 0").isEmpty():
-            return True
-    order = lambda df: df.withColumn("__r", F.row_number().over(Window.orderBy(*(F.col(c).asc_nulls_first() for c in df.columns))))
-    left = order(p)
-    right = order(g).toDF(*(f"g{i}" for i in range(len(g.columns))), "__r")
-    cells = [_cell(F.col(f"c{i}"), F.col(f"g{i}"), p.schema[i].dataType, g.schema[i].dataType, tolerance) for i in range(len(p.columns))]
-    return left.join(right, "__r").filter(~reduce(lambda a, b: a & b, cells)).isEmpty()
-
-
-def _cell(a: Column, b: Column, ka: DataType, kb: DataType, tolerance: float) -> Column:
-    if isinstance(ka, NumericType) and isinstance(kb, NumericType):
-        return F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= tolerance, a.isNull() & b.isNull())
-    return F.lower(F.trim(a.cast("string"))).eqNullSafe(F.lower(F.trim(b.cast("string"))))
+    if [f.dataType for f in p.schema] == [f.dataType for f in g.schema] and _balanced(p, g):
+        return True
+    close = [c for c in p.columns if isinstance(p.schema[c].dataType, NumericType) and isinstance(g.schema[c].dataType, NumericType)]
+    exact = [c for c in p.columns if c not in close]
+    shared = lambda df: df.select(*(F.col(c).cast("double").alias(c) if c in close else F.lower(F.trim(F.col(c).cast("string"))).alias(c) for c in df.columns))
+    p, g = shared(p), shared(g)
+    if not close:
+        return _balanced(p, g)
+
+    def placed(df: DataFrame, prefix: str) -> DataFrame:
+        order = [F.col(c).asc_nulls_first() for c in close]
+        rows = df if exact else df.withColumn("__all", F.lit(0))
+        out = ranks.ranked(rows, exact or ["__all"], ranks.range_bucket(rows, close[0]), order, "__place", "__of")
+        return out.select(*(F.col(c).alias(prefix + c) for c in [*df.columns, "__place"]))
+
+    left, right = placed(p, ""), placed(g, "g_")
+    near = [F.coalesce(F.abs(F.col(c) - F.col(f"g_{c}")) <= tolerance, F.col(c).isNull() & F.col(f"g_{c}").isNull()) for c in close]
+    met = left.join(right, ranks.same_keys([*exact, "__place"], "g_")).filter(reduce(lambda a, b: a & b, near))
+    return met.count() == n
+
+
+def _balanced(p: DataFrame, g: DataFrame) -> bool:
+    """Whether both sides have each row as often."""
+    signed = p.withColumn("__n", F.lit(1)).unionByName(g.withColumn("__n", F.lit(-1)))
+    return signed.groupBy(*p.columns).agg(F.sum("__n").alias("n")).filter("n != 0").isEmpty()
 
 
 def multiset_differs(pred: DataFrame, gold: DataFrame) -> DataFrame:

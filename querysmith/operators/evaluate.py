@@ -91,11 +91,47 @@ def disagreements(facts: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "idx").filter("correct_a != correct_b")
 
 
-def report(rows: list, errors: list, worst: int = 10) -> str:
-    """A Markdown report of collected roll-ups (accuracy and error_taxonomy, both small)."""
+def per_sample(facts: DataFrame, previews: DataFrame | None = None) -> DataFrame:
+    """What is kept of each judged sample: idx, db_id, difficulty, question, gold_sql, pred_sql, correct, previews, error.
+
+    facts: those columns but the previews; previews: sql, preview.
+    """
+    out = facts
+    for side in ("pred", "gold"):
+        shown = F.lit(None).cast("string")
+        if previews is not None:
+            out = out.join(previews.select(F.col("sql").alias(f"{side}_sql"), F.col("preview").alias(f"{side}_result_preview")), f"{side}_sql", "left")
+        else:
+            out = out.withColumn(f"{side}_result_preview", shown)
+    return out.select("idx", "db_id", F.lower(F.coalesce("difficulty", F.lit("unknown"))).alias("difficulty"), "question", "gold_sql", "pred_sql", "correct", "pred_result_preview", "gold_result_preview", "error")
+
+
+def results(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """The evaluation as one JSON object (overall, by_difficulty, by_database, error_analysis), without samples."""
+    entry = F.struct("correct", "total", "accuracy")
+    levels = rows.groupBy(F.lit(1).alias("one")).agg(
+        F.first(F.when(F.col("level") == "overall", entry), True).alias("overall"),
+        *(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("key", entry.alias("x")))))).alias(f"by_{level}") for level in ("difficulty", "database")),
+    )
+    kinds = errors.groupBy(F.lit(1).alias("one")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.struct(F.col("n").alias("count")).alias("x"))))).alias("error_analysis"))
+    return levels.join(kinds, "one").select(F.to_json(F.struct("overall", "by_difficulty", "by_database", "error_analysis")).alias("value"))
+
+
+def report(rows: list, errors: list, samples: list = (), worst: int = 10) -> str:
+    """A Markdown report of collected roll-ups (accuracy and error_taxonomy, both small) and the first wrong samples."""
     overall = next(r for r in rows if r["level"] == "overall")
-    lines = ["# Evaluation report", "", f"Accuracy: {overall['accuracy']:.2%} ({overall['correct']} of {overall['total']})", "", "| Difficulty | Correct | Total | Accuracy |", "|---|---|---|---|"]
-    lines += [f"| {r['key']} | {r['correct']} | {r['total']} | {r['accuracy']:.2%} |" for r in rows if r["level"] == "difficulty"]
+    lines = ["# Evaluation report", "", f"Total samples: {overall['total']}", f"Execution accuracy: {overall['accuracy']:.4f} ({overall['correct']} correct)", "", "| Difficulty | Correct | Total | Accuracy |", "|---|---|---|---|"]
+    lines += [f"| {r['key']} | {r['correct']} | {r['total']} | {r['accuracy']:.4f} |" for r in rows if r["level"] == "difficulty"]
     low = sorted((r for r in rows if r["level"] == "database"), key=lambda r: (r["accuracy"], r["key"]))[:worst]
-    lines += ["", "## Lowest databases", "", *(f"- {r['key']}: {r['accuracy']:.2%}" for r in low), "", "## Errors", "", *(f"- {e['kind']}: {e['n']}" for e in errors)]
+    lines += ["", "## Lowest databases", "", "| Database | Correct | Total | Accuracy |", "|---|---|---|---|", *(f"| {r['key']} | {r['correct']} | {r['total']} | {r['accuracy']:.4f} |" for r in low)]
+    lines += ["", "## Errors", "", *(f"- {e['kind']}: {e['n']}" for e in errors)]
+    if samples:
+        lines += ["", "## First wrong samples"]
+        for s in list(samples)[:worst]:
+            lines += ["", f"### {s['db_id']} ({s['difficulty']})", f"- Question: {s['question']}", f"- Gold: `{s['gold_sql']}`", f"- Predicted: `{s['pred_sql']}`", *([f"- Error: {s['error']}"] if s["error"] else [])]
     return "\n".join(lines) + "\n"
+
+
+def first_wrong(samples: DataFrame, n: int = 10) -> DataFrame:
+    """The first wrong samples by idx."""
+    return samples.filter(~F.coalesce("correct", F.lit(False))).orderBy("idx").limit(n)

@@ -50,30 +50,12 @@ def index(values: DataFrame, value: str = "value", hashes: int = HASHES) -> Data
 
 
 def look_up(entries: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k most similar distinct entries of each query (ties: the smaller value): qid, value, similarity, rank.
+    """The k most similar entries of each query (ties: the smaller value): qid, value, similarity, rank.
 
-    queries (qid, signature) is a stated set; Spark broadcasts it if its size allows, else it pairs partitions.
+    entries hold each value once. queries (qid, signature) is a stated set against all entries; Spark
+    broadcasts it if its size allows, else it pairs partitions. Each task keeps its own k best of a query
+    before the shuffle, so what moves is k rows a query and task.
     """
     scored = entries.crossJoin(queries.select("qid", F.col("signature").alias("q"))).select("qid", "value", similarity(F.col("q"), F.col("signature")).alias("similarity"))
-    best = scored.groupBy("qid", "value").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "value"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def bands_for(least: float, recall: float = 0.999999, hashes: int = HASHES) -> int:
-    """The fewest equal bands in which a pair at similarity least agrees somewhere with probability recall or more."""
-    return next(b for b in range(1, hashes + 1) if hashes % b == 0 and 1 - (1 - least ** (hashes // b)) ** b >= recall)
-
-
-def banded_pairs(entries: DataFrame, least: float, bands: int = 20) -> DataFrame:
-    """Pairs of distinct values whose estimate is least or more and that agree in a whole band: a, b, similarity.
-
-    An equi-join on (band, hash of the band) stands for the comparison of all pairs.
-    """
-    one = entries.select("value", "signature").dropDuplicates(["value"])
-    rows = F.size(F.col("signature")) / bands
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", (i * rows + 1).cast("int"), rows.cast("int"))).alias("h"))))
-    keyed = one.select("value", "signature", band.alias("band")).select("value", "signature", "band.i", "band.h")
-    left, right = keyed.select(F.col("value").alias("a"), F.col("signature").alias("sa"), "i", "h"), keyed.select(F.col("value").alias("b"), F.col("signature").alias("sb"), "i", "h")
-    met = left.join(right, ["i", "h"]).filter("a < b").select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
-    return met.filter(F.col("similarity") >= least).dropDuplicates(["a", "b"])
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -24,27 +24,18 @@ def shown(value: Column, kind: DataType) -> Column:
 
 
 def profile(table: str, df: DataFrame) -> DataFrame:
-    """A row for each column, from one pass over the table (distinct values are expanded and grouped once)."""
-    fields = df.schema.fields
-    one = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(
-            F.struct(
-                F.count_if(F.col(f.name).isNull()).alias("nulls"),
-                F.count_distinct(F.col(f.name)).alias("distinct"),
-                shown(F.min(f.name), f.dataType).alias("least"),
-                shown(F.max(f.name), f.dataType).alias("most"),
-            ).alias(f"c{i}")
-            for i, f in enumerate(fields)
-        ),
-    )
-    lines = F.array(
-        *(
-            F.struct(F.lit(f.name).alias("column"), F.col(f"c{i}.nulls").alias("null_count"), F.col(f"c{i}.distinct").alias("distinct_count"), F.col(f"c{i}.least").alias("min"), F.col(f"c{i}.most").alias("max"))
-            for i, f in enumerate(fields)
-        )
-    )
-    return one.select(F.lit(table).alias("table"), F.col("n").alias("row_count"), F.explode(lines).alias("x")).select("table", "x.column", "row_count", "x.null_count", "x.distinct_count", "x.min", "x.max")
+    """A row for each column. Each column is read by itself (a column-pruned scan) and grouped by value with
+    partial sums, so no row is expanded, and distinct values are all that moves."""
+
+    def one(name: str, kind: DataType) -> DataFrame:
+        groups = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        return groups.agg(
+            F.lit(table).alias("table"), F.lit(name).alias("column"), count(F.col("n")).alias("row_count"), count(F.when(F.col("v").isNull(), F.col("n"))).alias("null_count"),
+            F.count("v").alias("distinct_count"), shown(F.min("v"), kind).alias("min"), shown(F.max("v"), kind).alias("max"),
+        ).select(*PROFILE)
+
+    return reduce(DataFrame.unionByName, (one(f.name, f.dataType) for f in df.schema.fields))
 
 
 def profiles(tables: dict[str, DataFrame]) -> DataFrame:

@@ -20,6 +20,16 @@ def stage_statistics(samples: DataFrame, question: str, sql: str, db: str) -> Da
     )
 
 
+def stage_details(samples: DataFrame, db: str = "db_id", k: int = 5) -> DataFrame:
+    """One row: the k most frequent databases as text, rows that are valid, and the mean confidence, where the columns are there."""
+    counts = samples.groupBy(F.coalesce(F.col(db), F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+    shown = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value", "n"))), lambda x: F.concat(x["value"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ").alias("top"))
+    has = lambda c: c in samples.columns
+    valid = [F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) if has(c) else F.lit(None).cast("long").alias(c) for c in ("exec_valid", "semantic_valid")]
+    sure = F.round(F.avg("semantic_confidence"), 3) if has("semantic_confidence") else F.lit(None).cast("double")
+    return samples.agg(*valid, sure.alias("confidence")).crossJoin(shown)  # one row each
+
+
 def retention(stages: dict[str, DataFrame]) -> DataFrame:
     """Rows of each stage and their share of the first stage's, in percent."""
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages.items())]
@@ -66,3 +76,40 @@ def build_statistics(generated: DataFrame, unique: DataFrame, train: DataFrame,
 
     parts = [by(generated, "generated", "task_type"), all_of(generated, "before_dedup"), all_of(unique, "after_dedup"), all_of(train, "train"), all_of(val, "val"), by(unique, "final", "task_type"), by(unique, "databases", "db_id")]
     return reduce(DataFrame.unionByName, parts)
+
+
+def analysis(train: DataFrame, val: DataFrame, most: int = 50) -> DataFrame:
+    """metric, key, n of a dataset's analysis: sizes, tasks, the most frequent databases, schema types, difficulties."""
+    both = train.unionByName(val, allowMissingColumns=True)
+    sizes = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("metric"), F.lit("").alias("key"), "n") for m, df in (("total_samples", both), ("train_samples", train), ("val_samples", val))]
+
+    def counts(metric: str, column: str, k: int | None = None) -> list[DataFrame]:
+        if column not in both.columns:
+            return []
+        found = both.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        return [(found if k is None else found.orderBy(F.desc("n"), "key").limit(k)).select(F.lit(metric).alias("metric"), "key", "n")]
+
+    parts = sizes + counts("task_distribution", "task_type") + counts("db_distribution", "db_id", most) + counts("format_distribution", "schema_type") + counts("difficulty_distribution", "difficulty")
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Samples an hour by memory in GB and size of model, and the size of dataset that is assumed (fixed values).
+RATES = {"7B": {24: 800, 40: 1200, 48: 1500, 80: 2500}, "14B": {24: 300, 40: 600, 48: 800, 80: 1500}}
+ASSUMED = 20_000
+
+
+def rate(memory: Column, model: str = "14B") -> Column:
+    """Samples an hour of the nearest bracket of memory (ties: the smaller one)."""
+    near = F.array_min(F.array(*(F.struct(F.abs(F.lit(m) - memory).alias("d"), F.lit(m).alias("m"), F.lit(r).alias("r")) for m, r in RATES[model].items())))
+    return near["r"]
+
+
+def hours(memory: Column, model: str = "14B", epochs: int = 3) -> Column:
+    """Estimated hours as text: minutes below an hour, days from 24 hours on."""
+    h = F.lit(float(ASSUMED * epochs)) / rate(memory, model)
+    return (
+        F.when(memory <= 0, "Cannot estimate without GPU")
+        .when(h < 1, F.concat(F.lit("~"), F.floor(h * 60).cast("string"), F.lit(" minutes")))
+        .when(h < 24, F.format_string("~%.1f hours", h))
+        .otherwise(F.format_string("~%.1f days", h / 24))
+    )

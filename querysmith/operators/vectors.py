@@ -26,7 +26,9 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int, same: str | None = Non
         met = entries.join(queries, same)
     else:
         met = entries.crossJoin(queries)
-    near = met.filter(F.col("id") != F.col("qid")).select("qid", "id", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
+    alike = entries.schema["id"].dataType == queries.schema["qid"].dataType
+    itself = F.col("id") == F.col("qid") if alike else F.col("id").cast("string") == F.col("qid").cast("string")
+    near = met.filter(~itself).select("qid", "id", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return near.filter(F.col("distance").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= k)
 

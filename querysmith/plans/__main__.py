@@ -1,54 +1,33 @@
-"""Command line of the data steps: profile, clean, build, analyze, evaluate."""
+"""Command line: one subcommand for each step, and run for all of them from any step on."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
-from ..functions.text import word_count
-from ..operators import evaluate, profile, stats
 from ..session import session
-from ..sources import catalog, files
-from . import dataset, execute
+from ..sources import files
+from . import steps
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="querysmith")
-    steps = parser.add_subparsers(dest="step", required=True)
-    for name, needs in {"profile": ["root", "out"], "clean": ["root", "samples", "out"], "build": ["samples", "out"], "analyze": ["records", "out"], "evaluate": ["root", "pairs", "out"]}.items():
-        step = steps.add_parser(name)
-        for arg in needs:
-            step.add_argument(f"--{arg}", required=True)
+    names = parser.add_subparsers(dest="step", required=True)
+    for name in [*steps.STEPS, "run"]:
+        step = names.add_parser(name)
+        step.add_argument("--config", help="JSON or YAML file")
+        step.add_argument("--preset", help="file whose values come on top")
+        step.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="a single value on top")
         step.add_argument("--master")
+        if name == "run":
+            step.add_argument("--skip-to", choices=steps.WHOLE)
     a = parser.parse_args(argv)
+    config = files.config(a.config, a.preset) if a.config else {}
+    config |= dict(x.split("=", 1) for x in a.set)
     spark = session(master=a.master)
-    if a.step == "profile":
-        db = catalog.Database.at(spark, a.root)
-        files.write_lines(profile.nested(profile.profiles({t: db.table(t) for t in db.names})), a.out)
-    elif a.step == "clean":
-        catalog.Database.at(spark, a.root).register()
-        samples = files.read_array(spark, a.samples).withColumn("idx", F.monotonically_increasing_id())
-        dataset.clean(samples, a.out)
-    elif a.step == "build":
-        samples = spark.read.parquet(a.samples)
-        if "schema_text" not in samples.columns:
-            samples = samples.withColumn("schema_text", F.lit(""))
-        dataset.build(samples, a.out)
-    elif a.step == "analyze":
-        records = files.read_lines(spark, a.records, files.CHAT).withColumn("idx", F.monotonically_increasing_id())
-        files.write_lines(stats.distribution(records, F.col("task_type"), F.col("idx")), f"{a.out}/tasks", single=True)
-        turns = records.select("idx", F.explode("messages").alias("m")).select("idx", "m.role", "m.content")
-        files.write_lines(stats.word_lengths(turns, "idx", "role", "content"), f"{a.out}/lengths", single=True)
-        print(turns.agg(F.sum(word_count(F.col("content"))).alias("words")).first()["words"], "words")
+    if a.step == "run":
+        steps.run(spark, config, a.skip_to)
     else:
-        catalog.Database.at(spark, a.root).register()
-        pairs = spark.read.schema("idx int, pred_sql string, gold_sql string, difficulty string, db_id string").json(a.pairs)
-        facts = pairs.join(execute.judged(spark, pairs), "idx").withColumnRenamed("pred_status", "status")
-        rows, errors = evaluate.accuracy(facts).collect(), evaluate.error_taxonomy(facts).collect()
-        text = evaluate.report(rows, errors)
-        files.write_lines(spark.createDataFrame([(text,)], "report string"), a.out, single=True)
-        print(text)
+        steps.STEPS[a.step](spark, config)
     return 0
 
 

@@ -41,19 +41,27 @@ def skeletons(samples: DataFrame) -> DataFrame:
 
 def reasoning(samples: DataFrame) -> DataFrame:
     """Only complex queries; steps come from the query's parts."""
-    c = sql_text.components(F.col("SQL"))
+    return _records(samples.filter(sql_text.is_complex(F.col("SQL"))).withColumn("__c", sql_text.components(F.col("SQL"))), "chain_of_thought", text.chat("chain_of_thought", _prompt(), F.concat(steps_of(F.col("__c")), F.lit("\n\nSQL: "), F.col("SQL"))))
+
+
+def steps_of(c: Column) -> Column:
+    """Numbered steps of a query from its parts; wording and order are fixed values."""
+
+    def step(name: str, head: str, shown: Column, between: str = ", ") -> Column:
+        return F.when(F.size(c[name]) > 0, F.concat(F.lit(head), F.array_join(shown, between)))
+
+    joins = F.transform(c["joins"], lambda j: F.concat(j["type"], F.lit(" `"), j["table"], F.lit("`"), F.when(j["on"] != "", F.concat(F.lit(" ON "), j["on"])).otherwise("")))
     steps = F.array(
-        F.when(F.size(c["tables"]) > 0, F.concat(F.lit("Read "), F.array_join(c["tables"], ", "))),
-        F.when(F.size(c["joins"]) > 0, F.concat(F.lit("Join on "), F.array_join(F.transform(c["joins"], lambda j: j["on"]), "; "))),
-        F.when(F.size(c["conditions"]) > 0, F.concat(F.lit("Keep rows where "), F.array_join(c["conditions"], "; "))),
-        F.when(F.size(c["group_by"]) > 0, F.concat(F.lit("Group by "), F.array_join(c["group_by"], ", "))),
-        F.when(F.size(c["aggregations"]) > 0, F.concat(F.lit("Compute "), F.array_join(c["aggregations"], ", "))),
-        F.when(F.size(c["ordering"]) > 0, F.concat(F.lit("Sort by "), F.array_join(c["ordering"], ", "))),
-        F.when(c["has_subquery"], F.lit("Solve the inner query first")),
-        F.when(c["has_distinct"], F.lit("Remove duplicates")),
+        step("tables", "Identify the relevant tables: ", F.transform(c["tables"], lambda t: F.concat(F.lit("`"), t, F.lit("`")))),
+        step("joins", "Join the tables: ", joins, "; "),
+        step("conditions", "Apply filter conditions: WHERE ", c["conditions"], " AND "),
+        step("aggregations", "Apply aggregation functions: ", c["aggregations"]),
+        step("group_by", "Group the results: ", c["group_by"]),
+        step("ordering", "Order the results: ", c["ordering"]),
+        F.when(c["has_distinct"], F.lit("Apply DISTINCT to remove duplicates")),
+        F.when(c["has_subquery"], F.lit("Use a subquery to compute an intermediate result")),
     )
-    answer = F.concat(text.numbered(F.filter(steps, lambda s: s.isNotNull())), F.lit("\n\nSQL: "), F.col("SQL"))
-    return _records(samples.filter(sql_text.is_complex(F.col("SQL"))), "chain_of_thought", text.chat("chain_of_thought", _prompt(), answer))
+    return text.numbered(F.filter(steps, lambda s: s.isNotNull()))
 
 
 def corrections(samples: DataFrame, wrong: DataFrame, key: str = "idx") -> DataFrame:

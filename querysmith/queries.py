@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import schema_text, sql_text, text
-from .operators import compare, dedup, evaluate, lsh, profile, reward, stats, vectors, vote
+from .functions import schema_text, sql_parse, sql_text, text
+from .operators import collections, compare, dedup, evaluate, lsh, profile, ranks, reward, stats, vectors, vote
 from .plans import execute, workload
 from .sources import catalog, files
 
@@ -84,9 +85,13 @@ def _(spark, sf_dir):
 
 
 _PROFILED = {
-    "orders": [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "n"), ("o_totalprice", "d"), ("o_orderdate", "t"), ("o_orderpriority", "n")],
+    "region": [("r_regionkey", "n"), ("r_name", "n")],
+    "nation": [("n_nationkey", "n"), ("n_name", "n"), ("n_regionkey", "n")],
     "customer": [("c_custkey", "n"), ("c_name", "n"), ("c_nationkey", "n"), ("c_acctbal", "d"), ("c_mktsegment", "n")],
+    "supplier": [("s_suppkey", "n"), ("s_name", "n"), ("s_nationkey", "n"), ("s_acctbal", "d")],
     "part": [("p_partkey", "n"), ("p_name", "n"), ("p_brand", "n"), ("p_type", "n"), ("p_size", "n"), ("p_retailprice", "d")],
+    "orders": [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "n"), ("o_totalprice", "d"), ("o_orderdate", "t"), ("o_orderpriority", "n")],
+    "lineitem": [("l_orderkey", "n"), ("l_partkey", "n"), ("l_suppkey", "n"), ("l_linenumber", "n"), ("l_quantity", "d"), ("l_extendedprice", "d"), ("l_discount", "d"), ("l_tax", "d"), ("l_returnflag", "n"), ("l_linestatus", "n"), ("l_shipdate", "t")],
 }
 _TEXT_FORM = {"n": "CAST({} AS VARCHAR)", "d": "printf('%.4f', {})", "t": "strftime({}, '%Y-%m-%d %H:%M:%S')"}
 
@@ -258,27 +263,21 @@ def _(spark, sf_dir):
     return values.select("value", F.array_join(F.transform(lsh.signature(F.col("value")), lambda x: x.cast("string")), ",").alias("signature"))
 
 
-_QUERIED = "SELECT DISTINCT p_name AS value FROM part ORDER BY value LIMIT 5"
 _SIMILAR = "round(len(list_filter(list_zip(q.signature, e.signature), lambda p: p[1] = p[2])) / 100, 4)"
 
 
 @query(
     "minhash_topk",
-    f"WITH e AS {_signed('SELECT DISTINCT p_name AS value FROM part')}, q AS (SELECT * FROM e ORDER BY value LIMIT 5) "
+    f"WITH e AS {_signed('SELECT DISTINCT p_name AS value FROM part')}, q AS (SELECT * FROM e WHERE value IN (SELECT p_name FROM part WHERE p_partkey % 100 = 0)) "
     f"SELECT q.value AS qid, e.value AS value, {_SIMILAR} AS similarity, CAST(row_number() OVER (PARTITION BY q.value ORDER BY {_SIMILAR} DESC, e.value) AS INTEGER) AS rank FROM q, e QUALIFY rank <= 5",
 )
 def _(spark, sf_dir):
-    entries = read(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct().withColumn("signature", lsh.signature(F.col("value")))
-    asked = entries.orderBy("value").limit(5).select(F.col("value").alias("qid"), "signature")
+    part = read(spark, sf_dir, "part")
+    entries = part.select(F.col("p_name").alias("value")).distinct().withColumn("signature", lsh.signature(F.col("value")))
+    asked = entries.join(part.filter("p_partkey % 100 = 0").select(F.col("p_name").alias("value")), "value", "left_semi").select(F.col("value").alias("qid"), "signature")
     return lsh.look_up(entries, asked, 5)
 
 
-@query("minhash_pairs")
-def _(spark, sf_dir):
-    entries = read(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct().withColumn("signature", lsh.signature(F.col("value")))
-    return lsh.banded_pairs(entries, 0.5, lsh.bands_for(0.5))
-
-
 _COSINE = "1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))"
 _VECTORS = "(SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
@@ -307,30 +306,26 @@ def _(spark, sf_dir):
 
 @query(
     "value_hints",
-    f"WITH e AS {_signed('SELECT DISTINCT trim(p_type) AS value FROM part')}, q AS (SELECT * FROM e ORDER BY value LIMIT 3), "
+    f"WITH e AS {_signed('SELECT DISTINCT trim(p_type) AS value FROM part')}, q AS (SELECT * FROM e WHERE value IN (SELECT trim(p_type) FROM part WHERE p_partkey % 100 = 0)), "
     f"h AS (SELECT q.value AS qid, e.value AS value, row_number() OVER (PARTITION BY q.value ORDER BY {_SIMILAR} DESC, e.value) AS rank FROM q, e QUALIFY rank <= 4) "
     "SELECT qid, '-- Potentially relevant values:' || chr(10) || string_agg('- part.p_type: ''' || value || '''', chr(10) ORDER BY rank) AS hints FROM h GROUP BY qid",
 )
 def _(spark, sf_dir):
-    values = profile.text_values({"part": read(spark, sf_dir, "part").select("p_type")}, most=None, longest=None)
+    part = read(spark, sf_dir, "part")
+    values = profile.text_values({"part": part.select("p_type")}, most=None, longest=None)
     entries = lsh.index(values).select("value", "signature").distinct()
-    asked = entries.orderBy("value").limit(3).select(F.col("value").alias("qid"), "signature")
+    asked = entries.join(part.filter("p_partkey % 100 = 0").select(F.trim("p_type").alias("value")), "value", "left_semi").select(F.col("value").alias("qid"), "signature")
     hits = lsh.look_up(entries, asked, 4).join(values, "value")
     return vectors.value_hints(hits)
 
 
 # Text and SQL functions
 
-_SKELETON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '''[^'']*''|"[^"]*"', '<STRING>', 'g'), '\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b', '<DATE>', 'g'), '\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b', '<DATE>', 'g'), '\b\d+(?:\.\d+)?\b', '<NUMBER>', 'g')"""
-
-
-@query("question_skeleton", f"SELECT doc_id, md5({_SKELETON.format('text')}) AS skeleton FROM documents")
+@query("question_skeleton", "SELECT o_orderkey, 'Was <STRING> due <DATE>, <DATE> or <DATE> at <NUMBER>, room' || o_orderkey || '? <STRING>' AS skeleton FROM orders")
 def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.question_skeleton(F.col("text"))).alias("skeleton"))
-
-
-_GENERATED = "(SELECT p_partkey, 'SELECT p_name FROM part WHERE p_brand = ''' || p_brand || ''' AND p_size > ' || p_size || ' AND p_retailprice < ' || CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) || '.5 LIMIT ' || (p_size % 7) AS sql FROM part)"
-_SQL_SKELETON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '''[^'']*''|"[^"]*"', 'PLACEHOLDER', 'g'), '(?i)\b(LIMIT|OFFSET)\s+(\d+)', '\1 @@\2@@', 'g'), '(^|[^.\w@])(\d+(?:\.\d+)?)\b', '\1NUM', 'g'), '@@', '', 'g')"""
+    day = lambda form: F.date_format("o_orderdate", form)
+    asked = F.concat(F.lit("Was '"), "o_orderpriority", F.lit("' due "), day("yyyy/MM/dd"), F.lit(", "), day("dd-MM-yyyy"), F.lit(" or "), day("yyyy-M-d"), F.lit(" at "), F.col("o_orderkey").cast("string"), F.lit(".5, room"), F.col("o_orderkey").cast("string"), F.lit('? "x 12"'))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.question_skeleton(asked).alias("skeleton"))
 
 
 def _generated(spark, sf_dir):
@@ -339,59 +334,49 @@ def _generated(spark, sf_dir):
     return p.select("p_partkey", made.alias("sql"))
 
 
-@query("sql_skeleton", f"SELECT p_partkey, {_SQL_SKELETON.format('sql')} AS skeleton FROM {_GENERATED}")
+@query("sql_skeleton", "SELECT p_partkey, 'SELECT p_name FROM part WHERE p_brand = PLACEHOLDER AND p_size > NUM AND p_retailprice < NUM LIMIT ' || (p_size % 7) AS skeleton FROM part")
 def _(spark, sf_dir):
     return _generated(spark, sf_dir).select("p_partkey", sql_text.skeleton(F.col("sql")).alias("skeleton")).filter(F.trim("skeleton") != "")
 
 
-@query(
-    "sql_extract",
-    r"""WITH s AS (SELECT rid, reply, regexp_extract_all(reply, '(?is)SELECT\b[^;]*;?') AS m FROM """ + workload.REPLIES_SQL + r""")
-SELECT rid, CASE WHEN regexp_matches(reply, '(?is)```sql\s*(.*?)\s*```') THEN trim(regexp_extract(reply, '(?is)```sql\s*(.*?)\s*```', 1), E' \n\t')
-WHEN regexp_matches(reply, '(?is)```\s*(SELECT.*?)\s*```') THEN trim(regexp_extract(reply, '(?is)```\s*(SELECT.*?)\s*```', 1), E' \n\t')
-WHEN regexp_matches(reply, '(?is)(?:SQL|Answer|Query|Result)\s*:\s*(SELECT\b.*?)(?:\n\n|\z)') THEN trim(regexp_extract(reply, '(?is)(?:SQL|Answer|Query|Result)\s*:\s*(SELECT\b.*?)(?:\n\n|\z)', 1), E' \n\t')
-WHEN regexp_matches(reply, '(?is)\[SQL\]\s*(.*?)(?:\[/SQL\]|\z)') THEN trim(regexp_extract(reply, '(?is)\[SQL\]\s*(.*?)(?:\[/SQL\]|\z)', 1), E' \n\t')
-WHEN len(m) > 0 THEN rtrim(trim(list_filter(m, lambda x: length(x) = list_max(list_transform(m, lambda y: length(y))))[1], E' \n\t'), ';') || ';'
-WHEN contains(trim(reply, E' \n\t'), ';') THEN regexp_extract(trim(reply, E' \n\t'), '(?s)^(.*;)', 1) ELSE trim(reply, E' \n\t') END AS sql FROM s""",
-)
+@query("sql_extract", f"SELECT rid, sql FROM {workload.values(workload.EXTRACTED, 'rid, sql', 'x')}")
 def _(spark, sf_dir):
-    return workload.replies(spark).select("rid", text.extract_sql(F.col("reply")).alias("sql"))
+    return workload.replies(spark).select("rid", sql_parse.extract_sql(F.col("reply")).alias("sql"))
 
 
-_TABLES = r"""list_sort(list_distinct(list_transform(regexp_extract_all({}, '(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+[`"]?(\w+)[`"]?', 1), lambda x: lower(x))))"""
+_NAMED = workload.values([(q, i, workload.OTHER_TABLES.get((q, i), workload.TABLES[q]), workload.TABLES[q]) for q, i, _ in workload.CANDIDATES], "qid, i, tables, gold_tables", "t")
 
 
-@query("sql_tables", f"SELECT qid, i, array_to_string({_TABLES.format('sql')}, ',') AS tables FROM {workload.CANDIDATES_SQL}")
+@query("sql_tables", f"SELECT qid, i, tables FROM {_NAMED}")
 def _(spark, sf_dir):
     return workload.candidates(spark).select("qid", "i", F.array_join(sql_text.tables(F.col("sql")), ",").alias("tables"))
 
 
-@query(
-    "sql_components",
-    r"""SELECT qid, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(gold, '(?i)\b(COUNT|SUM|AVG|MIN|MAX)\s*\([^)]*\)', 1), lambda x: upper(x)))), ',') AS aggregations,
-len(regexp_extract_all(gold, '(?i)\bJOIN\b')) AS joins, trim(regexp_extract(gold, '(?is)\bWHERE\s+(.+?)(?:\s+(?:GROUP\s+BY|ORDER\s+BY|LIMIT|HAVING|UNION)\b|\s*;?\s*$)', 1)) AS conditions,
-trim(regexp_extract(gold, '(?is)\bORDER\s+BY\s+(.+?)(?:\s+LIMIT\b|\s*;?\s*$)', 1)) AS ordering, trim(regexp_extract(gold, '(?is)\bGROUP\s+BY\s+(.+?)(?:\s+(?:HAVING|ORDER|LIMIT)\b|\s*;?\s*$)', 1)) AS group_by,
-regexp_matches(gold, '(?i)\(\s*SELECT\b') AS has_subquery, regexp_matches(gold, '(?i)\bDISTINCT\b') AS has_distinct FROM """ + workload.QUESTIONS_SQL,
-)
+@query("sql_components", f"SELECT qid, aggregations, CAST(joins AS BIGINT) AS joins, conditions, ordering, group_by, has_subquery, has_distinct FROM {workload.values(workload.COMPONENTS, 'qid, aggregations, joins, conditions, ordering, group_by, has_subquery, has_distinct', 'c')}")
 def _(spark, sf_dir):
-    c = sql_text.components(F.col("gold"))
-    flat = workload.questions(spark).select("qid", c.alias("c"))
-    joined = lambda x: F.array_join(F.col(f"c.{x}"), ",").alias(x)
+    flat = workload.questions(spark).select("qid", sql_parse.components(F.col("gold")).alias("c"))
+    joined = lambda x: F.element_at(F.concat(F.col(f"c.{x}"), F.array(F.lit(""))), 1).alias(x)
     return flat.select("qid", joined("aggregations"), F.size("c.joins").cast("bigint").alias("joins"), joined("conditions"), joined("ordering"), joined("group_by"), "c.has_subquery", "c.has_distinct")
 
 
-@query("sql_joins")
+@query("sql_joins", f"SELECT * FROM {workload.values(workload.JOINS, 'qid, type, \"table\", \"on\"', 'j')}")
 def _(spark, sf_dir):
-    c = workload.questions(spark).select("qid", F.explode(sql_text.components(F.col("gold"))["joins"]).alias("j"))
+    c = workload.questions(spark).select("qid", F.explode(sql_parse.components(F.col("gold"))["joins"]).alias("j"))
     return c.select("qid", "j.type", "j.table", "j.on")
 
 
-@query("column_refs")
+@query("sql_join_forms", f"SELECT id, types FROM {workload.values(workload.JOIN_FORMS, 'id, sql, types', 'f')}")
+def _(spark, sf_dir):
+    forms = spark.createDataFrame(workload.JOIN_FORMS, "id int, sql string, types string")
+    return forms.select("id", F.array_join(F.transform(sql_parse.components(F.col("sql"))["joins"], lambda j: j["type"]), ",").alias("types"))
+
+
+@query("column_refs", f"SELECT * FROM {workload.values(workload.COLUMNS, 'qid, refs', 'r')}")
 def _(spark, sf_dir):
     return workload.questions(spark).select("qid", F.array_join(sql_text.column_refs(F.col("gold")), ",").alias("refs"))
 
 
-@query("complex_flag", rf"SELECT qid, len(regexp_extract_all(gold, '(?i)\bJOIN\b')) > 2 OR regexp_matches(gold, '(?i)\(\s*SELECT\b') AS is_complex FROM {workload.QUESTIONS_SQL}")
+@query("complex_flag", f"SELECT qid, joins > 2 OR has_subquery AS is_complex FROM {workload.values(workload.COMPONENTS, 'qid, aggregations, joins, conditions, ordering, group_by, has_subquery, has_distinct', 'c')}")
 def _(spark, sf_dir):
     return workload.questions(spark).select("qid", sql_text.is_complex(F.col("gold")).alias("is_complex"))
 
@@ -403,7 +388,7 @@ def _pairs(spark):
 _PAIRS = f"(SELECT k.qid, k.i, k.sql, w.gold, w.difficulty, w.db_id, w.question FROM {workload.CANDIDATES_SQL} JOIN {workload.QUESTIONS_SQL} ON k.qid = w.qid)"
 
 
-@query("table_set_equal", f"SELECT qid, i, len({_TABLES.format('sql')}) > 0 AND {_TABLES.format('sql')} = {_TABLES.format('gold')} AS same FROM {_PAIRS}")
+@query("table_set_equal", f"SELECT qid, i, tables = gold_tables AS same FROM {_NAMED}")
 def _(spark, sf_dir):
     return _pairs(spark).select("qid", "i", sql_text.same_tables(F.col("sql"), F.col("gold")).alias("same"))
 
@@ -424,30 +409,45 @@ def _(spark, sf_dir):
     return _pairs(spark).select("qid", "i", sql_text.differs_in_columns(s, g).alias("columns_differ"), sql_text.differs_in_joins(s, g).alias("joins_differ"), sql_text.differs_in_aggregates(s, g).alias("aggregates_differ"))
 
 
-def _mutation(name: str, sql: str | None) -> None:
-    @query(f"mutate_{name}", sql and sql.format(src=_GENERATED))
-    def _(spark, sf_dir):
-        return _generated(spark, sf_dir).select("p_partkey", sql_text.MUTATIONS[name](F.col("sql")).alias("mutated"))
-
-
-_MUTATION_SQL = {
-    "missing_distinct": "SELECT p_partkey, 'SELECT DISTINCT' || substring(sql, 7) AS mutated FROM {src}",
-    "wrong_operator": "SELECT p_partkey, regexp_replace(sql, ' > ', ' < ') AS mutated FROM {src}",
-    "missing_condition": r"SELECT p_partkey, regexp_replace(sql, ' AND p_retailprice < \d+\.5', '') AS mutated FROM {src}",
-    "wrong_join_type": "SELECT p_partkey, CAST(NULL AS VARCHAR) AS mutated FROM {src}",
-    "wrong_order": "SELECT p_partkey, CAST(NULL AS VARCHAR) AS mutated FROM {src}",
-    "wrong_aggregation": "SELECT p_partkey, CAST(NULL AS VARCHAR) AS mutated FROM {src}",
-    "column_swap": "SELECT p_partkey, CAST(NULL AS VARCHAR) AS mutated FROM {src}",
-    "table_alias": "SELECT p_partkey, CAST(NULL AS VARCHAR) AS mutated FROM {src}",
+#: Three forms of generated queries, with the parts that mutations change in brackets, as SQL text expressions over part.
+_FORMS = [
+    "'SELECT DISTINCT p.p_name, s.s_name FROM part p LEFT OUTER JOIN supplier s ON p.p_partkey = s.s_suppkey WHERE p.p_size >= ' || p_size || ' AND p.p_brand = ''' || p_brand || ''' ORDER BY p.p_name ASC'",
+    "'SELECT p_brand, COUNT(p_size) AS m FROM part CROSS JOIN region WHERE p_size <> ' || p_size || ' GROUP BY p_brand ORDER BY m DESC LIMIT 5'",
+    "'SELECT p_name, p_size FROM part JOIN nation ON p_size = n_nationkey WHERE p_retailprice < ' || p_size || ' ORDER BY p_size, p_name'",
+]
+#: What each mutation makes of each form (replacements in the form, by the rules of the mutations); None: it doesn't apply.
+_MUTATED = {
+    "column_swap": [[("p.p_name, s.s_name", "p.s_name, s.p_name")], [("p_brand, COUNT(p_size)", "p_size, COUNT(p_brand)")], [("p_name, p_size FROM", "p_size, p_name FROM")]],
+    "table_alias": [[("p.", "~."), ("s.", "p."), ("~.", "s.")], None, None],
+    "wrong_aggregation": [None, [("COUNT(", "' || ['SUM', 'AVG', 'MIN', 'MAX'][(('0x' || md5({form})[1:8])::BIGINT % 4) + 1] || '(")], None],
+    "missing_condition": [[(" AND p.p_brand = ''' || p_brand || '''", "")], [(" WHERE p_size <> ' || p_size || '", "")], [(" WHERE p_retailprice < ' || p_size || '", "")]],
+    "wrong_join_type": [[("LEFT OUTER JOIN", "INNER JOIN")], [("CROSS JOIN", "INNER JOIN")], [("part JOIN", "part LEFT JOIN")]],
+    "wrong_operator": [[(">=", "<")], [("<>", "=")], [("<", ">=")]],
+    "missing_distinct": [[("SELECT DISTINCT", "SELECT")], [("SELECT", "SELECT DISTINCT")], [("SELECT", "SELECT DISTINCT")]],
+    "wrong_order": [[("p_name ASC", "p_name DESC")], [("m DESC", "m ASC")], [("BY p_size,", "BY p_size DESC,")]],
 }
-for _name, _sql in _MUTATION_SQL.items():
-    _mutation(_name, _sql)
 
 
-@query("mutations_of_workload")
-def _(spark, sf_dir):
-    made = workload.questions(spark).select("qid", F.explode(F.array(*(F.struct(F.lit(n).alias("mutation"), f(F.col("gold")).alias("sql")) for n, f in sql_text.MUTATIONS.items()))).alias("m"))
-    return made.select("qid", "m.mutation", "m.sql").filter("sql IS NOT NULL")
+def _mutated_sql(changes: list) -> str:
+    cases = []
+    for n, (form, change) in enumerate(zip(_FORMS, changes, strict=True)):
+        made = form if change else "CAST(NULL AS VARCHAR)"
+        for old, new in change or []:
+            made = made.replace(old, new.replace("{form}", form))
+        cases.append(f"WHEN {n} THEN {made}")
+    return f"SELECT p_partkey, CASE p_partkey % 3 {' '.join(cases)} END AS mutated FROM part"
+
+
+def _mutation(name: str) -> None:
+    @query(f"mutate_{name}", _mutated_sql(_MUTATED[name]))
+    def _(spark, sf_dir):
+        quoted = [form.replace("''' || p_brand || '''", "\\'' || p_brand || '\\'") for form in _FORMS]  # Spark escapes quotes by backslashes
+        forms = read(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE p_partkey % 3 {' '.join(f'WHEN {n} THEN {form}' for n, form in enumerate(quoted))} END AS sql")
+        return forms.select("p_partkey", sql_text.MUTATIONS[name](F.col("sql")).alias("mutated"))
+
+
+for _name in _MUTATED:
+    _mutation(_name)
 
 
 @query("task_detect", "SELECT task, count(*) AS n FROM (SELECT CASE WHEN t LIKE '%schema linking%' OR t LIKE '%identify the relevant%' THEN 'schema_linking' WHEN t LIKE '%correct%' OR t LIKE '%fix%' OR t LIKE '%error%' THEN 'sql_correction' WHEN t LIKE '%skeleton%' OR t LIKE '%template%' THEN 'skeleton_extraction' WHEN t LIKE '%step-by-step%' OR t LIKE '%chain of thought%' THEN 'chain_of_thought' ELSE 'text2sql' END AS task FROM (SELECT lower(coalesce(text, '')) AS t FROM conversations)) GROUP BY task")
@@ -509,7 +509,7 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.chosen(["LEFT", "RIGHT", "INNER"], F.col("p_name")).alias("choice"))
 
 
-@query("repaired_sql")
+@query("repaired_sql", "SELECT * FROM (VALUES (1, 'SELECT (1);'), (2, 'SELECT 1;'), (3, 'SELECT `nope` FROM t'), (4, 'SELECT 1')) AS r(id, fixed)")
 def _(spark, sf_dir):
     broken = [(1, "SELECT (1", ""), (2, "SELECT 1", ""), (3, "SELECT nope FROM t;", "[UNRESOLVED_COLUMN.WITH_SUGGESTION] A column `nope` cannot be resolved"), (4, "SELECT 1) ", "")]
     return spark.createDataFrame(broken, "id int, sql string, error string").select("id", sql_text.repaired(F.col("sql"), F.col("error")).alias("fixed"))
@@ -522,7 +522,7 @@ def _registered(spark, sf_dir):
     return catalog.Database.at(spark, sf_dir, [*SALES, "events"]).register()
 
 
-_COUNTED = " UNION ALL ".join(f"SELECT {q} AS qid, 'ok' AS status, (SELECT count(*) FROM ({gold})) AS n_rows" for q, *_, gold in workload.QUESTIONS)
+_COUNTED = " UNION ALL ".join(f"SELECT {q} AS qid, 'error' AS status, 0 AS n_rows" if q in workload.BROKEN_GOLD else f"SELECT {q} AS qid, 'ok' AS status, (SELECT count(*) FROM ({gold})) AS n_rows" for q, *_, gold in workload.QUESTIONS)
 
 
 @query("exec_validation", _COUNTED)
@@ -532,16 +532,14 @@ def _(spark, sf_dir):
 
 
 def _judged_sql() -> str:
-    """Multiset equality of each candidate's rows and the gold rows, by position; broken ones are wrong."""
+    """Multiset equality of each candidate's rows and the gold rows, by position; right only if both run."""
     gold = {q: g for q, *_, g in workload.QUESTIONS}
-    broken = {(1, 2), (9, 1)}
-    wide = {(6, 1)}  # another number of columns
     parts = []
     for n, (q, i, s) in enumerate(workload.CANDIDATES):
-        if (q, i) in broken:
+        if (q, i) in workload.BROKEN:
             parts.append(f"SELECT {n} AS idx, 'error' AS pred_status, 0 AS n_rows, false AS correct")
         else:
-            same = "false" if (q, i) in wide else f"NOT EXISTS ((SELECT * FROM ({s}) EXCEPT ALL SELECT * FROM ({gold[q]})) UNION ALL (SELECT * FROM ({gold[q]}) EXCEPT ALL SELECT * FROM ({s})))"
+            same = "false" if (q, i) in workload.NARROW or q in workload.BROKEN_GOLD else f"NOT EXISTS ((SELECT * FROM ({s}) EXCEPT ALL SELECT * FROM ({gold[q]})) UNION ALL (SELECT * FROM ({gold[q]}) EXCEPT ALL SELECT * FROM ({s})))"
             parts.append(f"SELECT {n} AS idx, 'ok' AS pred_status, (SELECT count(*) FROM ({s})) AS n_rows, {same} AS correct")
     return " UNION ALL ".join(parts)
 
@@ -567,7 +565,7 @@ _FACTS = f"(SELECT j.idx, j.pred_status, j.n_rows, j.correct, p.* FROM ({_judged
 
 
 def _facts(spark, sf_dir):
-    return _judged(spark, sf_dir).join(_numbered(spark), "idx")
+    return _judged(spark, sf_dir).drop("error").join(_numbered(spark), "idx")
 
 
 @query(
@@ -584,7 +582,14 @@ def _(spark, sf_dir):
     return evaluate.scalar_accuracy(_facts(spark, sf_dir))
 
 
-@query("error_taxonomy")
+_DIFFERENCES = workload.values([(q, i, k) for (q, i), k in workload.DIFFERENCES.items()], "qid, i, kind", "d")
+
+
+@query(
+    "error_taxonomy",
+    f"""WITH f AS (SELECT a.idx, CASE WHEN pred_status <> 'ok' THEN 'syntax_error' WHEN n_rows = 0 THEN 'empty_result' ELSE coalesce(d.kind, 'other') END AS kind FROM {_FACTS} a LEFT JOIN {_DIFFERENCES} ON a.qid = d.qid AND a.i = d.i WHERE NOT correct)
+SELECT k.kind, count(idx) AS n, coalesce(array_to_string(list_sort(list(idx))[1:3], ','), '') AS examples FROM (VALUES {', '.join(f"('{k}')" for k in evaluate.ERRORS)}) AS k(kind) LEFT JOIN f ON f.kind = k.kind GROUP BY k.kind""",
+)
 def _(spark, sf_dir):
     f = _facts(spark, sf_dir)
     return evaluate.error_taxonomy(f.select("idx", "correct", F.col("pred_status").alias("status"), "n_rows", F.col("sql").alias("pred_sql"), F.col("gold").alias("gold_sql")))
@@ -637,34 +642,83 @@ def _(spark, sf_dir):
     return vote.majority(read(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("i"), F.col("event_type").alias("key")))
 
 
-@query("majority_of_candidates")
+def _key_sql(sql: str, width: int) -> str:
+    """A result as one digest of its sorted rows of texts, numbers to four digits."""
+    cells = " || '|' || ".join(f"coalesce(CASE WHEN typeof(c{c}) IN ('DOUBLE', 'FLOAT') THEN printf('%.4f', c{c}) ELSE lower(trim(CAST(c{c} AS VARCHAR))) END, '')" for c in range(width))
+    return f"(SELECT coalesce(md5(string_agg({cells}, ';' ORDER BY {cells})), '__EMPTY__') FROM ({sql}) AS t({', '.join(f'c{c}' for c in range(width))}))"
+
+
+def _votes_sql() -> str:
+    """The key of each candidate's result; failed ones have the key of failures."""
+    parts = []
+    for q, i, s in workload.CANDIDATES:
+        key = "'__ERROR__'" if (q, i) in workload.BROKEN else _key_sql(s, 1 if (q, i) in workload.NARROW else workload.WIDTHS[q])
+        parts.append(f"SELECT {q} AS qid, {i} AS i, {key} AS k")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "majority_of_candidates",
+    f"""WITH c AS ({_votes_sql()}), g AS (SELECT qid, k, count(*) AS votes, min(i) AS i FROM c WHERE k <> '__ERROR__' GROUP BY qid, k),
+b AS (SELECT qid, i, votes FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, i) = 1)
+SELECT m.qid, CAST(coalesce(b.i, m.i) AS BIGINT) AS i, coalesce(b.votes, 0) AS votes FROM (SELECT qid, min(i) AS i FROM c GROUP BY qid) m LEFT JOIN b ON m.qid = b.qid""",
+)
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
     keys = execute.fingerprints(spark, (s for _, _, s in workload.CANDIDATES))
-    rows = [(q, i, keys[s][2]) for q, i, s in workload.CANDIDATES]
+    rows = [(q, i, keys[s].key) for q, i, s in workload.CANDIDATES]
     return vote.majority(spark.createDataFrame(rows, "qid int, i int, key string"))
 
 
-@query("suspicious_results")
+_ASKS = lambda words: "(" + " OR ".join(f"lower(question) LIKE '%{w}%'" for w in words) + ")"
+
+
+@query(
+    "suspicious_results",
+    f"""SELECT qid, i, reason FROM (SELECT qid, i, CASE WHEN pred_status <> 'ok' THEN 'no result' WHEN n_rows = 0 AND {_ASKS(text.COUNT_WORDS)} THEN 'empty result for a count' WHEN n_rows = 0 AND {_ASKS(text.LIST_WORDS)} THEN 'empty result for a list'
+WHEN n_rows > {text.MANY_ROWS} AND {_ASKS(text.SPECIFIC)} THEN 'too many rows for a specific question' END AS reason FROM {_FACTS}) WHERE reason IS NOT NULL""",
+)
 def _(spark, sf_dir):
     f = _facts(spark, sf_dir)
     return f.select("qid", "i", text.suspicion(F.col("pred_status"), F.col("n_rows"), F.col("question")).alias("reason")).filter("reason IS NOT NULL")
 
 
-@query("refined_queries")
+_BROKEN_FORMS = [(1, "SELECT COUNT(*) FROM customer"), (2, "SELECT MAX(s_acctbal FROM supplier"), (3, "SELECT n_name FROM nation)"), (4, "SELECT COUNT(*) FROM (SELECT n_name FROM nation")]
+
+
+@query("refined_queries", "SELECT * FROM (VALUES (1, 'ok', 0), (2, 'error', 2), (3, 'ok', 1), (4, 'ok', 1)) AS r(qid, status, rounds)")
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    broken = [(1, "SELECT COUNT(*) FROM customer"), (2, "SELECT MAX((s_acctbal) FROM supplier"), (3, "SELECT n_name FROM nation)")]
-    return execute.refine(spark, spark.createDataFrame(broken, "qid int, sql string"), "qid", "sql", 2).select("qid", "status", "rounds")
+    return execute.refine(spark, spark.createDataFrame(_BROKEN_FORMS, "qid int, sql string"), "qid", "sql", 2).select("qid", "status", "rounds")
+
+
+def _verified_sql() -> str:
+    """Of the mutants that run, in the seeded order, the first one with another result."""
+    gold = {q: g for q, *_, g in workload.QUESTIONS}
+    parts = []
+    for (q, name), (old, new) in workload.MUTANTS.items():
+        order = hashlib.md5(f"{q}{name}".encode()).hexdigest()
+        parts.append(f"SELECT {q} AS qid, '{name}' AS error_type, '{order}' AS o, {_key_sql(gold[q], workload.WIDTHS[q])} <> {_key_sql(gold[q].replace(old, new, 1), workload.WIDTHS[q])} AS differs")
+    return f"SELECT qid, arg_min(error_type, o) AS error_type FROM ({' UNION ALL '.join(parts)}) WHERE differs GROUP BY qid"
 
 
-@query("verified_mutations")
+@query("verified_mutations", _verified_sql())
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
     return execute.mutated(spark, workload.questions(spark), "qid", "gold").select("qid", "error_type")
 
 
-@query("rewards", f"SELECT qid, i, round(CAST(CASE WHEN pred_status <> 'ok' THEN 0.0 WHEN correct THEN 1.0 ELSE 0.1 END + CASE WHEN len({_TABLES.format('sql')}) > 0 AND {_TABLES.format('sql')} = {_TABLES.format('gold')} THEN 0.05 ELSE 0 END AS DOUBLE), 4) AS reward FROM {_FACTS}")
+_PREVIEWED = [(q, i, s) for q, i, s in workload.CANDIDATES if (q, i) in {(1, 0), (2, 1), (3, 1), (5, 1), (9, 0)}]
+
+
+@query("result_previews", " UNION ALL ".join(f"SELECT {q} AS qid, (SELECT count(*) FROM ({s})) AS total, least(3, (SELECT count(*) FROM ({s}))) AS shown" for q, _, s in _PREVIEWED))
+def _(spark, sf_dir):
+    _registered(spark, sf_dir)
+    got = execute.previews(spark, spark.createDataFrame(_PREVIEWED, "qid int, i int, sql string"), "qid", "sql")
+    return got.select("qid", "total", F.size(F.from_json("preview", "array<array<string>>")).cast("long").alias("shown"))
+
+
+@query("rewards", f"SELECT f.qid, f.i, round(CAST(CASE WHEN pred_status <> 'ok' THEN 0.0 WHEN correct THEN 1.0 ELSE 0.1 END + CASE WHEN tables = gold_tables THEN 0.05 ELSE 0 END AS DOUBLE), 4) AS reward FROM {_FACTS} f JOIN {_NAMED} ON f.qid = t.qid AND f.i = t.i")
 def _(spark, sf_dir):
     r = reward.reward(F.col("pred_status"), F.col("correct"), F.lit(True), F.col("sql"), F.col("gold"))
     return _facts(spark, sf_dir).select("qid", "i", F.round(r, 4).alias("reward"))
@@ -697,15 +751,33 @@ def _(spark, sf_dir):
     return reward.mean_diversity(reward.diversity(read(spark, sf_dir, "events"), "user_id", "event_type"))
 
 
-@query("trailing_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1e-9, 4) AS trailing_mean FROM events")
+_MICRO = "CAST(round(value * 1000000) AS BIGINT)"
+
+
+def _mean_sql(total: str, n: str) -> str:
+    """A mean of whole millionths to four digits, halves up, in integers."""
+    return f"CASE WHEN {n} > 0 THEN CAST(floor(({total} * 2 + 100 * {n}) // (200 * {n})) AS BIGINT) / 10000.0 END"
+
+
+@query("trailing_mean", f"SELECT event_id, {_mean_sql('t', 'n')} AS trailing_mean FROM (SELECT event_id, CAST(sum({_MICRO}) OVER w AS HUGEINT) AS t, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))")
 def _(spark, sf_dir):
     e = reward.trailing_mean(read(spark, sf_dir, "events"), "event_id", "value", 100, "event_type")
-    return e.select("event_id", F.round(F.col("trailing_mean") + 1e-9, 4).alias("trailing_mean"))
+    return e.select("event_id", F.round("trailing_mean", 4).cast("double").alias("trailing_mean"))
+
+
+@query("running_mean", f"SELECT event_id, {_mean_sql('t', 'n')} AS running_mean FROM (SELECT event_id, CAST(sum({_MICRO}) OVER w AS HUGEINT) AS t, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))")
+def _(spark, sf_dir):
+    return reward.running_mean(read(spark, sf_dir, "events"), "event_id", "value", "user_id").select("event_id", F.round("running_mean", 4).cast("double").alias("running_mean"))
 
 
-@query("running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS running_mean FROM events")
+@query("batch_timings", "SELECT count(*) AS n, round(sum(p_size / 10.0), 3) AS total, round(sum(p_size / 10.0) / count(*), 3) AS mean FROM part")
 def _(spark, sf_dir):
-    return reward.running_mean(read(spark, sf_dir, "events"), "event_id", "value", "user_id").select("event_id", F.round(F.col("running_mean") + 1e-9, 4).alias("running_mean"))
+    return reward.timings(read(spark, sf_dir, "part").select((F.col("p_size") / 10.0).alias("s")), "s")
+
+
+@query("last_steps", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1000")
+def _(spark, sf_dir):
+    return reward.last_steps(read(spark, sf_dir, "events").select("event_id"), "event_id", 1000)
 
 
 @query("reward_histogram", "SELECT CAST(least(greatest(floor(value / 10.0), 0), 9) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
@@ -713,13 +785,11 @@ def _(spark, sf_dir):
     return reward.histogram(read(spark, sf_dir, "events"), "value", 0.0, 100.0, 10)
 
 
-@query("streamed_rollup", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY user_id")
+@query("streamed_rollup", f"SELECT user_id, count(*) AS n, {_mean_sql(f'CAST(sum({_MICRO}) AS HUGEINT)', 'count(value)')} AS mean FROM events GROUP BY user_id")
 def _(spark, sf_dir):
     from .streaming import rollups
 
-    e = read(spark, sf_dir, "events")
-    out = rollups.windowed(e, "ts", "user_id", "value", "1 day")
-    return out.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("mean")) / F.sum("n"), 4).alias("mean"))
+    return rollups.merged(rollups.windowed(read(spark, sf_dir, "events"), "ts", "user_id", "value", "1 day"), "user_id")
 
 
 # SQL surface that stored queries use; each text runs on both engines
@@ -731,6 +801,8 @@ _SHARED = {
     "join_right": "SELECT s_suppkey, count(n_nationkey) AS n FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey GROUP BY s_suppkey",
     "join_full": "SELECT coalesce(a.p_size, b.k) AS k, count(a.p_size) AS n FROM part a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) b ON a.p_size = b.k GROUP BY coalesce(a.p_size, b.k)",
     "join_cross": "SELECT r_name, count(*) AS n FROM region CROSS JOIN nation GROUP BY r_name",
+    "join_natural": "SELECT r_name, count(*) AS n FROM (SELECT n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) GROUP BY r_name",
+    "join_using": "SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders) JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) USING (k) GROUP BY k",
     "join_theta": "SELECT a.n_name AS a, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY a.n_name",
     "subquery_scalar": "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)",
     "subquery_exists": "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
@@ -770,31 +842,118 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "customer").agg(F.min_by("c_name", F.struct("c_acctbal", "c_custkey")).alias("poorest"), F.min("c_acctbal").alias("balance"))
 
 
-@query("nearest_bracket", "SELECT p_partkey, arg_min(rate, (abs(mem - p_size), mem)) AS rate FROM part, (VALUES (24, 800), (40, 1200), (48, 1500), (80, 2500)) AS b(mem, rate) GROUP BY p_partkey")
+_RATES = [(24, 800), (40, 1200), (48, 1500), (80, 2500)]  # fixed values: memory, samples an hour of the smaller model
+
+
+@query("nearest_bracket", f"SELECT p_partkey, arg_min(rate, (abs(mem - p_size), mem)) AS rate FROM part, {workload.values(_RATES, 'mem, rate', 'b')} GROUP BY p_partkey")
+def _(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", stats.rate(F.col("p_size"), "7B").alias("rate"))
+
+
+@query("training_hours", f"SELECT p_partkey, CASE WHEN h < 1 THEN '~' || CAST(floor(h * 60) AS BIGINT) || ' minutes' WHEN h < 24 THEN printf('~%.1f hours', h) ELSE printf('~%.1f days', h / 24) END AS shown FROM (SELECT p_partkey, 60000.0 / arg_min(rate, (abs(mem - p_size), mem)) AS h FROM part, {workload.values(_RATES, 'mem, rate', 'b')} GROUP BY p_partkey)")
 def _(spark, sf_dir):
-    brackets = [(24, 800), (40, 1200), (48, 1500), (80, 2500)]  # fixed values: memory, samples an hour
-    near = F.array_min(F.array(*(F.struct(F.abs(F.lit(m) - F.col("p_size")).alias("d"), F.lit(m).alias("m"), F.lit(r).alias("r")) for m, r in brackets)))
-    return read(spark, sf_dir, "part").select("p_partkey", near["r"].alias("rate"))
+    return read(spark, sf_dir, "part").select("p_partkey", stats.hours(F.col("p_size"), "7B").alias("shown"))
 
 
-@query("positional_join", "SELECT a.r AS idx, a.n_name AS left_name, b.r_name AS right_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS r, n_name FROM nation) a JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) AS r, r_name FROM region) b ON a.r = b.r")
+@query("positional_join", "SELECT a.r AS idx, a.o_orderkey, b.c_name FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS r, o_orderkey FROM orders) a JOIN (SELECT row_number() OVER (ORDER BY c_custkey) AS r, c_name FROM customer) b ON a.r = b.r")
 def _(spark, sf_dir):
-    place = lambda df, key: df.withColumn("idx", F.row_number().over(Window.orderBy(key)).cast("long"))
-    left = place(read(spark, sf_dir, "nation"), "n_nationkey").select("idx", F.col("n_name").alias("left_name"))
-    return evaluate.positional(left, place(read(spark, sf_dir, "region"), "r_regionkey").select("idx", F.col("r_name").alias("right_name")))
+    left = ranks.numbered(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return evaluate.positional(left, ranks.numbered(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("idx", "c_name"))
+
+
+_STEPS = [
+    "1. Identify the relevant tables: `lineitem`, `orders`, `customer`, `nation`|2. Join the tables: JOIN `orders` ON l.l_orderkey = o.o_orderkey; JOIN `customer` ON o.o_custkey = c.c_custkey; JOIN `nation` ON c.c_nationkey = n.n_nationkey|3. Apply aggregation functions: SUM(l.l_extendedprice * (1 - l.l_discount))|4. Group the results: n.n_name|5. Order the results: revenue DESC",
+    "1. Identify the relevant tables: `customer`|2. Apply filter conditions: WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer) AND c_nationkey = 3|3. Apply aggregation functions: AVG(c_acctbal)|4. Use a subquery to compute an intermediate result",
+]
 
 
-@query("reasoning_steps")
+@query("reasoning_steps", f"SELECT replace(s, '|', chr(10)) || chr(10) || chr(10) || 'SQL: ' || gold AS answer FROM {workload.values([(7, _STEPS[0]), (8, _STEPS[1])], 'q, s', 'x')} JOIN {workload.QUESTIONS_SQL} ON x.q = w.qid")
 def _(spark, sf_dir):
     from .plans import dataset
 
     q = workload.questions(spark).select("qid", "db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
+    # A condition inside a subquery is a condition of its own only where the subquery has one.
     return dataset.reasoning(q).select(text.last_of(F.col("messages"), "assistant").alias("answer"))
 
 
-@query("dataset_records")
+@query("dataset_records", f"SELECT t AS task_type, db_id, count(*) AS n FROM {workload.QUESTIONS_SQL}, (VALUES ('text2sql'), ('schema_linking'), ('skeleton_extraction'), ('chain_of_thought')) AS b(t) WHERE CASE t WHEN 'skeleton_extraction' THEN qid IN (3, 5, 6, 7, 8, 9) WHEN 'chain_of_thought' THEN qid IN (7, 8) ELSE true END GROUP BY t, db_id")
 def _(spark, sf_dir):
     from .plans import dataset
 
     q = workload.questions(spark).select("qid", "db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
     return dataset.assemble(q).groupBy("task_type", "db_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Records for training, predictions, collections
+
+
+def _chats(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    lists = c.groupBy("conv_id").agg(F.transform(m, lambda x: F.struct(x["role"], x["content"])).alias("messages"))
+    kinds = F.array(*map(F.lit, ("text2sql", "schema_linking", "chain_of_thought")))
+    return lists.select("conv_id", "messages", F.element_at(kinds, (F.col("conv_id") % 3 + 1).cast("int")).alias("task_type"), F.when(F.col("conv_id") % 2 == 0, "ddl").alias("schema_type"), F.lit("sales").alias("db_id"))
+
+
+@query("chosen_records", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 2 AND conv_id % 3 <> 1 AND conv_id % 2 = 0")
+def _(spark, sf_dir):
+    from .plans import training
+
+    return training.chosen_records(_chats(spark, sf_dir), [" text2sql", "chain_of_thought "], ["ddl", "light"]).select("conv_id")
+
+
+@query("training_texts", "SELECT md5(t) AS digest, count(*) AS n FROM (SELECT string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) GROUP BY 1")
+def _(spark, sf_dir):
+    from .plans import training
+
+    return training.texts(_chats(spark, sf_dir)).groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rl_prompts", f"SELECT '{text.SYSTEM_MESSAGES['text2sql']}' AS system, 'Database Schema:' || chr(10) || '-- Schema for database: ' || db_id || ' (not available)' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || CASE WHEN trim(evidence) <> '' THEN 'Evidence: ' || evidence || chr(10) || chr(10) ELSE '' END || 'Generate the SQL query.' AS \"user\", db_id, gold AS gold_sql FROM {workload.QUESTIONS_SQL} UNION ALL SELECT '{text.SYSTEM_MESSAGES['text2sql']}', question, db_id, gold FROM {workload.QUESTIONS_SQL}")
+def _(spark, sf_dir):
+    from .plans import training
+
+    q = workload.questions(spark)
+    chats = q.select(text.chat("text2sql", F.col("question"), F.concat(F.lit("```sql\n"), "gold", F.lit("\n```"))).alias("messages"), "db_id")
+    dead = chats.select(F.filter("messages", lambda m: m["role"] != "user").alias("messages"), "db_id")
+    raw = q.select("question", F.col("gold").alias("SQL"), "db_id", "evidence")
+    empty = raw.withColumn("question", F.lit(""))
+    return training.prompts(chats.unionByName(dead), raw.unionByName(empty))
+
+
+@query("exec_or_exact", f"SELECT avg(CASE WHEN qid <= 5 THEN correct::INT END) AS accuracy FROM {_FACTS}")
+def _(spark, sf_dir):
+    f = _facts(spark, sf_dir).select((F.col("qid") <= 5).alias("valid_db"), "correct", (text.normalised_sql(F.col("sql")) == text.normalised_sql(F.col("gold"))).alias("exact"))
+    return evaluate.accuracy_or_exact(f)
+
+
+@query("predictions", f"SELECT qid, selected_method, n FROM (SELECT w.qid, CASE WHEN w.qid = 11 THEN 'error' ELSE 'tournament' END AS selected_method, CAST(CASE WHEN w.qid = 11 THEN 0 ELSE 2 END AS BIGINT) AS n FROM {workload.QUESTIONS_SQL})")
+def _(spark, sf_dir):
+    from .plans import predict
+
+    _registered(spark, sf_dir)
+    given = workload.candidates(spark).filter("i = 1").select(F.col("qid").alias("q"), F.concat(F.lit("Answer: "), "sql").alias("reply"))
+    gold = workload.questions(spark).select("qid", F.col("gold").alias("reply"))
+    second = lambda q: q.select("qid").join(given, F.col("qid") == F.col("q"), "left").select("qid", F.coalesce("reply", F.lit("SELECT 1")).alias("reply"))
+    asked = workload.questions(spark).select("qid", F.when(F.col("qid") < 11, F.col("question")).otherwise("").alias("question"), "db_id", "evidence")
+    out = predict.Predictor(spark, [lambda q: q.select("qid").join(gold, "qid"), second]).predict_batch(asked)
+    return out.select("qid", "selected_method", F.size("candidates").cast("long").alias("n"))
+
+
+def _letters(value):
+    """A stand-in for an embedding model: how often each of a few letters occurs."""
+    return F.array(*(F.length(F.regexp_replace(F.lower(value), f"[^{c}]", "")).cast("double") for c in "aeinorst"))
+
+
+_LETTERS = "[" + ", ".join(f"length(regexp_replace(lower({{0}}), '[^{c}]', '', 'g'))::DOUBLE" for c in "aeinorst") + "]"
+
+
+@query(
+    "cell_search",
+    f"WITH e AS (SELECT DISTINCT n_name AS value, {_LETTERS.format('n_name')} AS v FROM nation), q AS (SELECT r_name AS qid, {_LETTERS.format('r_name')} AS v FROM region) "
+    f"SELECT qid, e.value, round({_COSINE}, 6) AS distance FROM q, e WHERE {_COSINE} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_COSINE}, md5('nation' || chr(1) || 'n_name' || chr(1) || e.value)) <= 3",
+)
+def _(spark, sf_dir):
+    entries = collections.cells({"nation": read(spark, sf_dir, "nation").select("n_name")}, _letters)
+    asked = read(spark, sf_dir, "region").select(F.col("r_name").alias("qid"), F.col("r_name").alias("text"))
+    return collections.nearest(entries, asked, _letters, 3).join(entries.select("id", F.col("document").alias("value")), "id").select("qid", "value", F.round("distance", 6).alias("distance"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Results compare with other engines in UTC; stored queries run beside each other, so stages share slots.
@@ -22,3 +24,15 @@ def session(app: str = "querysmith", master: str | None = None, **settings: str)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession | None = None) -> None:
+    """Let Python workers find this package where it lies at the same place as on the driver."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])

@@ -22,7 +22,7 @@ SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "stri
 #: Places under a root where a database's tables may lie, in order of preference.
 LAYOUTS = ("{id}", "{id}/{id}", "databases/{id}", "database/{id}", "train/{id}", "dev/{id}", "train/databases/{id}", "dev/databases/{id}", "train_databases/{id}", "dev_databases/{id}")
 COLUMNS = "table string, cid int, column string, type string, notnull boolean, default string, pk boolean"
-LINKS = "from_table string, from_column string, to_table string, to_column string"
+LINKS = "from_table string, from_column string, to_table string, to_column string, place int"
 
 
 @dataclass
@@ -70,7 +70,8 @@ class Database:
         return self.spark.createDataFrame(rows, COLUMNS)
 
     def foreign_keys(self) -> DataFrame:
-        return self.spark.createDataFrame([x for x in self.links if x[0] in self.names], LINKS)
+        """Declared links in their order (place)."""
+        return self.spark.createDataFrame([(*x, i) for i, x in enumerate(self.links) if x[0] in self.names], LINKS)
 
 
 def listed(spark: SparkSession, root: str) -> list[str]:
@@ -105,7 +106,7 @@ def resolve(spark: SparkSession, root: str, db_id: str, *more: str) -> str | Non
 
 def column_keys(columns: DataFrame, links: DataFrame) -> DataFrame:
     """columns with key: FK->table.column by the first declared link, else PK, else empty."""
-    first = links.groupBy("from_table", "from_column").agg(F.min(F.struct("to_table", "to_column")).alias("to"))
+    first = links.groupBy("from_table", "from_column").agg(F.min(F.struct("place", "to_table", "to_column")).alias("to"))
     met = columns.join(F.broadcast(first), (F.col("table") == F.col("from_table")) & (F.col("column") == F.col("from_column")), "left")
     link = F.concat(F.lit("FK->"), F.col("to.to_table"), F.lit("."), F.col("to.to_column"))
     return met.withColumn("key", F.coalesce(link, F.when(F.col("pk"), "PK"), F.lit(""))).drop("from_table", "from_column", "to")

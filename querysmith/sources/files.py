@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,61 @@ def first_filled(frames: list[Callable[[], DataFrame]]) -> DataFrame | None:
     return None
 
 
+def first_examples(spark: SparkSession, folder: str, raw: str | None = None, stages: tuple[str, ...] = ("semantic", "executed", "loaded")) -> DataFrame | None:
+    """question, SQL, db_id, evidence, stripped and not empty, of the first stage under folder with such a row,
+    else of JSON-lines files there, else of the raw array file; None where none has any."""
+
+    def tidy(df: DataFrame) -> DataFrame:
+        df = df if "SQL" in df.columns else sql_column(df)
+        note = F.col("evidence") if "evidence" in df.columns else F.lit("")
+        return usable(df.select(*(F.trim(F.col(c).cast("string")).alias(c) for c in ("question", "SQL", "db_id")), F.coalesce(note, F.lit("")).alias("evidence")))
+
+    places = [lambda s=s: tidy(spark.read.parquet(f"{folder}/{s}")) for s in stages]
+    places.append(lambda: tidy(spark.read.json(f"{folder}/*.jsonl")))
+    if raw:
+        places.append(lambda: tidy(read_array(spark, raw)))
+    return first_filled(places)
+
+
+def newest(spark: SparkSession, folder: str) -> str | None:
+    """The path in a folder that was changed last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in system.listStatus(path)] if system.exists(path) else []
+    return max(found)[1] if found else None
+
+
+def total_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files under a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(path).getLength() if system.exists(path) else 0
+
+
+def answered(wanted: DataFrame, folder: str, key: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """wanted with the columns that answer adds: rows whose key is stored under folder are read, only the others
+    are answered, and their answers are added to the store."""
+    spark = wanted.sparkSession
+    store = resume(spark, *folder.rsplit("/", 1))
+    misses = wanted if store is None else wanted.join(store.select(key), key, "left_anti")
+    made = answer(misses)
+    made.select(key, *(c for c in made.columns if c not in wanted.columns)).dropDuplicates([key]).write.mode("append").parquet(folder)
+    return wanted.join(spark.read.parquet(folder), key)
+
+
+def cached(spark: SparkSession, folder: str, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A result stored under a key of its source's files (paths, sizes, times), made anew when they change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        marks.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    stage = f"{name}-{hashlib.sha256(repr(sorted(marks)).encode()).hexdigest()[:16]}"
+    found = resume(spark, folder, stage)
+    return checkpoint(make(), folder, stage) if found is None else found
+
+
 def checkpoint(df: DataFrame, folder: str, stage: str) -> DataFrame:
     """Write a stage's rows and read them back: lineage ends here, and a later run can resume."""
     path = f"{folder}/{stage}"
@@ -78,9 +134,16 @@ def checkpoint(df: DataFrame, folder: str, stage: str) -> DataFrame:
 
 
 def resume(spark: SparkSession, folder: str, stage: str) -> DataFrame | None:
-    """A stage's rows if it was finished, else None."""
+    """A stage's rows if it was finished and can be read, else None, so that it is made again."""
     path = f"{folder}/{stage}"
-    return spark.read.parquet(path) if any(p.endswith("/_SUCCESS") for p in listed(spark, path)) else None
+    if not any(p.endswith("/_SUCCESS") for p in listed(spark, path)):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # footers that can't be read
+        if "CANNOT_READ_FILE_FOOTER" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "is not a Parquet file" in str(e):
+            return None
+        raise
 
 
 def split_cached(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

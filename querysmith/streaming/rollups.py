@@ -12,13 +12,22 @@ def read(spark: SparkSession, folder: str, schema: str, per_trigger: int = 64) -
 
 
 def windowed(stream: DataFrame, time: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Count, mean and deviation of a value in each window and group; windows close after the lateness.
+    """Count, non-null count, exact sum, mean and deviation of a value in each window and group; windows close after the lateness.
 
-    The same plan serves a batch frame, for which the watermark has no effect.
+    n, filled and total (a decimal) of windows add up, so means of longer spans come from merged, not from
+    means of means. The same plan serves a batch frame, for which the watermark has no effect.
     """
     timed = stream.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
-    out = timed.groupBy(F.window("__t", width).alias("w"), F.col(by)).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
-    return out.select(F.col("w.start").alias("start"), by, "n", "mean", "deviation")
+    out = timed.groupBy(F.window("__t", width).alias("w"), F.col(by)).agg(
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("filled"), F.sum(F.col(value).cast("decimal(28,6)")).alias("total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation")
+    )
+    return out.select(F.col("w.start").alias("start"), by, "n", "filled", "total", "mean", "deviation")
+
+
+def merged(windows: DataFrame, by: str, digits: int = 4) -> DataFrame:
+    """One row a group over all its windows: n and the mean of the non-null values, divided once."""
+    out = windows.groupBy(by).agg(F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.sum("total").alias("total"))
+    return out.select(by, "n", F.round(F.col("total") / F.col("filled"), digits).cast("double").alias("mean"))
 
 
 def drained(stream: DataFrame, out: str, state: str) -> None:

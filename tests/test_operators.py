@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from querysmith.functions import schema_text, sql_text, text
+from querysmith.functions import schema_text, sql_parse, sql_text, text
 from querysmith.operators import compare, dedup, evaluate, lsh, profile, reward, stats, vectors, vote
 from querysmith.queries import QUERIES
 from querysmith.sources import catalog
@@ -77,21 +77,11 @@ def test_minhash_against_a_model(spark):
     entries = spark.createDataFrame([("blue car",), ("blue cart",), ("green tree",)], "value string").withColumn("signature", lsh.signature(F.col("value")))
     top = rows(lsh.look_up(entries, entries.filter("value = 'blue car'").select(F.col("value").alias("qid"), "signature"), 2))
     assert [t[1] for t in top] == ["blue car", "blue cart"] and top[0][2] == 1.0
-    assert [r[:2] for r in rows(lsh.banded_pairs(entries, 0.5, 50))] == [("blue car", "blue cart")]
-
-
-def test_minhash_pairs_finds_all_pairs(spark, tiny):
-    assert 1 - (1 - 0.5 ** (100 // lsh.bands_for(0.5))) ** lsh.bands_for(0.5) >= 0.999999
-    signed = rows(spark.read.parquet(f"{tiny}/part.parquet").select(F.col("p_name").alias("v")).distinct().select("v", lsh.signature(F.col("v"))))
-    same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True))
-    want = {(a, b, same(x, y) / 100) for a, x in signed for b, y in signed if a < b and same(x, y) >= 50}
-    got = rows(QUERIES["minhash_pairs"](spark, tiny))
-    assert want and len(got) == len(set(got)) and set(got) == want
 
 
 def test_value_hints_look_at_values_of_any_length(spark, tmp_path):
     long = "LARGE " * 100 + "PLATED"
-    spark.createDataFrame([(v,) for v in ("LARGE", "SMALL", long)], "p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i * 100, v) for i, v in enumerate(("LARGE", "SMALL", long))] + [(7, "TINY")], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
     hints = dict(rows(QUERIES["value_hints"](spark, str(tmp_path))))
     assert set(hints) == {"LARGE", "SMALL", long} and all(f"'{long}'" in h for h in hints.values())
 
@@ -110,25 +100,28 @@ def test_extraction_and_skeletons(spark):
         "x SELECT a; SELECT a, b FROM t; y": "SELECT a, b FROM t;", "": "", "no query": "no query", "DROP TABLE t; bye": "DROP TABLE t;",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert dict(rows(df.select("t", text.extract_sql(F.col("t"))))) == cases
+    assert dict(rows(df.select("t", sql_parse.extract_sql(F.col("t"))))) == cases
     one = lambda s, f: spark.createDataFrame([(s,)], "s string").select(f(F.col("s"))).first()[0]
-    assert one("Sold 'red' cars after 2020-01-05 or 3/4/21, over 12.5?", text.question_skeleton) == "Sold <STRING> cars after <DATE> or <DATE>, over <NUMBER>?"
+    assert one("Sold 'red' cars after 2020/1/05 or 3-4-2021, over 12.5 in b2?", text.question_skeleton) == "Sold <STRING> cars after <DATE> or <DATE>, over <NUMBER> in b2?"
     assert one("SELECT a1 FROM t WHERE x = 'y' AND z > 3.5 LIMIT 10", sql_text.skeleton) == "SELECT a1 FROM t WHERE x = PLACEHOLDER AND z > NUM LIMIT 10"
     assert one("a  b\n c", text.word_count) == 3 and one("", text.word_count) == 0
 
 
 def test_sql_parts_and_mutations(spark):
-    sql = "SELECT a.x, COUNT(*) FROM t1 a LEFT JOIN t2 AS b ON a.id = b.id WHERE a.y > 3 AND b.z = 'q > 1' GROUP BY a.x ORDER BY a.x"
+    sql = "SELECT a.x, COUNT(*) FROM t1 a LEFT OUTER JOIN t2 AS b ON a.id = b.id WHERE a.y > 3 AND b.z = 'q > 1' GROUP BY a.x ORDER BY a.x"
     df = spark.createDataFrame([(sql,)], "s string")
-    c = df.select(sql_text.components(F.col("s")).alias("c")).first()["c"]
+    c = df.select(sql_parse.components(F.col("s")).alias("c")).first()["c"]
     assert c["tables"] == ["t1", "t2"] and c["joins"][0]["type"] == "LEFT JOIN" and c["joins"][0]["on"] == "a.id = b.id"
-    assert c["conditions"] == ["a.y > 3 AND b.z = 'q > 1'"] and c["group_by"] == ["a.x"] and c["ordering"] == ["a.x"] and c["aggregations"] == ["COUNT"]
+    assert c["conditions"] == ["a.y > 3 AND b.z = 'q > 1'"] and c["group_by"] == ["a.x"] and c["ordering"] == ["a.x"] and c["aggregations"] == ["COUNT(*)"]
     assert df.select(sql_text.column_refs(F.col("s"))).first()[0] == ["t1.id", "t1.x", "t1.y", "t2.id", "t2.z"]
     m = {n: df.select(f(F.col("s"))).first()[0] for n, f in sql_text.MUTATIONS.items()}
-    assert "INNER JOIN t2" in m["wrong_join_type"] and "a.y < 3" in m["wrong_operator"] and "'q > 1'" in m["wrong_operator"]
+    assert "t1 a INNER JOIN t2" in m["wrong_join_type"] and "a.y <= 3" in m["wrong_operator"] and "'q > 1'" in m["wrong_operator"]
     assert m["missing_condition"].count("AND") == 0 and "GROUP BY" in m["missing_condition"]
     assert m["missing_distinct"].startswith("SELECT DISTINCT a.x") and m["wrong_order"].endswith("ORDER BY a.x DESC")
     assert "COUNT(" not in m["wrong_aggregation"] and m["table_alias"].startswith("SELECT b.x") and "b.id = a.id" in m["table_alias"]
+    joins = {"a CROSS JOIN b": "a INNER JOIN b", "a FULL OUTER JOIN b": "a LEFT JOIN b", "a RIGHT JOIN b": "a LEFT JOIN b", "a JOIN b": "a LEFT JOIN b", "a INNER JOIN b LEFT JOIN c": "a INNER JOIN b INNER JOIN c"}
+    got = dict(rows(spark.createDataFrame([(j,) for j in joins], "s string").select("s", sql_text.wrong_join(F.col("s")))))
+    assert got == joins
     plain = spark.createDataFrame([("SELECT x",)], "s string")
     assert all(plain.select(f(F.col("s"))).first()[0] is None for n, f in sql_text.MUTATIONS.items() if n != "missing_distinct")
 
@@ -183,3 +176,46 @@ def test_rewards(spark):
     d = spark.createDataFrame([(1, "x"), (1, " X"), (1, "y"), (1, None)], "g int, t string")
     assert rows(reward.diversity(d, "g", "t")) == [(1, 4, 0.75, False)]
     assert reward.mean_diversity(reward.diversity(d.limit(0), "g", "t")).first()[0] == 1.0
+
+
+def test_sql_reader():
+    found = sql_parse.read("SELECT DISTINCT a.x, max(b.y) m FROM s.t a, u AS b -- JOIN v\nWHERE a.k = b.k AND note = 'FROM w' UNION SELECT z, 1 FROM (SELECT z FROM q WHERE z > 2) i ORDER BY m;")
+    assert found["tables"] == ["t", "u", "q"] and found["joins"] == [] and found["has_subquery"] and found["has_distinct"]
+    assert found["conditions"] == ["a.k = b.k AND note = 'FROM w'", "z > 2"] and found["aggregations"] == ["max(b.y)"]
+    assert found["columns"] == ["t.x", "t.k", "t.note", "u.y", "u.k", "q.z"]
+    assert sql_parse.read(None)["tables"] == [] and sql_parse.read("SELECT (1")["tables"] == []
+
+
+def test_samples_are_shown_as_literals(spark):
+    values = ["plain", "it's", 'say "x"', 'it\'s "x"', "a\\b\n"]
+    shown = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(schema_text.quoted_sample(F.col("v"), F.lit("VARCHAR"))).collect()]
+    assert shown == [repr(v) for v in values]
+
+
+def test_running_and_trailing_means_against_a_model(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice("ab"), rng.choice([None, rng.randrange(100) / 4])) for i in range(300)]
+    df = spark.createDataFrame(data, "i long, g string, v double")
+    trail = {r["i"]: r["trailing_mean"] for r in reward.trailing_mean(df, "i", "v", 7, "g", block=20).collect()}
+    whole = {r["i"]: r["running_mean"] for r in reward.running_mean(df, "i", "v", "g").collect()}
+    mean = lambda x: round(sum(x) / len(x), 6) if x else None
+    for i, g, _ in data:
+        mine = [v for j, h, v in data if h == g and j <= i]
+        assert (None if trail[i] is None else round(float(trail[i]), 6)) == mean([v for v in mine[-7:] if v is not None])
+        assert (None if whole[i] is None else round(float(whole[i]), 6)) == mean([v for v in mine if v is not None])
+
+
+def test_close_results_are_compared_place_by_place(spark):
+    f = lambda data, ddl: spark.createDataFrame(data, ddl)
+    a = [("x", i / 4, None) for i in range(50)]
+    whole = f([("X ", i, None) for i in range(50)][::-1], "k string, v int, w int")
+    assert compare.same_results(f(a, "k string, v double, w double"), whole.selectExpr("k", "v / 4", "w"))
+    assert compare.same_results(f([("x", float(i), None) for i in range(50)], "k string, v double, w double"), whole)
+    assert not compare.same_results(f([("x", float(i), None) for i in range(49)] + [("x", 49.5, None)], "k string, v double, w double"), whole)
+    assert not compare.same_results(f([("x", float(i), None) for i in range(49)] + [("y", 49.0, None)], "k string, v double, w double"), whole)
+
+
+def test_stage_details(spark):
+    s = spark.createDataFrame([("a", True, 0.5), ("b", False, 1.0), ("a", None, None)], "db_id string, exec_valid boolean, semantic_confidence double")
+    r = stats.stage_details(s).first()
+    assert (r["top"], r["exec_valid"], r["semantic_valid"], r["confidence"]) == ("a(2), b(1)", 1, None, 0.75)
