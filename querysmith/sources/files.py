@@ -35,9 +35,10 @@ def write_lines(df: DataFrame, path: str, single: bool = False) -> None:
 
 def sql_column(df: DataFrame) -> DataFrame:
     """A sample's query under the name SQL, whichever of SQL, sql and query it came as."""
-    names = {c.lower(): c for c in df.columns}
-    given = [F.col(c) for n, c in names.items() if n in ("sql", "query")]
-    return df.withColumn("SQL", F.coalesce(*given)).drop(*(c for c in df.columns if c in ("sql", "query")))
+    given = [c for c in df.columns if c.lower() in ("sql", "query")]
+    if given == ["SQL"]:
+        return df
+    return df.select(*(c for c in df.columns if c not in given), F.coalesce(*map(F.col, given)).alias("SQL"))
 
 
 def usable(samples: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def first_examples(spark: SparkSession, folder: str, raw: str | None = None, sta
     else of JSON-lines files there, else of the raw array file; None where none has any."""
 
     def tidy(df: DataFrame) -> DataFrame:
-        df = df if "SQL" in df.columns else sql_column(df)
+        df = sql_column(df)
         note = F.col("evidence") if "evidence" in df.columns else F.lit("")
         return usable(df.select(*(F.trim(F.col(c).cast("string")).alias(c) for c in ("question", "SQL", "db_id")), F.coalesce(note, F.lit("")).alias("evidence")))
 
