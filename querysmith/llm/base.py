@@ -3,41 +3,44 @@
 from __future__ import annotations
 
 import atexit
-import os
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one rank bucket aims to hold, and the most buckets that are made.
-RANK_BUCKET_ROWS, RANK_MAX_BUCKETS = 1024, 1 << 16
+from ..session import importable
+
 #: Bytes of text that one slice of an Arrow batch aims to hold.
 SLICE_BYTES = 8 << 20
 #: What separates words: the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_made: list[tuple[SparkSession, str]] = []
+#: Rows that a join by plain shuffle may hold at most, and the share of all rows from which a key counts as hot.
+PLAIN_ROWS, HOT_SHARE = 4096, 1000
+
+#: What was written and is still there: session, path, and the table's name where it has one.
+Made = tuple[SparkSession, str, str]
+_made: list[Made] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where it lies at the same place as on the driver."""
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _PACKAGE_ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, _PACKAGE_ROOT])
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share. Only a local master, whose executors share the driver's disk, may leave
+    it unset; then it is a temporary folder of this session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -45,20 +48,33 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    _made.append((spark, path, ""))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df as a table in buckets of key in the shared folder, so that later joins by key don't move its rows."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _made.append((spark, path, name))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for entry in _made:
         try:
-            drop_path(spark, path)
+            _drop(entry)
         except Exception:  # the JVM may already be gone
             return
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def _drop(entry: Made) -> None:
+    spark, path, name = entry
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -69,59 +85,46 @@ def forget(df: DataFrame) -> None:
     release([x for x in _made if any(x[1].rsplit("/", 1)[-1] in f for f in files)])
 
 
-def release(entries: list[tuple[SparkSession, str]]) -> None:
+def release(entries: list[Made]) -> None:
     for entry in entries:
         if entry in _made:
             _made.remove(entry)
-            drop_path(*entry)
+            _drop(entry)
 
 
 @contextmanager
-def scope() -> Iterator[list[tuple[SparkSession, str]]]:
+def scope() -> Iterator[list[Made]]:
     """Lists the tables that are made inside, so that they can be released when their reader is done."""
     before, made = list(_made), []
     yield made
     made += [x for x in _made if x not in before]
 
 
-def hash60(*parts: Column) -> Column:
-    """60 bits of MD5 over the parts (null: the word null) as a long; plain SQL can repeat it."""
-    text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def release_all_but(made: list[Made], *kept: DataFrame) -> None:
+    """Release the tables of a scope but those that the kept frames read directly."""
+    files = [f for df in kept for f in df.inputFiles()]
+    release([x for x in made if not any(x[1].rsplit("/", 1)[-1] in f for f in files)])
 
 
-def bucket_count(rows: int) -> int:
-    """A power of two that follows the rows, so that a bucket stays small at every size."""
-    n = 1
-    while n * RANK_BUCKET_ROWS < rows and n < RANK_MAX_BUCKETS:
-        n *= 2
-    return n
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner", plain: int = PLAIN_ROWS) -> DataFrame:
+    """Join (inner or left) of many rows a key with one row a key, where one key may hold a third of the left side.
 
+    Keys with more than rows / HOT_SHARE of the left rows are fewer than HOT_SHARE, so their right rows are
+    broadcast and their left rows stay where they are; all other keys go by shuffle. rows: those of left.
+    Both sides are read more than once; null keys meet nothing.
+    """
+    if rows <= plain:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(1, rows // HOT_SHARE)).filter(F.col(key).isNotNull()).select(key)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    crowd = left.join(F.broadcast(hot), key, "left_semi") if how == "left" else left
+    return crowd.join(F.broadcast(few), key, how).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
-def ranked(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], rank: str, total: str) -> DataFrame:
-    """Exact 1-based rank (and group size) of each row of a group, without gathering a group.
 
-    bucket has to be monotone in order within a group. Rows are ranked within (group, bucket), and
-    the counts of earlier buckets of the group are added. df has to be settled, as it is read twice.
-    """
-    df = df.withColumn("__b", bucket)
-    keys = [*groups, "__b"]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__b")
-    ahead = counts.select(
-        *keys,
-        (F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__ahead"),
-        F.sum("__n").over(Window.partitionBy(*groups)).alias(total),
-    )
-    local = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    for k in keys:
-        ahead = ahead.withColumnRenamed(k, f"__k_{k}")
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    out = local.join(ahead, on, "inner").withColumn(rank, F.col("__r") + F.col("__ahead"))
-    return out.drop("__b", "__r", "__ahead", *(f"__k_{k}" for k in keys))
+def hash60(*parts: Column) -> Column:
+    """60 bits of MD5 over the parts (null: the word null) as a long; plain SQL can repeat it."""
+    text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,14 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def joined(parts: list[bytes]) -> bytes:
+    """Concatenation up a tree: neighbours are joined, then neighbours of those, until one is left."""
+    while len(parts) > 1:
+        odd = parts[-1:] if len(parts) % 2 else []
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + odd  # noqa: B905  an odd last one is added
+    return parts[0] if parts else b""
+
+
 class ByteBPE:
     """Encoder and decoder of one rank file.
 
@@ -38,9 +46,9 @@ class ByteBPE:
         self.none = len(self.ranks) + max(self.bytes_of)
         ours = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s+", f"[{SPACE}]+")
         self.pattern = regex.compile(ours)
-        self.pairs = Cached(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p])
-        self.words = Cached(lambda w: array("I", self.encode(w.encode())))
-        self.chunks = Cached(self._chunk, CACHE // 3)
+        self.pairs = Cached(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p], CACHE // 3)
+        self.words = Cached(lambda w: array("I", self.encode(w.encode())), CACHE // 3)
+        self.chunks = Cached(self._chunk, CACHE)
 
     def merge(self, data: bytes) -> list[int]:
         """Apply the merges by rank, leftmost first, on a few bytes."""
@@ -82,8 +90,8 @@ class ByteBPE:
             i, j = i if good_left else 2 * i, j if good_right else 2 * j
 
     def decode(self, ids) -> bytes:
-        """Concatenation; the tree's shape doesn't matter as joining bytes is associative."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of the ids: halves are decoded and joined, up to the whole."""
+        return joined([self.bytes_of[i] for i in ids])
 
     def _chunk(self, chunk: str) -> tuple[str, bytes]:
         ids = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(chunk))))
@@ -124,7 +132,7 @@ def digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, id_col:
             listed = " ".join(lists).encode()
             n.append(listed.count(b" ") + 1 if listed else 0)
             ids_sha.append(hashlib.sha256(listed).hexdigest())
-            text_sha.append(hashlib.sha256(b"".join(data)).hexdigest())
+            text_sha.append(hashlib.sha256(joined(list(data))).hexdigest())
         yield record(kind, batch.column(id_col).cast(pa.int64()), n, ids_sha, text_sha)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections import Counter
@@ -13,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import forget, importable, map_arrow, record, settle, slices
+from .base import forget, hot_join, importable, map_arrow, record, settle, slices
 from .packing import Cached
 
-#: Words whose counts are broadcast and that are clustered on their own (and their greatest length in bytes),
+#: Words whose counts are broadcast and that are clustered on their own, the length in bytes from which digests stand for words,
 #: units that all other words share by their ends, least number of classes, rounds of exchange.
 KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 6
 #: Weight of the class frequencies in a class's transitions; words and bigrams a worker counts before it
@@ -29,6 +30,11 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def short(word: bytes) -> bytes:
+    """The word, or for one longer than KNOWN_BYTES a digest that no word can be (it starts with a space)."""
+    return word if len(word) <= KNOWN_BYTES else b" " + hashlib.md5(word).digest()
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
@@ -114,10 +120,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             counts.update(words(text))
         if len(counts) > FLUSH:
-            yield record(kind, list(counts), list(counts.values()))
+            yield record(kind, list(map(short, counts)), list(counts.values()))
             counts = Counter()
     if counts:
-        yield record(kind, list(counts), list(counts.values()))
+        yield record(kind, list(map(short, counts)), list(counts.values()))
 
 
 class Units:
@@ -126,7 +132,7 @@ class Units:
     def __init__(self, known: list[bytes]):
         self.known = len(known) + 1
         rank = {w: i + 1 for i, w in enumerate(known)}
-        self.number = Cached(lambda w: rank.get(w) or self.known + ending(w), 400_000)
+        self.number = Cached(lambda w: rank.get(short(w)) or self.known + ending(short(w)), 64 << 20)
         self.count = self.known + ENDINGS
 
     def numbers(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
@@ -283,7 +289,7 @@ def _score(batches: Iterator[pa.RecordBatch], known, model) -> Iterator[pa.Recor
             seen = counts > 0
             base = np.log10(counts + 1).sum()
             score += np.log10(np.maximum(counts, 1)).sum() + m["unknown"][c[near]][~seen].sum()
-            far = Counter([found[i] for i in np.flatnonzero(~near)])
+            far = Counter([short(found[i]) for i in np.flatnonzero(~near)])
             tail = [{"word": w, "n": n, "class": int(m["class_of_unit"][units.known + ending(w)])} for w, n in far.items()]
             rows.append((rid, doc, out, len(at), int(seen.sum()), base, score, tail))
             rid += 1
@@ -302,8 +308,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     the training words and one unseen type sum to one, as those of base_score do.
 
     All training tokens are counted (partial counts in each task, then a shuffle by word). The counts of at
-    most KNOWN words of bounded length are broadcast; all other words meet their counts in a shuffle join,
-    where no word is frequent. Only KNOWN words and
+    most KNOWN words are broadcast (a word longer than KNOWN_BYTES stands there and everywhere as a digest); all
+    other words meet their counts in a join in which frequent words stay spread. Only KNOWN words and
     the counts of classes reach the driver; bigram counts of units stay in Spark.
 
     A null text is empty (one end token); null ids count as empty text for the split and are kept; repeated
@@ -319,8 +325,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counted = map_arrow(training, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     size = F.floor(F.log2("c") * 8).cast("int")
     unit_end = F.pmod(F.crc32(F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))), F.lit(ENDINGS)).cast("int")
-    counts = settle(counted.withColumn("size", F.when(F.length("word") > KNOWN_BYTES, -1).otherwise(size)).withColumn("ending", unit_end))
-    sizes = sorted(((r["size"], r["n"]) for r in counts.filter("size >= 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    counts = settle(counted.withColumn("size", size).withColumn("ending", unit_end))
+    sizes = sorted(((r["size"], r["n"]) for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     least, held = 1 << 30, 0
     for at, n in sizes:
         if held + n > KNOWN:
@@ -356,7 +362,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     local = settle(map_arrow(rows, lambda b: _score(b, share, model), LOCAL))
     unknown = F.array(*(F.lit(float(x)) for x in np.log10(class_once + 1)))
     tails = local.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.n", "t.class")
-    met = tails.join(counts.filter(F.col("size") < least).select("word", "c"), "word", "left")
+    far = local.agg(F.sum(F.size("tail"))).first()[0] or 0
+    met = hot_join(tails, counts.filter(F.col("size") < least).select("word", "c"), "word", far, "left")
     sums = met.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("far_base"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -11,10 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, map_arrow, record, slices
+from .base import WORD, map_arrow, record, settle, slices
 
 #: Samples of a fingerprint; rows of the table of sampled terms that a worker keeps; bytes of texts handled at once.
 SAMPLES, TABLE, GROUP_BYTES = 64, 150_000, 1 << 20
@@ -94,47 +93,61 @@ def edited(text: str, following: str) -> str:
 _samplers: dict[int, Sampler] = {}
 
 
+def _rows_of(pairs: list[tuple], prints: np.ndarray, following: np.ndarray, sampler: Sampler) -> list[list]:
+    """Columns of COMPARED for (id, text, next text), given the fingerprints of both texts."""
+    texts = [edited(text, after) for _, text, after in pairs]
+    changed = sampler(texts)
+    shown = lambda rows: [p.astype(">u2").tobytes().hex() for p in rows]
+    return [
+        [i for i, _, _ in pairs], [len(text) for _, text, _ in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in texts], shown(prints), shown(changed),
+        [likeness(a, b) for a, b in zip(prints, changed, strict=True)], [likeness(a, b) for a, b in zip(prints, following, strict=True)],
+    ]
+
+
+KIND = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+EDGES = pa.schema([*KIND, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order, the row after the last one as a guest; a row is compared with the one after it."""
-    sampler = _samplers.setdefault(samples, Sampler(samples))
-    kind = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    """Rows of a partition come in order and are compared with the one after; the partition's first and last row
+    are handed on as edges, as the last one's next row lies in another partition."""
+    from pyspark import TaskContext
+
+    sampler, part = _samplers.setdefault(samples, Sampler(samples)), TaskContext.get().partitionId()
     last = last_print = None
-    guests = 0
+
+    def edge(name: str, row: tuple) -> pa.RecordBatch:
+        return record(EDGES, [row[0]], *([None] for _ in range(6)), [part], [name], [row[1]])
+
     for batch in slices(batches):
-        rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("guest").to_pylist(), strict=True))
+        rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
         start = 0
         while start < len(rows):
             end, held = start, 0
             while end < len(rows) and (end == start or held < GROUP_BYTES):
                 held += len(rows[end][1])
                 end += 1
-            group = [r for r in rows[start:end] if not r[2] or not guests]
-            guests += sum(r[2] for r in group)
-            if guests > 1:  # equal ids may bring several guests; the first is the next row
-                first = next(i for i, r in enumerate(group) if r[2])
-                group = group[: first + 1]
-                guests = 1
-            start = end
-            if not group:
-                continue
-            prints = sampler([t for _, t, _ in group])
-            if last is not None:
+            group, start = rows[start:end], end
+            prints = sampler([t for _, t in group])
+            if last is None:
+                yield edge("first", group[0])
+            else:
                 group, prints = [last, *group], np.concatenate([last_print[None], prints])
             last, last_print = group[-1], prints[-1]
-            texts = [edited(a[1], b[1]) for a, b in zip(group, group[1:])]  # noqa: B905
-            if not texts:
-                continue
-            changed = sampler(texts)
-            yield record(
-                kind,
-                [r[0] for r in group[:-1]],
-                [len(r[1]) for r in group[:-1]],
-                [hashlib.sha256(t.encode()).hexdigest() for t in texts],
-                [p.astype(">u2").tobytes().hex() for p in prints[:-1]],
-                [p.astype(">u2").tobytes().hex() for p in changed],
-                [likeness(a, b) for a, b in zip(prints, changed)],  # noqa: B905
-                [likeness(a, b) for a, b in zip(prints, prints[1:])],  # noqa: B905
-            )
+            pairs = [(i, text, after) for (i, text), (_, after) in zip(group, group[1:])]  # noqa: B905  one shorter
+            if pairs:
+                none = [None] * len(pairs)
+                yield record(EDGES, *_rows_of(pairs, prints[:-1], prints[1:], sampler), none, none, none)
+    if last is not None:
+        yield edge("last", last)
+
+
+def _compare_pairs(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.RecordBatch]:
+    sampler = _samplers.setdefault(samples, Sampler(samples))
+    for batch in slices(batches):
+        pairs = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True))
+        if pairs:
+            yield record(KIND, *_rows_of(pairs, sampler([p[1] for p in pairs]), sampler([p[2] for p in pairs]), sampler))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -152,44 +165,29 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, text_col: str = "text"
     return map_arrow(kept, run, StructType([*kept.schema.fields, StructField(out, StringType())]))
 
 
-def cuts_below(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below the key, in two steps of about the square root of their number."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts)) + 1
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-
-    def below(edges: Column) -> Column:
-        return F.size(F.filter(edges, lambda c: c < key))
-
-    heads = below(F.array(*(F.lit(g[0]) for g in groups)))
-    within = below(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(heads, F.lit(1))))
-    return F.when(heads == 0, 0).otherwise((heads - 1) * step + within)
-
-
 def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited text, and compare with both the edited and the next text.
 
-    The next document is the one after in descending id (ties: by text; null ids last), and the first one
-    after the last. Ranges of ids are found from the ids alone; each row goes once to the partition of its
-    range, and the first row of a range also to the range before it, so no ordering meets in one task.
+    The next document is the one after in descending id (ties: by a hash of the text; null ids last), and the
+    first one after the last. Spark partitions by ranges of (id, hash, row), so that neither repeated ids nor
+    repeated rows meet in one task; the first and last row of each range are matched by the range's number.
 
     A null text is empty; texts without words have the fingerprint of zeros (and are alike); repeated rows
     are neighbours; a single row is its own next; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ids = rows.select("k")
-    count = ids.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
-    cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if count else []
-    part = F.lit(len(cuts)) - cuts_below(F.col("k"), cuts)
-    keyed = rows.withColumn("part", part)
-    tops = {r["part"]: r["top"] for r in keyed.groupBy("part").agg(F.max("k").alias("top")).collect()}
-    order = sorted(tops)
-    hosts = [(tops[p], order[i - 1]) for i, p in enumerate(order)]  # the first row of p follows the last of the range before
-    guests = keyed.join(F.broadcast(spark.createDataFrame(hosts, "top long, host int")), F.col("k") == F.col("top")).select("doc_id", "text", "k", F.col("host").alias("part"), F.lit(True).alias("guest")) if hosts else keyed.limit(0).withColumn("guest", F.lit(True))
-    both = keyed.withColumn("guest", F.lit(False)).select("doc_id", "text", "k", "part", "guest").unionByName(guests.select("doc_id", "text", "k", "part", "guest"))
-    dealt = both.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions(F.col("guest"), F.col("k").desc(), F.col("text"))
-    return map_arrow(dealt.select("doc_id", "text", "guest"), lambda b: _compare(b, samples), COMPARED)
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("r"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t"), F.col("r")]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    made = settle(map_arrow(dealt.select("doc_id", "text"), lambda b: _compare(b, samples), COMPARED + ", part int, edge string, text string"))
+    edges = made.filter("edge IS NOT NULL")
+    # Numbers of ranges only: each is followed by the next one that has rows, the last by the first.
+    parts = edges.filter("edge = 'first'").select("part")
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(whole)).alias("next"))
+    firsts = edges.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    across = edges.filter("edge = 'last'").select("part", "doc_id", "text").join(after, "part").join(firsts, "next").select("doc_id", "text", "after")
+    names = KIND.names
+    return made.filter("edge IS NULL").select(*names).unionByName(map_arrow(across, lambda b: _compare_pairs(b, samples), COMPARED))

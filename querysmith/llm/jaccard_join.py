@@ -1,34 +1,58 @@
-"""Jaccard join of word n-grams: a forest of sorted MinHash prefixes, then exact verification."""
+"""Jaccard join of word n-grams: a MinHash forest whose prefixes are shortened for each text, then exact verification."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, pairs, repeats, substring_dedup
-from .base import forget, map_arrow, record, settle, slices
+from .base import bucketed, forget, hot_join, map_arrow, record, settle, slices
 from .packing import only
 from .substring_dedup import word_values
 
-#: Words of a shingle, least similarity, trees of the forest, their greatest depth, least recall at that similarity.
-SHINGLE, LEAST, TREES, DEPTH, RECALL = 5, Fraction(4, 5), 10, 8, 0.999
+#: Words of a shingle, least similarity, least recall at that similarity, lengths of prefixes from the longest.
+SHINGLE, LEAST, RECALL, DEPTHS = 5, Fraction(4, 5), 0.999, (5, 4, 3)
+#: Members from which a group of the shortest prefix is crowded, trees on which longer prefixes are tried there, and
+#: what it costs to put a text into a group, in comparisons.
+CROWDED, TRIED, PLACE = 256, 3, 64
 #: Bytes of a shingle's hash in a payload; shared shingles of more members than this go through dense matrices.
 BYTES, DENSE = 6, 12
 RESULT_COLUMNS = ("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
-def depth_for(least: float, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL) -> int:
-    """Matched prefixes are shortened from the deepest until pairs at the threshold meet with the recall."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - least**depth) ** trees >= recall:
-            return depth
-    return 1
+def trees_for(depth: int, least: float, recall: float = RECALL) -> int:
+    """Trees with which pairs at the threshold share a prefix of the depth somewhere with the recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**depth))) if least < 1 else 1
+
+
+class Forest:
+    """The prefixes of a MinHash forest: for each depth as many trees as the recall needs, shortest depth first.
+
+    Place n of a text's prefixes is a tree at a depth; a tree's longer prefixes continue its shorter ones.
+    """
+
+    def __init__(self, least: float = float(LEAST), recall: float = RECALL, depths: tuple[int, ...] = DEPTHS):
+        self.depths = sorted(depths)
+        self.trees = [trees_for(d, least, recall) for d in self.depths]
+        self.starts = [sum(self.trees[:i]) for i in range(len(self.trees) + 1)]
+        self.level = np.repeat(np.arange(len(self.depths)), self.trees)
+        self.most = max(self.trees)
+
+    def prefixes(self, hashes: np.ndarray) -> np.ndarray:
+        """A hash of each prefix (no shingles: of zeros)."""
+        labels = signature(hashes, self.most * self.depths[-1]).reshape(self.most, self.depths[-1])
+        out, parts = np.arange(1, self.most + 1, dtype=np.uint64), {}
+        for i in range(self.depths[-1]):
+            out = repeats.mix(out * np.uint64(repeats.BASE) + labels[:, i])
+            parts[i + 1] = out
+        return np.concatenate([parts[d][:t] for d, t in zip(self.depths, self.trees, strict=True)])
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -55,47 +79,45 @@ def signature(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def prefixes(hashes: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A hash of each tree's first depth labels; equal prefixes are neighbours in the sorted trie."""
-    labels = signature(hashes, trees * DEPTH).reshape(trees, DEPTH)[:, :depth]
-    out = np.arange(1, trees + 1, dtype=np.uint64)
-    for i in range(depth):
-        out = repeats.mix(out * np.uint64(repeats.BASE) + labels[:, i])
-    return out
-
-
 def key_of(hashes: np.ndarray) -> bytes:
     return hashlib.md5(hashes.tobytes()).digest()
 
 
-def _classes(batches: Iterator[pa.RecordBatch], size: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
-    def items():
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                s = shingles(text or b"", size)
-                yield key_of(s), lambda s=s: (prefixes(s, trees, depth).view(np.int64).tolist(), _pack(s))
+def _classes(batches: Iterator[pa.RecordBatch], size: int, forest: Forest) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct text of a task: place, text, key, and prefixes and payload with the first of a key.
 
+    place is the key where there is a payload, so that payloads of a class meet, else the text's digest.
+    """
     only(substring_dedup._values)
-    rows = []
-    for row in pairs.combine(items()):
-        rows.append(row)
-        if len(rows) >= 500:
-            yield record(pairs.CLASS_ROWS, *map(list, zip(*rows, strict=True)))
-            rows = []
+    schema = pa.schema([("place", pa.binary()), ("text", pa.binary()), ("key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary())])
+    texts: set[bytes] = set()
+    keys: set[bytes] = set()
+    rows: list[tuple] = []
+    for batch in slices(batches):
+        for text in batch.column("text").to_pylist():
+            digest = hashlib.md5(text or b"").digest()
+            if digest in texts:
+                continue
+            texts.add(digest)
+            s = shingles(text or b"", size)
+            key = key_of(s)
+            fresh = key not in keys
+            keys.add(key)
+            rows.append((key, digest, key, forest.prefixes(s).view(np.int64).tolist(), _pack(s)) if fresh else (digest, digest, key, None, None))
+            if len(rows) >= 500:
+                yield record(schema, *map(list, zip(*rows, strict=True)))
+                rows = []
+        if len(texts) > 1 << 20:  # told again by later rows of the same text, which does no harm
+            texts.clear()
+            keys.clear()
     if rows:
-        yield record(pairs.CLASS_ROWS, *map(list, zip(*rows, strict=True)))
+        yield record(schema, *map(list, zip(*rows, strict=True)))
 
 
 def _pack(s: np.ndarray) -> bytes:
     return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :]).tobytes()
 
 
-def _keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        keys = [key_of(shingles(t or b"", size)) for t in batch.column("text").to_pylist()]
-        yield record(pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("key", pa.binary())]), batch.column("rid"), batch.column("id"), keys)
-
-
 def intersections(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes of both sides' sets and of all intersections. A shingle of few members adds to its pairs;
     those of many members are multiplied as dense matrices, some columns at a time."""
@@ -138,49 +160,119 @@ def intersections(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np
     return sizes[:n], sizes[first : first + m], np.rint(total).astype(np.int64)
 
 
-def _match(least: Fraction):
+def _match(least: Fraction, places: list[int], forest: Forest) -> pairs.Match:
+    """places: the numbers of the prefixes that marks hold, in order."""
     num, den = least.numerator, least.denominator
+    level = forest.level[places]
 
-    def match(left: list[bytes], right: list[bytes], number: int, left_hashes: np.ndarray, right_hashes: np.ndarray) -> np.ndarray:
-        a, b, both = intersections(left, right)
+    def match(left: pairs.Side, right: pairs.Side, number: int) -> np.ndarray:
+        same = left is right
+        a, b, both = intersections(left.payloads, left.payloads if same else right.payloads)
         similar = both * (num + den) >= num * (a[:, None] + b[None, :])
-        return similar & pairs.first_shared(number, left_hashes, right_hashes)
+        similar &= left.asks[:, None] | right.asks[None, :]
+        i, j = np.nonzero(similar)
+        if len(i):
+            x, y = (np.frombuffer(b"".join(side.marks), ">i8").reshape(len(side.marks), -1) for side in (left, right))
+            earlier = np.array(places) < number
+            # Met before: an equal earlier prefix of a depth at which one of the two asks.
+            met = (x[i, 1:] == y[j, 1:]) & earlier & ((level == x[i, :1]) | (level == y[j, :1]))
+            again = met.any(1)
+            similar[i[again], j[again]] = False
+        return similar
 
     return match
 
 
-def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def chosen_levels(prefixes: DataFrame, forest: Forest, rows: int, crowded: int = CROWDED) -> DataFrame | None:
+    """key, level of the classes that keep longer prefixes: those in crowded groups for which that is cheaper.
+
+    Every depth reaches the target recall with its number of trees, so a text may start from the longest
+    prefix and shorten it until shorter ones cost more. That is found from group sizes: a short prefix needs
+    fewer trees, but brings more candidates where many texts share it. Candidates are estimated on the first
+    TRIED trees. Texts outside crowded groups take the shortest prefix, which needs the fewest groups.
+    prefixes: key, n, h of all prefixes; rows: about as many as it has. None: no group is crowded.
+    """
+    first = prefixes.filter(F.col("n") < forest.trees[0])
+    big = settle(first.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > crowded))
+    if big.isEmpty():
+        forget(big)
+        return None
+    members = settle(first.join(big, "h", "left_semi").select("key").distinct())
+    tried = [n for start, trees in zip(forest.starts, forest.trees, strict=False) for n in range(start, start + min(TRIED, trees))]
+    few = settle(prefixes.filter(F.col("n").isin(tried)).join(members, "key", "left_semi"))
+    sizes = few.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    met = hot_join(few, sizes, "h", rows)
+    level = F.element_at(F.array(*(F.lit(int(x)) for x in forest.level)), F.col("n") + 1)
+    trees = F.element_at(F.array(*map(F.lit, forest.trees)), F.col("level") + 1)
+    cost = met.withColumn("level", level).groupBy("key", "level").agg(F.avg("size").alias("size")).withColumn("cost", (F.col("size") + PLACE) * trees)
+    best = cost.groupBy("key").agg(F.min(F.struct("cost", "level")).alias("best")).select("key", F.col("best.level").alias("level"))
+    out = settle(best.filter("level > 0"))
+    for frame in (big, members, few):
+        forget(frame)
+    return out
+
+
+def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, depths: tuple[int, ...] = DEPTHS, crowded: int = CROWDED, row_col: str | None = None) -> DataFrame:
     """A row for each row of docs: its class, its links and its component among texts of Jaccard least or more.
 
-    Texts with the same set of shingles are one class (class_id: its least id). Each class has a signature of
-    trees x DEPTH least hashes; in each tree classes are sorted by their labels, and those that share a
-    prefix are verified exactly with integers. The prefix is as long as the target recall at the threshold
-    allows. Links are counted in documents (copies included); component_id is the least id reachable by
-    links, and kept is true for one row of each component, that of the least id.
+    Texts with the same set of shingles are one class (class_id: its least id). A class has a signature of
+    least hashes, cut into the trees of a forest; classes that share a sorted prefix in some tree are
+    verified exactly with integers. Each class asks with prefixes of one length, and every class can be
+    found by prefixes of all lengths in use. A length's number of trees is such that pairs at the threshold
+    meet with the recall (0.999: 18 trees at depth 5, 14 at 4, 10 at 3); a class shortens its prefixes as long
+    as that lowers what it has to compare (see chosen_levels). Links are counted in documents (copies
+    included); component_id is the least id reachable by links, and kept is true for one row of each
+    component, that of the least id.
 
     A null text is empty; all texts without words are copies of each other; a text of fewer words than a
     shingle is one shingle; null ids count as the largest; among rows with equal ids one is kept; an
     empty table gives no rows; other columns are ignored.
-    Returns rid, doc_id, class_id, n_links, component_id, kept; rid numbers the rows of docs as
-    monotonically_increasing_id does.
+    Returns rid, doc_id, class_id, n_links, component_id, kept; rid is the unique number in row_col, or, without
+    one, a number given here.
     """
-    depth = depth_for(float(least), trees, DEPTH, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    reps = pairs.classes(map_arrow(texts.select("text"), lambda b: _classes(b, size, trees, depth), pairs.CLASSES))
-    found = settle(pairs.linked(reps, _match(least)))
-    forget(reps)
-    named = texts.withColumn("rid", F.monotonically_increasing_id())
-    members = settle(map_arrow(named, lambda b: _keys(b, size), "rid long, id long, key binary"))
-    return result(members, found)
-
-
-def result(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (rid, id, key) with their class, links and component, given found (key, links, root)."""
+    forest = Forest(float(least), recall, depths)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number: Column = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    texts = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    members = settle(texts.select("rid", "id", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))).alias("text")))
+    made = map_arrow(texts.select("text"), lambda b: _classes(b, size, forest), "place binary, text binary, key binary, hashes array<long>, payload binary")
+    table = bucketed(made.repartition(parts, "place"), "place", parts, "texts")
+    n = members.count()
+    keys = table.select("text", "key").distinct()
+    members = settle(hot_join(members, keys, "text", n).select("rid", "id", "key"))
+    one = table.filter("payload IS NOT NULL")
+    hashes = one.groupBy("place").agg(F.first("hashes").alias("hashes")).withColumnRenamed("place", "key")
+    prefixes = hashes.select("key", F.posexplode("hashes").alias("n", "h"))
+    rows = n * len(forest.level)
+    levels = chosen_levels(prefixes, forest, rows, crowded)
+    used = [0, *sorted(r["level"] for r in levels.select("level").distinct().collect())] if levels is not None else [0]
+    places = [i for i in range(len(forest.level)) if forest.level[i] in used]
+    asking = hashes.withColumn("level", F.lit(0)) if levels is None else hashes.join(levels, "key", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    own = asking.select("key", "level", F.array(*(F.col("hashes")[i] for i in places)).alias("hashes"))
+    level = F.element_at(F.array(*(F.lit(int(forest.level[i])) for i in places)), F.col("at") + 1)
+    n_of = F.element_at(F.array(*map(F.lit, places)), F.col("at") + 1)
+    groups = own.select("key", "level", F.posexplode("hashes").alias("at", "h")).select("key", n_of.alias("n"), "h", (level == F.col("level")).alias("asks"))
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("mult"))
+    mark = F.concat(*(_eight(F.col("level").cast("long")), *(_eight(F.col("hashes")[i]) for i in range(len(places)))))
+    marks = own.select("key", mark.alias("mark")).join(counts, "key")
+    reps = one.groupBy("place").agg(F.first("payload").alias("payload")).withColumnRenamed("place", "key").join(marks.hint("shuffle_hash"), "key")
+    found = settle(pairs.linked(reps, groups, _match(least, places, forest), n * len(places)))
+    forget(table)
+    return result(members, found, n)
+
+
+def _eight(x: Column) -> Column:
+    """A long as its eight bytes, big end first."""
+    return F.unhex(F.lpad(F.hex(x), 16, "0"))
+
+
+def result(members: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """Members (rid, id, key) with their class, links and component, given found (key, links, root); rows: of members."""
     roots = components.components(found, "key", "root")
     own = members.groupBy("key").agg(F.count(F.lit(1)).alias("mult"), F.min(F.struct(F.coalesce("id", F.lit(repeats.LAST)).alias("k"), "rid", "id")).alias("first"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = own.join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = settle(known.select("key", "root", "first", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")))
     heads = known.groupBy("root").agg(F.min("first").alias("head"))
-    full = known.join(heads, "root").select("key", "n_links", F.col("first.id").alias("class_id"), F.col("head.id").alias("component_id"), F.col("head.rid").alias("keeper"))
-    return members.join(full, "key").select("rid", F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
+    full = hot_join(known, heads, "root", rows).select("key", "n_links", F.col("first.id").alias("class_id"), F.col("head.id").alias("component_id"), F.col("head.rid").alias("keeper"))
+    return hot_join(members, full, "key", rows).select("rid", F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))

@@ -1,104 +1,95 @@
 """Verified links between members of hash groups, without emitting pairs.
 
-Classes of equal items (key, multiplicity, hashes, payload) meet in groups by (number, hash). A group is
-verified by matrices in one task; a group of more than TILE classes is split into tiles, and each pair of
-tiles is a task's group of its own. A pair that meets in several groups is verified in the first only, as
-each member carries all its hashes. What leaves a task is a row for each linked member, never a pair.
+Classes of equal items (key, multiplicity, payload, mark) meet in groups. A member of a group asks, or is only
+there to be found: pairs of which at least one asks are looked at. A group is verified by matrices in one
+task; a group of more than TILE classes is split into tiles, and each pair of tiles is a task's group of its
+own. A pair that meets in several groups is counted in the first only, which payloads and marks tell. What
+leaves a task is a row for each linked member, never a pair.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _made, map_arrow, record, shared_dir
+from .base import hot_join, map_arrow, record
 
 #: Classes of a tile, so that a matrix of two tiles' pairs stays small.
 TILE = 1024
-CLASSES = "key binary, mult long, hashes array<long>, payload binary"
-CLASS_ROWS = pa.schema([("key", pa.binary()), ("mult", pa.int64()), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def combine(items: Iterator[tuple[bytes, Callable]]) -> Iterator[tuple]:
-    """Rows of CLASSES for (key, make) items of one task: a class once with its payload, then its further count.
+@dataclass
+class Side:
+    """Members of one tile: payloads, marks, and which of them ask."""
 
-    make gives (hashes, payload) and is called once a class and task.
-    """
-    seen: dict[bytes, int] = {}
-    for key, make in items:
-        if key in seen:
-            seen[key] += 1
-        else:
-            seen[key] = 0
-            yield (key, 1, *make())
-    yield from ((key, n, None, None) for key, n in seen.items() if n)
-
-
-def classes(rows: DataFrame) -> DataFrame:
-    """One row a key, in a table bucketed by key, so that later joins by key don't move payloads."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = rows.repartition(n, "key").groupBy("key").agg(F.sum("mult").alias("mult"), F.first("hashes", True).alias("hashes"), F.first("payload", True).alias("payload"))
-    name = f"classes_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    one.write.bucketBy(n, "key").option("path", path).saveAsTable(name)
-    _made.append((spark, path))
-    return spark.table(name)
-
-
-def linked(reps: DataFrame, match: Callable, tile: int = TILE) -> DataFrame:
+    payloads: list[bytes]
+    marks: list[bytes]
+    asks: np.ndarray
+
+
+Match = Callable[[Side, Side, int], np.ndarray]
+
+
+def linked(reps: DataFrame, groups: DataFrame, match: Match, rows: int, tile: int = TILE) -> DataFrame:
     """key, links (documents of other classes that are linked), root (a member of the same component).
 
-    match(left, right, number, left hashes, right hashes) gets payload lists and hash matrices and gives the
-    matrix of linked pairs that no group of a smaller number has.
+    reps: key, mult, payload, mark, in buckets of key; groups: key, n (number of the group's kind), h (the
+    group), asks; rows: about as many as groups has. match(left, right, n) gives the matrix of linked pairs of
+    two sides (one side twice: of all its pairs) that don't meet in a group of a smaller number.
     """
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = reps.select("key", F.posexplode("hashes").alias("t", "h"))
-    sizes = narrow.groupBy("t", "h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    meetings = narrow.join(sizes, ["t", "h"]).groupBy("key").agg(F.collect_list(F.struct("t", "h", "size")).alias("meetings"))
+    sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count_if("asks").alias("asked")).filter("size > 1 AND asked > 0")
+    met = hot_join(groups, sizes, "h", rows)
+    meetings = met.groupBy("key").agg(F.collect_list(F.struct("n", "h", "asks", "size", "asked")).alias("meetings"))
     members = reps.join(meetings.hint("shuffle_hash"), "key").withColumn("g", F.explode("meetings"))
-    tiles = F.ceil(F.col("g.size") / tile).cast("int")
-    own = F.pmod(F.xxhash64("key", "g.t"), tiles).cast("int")
-    placed = members.select("key", "mult", "hashes", "payload", "g.t", "g.h", tiles.alias("tiles"), own.alias("own"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    paired = paired.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("tiles", "other")
-    dealt = paired.repartition(n, "t", "h", "a", "b").sortWithinPartitions("t", "h", "a", "b", "own")
-    return map_arrow(dealt.select("key", "mult", "hashes", "payload", "t", "h", "own", "a", "b"), lambda x: _solve(x, match), "key binary, links long, root binary")
-
-
-def _solve(batches: Iterator[pa.RecordBatch], match: Callable) -> Iterator[pa.RecordBatch]:
+    asking, others = F.ceil(F.col("g.asked") / tile).cast("int"), F.ceil((F.col("g.size") - F.col("g.asked")) / tile).cast("int")
+    spot = F.xxhash64("key", "g.h")
+    own = F.when(F.col("g.asks"), F.pmod(spot, asking)).otherwise(asking + F.pmod(spot, F.greatest(others, F.lit(1)))).cast("int")
+    last = F.when(F.col("g.asks"), asking + others).otherwise(asking) - 1
+    placed = members.select("key", "mult", "payload", "mark", "g.n", "g.h", "g.asks", own.alias("own"), last.alias("last"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    paired = paired.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    dealt = paired.repartition(n, "h", "a", "b").sortWithinPartitions("h", "a", "b", "own")
+    return map_arrow(dealt.select("key", "mult", "payload", "mark", "n", "h", "asks", "own", "a", "b"), lambda x: _solve(x, match), "key binary, links long, root binary")
+
+
+def _solve(batches: Iterator[pa.RecordBatch], match: Match) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
     now, group = None, []
-    names = ("key", "mult", "hashes", "payload", "own")
+    names = ("key", "mult", "payload", "mark", "asks", "own")
+
+    def done():
+        if len(group) > 1 and (out := _group(group, now, match)):
+            yield record(schema, *map(list, zip(*out, strict=True)))
+
     for batch in batches:
-        marks = list(zip(*(batch.column(n).to_pylist() for n in ("t", "h", "a", "b")), strict=True))
-        for mark, row in zip(marks, zip(*(batch.column(n).to_pylist() for n in names), strict=True), strict=True):
-            if mark != now:
-                if len(group) > 1 and (out := _group(group, now, match)):
-                    yield record(schema, *map(list, zip(*out, strict=True)))
-                now, group = mark, []
+        places = list(zip(*(batch.column(n).to_pylist() for n in ("n", "h", "a", "b")), strict=True))
+        for place, row in zip(places, zip(*(batch.column(n).to_pylist() for n in names), strict=True), strict=True):
+            if place != now:
+                yield from done()
+                now, group = place, []
             group.append(row)
-    if len(group) > 1 and (out := _group(group, now, match)):
-        yield record(schema, *map(list, zip(*out, strict=True)))
+    yield from done()
 
 
-def _group(group: list[tuple], mark: tuple, match: Callable) -> list[tuple]:
-    t, _, a, b = mark
-    keys, mult, hashes, payloads = [g[0] for g in group], np.array([g[1] for g in group], np.int64), np.array([g[2] for g in group], np.int64), [g[3] for g in group]
+def _group(group: list[tuple], place: tuple, match: Match) -> list[tuple]:
+    number, _, a, b = place
+    keys, mult = [g[0] for g in group], np.array([g[1] for g in group], np.int64)
+    side = lambda part: Side([g[2] for g in part], [g[3] for g in part], np.array([g[4] for g in part], bool))
     if a == b:
-        found = match(payloads, payloads, t, hashes, hashes)
-        np.fill_diagonal(found, False)
-        full = found
+        one = side(group)
+        full = match(one, one, number)
+        np.fill_diagonal(full, False)
     else:
-        left = sum(g[4] == a for g in group)  # sorted by tile
+        left = sum(g[5] == a for g in group)  # sorted by tile
         if not 0 < left < len(group):
             return []
-        found = match(payloads[:left], payloads[left:], t, hashes[:left], hashes[left:])
+        found = match(side(group[:left]), side(group[left:]), number)
         full = np.zeros((len(group), len(group)), bool)
         full[:left, left:] = found
         full[left:, :left] = found.T
@@ -114,11 +105,3 @@ def _group(group: list[tuple], mark: tuple, match: Callable) -> list[tuple]:
             break
         label = least
     return [(keys[i], int(n), keys[label[i]]) for i, n in zip(rows, links, strict=True)]
-
-
-def first_shared(number: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """True where no hash of a smaller number agrees."""
-    new = np.ones((len(left), len(right)), bool)
-    for i in range(number):
-        new &= left[:, i][:, None] != right[:, i][None, :]
-    return new

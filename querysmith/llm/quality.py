@@ -19,7 +19,7 @@ BITS, MAX_LABELLED, PASSES = 18, 6000, 3
 #: FTRL-proximal: step size, its smoothing, L1 and L2; features are counts divided by length, times SCALE.
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.02, 0.1, 16.0
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-_hashes = Cached(lambda token: zlib.crc32(token.encode()), 200_000)
+_hashes = Cached(lambda token: zlib.crc32(token.encode()), 32 << 20)
 
 
 def features(text: str, bits: int = BITS) -> np.ndarray:
@@ -71,11 +71,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     """Fit on about max_labelled of the labelled documents for which usable (over id_col) holds.
 
     The bound is by hash: with more usable labels than that, the fraction max_labelled / n with the
-    smallest hashes is taken. Labels other than 0 and 1 and null ids don't count; a document with several
-    labels is learnt once for each. Only these labels, a bounded number, are broadcast, and one task fits.
+    smallest hashes is taken. Labels other than 0 and 1 and null ids don't count; repeated labels count once,
+    so an id has two at most, and a document with both is learnt once for each. Only these labels, a bounded number, are broadcast, and one task fits.
     """
     own = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("label"))
-    own = own.filter(F.col("l_id").isNotNull() & F.col("label").isin(0, 1)).withColumn(id_col, F.col("l_id")).filter(usable).drop(id_col)
+    own = own.filter(F.col("l_id").isNotNull() & F.col("label").isin(0, 1)).withColumn(id_col, F.col("l_id")).filter(usable).drop(id_col).distinct()
     total = own.count()
     own = own.withColumn("h", hash60(F.lit("fit"), F.col("l_id"))).filter(F.col("h") <= F.lit(int((1 << 60) * min(1.0, max_labelled / max(1, total)))))
     texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("text"))

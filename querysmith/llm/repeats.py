@@ -1,9 +1,9 @@
-"""Repeated fixed-length windows across documents: the exchange that substring and suffix-array dedup share.
+"""Repeated fixed-length strings across documents: chunks, minimisers, and the exchange of suffix-array dedup.
 
-A window of L symbols is known by its minimiser, the least hash of its k-grams. Equal windows have equal
-minimisers, so only runs of windows whose minimiser value occurs in several places can repeat, and a run
+A string of L symbols is known by its minimiser, the least hash of its k-grams. Equal strings have equal
+minimisers, so only runs of strings whose minimiser value occurs in several places can repeat, and a run
 whose whole content equals another's repeats altogether. What is left, runs of one minimiser with unequal
-contents, goes to the exact step of each operator. All of this holds at every size and drops no case.
+contents, goes to the exact step. All of this holds at every size and drops no case.
 
 1. store: documents are put into chunks of a few MB, one row each, in a table bucketed by chunk, so later
    joins by chunk don't shuffle texts.
@@ -14,7 +14,6 @@ contents, goes to the exact step of each operator. All of this holds at every si
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _made, importable, map_arrow, record, shared_dir
+from .base import bucketed, importable, map_arrow, record
 from .packing import only
 
 #: Bytes of text in a chunk; runs that a bucket of minimisers aims to hold.
@@ -128,12 +127,8 @@ def store(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
     row = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != text_col))) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), row.alias("row"))
     packed = map_arrow(rows, chunks, "chunk long, ids array<long>, ends array<long>, text binary, rows array<string>")
-    name = f"chunks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    packed.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
-    _made.append((spark, path))
-    return spark.table(name)
+    return bucketed(packed, "chunk", buckets, "chunks")
 
 
 class Chunk:
@@ -174,20 +169,26 @@ def _send(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k:
             yield record(schema, at[edges[:-1]].tolist(), [row["chunk"]] * len(packed), packed)
 
 
-def _pack(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> bytes:
-    """Six bytes of each hash and the id by byte planes; false meetings of minimisers cost time only."""
-    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, a:b].T).tobytes() for x, a, b in ((h, 2, 8), (c, 2, 8), (ids.view(np.uint64), 0, 8))]
+#: Bytes of a run's record: six of its minimiser (false meetings cost time only), its whole content hash, its id.
+PLANES = ((2, 8), (0, 8), (0, 8))
+RECORD = sum(b - a for a, b in PLANES)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress."""
+    planes = [np.ascontiguousarray(x.view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)[:, a:b].T).tobytes() for x, (a, b) in zip(columns, PLANES, strict=True)]
     return b"".join(planes)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 20
-    planes = np.frombuffer(blob, np.uint8).reshape(20, n)
-    out = []
-    for a, b, low in ((0, 6, 2), (6, 12, 2), (12, 20, 0)):
+    n = len(blob) // RECORD
+    planes = np.frombuffer(blob, np.uint8).reshape(RECORD, n)
+    out, at = [], 0
+    for a, b in PLANES:
         full = np.zeros((n, 8), np.uint8)
-        full[:, low:] = planes[a:b].T
+        full[:, a:b] = planes[at : at + b - a].T
         out.append(full.reshape(-1).view("<u8"))
+        at += b - a
     return out[0], out[1], out[2].view(np.int64)
 
 
@@ -196,7 +197,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("flags", pa.binary())])
 
     def solve(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        sizes = [len(b) // 20 for b in blobs]
+        sizes = [len(b) // RECORD for b in blobs]
         h, c, ids = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         order = np.lexsort((ids, c, h))
         sh, sc, si = h[order], c[order], ids[order]

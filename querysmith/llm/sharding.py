@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bucket_count, hash60, ranked, settle
+from ..operators.ranks import bucket_count, ranked
+from .base import hash60, settle
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", strata_col: str = "source") -> DataFrame:

@@ -1,8 +1,9 @@
-"""Removal of repeated token windows: Rabin-Karp window hashes, counted in Spark."""
+"""Removal of repeated token windows: Rabin-Karp hashes of every window, counted over Spark's partitions."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .base import map_arrow, record, settle
-from .packing import Cached
+from .base import map_arrow, record
+from .packing import Cached, only
 
-#: Words of a window and of the k-grams that minimisers are chosen from.
-WINDOW, GRAM = 50, 22
-#: Other word values for the second hash of a window: 128 bits stand for a word sequence.
+#: Words of a window; window records that a partition of hashes aims to hold.
+WINDOW, BUCKET_WINDOWS = 50, 400_000
+#: Other word values for the second hash of a window: 64 + 32 bits stand for a word sequence.
 SECOND = np.uint64(0xD6E8FEB86659FD93)
-_values = Cached(xxhash.xxh64_intdigest, 400_000)
+_values = Cached(xxhash.xxh64_intdigest, 48 << 20)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RECORD = 20  # eight bytes of the first hash, four of the second, eight of the id
 
 
 def word_values(text: bytes) -> np.ndarray:
@@ -27,63 +29,142 @@ def word_values(text: bytes) -> np.ndarray:
     return np.fromiter(map(_values.__getitem__, words), np.uint64, len(words))
 
 
-def _send(window: int):
-    """The window hashes of each run: a row a run, keyed by doc, with both hashes of each window."""
-
-    def send(chunk: repeats.Chunk, runs: np.ndarray) -> list[tuple]:
-        rows, last, both = [], None, None
-        for r in runs:
-            d = chunk.doc[r]
-            if d != last:
-                values = word_values(chunk.texts[d])
-                both = [repeats.window_hashes(repeats.prefix_hash(v), window) for v in (values, repeats.mix(values * SECOND))]
-                last = d
-            s, n = int(chunk.start[r]), int(chunk.count[r])
-            rows.append((int(chunk.ids[d]), b"".join([np.array([d, s], np.int64).tobytes(), both[0][s : s + n].tobytes(), both[1][s : s + n].tobytes()])))
-        return rows
-
-    return send
+class Windows:
+    """All windows of a chunk's documents, and one record for each distinct one: its hashes and its least id.
 
+    Documents are taken by id, so that the first window of a stable order is that of the least id.
+    """
 
-def _windows(batches):
-    """A row for each window of a run."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("chunk", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+    def __init__(self, ids: list, ends: list, text: bytes, window: int):
+        self.ids = np.array([repeats.LAST if i is None else i for i in ids], np.int64)
+        spans = list(zip([0, *ends], ends))  # noqa: B905  one longer
+        docs = np.argsort(self.ids, kind="stable")
+        hashes, seconds, counts = [], [], []
+        for d in docs:
+            values = word_values(text[spans[d][0] : spans[d][1]])
+            hashes.append(repeats.window_hashes(repeats.prefix_hash(values), window))
+            seconds.append(repeats.window_hashes(repeats.prefix_hash(repeats.mix(values * SECOND)), window).astype(np.uint32) if len(values) >= window else np.zeros(0, np.uint32))
+            counts.append(len(hashes[-1]))
+        self.doc = np.repeat(docs, counts)
+        self.at = np.concatenate([np.arange(n) for n in counts]) if counts else np.zeros(0, np.int64)
+        h, g = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, seconds))
+        order = np.argsort(h, kind="stable")
+        h, g = h[order], g[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        self.record = np.empty(len(h), np.int64)
+        self.record[order] = np.cumsum(new) - 1
+        self.h, self.g, self.id = h[new], g[new], self.ids[self.doc[order[new]]]
+
+
+def pack(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> bytes:
+    """Records by byte planes: high bytes of sorted hashes and of ids hardly change, so they compress."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (h.astype("<u8"), g.astype("<u4"), ids.astype("<i8"))]
+    return b"".join(planes)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(RECORD, -1)
+    h, g, ids = (np.ascontiguousarray(planes[a:b].T).reshape(-1) for a, b in ((0, 8), (8, 12), (12, 20)))
+    return h.view("<u8"), g.view("<u4"), ids.view("<i8")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        cols = [[] for _ in range(6)]
-        for chunk, key, payload in zip(*(batch.column(n).to_pylist() for n in ("chunk", "key", "payload")), strict=True):
-            x = np.frombuffer(payload, np.int64)
-            n = (len(x) - 2) // 2
-            for col, v in zip(cols, (x[2 : 2 + n], x[2 + n :], np.full(n, key), np.full(n, chunk), np.full(n, x[0]), x[1] + np.arange(n)), strict=True):
-                col.append(v)
-        if cols[0]:
-            yield record(schema, *(pa.array(np.concatenate(c).astype(np.int64)) for c in cols))
-
-
-def _covers(window: int):
-    def covers(batches):
-        schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary())])
-        for batch in batches:
-            d, a = batch.column("doc").to_numpy(), batch.column("at").to_numpy()
-            spans = np.stack([d, a, a + window], 1).astype(np.int64)
-            yield record(schema, batch.column("chunk"), [s.tobytes() for s in spans])
-
-    return covers
-
-
-def counted(exact: DataFrame, window: int) -> DataFrame:
-    """Windows by both hashes: those that a smaller document has too, as covered intervals (chunk, payload)."""
-    rows = map_arrow(exact, _windows, "h1 long, h2 long, id long, chunk long, doc long, at long")
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    again = rows.join(first, ["h1", "h2"]).filter("id > first").select("chunk", "doc", "at")
-    return map_arrow(again, _covers(window), "chunk long, payload binary")
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+
+
+def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct windows, by hash; a bucket's records are a stretch of them."""
+    only(_values)
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("records", pa.binary())])
+    for row in _rows(batches):
+        w = Windows(row["ids"], row["ends"], row["text"], window)
+        if not len(w.h):
+            continue
+        at = repeats.bucket_of(w.h, buckets)
+        edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        packed = [pack(w.h[a:b], w.g[a:b], w.id[a:b]) for a, b in zip(edges, edges[1:])]  # noqa: B905
+        yield record(schema, at[edges[:-1]].tolist(), [row["chunk"]] * len(packed), packed)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each record of a bucket a bit: whether a smaller document has its window. Rows come by bucket."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("again", pa.binary())])
+
+    def solve(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        h, g, ids = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+        order = np.argsort(h, kind="stable")
+        sh = h[order]
+        met = np.zeros(len(h), bool)  # part of a group of equal first hashes
+        met[1:] = sh[1:] == sh[:-1]
+        met[:-1] |= met[1:]
+        again = np.zeros(len(h), bool)
+        places = order[met]
+        if len(places):
+            places = places[np.lexsort((ids[places], g[places], h[places]))]
+            new = np.ones(len(places), bool)
+            new[1:] = (h[places[1:]] != h[places[:-1]]) | (g[places[1:]] != g[places[:-1]])
+            least = ids[places[new]][np.cumsum(new) - 1]
+            again[places] = ids[places] > least
+        sizes = [len(b) // RECORD for b in blobs]
+        cut = np.cumsum([0, *sizes])
+        return record(schema, chunks, [bucket] * len(blobs), sizes, [np.packbits(again[a:b]).tobytes() for a, b in zip(cut, cut[1:])])  # noqa: B905
+
+    now, chunks, blobs = None, [], []
+    for batch in batches:
+        for bucket, chunk, blob in zip(*(batch.column(n).to_pylist() for n in ("bucket", "chunk", "records")), strict=True):
+            if bucket != now and blobs:
+                yield solve(now, chunks, blobs)
+                chunks, blobs = [], []
+            now = bucket
+            chunks.append(chunk)
+            blobs.append(blob)
+    if blobs:
+        yield solve(now, chunks, blobs)
+
+
+def _finish(batches: Iterator[pa.RecordBatch], window: int, texts: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Covered words of each document of a chunk, removed."""
+    only(_values)
+    for row in _rows(batches):
+        w = Windows(row["ids"], row["ends"], row["text"], window)
+        bits = [np.unpackbits(np.frombuffer(f["again"], np.uint8), count=f["n"]) for f in row["found"] or []]
+        again = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+        # A window is met again where another task has a smaller id, or where this chunk has one.
+        gone = again[w.record] | (w.ids[w.doc] > w.id[w.record]) if len(w.record) else np.zeros(0, bool)
+        doc, at = w.doc[gone], w.at[gone]
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order]
+        edges = np.searchsorted(doc, np.arange(len(row["ids"]) + 1))
+        rows, start = [], 0
+        for d, (i, end) in enumerate(zip(row["ids"], row["ends"], strict=True)):
+            mine = at[edges[d] : edges[d + 1]]
+            rows.append((i, *_kept(row["text"][start:end], repeats.merge(np.stack([mine, mine + window], 1)), texts)))
+            start = end
+        yield record(arrow, *map(list, zip(*rows, strict=True)))
+
+
+def _kept(text: bytes, spans: np.ndarray, texts: bool) -> tuple:
+    words = text.split()
+    kept, at = [], 0
+    for a, b in spans.tolist():
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    joined = b" ".join(kept)
+    out = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
+    return (*out, joined.decode()) if texts else out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller id.
 
-    Equal windows have equal minimisers (see repeats), so runs of windows whose minimiser is unique, or
-    whose whole content is met again, are settled by their run; every window of all other runs is hashed
-    twice (Rabin-Karp, 128 bits) and counted by Spark. Overlapping and touching windows merge.
+    Every window is hashed twice (Rabin-Karp, 96 bits together). A chunk of documents sends each distinct
+    window once, with its least id, to the partition of its hash; there the records of equal windows are
+    counted and compared with the least id of all. A window that is in every document is one record a chunk.
+    One bit a record goes back to its chunk, where overlapping and touching windows merge.
 
     A null text has no words; texts shorter than a window keep all; a null id counts as larger than all
     others; rows with equal ids don't remove from each other; an empty table gives no rows; other columns
@@ -91,20 +172,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     """
     chunks = repeats.store(docs, id_col, text_col)
     size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = repeats.sighted(chunks, word_values, window, gram, size, 6.0 * (window - gram + 2) / 2)
-    parts = settle(repeats.resolve(chunks, found, word_values, window, gram, _send(window)))
-    covers = parts.filter("kind = 0").select("chunk", "payload").unionByName(counted(parts.filter("kind = 1"), window))
-
-    def make(text: bytes, spans: np.ndarray) -> tuple:
-        words = text.split()
-        kept, at = [], 0
-        for a, b in spans.tolist():
-            kept += words[at:a]
-            at = b
-        kept += words[at:]
-        joined = b" ".join(kept)
-        out = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
-        return (*out, joined.decode()) if texts else out
-
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size / 6.0 / BUCKET_WINDOWS) + 1)
+    sent = map_arrow(chunks.select("chunk", "ids", "ends", "text"), lambda b: _send(b, window, buckets), "bucket int, chunk long, records binary")
+    dealt = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    flags = map_arrow(dealt, _count, "chunk long, bucket int, n int, again binary")
+    found = flags.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "again"))).alias("found"))
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
-    return repeats.finish(chunks, covers, make, RESULT + (", kept string" if texts else ""), arrow)
+    joined = repeats.by_chunk(chunks.select("chunk", "ids", "ends", "text"), found, "left")
+    return map_arrow(joined, lambda b: _finish(b, window, texts, arrow), RESULT + (", kept string" if texts else ""))

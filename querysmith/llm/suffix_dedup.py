@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import repeats, substring_dedup
-from .base import map_arrow, record, settle
+from . import repeats
+from .base import hot_join, map_arrow, record, release_all_but, scope, settle
 
 #: Bytes of a repeated string and of the k-grams that minimisers are chosen from.
 LENGTH, GRAM = 50, 20
-#: Bytes of a shard whose suffixes are sorted at once; beyond GROUP_BYTES the runs of one minimiser are counted by Spark.
-SHARD_BYTES, GROUP_BYTES = 4 << 20, 24 << 20
+#: Bytes of a shard whose suffixes are sorted at once, and beyond which the runs of one key are split by further bytes.
+SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -227,8 +227,15 @@ def _sorted_shards(length: int):
     return shards
 
 
-def _as_windows(length: int):
-    """Runs as the window hashes that Spark counts."""
+def _split(length: int, gram: int, level: int):
+    """Runs of one key as shorter runs with longer keys, for equal strings that still have equal keys.
+
+    A string's minimiser lies at some offset of it; offsets are cut into 2 ** level ranges, and all strings
+    whose offset is in one range share length - width + 1 bytes around the minimiser (width: offsets of a
+    range). Those bytes are the new key. With a single offset in a range the key is the whole string.
+    """
+    width = max(1, -(-(length - gram + 1) >> level))
+    seed = np.uint64((level * 2 + 1) * repeats.BASE % (1 << 64))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
@@ -236,23 +243,61 @@ def _as_windows(length: int):
             rows = []
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 doc, d, s = np.frombuffer(payload[:24], np.int64).tolist()
-                values = byte_values(payload[24:])
-                both = [repeats.window_hashes(repeats.prefix_hash(v), length).tobytes() for v in (values, repeats.mix(values * substring_dedup.SECOND))]
-                rows.append((chunk, doc, np.array([d, s], np.int64).tobytes() + both[0] + both[1]))
+                text = payload[24:]
+                values = byte_values(text)
+                prefix = repeats.prefix_hash(values)
+                grams = repeats.window_hashes(prefix, gram)
+                offset = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).argmin(1)
+                at = np.arange(len(offset)) + offset  # of the minimiser
+                part = offset // width
+                edges = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1])) + 1, [len(at)]])
+                shared = repeats.window_hashes(prefix, length - width + 1)
+                first = at[edges[:-1]] - part[edges[:-1]] * width
+                keys = repeats.mix(shared[first] ^ seed ^ part[edges[:-1]].astype(np.uint64)) >> np.uint64(1)
+                for a, b, key in zip(edges[:-1].tolist(), edges[1:].tolist(), keys.tolist(), strict=True):
+                    rows.append((chunk, key, np.array([doc, d, s + a], np.int64).tobytes() + text[a : b + length - 1]))
             if rows:
                 yield record(schema, *map(list, zip(*rows, strict=True)))
 
     return convert
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False) -> DataFrame:
+def _levels(length: int, gram: int) -> int:
+    """Splits after which a key is a whole string."""
+    return (length - gram).bit_length()
+
+
+def _same_strings(runs: DataFrame, length: int) -> DataFrame:
+    """Covers of runs whose key is their whole string: all but those of the least document are covered."""
+    named = map_arrow(runs, _heads, "chunk long, key long, doc long, d long, s long")
+    named = settle(named)
+    least = named.groupBy("key").agg(F.min("doc").alias("least"))
+    again = hot_join(named, least, "key", named.count()).filter("doc > least").select("chunk", "d", "s")
+
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, s = batch.column("d").to_numpy(), batch.column("s").to_numpy()
+            spans = np.stack([d, s, s + length], 1).astype(np.int64)
+            yield record(pa.schema([("chunk", pa.int64()), ("payload", pa.binary())]), batch.column("chunk"), [x.tobytes() for x in spans])
+
+    return map_arrow(again, covers, "chunk long, payload binary")
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.int64()) for n in ("chunk", "key", "doc", "d", "s")])
+    for batch in batches:
+        head = np.frombuffer(b"".join(p[:24] for p in batch.column("payload").to_pylist()), np.int64).reshape(-1, 3)
+        yield record(schema, batch.column("chunk"), batch.column("key"), *(pa.array(np.ascontiguousarray(head[:, i])) for i in range(3)))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     Runs of strings with one minimiser and equal content are settled by their content (see repeats). The
     distinct contents of all other runs go, by minimiser, to shards of a few MB; each shard's suffix array
     is induced, and suffixes that follow each other with common prefixes of length bytes are the equal
-    strings. If the distinct contents of one minimiser exceed GROUP_BYTES, that group's strings are counted
-    by two hashes in Spark instead, which splits them over all tasks.
+    strings. Runs of a minimiser with more than GROUP_BYTES are split by further bytes, again and again, until
+    a key's runs fit in a shard or the key is a whole string, whose least document is all there is to find.
 
     A null text is empty; texts shorter than length are kept; a null id counts as larger than all others;
     rows with equal ids don't remove from each other; an empty table gives no rows; other columns are
@@ -260,21 +305,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rewrite, the rows of docs with the remaining text (bytes of a character that was cut are dropped).
     """
     chunks = repeats.store(docs, id_col, text_col, rewrite)
-    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = repeats.sighted(chunks, byte_values, length, gram, size, (length - gram + 2) / 2)
-    parts = settle(repeats.resolve(chunks, found, byte_values, length, gram, _send(length)))
-    exact = parts.filter("kind = 1").select("chunk", "key", "payload")
-    sizes = exact.groupBy("key").agg(F.sum(F.length("payload")).alias("size"))
-    total = exact.agg(F.sum(F.length("payload"))).first()[0] or 0
-    heavy = [r["key"] for r in sizes.filter(F.col("size") > GROUP_BYTES).select("key").collect()]
-    covers = parts.filter("kind = 0").select("chunk", "payload")
-    light = exact.filter(~F.col("key").isin(heavy)) if heavy else exact
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (2 * SHARD_BYTES))
-    sharded = light.repartition(tasks, "key").sortWithinPartitions("key")
-    covers = covers.unionByName(map_arrow(sharded, _sorted_shards(length), "chunk long, payload binary"))
-    if heavy:
-        rows = map_arrow(exact.filter(F.col("key").isin(heavy)), _as_windows(length), "chunk long, key long, payload binary")
-        covers = covers.unionByName(substring_dedup.counted(rows, length))
+    with scope() as made:
+        covers = settle(_covers(chunks, docs, length, gram, group_bytes))
+    release_all_but(made, covers)
 
     def make(text: bytes, spans: np.ndarray) -> tuple:
         kept, at = [], 0
@@ -293,3 +326,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     other = StructType([f for f in docs.schema.fields if f.name != text_col])
     full = done.select("kept", F.from_json("row", other).alias("row"))
     return full.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _covers(chunks: DataFrame, docs: DataFrame, length: int, gram: int, group_bytes: int) -> DataFrame:
+    """Covered intervals (chunk, payload) of all documents."""
+    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = repeats.sighted(chunks, byte_values, length, gram, size, (length - gram + 2) / 2)
+    parts = settle(repeats.resolve(chunks, found, byte_values, length, gram, _send(length)))
+    exact = parts.filter("kind = 1").select("chunk", "key", "payload")
+    covers = parts.filter("kind = 0").select("chunk", "payload")
+    least_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for level in range(1, _levels(length, gram) + 2):
+        big = settle(exact.groupBy("key").agg(F.sum(F.length("payload")).alias("size")).filter(F.col("size") > group_bytes).select("key"))
+        done = big.isEmpty()
+        light = exact if done else exact.join(big, "key", "left_anti")
+        total = light.agg(F.sum(F.length("payload"))).first()[0] or 0
+        sharded = light.repartition(max(least_tasks, total // (2 * SHARD_BYTES)), "key").sortWithinPartitions("key")
+        covers = covers.unionByName(map_arrow(sharded, _sorted_shards(length), "chunk long, payload binary"))
+        if done:
+            break
+        heavy = exact.join(big, "key", "left_semi").select("chunk", "key", "payload")
+        if level > _levels(length, gram):
+            covers = covers.unionByName(_same_strings(heavy, length))
+            break
+        exact = settle(map_arrow(heavy, _split(length, gram, level), "chunk long, key long, payload binary"))
+    return covers

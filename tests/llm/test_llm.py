@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from querysmith.llm import byte_bpe, class_lm, components, embedding_dedup, fingerprint, jaccard_join, packing, quality, repeats, sharding, substring_dedup, suffix_dedup
+from querysmith.llm import base, byte_bpe, class_lm, components, embedding_dedup, fingerprint, jaccard_join, packing, quality, repeats, sharding, substring_dedup, suffix_dedup
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,7 +50,42 @@ def test_class_lm(docs, plain):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
-def test_class_lm_is_a_distribution_and_beats_unigrams(spark, tiny):
+def test_class_lm_scores_by_brute_force(docs, plain, monkeypatch):
+    """Each text's probability worked out token by token from the classes and counts that were learnt."""
+    seen, cluster = {}, class_lm.cluster
+    monkeypatch.setattr(class_lm, "cluster", lambda training, share, total, classes, *a: seen.update(known=share.value, total=total, found=cluster(training, share, total, classes, *a)) or seen["found"])
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    got = class_lm.score_texts(docs, quality.held_out("doc_id", 7, 2)).collect()
+    key = lambda w: w if w is None or len(w) <= 64 else b" " + hashlib.md5(w).digest()
+    tokens = lambda t: [*map(key, t.encode().lower().split()), None]
+    counts = Counter(x for i, t in plain if not held(i) for x in tokens(t))
+    of, joint = seen["found"]
+    unit = {w: k + 1 for k, w in enumerate(seen["known"])} | {None: 0}
+    unit_of = lambda w: unit[w] if w in unit else 1 + len(seen["known"]) + zlib.crc32(w[-3:]) % class_lm.ENDINGS
+    class_of = lambda w: int(of[unit_of(w)])
+    # The bigrams of classes are those of the training texts.
+    want = Counter()
+    for i, t in plain:
+        if not held(i):
+            chain = [None, *tokens(t)]
+            want.update((class_of(a), class_of(b)) for a, b in zip(chain, chain[1:], strict=False))
+    assert {(a, b): int(joint[a, b]) for a, b in zip(*np.nonzero(joint), strict=True)} == dict(want)
+    n, once, words = Counter(), Counter(), defaultdict(list)
+    for w, c in counts.items():
+        n[class_of(w)] += c
+        once[class_of(w)] += c == 1
+        words[class_of(w)].append(c)
+    frequency = (joint.sum(0) + 1) / (joint.sum() + len(joint))
+    step = lambda a, b: (joint[a, b] + class_lm.SMOOTHING * frequency[b]) / (joint[a].sum() + class_lm.SMOOTHING)
+    emit = lambda w: (counts[w] or once[class_of(w)] + 1) / (n[class_of(w)] + once[class_of(w)] + 1)
+    score = lambda t: sum(math.log10(step(class_of(a), class_of(b)) * emit(b)) for a, b in zip([None, *tokens(t)], tokens(t), strict=False))
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in got) == Counter((i, len(tokens(t)), round(score(t), 5)) for i, t in plain)
+    for c in range(len(joint)):  # both factors are distributions
+        assert abs(sum(step(c, d) for d in range(len(joint))) - 1) < 1e-9
+        assert abs((sum(words[c]) + once[c] + 1) / (n[c] + once[c] + 1) - 1) < 1e-9
+
+
+def test_class_lm_beats_unigrams(spark, tiny):
     got = class_lm.score_texts(spark.read.parquet(f"{tiny}/documents.parquet"), quality.held_out("doc_id", 7, 2)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
@@ -143,6 +178,16 @@ def test_fingerprints(docs, plain):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         prints[dict(plain)[r["doc_id"]]].add(r["fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
+    # Fingerprints and likenesses again, each from its own text alone.
+    sampler = fingerprint.Sampler()
+    shown = lambda t: sampler([t])[0]
+    full = []
+    for k, (i, t) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        n = len(t) // 3
+        a, b, c = shown(t), shown(t[: len(t) - n] + following[:n]), shown(following)
+        full.append((i, a.astype(">u2").tobytes().hex(), b.astype(">u2").tobytes().hex(), float((a == b).mean()), float((a == c).mean())))
+    assert Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got) == Counter(full)
     assert fingerprint.compare_with_edits(docs.limit(0)).count() == 0
     assert fingerprint.compare_with_edits(docs.limit(1)).count() == 1
     assert docs.count() == fingerprint.fingerprints(docs).count()
@@ -157,6 +202,18 @@ def test_collisions_equal_generalised_jaccard():
         assert abs(fingerprint.likeness(p, q) - sum((x & y).values()) / sum((x | y).values())) < 0.04
 
 
+def test_production_samples_are_as_exact_as_stated():
+    """With 64 samples the mean error is that of 64 draws: at most 0.0625 a comparison, and unbiased."""
+    rng, sampler, off = random.Random(7), fingerprint.Sampler(), []
+    for _ in range(200):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(80)]
+        b = [x if rng.random() < 0.8 else rng.choice("abcdefghijklmnop") for x in a]
+        x, y = Counter(a), Counter(b)
+        p, q = sampler([" ".join(a), " ".join(b)])
+        off.append(fingerprint.likeness(p, q) - sum((x & y).values()) / sum((x | y).values()))
+    assert abs(sum(off) / len(off)) < 0.02 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.0625
+
+
 # Sharding
 
 
@@ -192,6 +249,34 @@ def test_quality(spark, tiny, docs):
     assert quality.score(docs.limit(0), weights).count() == 0
 
 
+def test_quality_by_brute_force(docs, plain, spark):
+    """Updates one weight at a time in plain Python, and scores as sums over all words and pairs."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (3, 0), (None, 1), (5, 7)], "doc_id long, quality int")
+    weights = quality.fit(docs, labels, F.lit(True), bits=12)
+    texts = dict(plain)
+    key = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    rows = Counter(i for i, _ in plain)
+    examples = sorted((key("fit", i), label, quality.features(texts[i], 12).tobytes()) for i, label in {(i, i % 2) for i in range(20)} | {(3, 0)} for _ in range(rows[i]))
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << 12
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for _, label, ids in examples:
+            ids = np.frombuffer(ids, np.int32).tolist()
+            x = {k: c * quality.SCALE / max(1, len(ids)) for k, c in Counter(ids).items()} | {bias: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                n[k] += g * g
+    score = lambda t: 1 / (1 + math.exp(-(weight(bias) + (quality.SCALE / len(f) * sum(weight(k) for k in f.tolist()) if len(f := quality.features(t, 12)) else 0.0))))
+    got = quality.score(docs.select("doc_id", "text"), weights).collect()
+    assert sorted((r["doc_id"] or -1, round(r["score"], 4)) for r in got) == sorted((i or -1, round(score(t), 4)) for i, t in plain)
+
+
 # Byte-level BPE
 
 
@@ -211,7 +296,16 @@ def test_byte_bpe(docs, plain):
         assert ours.ids(s) == enc.encode_ordinary(s), s
     long = "".join(rng.choice("abcdefgh") for _ in range(5000)).encode()
     assert ours.join(ours.encode(long[:1777]), ours.encode(long[1777:])) == ours.encode(long) == enc.encode_ordinary(long.decode())
-    assert ours.decode(ours.encode(long)) == long
+    assert ours.decode(ours.encode(long)) == long and ours.decode([]) == b""
+    for n in range(20):
+        assert byte_bpe.joined([bytes([65 + i]) for i in range(n)]) == bytes(range(65, 65 + n))
+
+
+def test_caches_are_bounded_by_bytes():
+    cache = packing.Cached(lambda k: k * 2, 10_000)
+    for i in range(2000):
+        assert cache[f"key{i}"] == f"key{i}" * 2 and cache.held <= 10_400
+    assert len(cache) and cache["x" * 65] == "x" * 130 and "x" * 65 not in cache
 
 
 # Repeated windows
@@ -242,16 +336,15 @@ def test_substring_dedup(docs, plain):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [None, 64])
-def test_suffix_dedup(docs, plain, monkeypatch, limit):
-    if limit:  # groups that are too large for a shard are counted by Spark
-        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", limit)
+@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_BYTES, 4096, 64])
+def test_suffix_dedup(docs, plain, limit):
+    """With small limits, groups are split by further bytes, down to whole strings."""
     data = [(i, t.encode()) for i, t in plain]
     want = Counter()
     for i, b, gone in removed(lambda x, s: x[s : s + 50], 50, data):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want[i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))] += 1
-    assert Counter(rows(suffix_dedup.remove_repeats(docs))) == want
+    assert Counter(rows(suffix_dedup.remove_repeats(docs, group_bytes=limit))) == want
 
 
 def test_suffix_dedup_keeps_columns(docs):
@@ -345,11 +438,41 @@ def test_jaccard_tiles_and_intersections(docs, monkeypatch):
     whole = Counter(rows(jaccard_join.join(docs).drop("rid")))
     monkeypatch.setattr(pairs.linked, "__defaults__", (2,))  # tiles of two classes
     assert Counter(rows(jaccard_join.join(docs).drop("rid"))) == whole
-
-
-def test_prefix_depth():
-    depth = jaccard_join.depth_for(0.8)
-    assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
+    assert Counter(rows(jaccard_join.join(docs, crowded=1).drop("rid"))) == whole  # every group is crowded
+    numbered = docs.withColumn("no", F.monotonically_increasing_id() + 5)
+    assert {r["rid"] for r in jaccard_join.join(numbered, row_col="no").collect()} == {r["no"] for r in numbered.collect()}
+
+
+def test_every_prefix_length_reaches_the_recall():
+    forest = jaccard_join.Forest()
+    for depth, trees in zip(forest.depths, forest.trees, strict=True):
+        assert 1 - (1 - 0.8**depth) ** trees >= jaccard_join.RECALL > 1 - (1 - 0.8**depth) ** (trees - 1)
+    hashes = np.arange(50, dtype=np.uint64) * np.uint64(repeats.BASE)
+    assert len(set(forest.prefixes(hashes).tolist())) == len(forest.level) == sum(forest.trees)
+
+
+def test_crowded_texts_take_longer_prefixes(spark):
+    """One shared short prefix of many unlike texts makes longer prefixes cheaper; near copies gain nothing by them."""
+    forest, rng = jaccard_join.Forest(), random.Random(11)
+    rows_ = []
+    for k in range(400):
+        for n in range(len(forest.level)):
+            level = int(forest.level[n])
+            copy = k < 200
+            rows_.append((f"{'c' if copy else 'u'}{k}", n, n if copy or level == 0 else rng.randrange(1 << 40) + 1000))
+    levels = jaccard_join.chosen_levels(spark.createDataFrame(rows_, "key string, n int, h long"), forest, len(rows_), crowded=100)
+    # All 400 meet at the shortest prefix; only the 200 copies go on together, for which 18 groups of 200 cost less than 10 of 400.
+    got = {r["key"]: r["level"] for r in levels.collect()}
+    assert {k for k in got if k.startswith("u")} == {f"u{k}" for k in range(200, 400)} and set(got.values()) <= {1, 2}
+    assert jaccard_join.chosen_levels(spark.createDataFrame(rows_, "key string, n int, h long"), forest, len(rows_), crowded=1000) is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join(spark, how):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1), (7777, -2)], "k long, i long")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(3000)], "k long, v string")
+    got = Counter(rows(base.hot_join(left, right, "k", 3002, how, plain=0).select("k", "i", "v")))
+    assert got == Counter(rows(left.join(right, "k", how).select("k", "i", "v")))
 
 
 def test_embedding_dedup(spark):
@@ -374,10 +497,34 @@ def test_embedding_dedup(spark):
 
 
 def test_calibration():
-    for n in (100, 10_000, 10**6):
-        signs, lines, least = embedding_dedup.calibrate(n)
-        p = (1 - math.acos(0.9) / math.pi) ** signs
-        assert 1 - sum(math.comb(lines, i) * p**i * (1 - p) ** (lines - i) for i in range(least)) >= embedding_dedup.RECALL
+    for n in (100, 10_000, 10**6, 10**9, 10**12):  # no cap on lines at any size
+        signs, lines, width = embedding_dedup.calibrate(n)
+        p = (1 - math.acos(0.9) / math.pi) ** signs * math.erf(width / (2 * math.sin(math.acos(0.9) / 2)) / math.sqrt(2))
+        assert 1 - (1 - p) ** lines - lines * p * (1 - p) ** (lines - 1) >= embedding_dedup.RECALL
+
+
+def test_projections_do_not_depend_on_batches():
+    x = np.random.default_rng(4).standard_normal((300, 64))
+    stretch, value = embedding_dedup.coordinates(x, 7, 5)
+    for i in (0, 17, 299):
+        one = embedding_dedup.coordinates(x[i : i + 1], 7, 5)
+        assert (one[0][0] == stretch[i]).all() and (one[1][0] == value[i]).all()
+    assert abs(value.std() - 1) < 0.1
+
+
+def test_collisions_reach_the_recall(spark):
+    """Pairs at just over the least cosine among other vectors, with windows as small as those of many rows."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.standard_normal((1500, 64))
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.901 * a + math.sqrt(1 - 0.901**2) * side
+    signs, lines, width = embedding_dedup.calibrate(200_000)
+    (sx, vx), (sy, vy) = (embedding_dedup.coordinates(v, lines, signs) for v in (a, b))
+    met = ((sx == sy) & (np.abs(vx - vy) <= width)).sum(1)
+    assert (met >= embedding_dedup.COLLISIONS).mean() >= 0.99
 
 
 # Pipeline
