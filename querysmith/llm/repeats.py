@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The six ASCII white-space bytes; bytes from which a word is hashed on its own, beyond which Rabin-Karp hashes of
+#: two symbols could be made to agree.
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+LONG_WORD = 512
+
+
+def word_hashes(text: bytes, ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of texts that lie behind each other (ends; default: one text), and each text's number of words."""
+    ends = [len(text)] if ends is None else ends
+    if not text:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    symbols = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(symbols) + 2, bool)
+    inside[1:-1] = ~SPACES[symbols]
+    cut = np.zeros(len(symbols) + 1, bool)  # a text starts here
+    cut[np.array(ends)] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    prefix = prefix_hash(BYTE_VALUES[symbols])
+    length = end - start
+    out = mix((prefix[end] - prefix[start]) * powers(len(symbols))[1][start] + length.astype(np.uint64))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
+    return out, np.diff(np.searchsorted(start, np.array([0, *ends])))
+
+
 class Powers:
     """Powers of the base and of its inverse modulo 2**64, kept as long as the longest text so far."""
 

@@ -7,66 +7,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
 from .base import map_arrow, record
-from .packing import Cached, only
+from .packing import only
 
 #: Words of a window; window records that a partition of hashes aims to hold.
 WINDOW, BUCKET_WINDOWS = 50, 400_000
-#: Other word values for the second hash of a window: 64 + 32 bits stand for a word sequence.
-SECOND = np.uint64(0xD6E8FEB86659FD93)
-_values = Cached(xxhash.xxh64_intdigest, 48 << 20)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 RECORD = 20  # eight bytes of the first hash, four of the second, eight of the id
 
 
-def word_values(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_values.__getitem__, words), np.uint64, len(words))
-
-
 class Windows:
     """All windows of a chunk's documents, and one record for each distinct one: its hashes and its least id.
 
-    Documents are taken by id, so that the first window of a stable order is that of the least id.
+    The chunk's words are one array; windows that reach over the end of a document are left out.
     """
 
     def __init__(self, ids: list, ends: list, text: bytes, window: int):
         self.ids = np.array([repeats.LAST if i is None else i for i in ids], np.int64)
-        spans = list(zip([0, *ends], ends))  # noqa: B905  one longer
-        docs = np.argsort(self.ids, kind="stable")
-        hashes, seconds, counts = [], [], []
-        for d in docs:
-            values = word_values(text[spans[d][0] : spans[d][1]])
-            hashes.append(repeats.window_hashes(repeats.prefix_hash(values), window))
-            seconds.append(repeats.window_hashes(repeats.prefix_hash(repeats.mix(values * SECOND)), window).astype(np.uint32) if len(values) >= window else np.zeros(0, np.uint32))
-            counts.append(len(hashes[-1]))
-        self.doc = np.repeat(docs, counts)
-        self.at = np.concatenate([np.arange(n) for n in counts]) if counts else np.zeros(0, np.int64)
-        h, g = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, seconds))
-        order = np.argsort(h, kind="stable")
+        values, counts = repeats.word_hashes(text, ends)
+        place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+        doc = np.repeat(np.arange(len(ids)), counts)
+        whole = np.flatnonzero(place <= counts[doc] - window)
+        self.doc, self.at = doc[whole], place[whole]
+        h = repeats.window_hashes(repeats.prefix_hash(values), window)[whole] if len(values) >= window else np.zeros(0, np.uint64)
+        g = second_hashes(values, window)[whole] if len(values) >= window else np.zeros(0, np.uint32)
+        order = np.argsort(h)
         h, g = h[order], g[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         self.record = np.empty(len(h), np.int64)
         self.record[order] = np.cumsum(new) - 1
-        self.h, self.g, self.id = h[new], g[new], self.ids[self.doc[order[new]]]
+        self.h, self.g = h[new], g[new]
+        self.id = np.minimum.reduceat(self.ids[self.doc[order]], np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
+
+
+def second_hashes(values: np.ndarray, window: int) -> np.ndarray:
+    """32 bits of the Rabin-Karp hashes of other word values, the same words with their halves exchanged."""
+    prefix = repeats.prefix_hash((values >> np.uint64(32)) | (values << np.uint64(32)))
+    n = len(prefix) - window
+    return ((prefix[window:] - prefix[:n]) * repeats.powers(n)[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def pack(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> bytes:
-    """Records by byte planes: high bytes of sorted hashes and of ids hardly change, so they compress."""
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (h.astype("<u8"), g.astype("<u4"), ids.astype("<i8"))]
+    """Records by byte planes, sorted hashes as differences: high bytes hardly change, so they compress."""
+    steps = np.diff(h.astype("<u8"), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (steps, g.astype("<u4"), ids.astype("<i8"))]
     return b"".join(planes)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     planes = np.frombuffer(blob, np.uint8).reshape(RECORD, -1)
     h, g, ids = (np.ascontiguousarray(planes[a:b].T).reshape(-1) for a, b in ((0, 8), (8, 12), (12, 20)))
-    return h.view("<u8"), g.view("<u4"), ids.view("<i8")
+    return np.cumsum(h.view("<u8"), dtype=np.uint64), g.view("<u4"), ids.view("<i8")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -77,7 +73,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """A chunk's distinct windows, by hash; a bucket's records are a stretch of them."""
-    only(_values)
+    only()
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("records", pa.binary())])
     for row in _rows(batches):
         w = Windows(row["ids"], row["ends"], row["text"], window)
@@ -95,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
         h, g, ids = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         sh = h[order]
         met = np.zeros(len(h), bool)  # part of a group of equal first hashes
         met[1:] = sh[1:] == sh[:-1]
@@ -127,7 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(batches: Iterator[pa.RecordBatch], window: int, texts: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Covered words of each document of a chunk, removed."""
-    only(_values)
+    only()
     for row in _rows(batches):
         w = Windows(row["ids"], row["ends"], row["text"], window)
         bits = [np.unpackbits(np.frombuffer(f["again"], np.uint8), count=f["n"]) for f in row["found"] or []]
