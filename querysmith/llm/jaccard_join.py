@@ -12,16 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components, pairs, repeats, substring_dedup
+from . import components, pairs, repeats
 from .base import bucketed, forget, hot_join, map_arrow, record, settle, slices
 from .packing import only
-from .substring_dedup import word_values
 
 #: Words of a shingle, least similarity, least recall at that similarity, lengths of prefixes from the longest.
-SHINGLE, LEAST, RECALL, DEPTHS = 5, Fraction(4, 5), 0.999, (5, 4, 3)
-#: Members from which a group of the shortest prefix is crowded, trees on which longer prefixes are tried there, and
-#: what it costs to put a text into a group, in comparisons.
-CROWDED, TRIED, PLACE = 256, 3, 64
+SHINGLE, LEAST, RECALL, DEPTHS = 5, Fraction(4, 5), 0.999, (5, 3)
+#: Trees on which each length of prefixes is tried, and what it costs to put a text into a group, in comparisons.
+TRIED, PLACE = 2, 64
 #: Bytes of a shingle's hash in a payload; shared shingles of more members than this go through dense matrices.
 BYTES, DENSE = 6, 12
 RESULT_COLUMNS = ("doc_id", "class_id", "n_links", "component_id", "kept")
@@ -57,7 +55,7 @@ class Forest:
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle, an empty one has none."""
-    values = word_values(text)
+    values, _ = repeats.word_hashes(text)
     if not len(values):
         return values
     return np.unique(repeats.window_hashes(repeats.prefix_hash(values), min(size, len(values))))
@@ -83,12 +81,13 @@ def key_of(hashes: np.ndarray) -> bytes:
     return hashlib.md5(hashes.tobytes()).digest()
 
 
-def _classes(batches: Iterator[pa.RecordBatch], size: int, forest: Forest) -> Iterator[pa.RecordBatch]:
+def _classes(batches: Iterator[pa.RecordBatch], size: int, forest: Forest, smallest: int) -> Iterator[pa.RecordBatch]:
     """One row for each distinct text of a task: place, text, key, and prefixes and payload with the first of a key.
 
-    place is the key where there is a payload, so that payloads of a class meet, else the text's digest.
+    place is the key where there is a payload, so that payloads of a class meet, else the text's digest. A set of
+    fewer than `smallest` shingles can't be similar to another set, so it has no prefixes.
     """
-    only(substring_dedup._values)
+    only()
     schema = pa.schema([("place", pa.binary()), ("text", pa.binary()), ("key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary())])
     texts: set[bytes] = set()
     keys: set[bytes] = set()
@@ -103,7 +102,7 @@ def _classes(batches: Iterator[pa.RecordBatch], size: int, forest: Forest) -> It
             key = key_of(s)
             fresh = key not in keys
             keys.add(key)
-            rows.append((key, digest, key, forest.prefixes(s).view(np.int64).tolist(), _pack(s)) if fresh else (digest, digest, key, None, None))
+            rows.append((key, digest, key, (forest.prefixes(s).view(np.int64).tolist() if len(s) >= smallest else []), _pack(s)) if fresh else (digest, digest, key, None, None))
             if len(rows) >= 500:
                 yield record(schema, *map(list, zip(*rows, strict=True)))
                 rows = []
@@ -115,7 +114,16 @@ def _classes(batches: Iterator[pa.RecordBatch], size: int, forest: Forest) -> It
 
 
 def _pack(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :]).tobytes()
+    """Six bytes of each sorted hash as differences, by byte planes, which compress."""
+    steps = np.diff(s >> np.uint64(8 * (8 - BYTES)), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].T).tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(BYTES, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :BYTES] = planes.T
+    return np.cumsum(full.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def intersections(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,12 +131,10 @@ def intersections(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np
     those of many members are multiplied as dense matrices, some columns at a time."""
     same = left is right
     sides = [left] if same else [left, right]
-    items = [np.frombuffer(x, np.uint8).reshape(-1, BYTES) for side in sides for x in side]
+    items = [_unpack(x) for side in sides for x in side]
     sizes = np.array([len(x) for x in items], np.int64)
-    flat = np.zeros((int(sizes.sum()), 8), np.uint8)
-    if len(flat):
-        flat[:, :BYTES] = np.concatenate(items)
-    ids, column, count = np.unique(flat.reshape(-1).view("<u8"), return_inverse=True, return_counts=True)
+    flat = np.concatenate(items) if items else np.zeros(0, np.uint64)
+    ids, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(items)), sizes)
     n, m = len(left), len(right)
     first = 0 if same else n
@@ -160,10 +166,8 @@ def intersections(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np
     return sizes[:n], sizes[first : first + m], np.rint(total).astype(np.int64)
 
 
-def _match(least: Fraction, places: list[int], forest: Forest) -> pairs.Match:
-    """places: the numbers of the prefixes that marks hold, in order."""
+def _match(least: Fraction, forest: Forest) -> pairs.Match:
     num, den = least.numerator, least.denominator
-    level = forest.level[places]
 
     def match(left: pairs.Side, right: pairs.Side, number: int) -> np.ndarray:
         same = left is right
@@ -173,9 +177,9 @@ def _match(least: Fraction, places: list[int], forest: Forest) -> pairs.Match:
         i, j = np.nonzero(similar)
         if len(i):
             x, y = (np.frombuffer(b"".join(side.marks), ">i8").reshape(len(side.marks), -1) for side in (left, right))
-            earlier = np.array(places) < number
+            earlier = np.arange(len(forest.level)) < number
             # Met before: an equal earlier prefix of a depth at which one of the two asks.
-            met = (x[i, 1:] == y[j, 1:]) & earlier & ((level == x[i, :1]) | (level == y[j, :1]))
+            met = (x[i, 1:] == y[j, 1:]) & earlier & ((forest.level == x[i, :1]) | (forest.level == y[j, :1]))
             again = met.any(1)
             similar[i[again], j[again]] = False
         return similar
@@ -183,43 +187,31 @@ def _match(least: Fraction, places: list[int], forest: Forest) -> pairs.Match:
     return match
 
 
-def chosen_levels(prefixes: DataFrame, forest: Forest, rows: int, crowded: int = CROWDED) -> DataFrame | None:
-    """key, level of the classes that keep longer prefixes: those in crowded groups for which that is cheaper.
+def chosen_levels(prefixes: DataFrame, forest: Forest, rows: int) -> DataFrame:
+    """key, level: the length of prefixes with which each class asks, as a place in forest.depths.
 
-    Every depth reaches the target recall with its number of trees, so a text may start from the longest
+    Every length reaches the target recall with its number of trees, so a text may start from the longest
     prefix and shorten it until shorter ones cost more. That is found from group sizes: a short prefix needs
-    fewer trees, but brings more candidates where many texts share it. Candidates are estimated on the first
-    TRIED trees. Texts outside crowded groups take the shortest prefix, which needs the fewest groups.
-    prefixes: key, n, h of all prefixes; rows: about as many as it has. None: no group is crowded.
+    fewer trees, but brings more candidates where many texts share it. Sizes are taken on TRIED trees of each
+    length. prefixes: key, n, h of all prefixes; rows: about as many as are tried.
     """
-    first = prefixes.filter(F.col("n") < forest.trees[0])
-    big = settle(first.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > crowded))
-    if big.isEmpty():
-        forget(big)
-        return None
-    members = settle(first.join(big, "h", "left_semi").select("key").distinct())
     tried = [n for start, trees in zip(forest.starts, forest.trees, strict=False) for n in range(start, start + min(TRIED, trees))]
-    few = settle(prefixes.filter(F.col("n").isin(tried)).join(members, "key", "left_semi"))
+    few = prefixes.filter(F.col("n").isin(tried))
     sizes = few.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    met = hot_join(few, sizes, "h", rows)
     level = F.element_at(F.array(*(F.lit(int(x)) for x in forest.level)), F.col("n") + 1)
     trees = F.element_at(F.array(*map(F.lit, forest.trees)), F.col("level") + 1)
-    cost = met.withColumn("level", level).groupBy("key", "level").agg(F.avg("size").alias("size")).withColumn("cost", (F.col("size") + PLACE) * trees)
-    best = cost.groupBy("key").agg(F.min(F.struct("cost", "level")).alias("best")).select("key", F.col("best.level").alias("level"))
-    out = settle(best.filter("level > 0"))
-    for frame in (big, members, few):
-        forget(frame)
-    return out
+    cost = hot_join(few, sizes, "h", rows).withColumn("level", level).groupBy("key", "level").agg(((F.avg("size") + PLACE) * F.first(trees)).alias("cost"))
+    return cost.groupBy("key").agg(F.min(F.struct("cost", "level")).alias("best")).select("key", F.col("best.level").alias("level"))
 
 
-def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, depths: tuple[int, ...] = DEPTHS, crowded: int = CROWDED, row_col: str | None = None) -> DataFrame:
+def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, depths: tuple[int, ...] = DEPTHS, row_col: str | None = None) -> DataFrame:
     """A row for each row of docs: its class, its links and its component among texts of Jaccard least or more.
 
     Texts with the same set of shingles are one class (class_id: its least id). A class has a signature of
     least hashes, cut into the trees of a forest; classes that share a sorted prefix in some tree are
     verified exactly with integers. Each class asks with prefixes of one length, and every class can be
     found by prefixes of all lengths in use. A length's number of trees is such that pairs at the threshold
-    meet with the recall (0.999: 18 trees at depth 5, 14 at 4, 10 at 3); a class shortens its prefixes as long
+    meet with the recall (0.999: 18 trees at depth 5, 10 at depth 3); a class shortens its prefixes as long
     as that lowers what it has to compare (see chosen_levels). Links are counted in documents (copies
     included); component_id is the least id reachable by links, and kept is true for one row of each
     component, that of the least id.
@@ -231,11 +223,12 @@ def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col:
     one, a number given here.
     """
     forest = Forest(float(least), recall, depths)
+    smallest = math.ceil(least / (1 - least)) if least < 1 else 1 << 62  # m of m + 1 shingles are the most that unequal sets share
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number: Column = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
     texts = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     members = settle(texts.select("rid", "id", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))).alias("text")))
-    made = map_arrow(texts.select("text"), lambda b: _classes(b, size, forest), "place binary, text binary, key binary, hashes array<long>, payload binary")
+    made = map_arrow(texts.select("text"), lambda b: _classes(b, size, forest, smallest), "place binary, text binary, key binary, hashes array<long>, payload binary")
     table = bucketed(made.repartition(parts, "place"), "place", parts, "texts")
     n = members.count()
     keys = table.select("text", "key").distinct()
@@ -243,21 +236,17 @@ def join(docs: DataFrame, size: int = SHINGLE, least: Fraction = LEAST, id_col:
     one = table.filter("payload IS NOT NULL")
     hashes = one.groupBy("place").agg(F.first("hashes").alias("hashes")).withColumnRenamed("place", "key")
     prefixes = hashes.select("key", F.posexplode("hashes").alias("n", "h"))
-    rows = n * len(forest.level)
-    levels = chosen_levels(prefixes, forest, rows, crowded)
-    used = [0, *sorted(r["level"] for r in levels.select("level").distinct().collect())] if levels is not None else [0]
-    places = [i for i in range(len(forest.level)) if forest.level[i] in used]
-    asking = hashes.withColumn("level", F.lit(0)) if levels is None else hashes.join(levels, "key", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    own = asking.select("key", "level", F.array(*(F.col("hashes")[i] for i in places)).alias("hashes"))
-    level = F.element_at(F.array(*(F.lit(int(forest.level[i])) for i in places)), F.col("at") + 1)
-    n_of = F.element_at(F.array(*map(F.lit, places)), F.col("at") + 1)
-    groups = own.select("key", "level", F.posexplode("hashes").alias("at", "h")).select("key", n_of.alias("n"), "h", (level == F.col("level")).alias("asks"))
+    levels = chosen_levels(prefixes, forest, n * TRIED * len(forest.depths))
+    own = settle(hashes.filter(F.size("hashes") > 0).join(levels, "key").select("key", "level", "hashes"))
+    level = F.element_at(F.array(*(F.lit(int(x)) for x in forest.level)), F.col("n") + 1)
+    groups = own.select("key", "level", F.posexplode("hashes").alias("n", "h")).select("key", "n", "h", (level == F.col("level")).alias("asks"))
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("mult"))
-    mark = F.concat(*(_eight(F.col("level").cast("long")), *(_eight(F.col("hashes")[i]) for i in range(len(places)))))
+    mark = F.concat(*(_eight(x) for x in (F.col("level").cast("long"), *(F.col("hashes")[i] for i in range(len(forest.level))))))
     marks = own.select("key", mark.alias("mark")).join(counts, "key")
     reps = one.groupBy("place").agg(F.first("payload").alias("payload")).withColumnRenamed("place", "key").join(marks.hint("shuffle_hash"), "key")
-    found = settle(pairs.linked(reps, groups, _match(least, places, forest), n * len(places)))
+    found = settle(pairs.linked(reps, groups, _match(least, forest), n * len(forest.level)))
     forget(table)
+    forget(own)
     return result(members, found, n)
 
 

@@ -43,14 +43,16 @@ def linked(reps: DataFrame, groups: DataFrame, match: Match, rows: int, tile: in
     two sides (one side twice: of all its pairs) that don't meet in a group of a smaller number.
     """
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count_if("asks").alias("asked")).filter("size > 1 AND asked > 0")
+    sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count_if("asks").alias("asked"), F.bit_xor(F.xxhash64("key", "asks")).alias("who"), F.min("n").alias("n")).filter("size > 1 AND asked > 0")
+    # The same members asking in the same way again find nothing new: the first such group stands for all.
+    sizes = sizes.groupBy("who", "size", "asked").agg(F.min(F.struct("n", "h")).alias("first")).select(F.col("first.h").alias("h"), "size", "asked")
     met = hot_join(groups, sizes, "h", rows)
     meetings = met.groupBy("key").agg(F.collect_list(F.struct("n", "h", "asks", "size", "asked")).alias("meetings"))
     members = reps.join(meetings.hint("shuffle_hash"), "key").withColumn("g", F.explode("meetings"))
     asking, others = F.ceil(F.col("g.asked") / tile).cast("int"), F.ceil((F.col("g.size") - F.col("g.asked")) / tile).cast("int")
-    spot = F.xxhash64("key", "g.h")
-    own = F.when(F.col("g.asks"), F.pmod(spot, asking)).otherwise(asking + F.pmod(spot, F.greatest(others, F.lit(1)))).cast("int")
-    last = F.when(F.col("g.asks"), asking + others).otherwise(asking) - 1
+    spot, small = F.xxhash64("key", "g.h"), F.col("g.size") <= tile
+    own = F.when(small, 0).when(F.col("g.asks"), F.pmod(spot, asking)).otherwise(asking + F.pmod(spot, F.greatest(others, F.lit(1)))).cast("int")
+    last = F.when(small, 0).when(F.col("g.asks"), asking + others - 1).otherwise(asking - 1)
     placed = members.select("key", "mult", "payload", "mark", "g.n", "g.h", "g.asks", own.alias("own"), last.alias("last"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     paired = paired.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
@@ -81,16 +83,22 @@ def _group(group: list[tuple], place: tuple, match: Match) -> list[tuple]:
     number, _, a, b = place
     keys, mult = [g[0] for g in group], np.array([g[1] for g in group], np.int64)
     side = lambda part: Side([g[2] for g in part], [g[3] for g in part], np.array([g[4] for g in part], bool))
+    full = np.zeros((len(group), len(group)), bool)
     if a == b:
-        one = side(group)
-        full = match(one, one, number)
+        both = side(group)
+        asking = np.flatnonzero(both.asks)
+        if len(asking) == len(group):
+            full = match(both, both, number)
+        elif len(asking):
+            found = match(side([group[i] for i in asking]), both, number)
+            full[asking] = found
+            full[:, asking] |= found.T
         np.fill_diagonal(full, False)
     else:
         left = sum(g[5] == a for g in group)  # sorted by tile
         if not 0 < left < len(group):
             return []
         found = match(side(group[:left]), side(group[left:]), number)
-        full = np.zeros((len(group), len(group)), bool)
         full[:left, left:] = found
         full[left:, :left] = found.T
     rows = np.flatnonzero(full.any(1))
