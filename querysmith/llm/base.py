@@ -47,7 +47,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: one evaluation, lineage cut, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path, ""))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,7 +58,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     _made.append((spark, path, name))
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -429,6 +429,7 @@ def test_jaccard_tiles_and_intersections(docs, monkeypatch):
     rng = random.Random(9)
     sets = [np.unique(np.array([rng.randint(0, 60) for _ in range(rng.randint(0, 40))], np.uint64) << np.uint64(20)) for _ in range(40)]
     packed = [jaccard_join._pack(s) for s in sets]
+    assert all((jaccard_join._unpack(p) == s >> np.uint64(16)).all() for p, s in zip(packed, sets, strict=True))
     for left, right in ((packed, packed), (packed[:15], packed[15:])):
         a, b, both = jaccard_join.intersections(left, right)
         x, y = (sets, sets) if left is right else (sets[:15], sets[15:])
@@ -438,7 +439,9 @@ def test_jaccard_tiles_and_intersections(docs, monkeypatch):
     whole = Counter(rows(jaccard_join.join(docs).drop("rid")))
     monkeypatch.setattr(pairs.linked, "__defaults__", (2,))  # tiles of two classes
     assert Counter(rows(jaccard_join.join(docs).drop("rid"))) == whole
-    assert Counter(rows(jaccard_join.join(docs, crowded=1).drop("rid"))) == whole  # every group is crowded
+    for place in (0, 10**9):  # what a group costs decides lengths of prefixes, not results
+        monkeypatch.setattr(jaccard_join, "PLACE", place)
+        assert Counter(rows(jaccard_join.join(docs, depths=(6, 4, 2)).drop("rid"))) == whole
     numbered = docs.withColumn("no", F.monotonically_increasing_id() + 5)
     assert {r["rid"] for r in jaccard_join.join(numbered, row_col="no").collect()} == {r["no"] for r in numbered.collect()}
 
@@ -460,11 +463,22 @@ def test_crowded_texts_take_longer_prefixes(spark):
             level = int(forest.level[n])
             copy = k < 200
             rows_.append((f"{'c' if copy else 'u'}{k}", n, n if copy or level == 0 else rng.randrange(1 << 40) + 1000))
-    levels = jaccard_join.chosen_levels(spark.createDataFrame(rows_, "key string, n int, h long"), forest, len(rows_), crowded=100)
-    # All 400 meet at the shortest prefix; only the 200 copies go on together, for which 18 groups of 200 cost less than 10 of 400.
+    levels = jaccard_join.chosen_levels(spark.createDataFrame(rows_, "key string, n int, h long"), forest, len(rows_))
+    # All 400 meet at the shortest prefix; only the 200 copies go on together, for which 18 groups of 200 cost more than 10 of 400.
     got = {r["key"]: r["level"] for r in levels.collect()}
-    assert {k for k in got if k.startswith("u")} == {f"u{k}" for k in range(200, 400)} and set(got.values()) <= {1, 2}
-    assert jaccard_join.chosen_levels(spark.createDataFrame(rows_, "key string, n int, h long"), forest, len(rows_), crowded=1000) is None
+    assert all(got[f"u{k}"] == 1 for k in range(200, 400)) and all(got[f"c{k}"] == 0 for k in range(200))
+
+
+def test_word_hashes():
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"ab \n\t\xc3c") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [b"", b" ", b"x" * 600, b"y" * 600 + b" x"]
+    values, counts = repeats.word_hashes(b"".join(texts), np.cumsum([len(t) for t in texts]).tolist())
+    words = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(values) == len(words)
+    seen = {}
+    assert all(seen.setdefault(w, v) == v for w, v in zip(words, values.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    for t in texts:
+        assert repeats.word_hashes(t)[0].tolist() == [seen[w] for w in t.split()]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
