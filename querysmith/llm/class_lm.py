@@ -10,26 +10,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import repeats
 from .base import forget, hot_join, importable, map_arrow, record, settle, slices
-from .packing import Cached
+from .packing import only
 
 #: Words whose counts are broadcast and that are clustered on their own, the length in bytes from which digests stand for words,
-#: units that all other words share by their ends, least number of classes, rounds of exchange.
-KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 6
+#: units that all other words share by their ends, least number of classes, most rounds of exchange.
+KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 4
 #: Weight of the class frequencies in a class's transitions; words and bigrams a worker counts before it
-#: hands them on; training tokens for which there is one task of exchange.
+#: hands them on; training tokens for which there is one block of units.
 SMOOTHING, FLUSH, PAIRS, TASK = 20.0, 400_000, 2_000_000, 1_000_000
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Runs of anything but the six ASCII white-space bytes, A-Z lower-cased; null: none."""
-    return text.lower().split() if text else []
-
-
 def short(word: bytes) -> bytes:
     """The word, or for one longer than KNOWN_BYTES a digest that no word can be (it starts with a space)."""
     return word if len(word) <= KNOWN_BYTES else b" " + hashlib.md5(word).digest()
@@ -39,6 +36,32 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+def hash_of_long(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(short(word))
+
+
+class Texts:
+    """The words of a batch of texts, A-Z lower-cased, as arrays: hash, start, end, text; each text ends with an end token."""
+
+    def __init__(self, texts: list[bytes | None]):
+        parts = [t.lower() if t else b"" for t in texts]
+        self.bytes = b"".join(parts)
+        self.hash, self.start, self.end, self.counts = repeats.words_of(self.bytes, np.cumsum([len(p) for p in parts]).tolist(), KNOWN_BYTES, hash_of_long)
+        self.distinct, self.first, self.of, self.n = np.unique(self.hash, return_index=True, return_inverse=True, return_counts=True)
+        # Places of the words among all tokens, and where each text's tokens start.
+        self.begin = np.cumsum(self.counts + 1) - (self.counts + 1)
+        self.place = np.arange(len(self.hash)) + np.repeat(np.arange(len(parts)), self.counts)
+
+    def word(self, i: int) -> bytes:
+        return short(self.bytes[self.start[i] : self.end[i]])
+
+    def tokens(self, values: np.ndarray) -> np.ndarray:
+        """Values of the words with a zero after each text."""
+        out = np.zeros(len(values) + len(self.counts), values.dtype)
+        out[self.place] = values
+        return out
+
+
 def phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -84,7 +107,7 @@ class Joint:
         return new
 
 
-def dealt(total: np.ndarray, classes: int) -> np.ndarray:
+def dealt_classes(total: np.ndarray, classes: int) -> np.ndarray:
     """First classes: units by falling count in turn; unit 0 (the end of a text) has class 0 for itself."""
     of = np.zeros(len(total), np.int64)
     of[np.argsort(-total[1:], kind="stable") + 1] = 1 + np.arange(len(total) - 1) % max(1, classes - 1)
@@ -95,7 +118,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     """Class of each unit: units move, one after another, to the class that most raises the likelihood."""
     n = bigrams.astype(np.float64)
     total = n.sum(0) + n.sum(1)
-    of = dealt(total, classes)
+    of = dealt_classes(total, classes)
     if classes < 3:
         return of
     member = np.eye(classes)[of]
@@ -116,14 +139,16 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     counts: Counter = Counter()
+    only()
     for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            counts.update(words(text))
+        t = Texts(batch.column("text").to_pylist())
+        for i, n in zip(t.first.tolist(), t.n.tolist(), strict=True):
+            counts[t.word(i)] += n
         if len(counts) > FLUSH:
-            yield record(kind, list(map(short, counts)), list(counts.values()))
+            yield record(kind, list(counts), list(counts.values()))
             counts = Counter()
     if counts:
-        yield record(kind, list(map(short, counts)), list(counts.values()))
+        yield record(kind, list(counts), list(counts.values()))
 
 
 class Units:
@@ -131,17 +156,27 @@ class Units:
 
     def __init__(self, known: list[bytes]):
         self.known = len(known) + 1
-        rank = {w: i + 1 for i, w in enumerate(known)}
-        self.number = Cached(lambda w: rank.get(short(w)) or self.known + ending(short(w)), 64 << 20)
         self.count = self.known + ENDINGS
+        plain = [w for w in known if not w.startswith(b" ")]
+        hashes = dict(zip(plain, repeats.word_hashes(b" ".join(plain))[0].tolist(), strict=True))
+        own = np.array([hashes[w] if w in hashes else xxhash.xxh64_intdigest(w) for w in known], np.uint64)
+        self.rank = np.argsort(own)
+        self.sorted = own[self.rank]
 
-    def numbers(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of the words, and the words."""
-        found = words(text)
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found)), found
+    def numbers(self, t: Texts) -> np.ndarray:
+        """The number of each word; each distinct word is looked up once."""
+        if not len(t.distinct):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, t.distinct), max(0, len(self.sorted) - 1))
+        hit = self.sorted[at] == t.distinct if len(self.sorted) else np.zeros(len(t.distinct), bool)
+        out = np.empty(len(t.distinct), np.int64)
+        out[hit] = self.rank[at[hit]] + 1
+        far = np.flatnonzero(~hit)
+        out[far] = [self.known + ending(t.word(i)) for i in t.first[far].tolist()]
+        return out[t.of]
 
 
-_units: dict[int, Units] = {}
+_units: dict[str, Units] = {}
 
 
 def _units_of(known) -> Units:
@@ -163,58 +198,115 @@ class Handle:
         return self.broadcast.value
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+BLOCKS = pa.schema([("block", pa.int32()), ("into", pa.bool_()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted numbers as differences, by byte planes, which compress."""
+    steps = np.diff(keys, prepend=np.int64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64))
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch], known, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbours, packed: for each block of units those after (key: unit, other) and before (into)."""
     units = _units_of(known)
-    kind = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    only()
     keys: list[np.ndarray] = []
 
-    def summed() -> pa.RecordBatch:
+    def summed() -> Iterator[pa.RecordBatch]:
         found, n = np.unique(np.concatenate(keys), return_counts=True)
         keys.clear()
-        return record(kind, pa.array((found // units.count).astype(np.int32)), pa.array((found % units.count).astype(np.int32)), pa.array(n.astype(np.int64)))
+        a, b = found // units.count, found % units.count
+        for into, unit, other in ((False, a, b), (True, b, a)):
+            block = unit % blocks
+            key = unit * units.count + other
+            order = np.lexsort((key, block))
+            block, key, count = block[order], key[order], n[order].astype(np.int32)
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            cut = list(zip(edges, edges[1:]))  # noqa: B905
+            yield record(BLOCKS, block[edges[:-1]].tolist(), [into] * len(cut), [_pack(key[i:j]) for i, j in cut], [count[i:j].tobytes() for i, j in cut])
 
     for batch in slices(batches):
-        runs = [np.zeros(1, np.int64)]
-        for text in batch.column("text").to_pylist():
-            runs += [units.numbers(text)[0], runs[0]]
-        chain = np.concatenate(runs)
+        t = Texts(batch.column("text").to_pylist())
+        chain = np.concatenate([np.zeros(1, np.int64), t.tokens(units.numbers(t))])
         keys.append(chain[:-1] * units.count + chain[1:])
         if sum(map(len, keys)) > PAIRS:
-            yield summed()
+            yield from summed()
     if sum(map(len, keys)):
-        yield summed()
+        yield from summed()
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each unit with its neighbours and how often they come after and before it."""
+SIDES = ("out", "into")
+ROWS = pa.schema([("block", pa.int32()), *((f"{side}_{part}", pa.binary()) for side in SIDES for part in ("keys", "n"))])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's counts of all tasks, added up; rows come by block."""
+
+    def solve(block: int, parts: dict[bool, list]) -> pa.RecordBatch:
+        row: list = [[block]]
+        for into in (False, True):
+            keys = np.concatenate([_unpack(k) for k, _ in parts[into]]) if parts[into] else np.zeros(0, np.int64)
+            n = np.concatenate([np.frombuffer(c, np.int32) for _, c in parts[into]]) if parts[into] else np.zeros(0, np.int32)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            row += [[_pack(keys[first])], [(np.add.reduceat(n, first) if len(first) else n).tobytes()]]
+        return record(ROWS, *row)
+
+    now, parts = None, {False: [], True: []}
+    for batch in batches:
+        for block, into, keys, n in zip(*(batch.column(c).to_pylist() for c in ("block", "into", "keys", "n")), strict=True):
+            if block != now and now is not None:
+                yield solve(now, parts)
+                parts = {False: [], True: []}
+            now = block
+            parts[into].append((keys, n))
+    if now is not None:
+        yield solve(now, parts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each block its sides (after, before): unit, neighbour, how often; sorted by unit."""
     for batch in batches:
-        lists = batch.column("near")
-        near, ends = lists.flatten(), np.cumsum(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False)))
-        other, out, into = (near.field(c).to_numpy(zero_copy_only=False) for c in ("other", "out", "into"))
-        for i, u in enumerate(batch.column("unit").to_pylist()):
-            at = slice(ends[i], ends[i + 1])
-            yield u, other[at], out[at], into[at]
+        for i in range(batch.num_rows):
+            sides = []
+            for side in SIDES:
+                keys, n = _unpack(batch.column(f"{side}_keys")[i].as_py()), np.frombuffer(batch.column(f"{side}_n")[i].as_py(), np.int64)
+                sides.append((keys // count, keys % count, n))
+            yield sides
 
 
 def _joint(batches: Iterator[pa.RecordBatch], model, blocks: int) -> Iterator[pa.RecordBatch]:
     of, classes = model.value
-    sums = np.zeros((classes, classes), np.int64)
-    for u, other, out, _ in _unit_rows(batches):
-        sums[of[u]] += np.bincount(of[other], out, classes).astype(np.int64)
+    sums = np.zeros(classes * classes, np.int64)
+    for (unit, other, n), _ in _blocks(batches, len(of)):
+        sums += np.bincount(of[unit] * classes + of[other], n, classes * classes).astype(np.int64)
     if sums.any():
-        parts = [a.tobytes() for a in np.array_split(sums, blocks)]
+        parts = [a.tobytes() for a in np.array_split(sums.reshape(classes, classes), blocks)]
         yield record(pa.schema([("block", pa.int32()), ("counts", pa.binary())]), list(range(blocks)), parts)
 
 
 def _moves(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """One round of exchange over the units of a task, which sees the moves of its own units only."""
     of, counts = model.value
-    of, joint, moved = of.copy(), Joint(counts), {}
-    for u, other, out, into in _unit_rows(batches):
-        if u:
-            apart, c = other != u, of[other]
-            right, left = np.bincount(c, out * apart, len(counts)), np.bincount(c, into * apart, len(counts))
-            new = joint.move(right, left, float(out[~apart].sum()), of[u])
+    of, joint, moved, classes = of.copy(), Joint(counts), {}, len(counts)
+    for out, into in _blocks(batches, len(of)):
+        units = np.union1d(out[0], into[0])
+        edges = [np.searchsorted(side[0], np.append(units, len(of))) for side in (out, into)]
+        for k, u in enumerate(units.tolist()):
+            if not u:
+                continue
+            (ro, rn), (lo, ln) = ((side[1][e[k] : e[k + 1]], side[2][e[k] : e[k + 1]]) for side, e in zip((out, into), edges, strict=True))
+            own = float(rn[ro == u].sum())
+            right, left = np.bincount(of[ro], rn, classes), np.bincount(of[lo], ln, classes)
+            right[of[u]] -= own
+            left[of[u]] -= own
+            new = joint.move(right, left, own, of[u])
             if new != of[u]:
                 of[u] = moved[u] = new
     if moved:
@@ -222,27 +314,26 @@ def _moves(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def cluster(training: DataFrame, share: Handle, total: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit, and bigram counts of classes: exchange over sparse rows of bigram counts, one for each unit.
+    """Class of each unit, and bigram counts of classes: exchange over sparse rows of bigram counts, in blocks of units.
 
     The rows stay in Spark; in each round every task moves its units, given the classes that all units had
     before. Only classes of units and counts of classes reach the driver. Moves that tasks make beside each
     other can lower the likelihood; then the best classes found are kept.
     """
     sc = training.sparkSession.sparkContext
-    pairs = map_arrow(training, lambda b: _bigrams(b, share), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    zero = F.lit(0).cast("long")
-    sides = F.array(F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.col("n").alias("out"), zero.alias("into")), F.struct(F.col("b").alias("unit"), F.col("a").alias("other"), zero.alias("out"), F.col("n").alias("into")))
-    near = F.collect_list(F.struct("other", "out", "into")).alias("near")
-    rows = settle(pairs.select(F.explode(sides).alias("s")).select("s.*").repartition(max(2 * sc.defaultParallelism, int(total.sum()) // TASK), "unit").groupBy("unit").agg(near))
-    blocks = 8
+    blocks = max(2 * sc.defaultParallelism, int(total.sum()) // TASK)
+    sent = map_arrow(training, lambda b: _bigrams(b, share, blocks), "block int, into boolean, keys binary, n binary")
+    dealt = sent.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
+    rows = settle(map_arrow(dealt, _merged, "block int, out_keys binary, out_n binary, into_keys binary, into_n binary"))
+    parts_of = 8
 
     def counted(of: np.ndarray) -> np.ndarray:
         model = sc.broadcast((of, classes))
-        parts = map_arrow(rows, lambda b: _joint(b, model, blocks), "block int, counts binary")
-        found = {r["block"]: r["counts"] for r in map_arrow(parts.repartition(blocks, "block"), _add, "block int, counts binary").collect()}
-        return np.concatenate([np.frombuffer(found[b], np.int64) for b in range(blocks)]).reshape(classes, classes) if found else np.zeros((classes, classes), np.int64)
+        parts = map_arrow(rows, lambda b: _joint(b, model, parts_of), "block int, counts binary")
+        found = {r["block"]: r["counts"] for r in map_arrow(parts.repartition(parts_of, "block"), _add, "block int, counts binary").collect()}
+        return np.concatenate([np.frombuffer(found[b], np.int64) for b in range(parts_of)]).reshape(classes, classes) if found else np.zeros((classes, classes), np.int64)
 
-    of = dealt(total, classes)
+    of = dealt_classes(total, classes)
     best = (of, counted(of))
     for _ in range(rounds):
         model = sc.broadcast(best)
@@ -277,23 +368,29 @@ def _score(batches: Iterator[pa.RecordBatch], known, model) -> Iterator[pa.Recor
     kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("class", pa.int32())]))
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known")), *((n, pa.float64()) for n in ("base_log", "score")), ("tail", kinds)])
     rid = TaskContext.get().partitionId() << 40
+    log_c, log_more, seen = np.log10(np.maximum(m["counts"], 1)), np.log10(m["counts"] + 1), m["counts"] > 0
+    only()
     for batch in slices(batches):
-        rows = []
-        for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-            at, found = units.numbers(text)
-            at = np.append(at, 0)
-            c = m["class_of_unit"][at]
-            score = m["transition"][np.concatenate([[0], c[:-1]]), c].sum() - m["class_total"][c].sum()
-            near = at < units.known
-            counts = m["counts"][at[near]]
-            seen = counts > 0
-            base = np.log10(counts + 1).sum()
-            score += np.log10(np.maximum(counts, 1)).sum() + m["unknown"][c[near]][~seen].sum()
-            far = Counter([short(found[i]) for i in np.flatnonzero(~near)])
-            tail = [{"word": w, "n": n, "class": int(m["class_of_unit"][units.known + ending(w)])} for w, n in far.items()]
-            rows.append((rid, doc, out, len(at), int(seen.sum()), base, score, tail))
-            rid += 1
-        yield record(schema, *map(list, zip(*rows, strict=True)))
+        t = Texts(batch.column("text").to_pylist())
+        numbers = units.numbers(t)
+        at = t.tokens(numbers)
+        c = m["class_of_unit"][at]
+        near = at < units.known
+        known = np.where(near, at, 0)
+        # A text starts after the end token of the one before it, which is the class of all starts.
+        score = m["transition"][np.concatenate([[0], c[:-1]]), c] - m["class_total"][c] + np.where(near, np.where(seen[known], log_c[known], m["unknown"][c]), 0.0)
+        sums = [np.add.reduceat(x, t.begin) for x in (score, np.where(near, log_more[known], 0.0), (near & seen[known]).astype(np.int64))]
+        far = np.flatnonzero(numbers >= units.known)
+        text = np.repeat(np.arange(len(t.counts)), t.counts)[far]
+        pair, first, n = np.unique(text * len(t.distinct) + t.of[far], return_index=True, return_counts=True) if len(far) else (far, far, far)
+        spots = far[first]
+        words = pa.array([t.word(i) for i in spots.tolist()], pa.binary())
+        tail = pa.StructArray.from_arrays([words, pa.array(n.astype(np.int32)), pa.array(m["class_of_unit"][numbers[spots]].astype(np.int32))], names=["word", "n", "class"])
+        offsets = np.searchsorted(text[first] if len(far) else far, np.arange(len(t.counts) + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), tail).cast(kinds)
+        size = len(t.counts)
+        yield record(schema, list(range(rid, rid + size)), batch.column("doc_id"), batch.column("held_out"), (t.counts + 1).tolist(), sums[2].tolist(), sums[1].tolist(), sums[0].tolist(), lists)
+        rid += size
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,11 +48,15 @@ SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 LONG_WORD = 512
 
 
-def word_hashes(text: bytes, ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of texts that lie behind each other (ends; default: one text), and each text's number of words."""
+def words_of(text: bytes, ends: list[int] | None = None, longest: int = LONG_WORD, digest: Callable = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that lie behind each other (ends; default: one text): hash, start, end, and each text's number of words.
+
+    Words longer than longest get the digest of their bytes.
+    """
     ends = [len(text)] if ends is None else ends
+    none = np.zeros(0, np.int64)
     if not text:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(ends), np.int64)
     symbols = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(symbols) + 2, bool)
     inside[1:-1] = ~SPACES[symbols]
@@ -63,9 +67,15 @@ def word_hashes(text: bytes, ends: list[int] | None = None) -> tuple[np.ndarray,
     prefix = prefix_hash(BYTE_VALUES[symbols])
     length = end - start
     out = mix((prefix[end] - prefix[start]) * powers(len(symbols))[1][start] + length.astype(np.uint64))
-    for i in np.flatnonzero(length > LONG_WORD).tolist():
-        out[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
-    return out, np.diff(np.searchsorted(start, np.array([0, *ends])))
+    for i in np.flatnonzero(length > longest).tolist():
+        out[i] = digest(text[start[i] : end[i]])
+    return out, start, end, np.diff(np.searchsorted(start, np.array([0, *ends])))
+
+
+def word_hashes(text: bytes, ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and each text's number of words."""
+    out, _, _, counts = words_of(text, ends)
+    return out, counts
 
 
 class Powers:
