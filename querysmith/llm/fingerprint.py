@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .base import WORD, map_arrow, record, settle, slices
 
 #: Samples of a fingerprint; rows of the table of sampled terms that a worker keeps; bytes of texts handled at once.
-SAMPLES, TABLE, GROUP_BYTES = 64, 150_000, 1 << 20
+SAMPLES, TABLE, GROUP_BYTES = 64, 300_000, 1 << 20
 WORDS = re.compile(WORD).findall
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -29,6 +29,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Rows(dict):
+    """Rows of a table by key; a key that is new gets the next row and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[tuple[str, int]] = []
+
+    def __missing__(self, key: tuple[str, int]) -> int:
+        row = self[key] = len(self)
+        self.fresh.append(key)
+        return row
+
+
 class Sampler:
     """Improved consistent weighted sampling: for each sample and term, r and c ~ Gamma(2, 1), beta ~ U(0, 1).
 
@@ -39,43 +52,42 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES):
         self.k = samples
-        self.keys: dict[tuple[str, int], int] = {}
+        self.rows = Rows()
         self.cost = np.empty((1024, samples), np.float32)
         self.value = np.empty((1024, samples), np.uint16)
         self.streams = [mix(np.arange(1, samples + 1, dtype=np.uint64) * GOLD + np.array([j], np.uint64) * M1) for j in range(3)]
 
-    def learn(self, keys: list[tuple[str, int]]) -> None:
-        start = len(self.keys)
+    def learn(self, keys: list[tuple[str, int]], start: int) -> None:
+        """Costs and values of keys in rows from start on."""
         while len(self.cost) < start + len(keys):
             self.cost = np.concatenate([self.cost, np.empty_like(self.cost)])
             self.value = np.concatenate([self.value, np.empty_like(self.value)])
-        for i in range(0, len(keys), 2048):
-            part = keys[i : i + 2048]
+        small = lambda x: (x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+        for i in range(0, len(keys), 512):
+            part = keys[i : i + 512]
             term = np.array([xxhash.xxh64_intdigest(w) for w, _ in part], np.uint64)[:, None]
-            weight = np.log(np.array([n for _, n in part], np.float64))[:, None]
-            drawn = [x for s in self.streams for m in [mix(term ^ s)] for x in (m >> np.uint64(32), m & np.uint64(0xFFFFFFFF))]
-            u = [(x.astype(np.float64) + 0.5) * 2.0**-32 for x in drawn[:5]]
+            weight = np.log(np.array([n for _, n in part], np.float32))[:, None]
+            # Two uniforms of 23 bits from each 64-bit hash, all of them whole numbers that 32-bit floats hold.
+            drawn = [mix(term ^ s) for s in self.streams]
+            u = [small((m >> np.uint64(shift)).astype(np.uint32) & np.uint32(0x7FFFFF)) for m in drawn for shift in (0, 40)]
             r, ln_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
             t = np.floor(weight / r + u[4])
             at = slice(start + i, start + i + len(part))
-            self.cost[at] = ln_c - r * (t - u[4] + 1)
+            self.cost[at] = ln_c - r * (t - u[4] + np.float32(1))
             self.value[at] = mix(term + t.astype(np.int64).view(np.uint64) * GOLD + np.uint64(1)) >> np.uint64(48)
-        for i, key in enumerate(keys):
-            self.keys[key] = start + i
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of samples for each text; without words, the row of zeros."""
-        bags = [list(Counter(WORDS(t)).items()) for t in texts]
-        if len(self.keys) > TABLE:
+        if len(self.rows) > TABLE:
             self.__init__(self.k)
-        new = [k for k in dict.fromkeys(k for bag in bags for k in bag) if k not in self.keys]
-        if new:
-            self.learn(new)
+        start, find = len(self.rows), self.rows.__getitem__
+        bags = [np.fromiter(map(find, bag.items()), np.int64, len(bag)) for bag in (Counter(WORDS(t)) for t in texts)]
+        self.learn(self.rows.fresh, start)
+        self.rows.fresh = []
         out = np.zeros((len(texts), self.k), np.uint16)
         every = np.arange(self.k)
-        for i, bag in enumerate(bags):
-            if bag:
-                rows = np.fromiter(map(self.keys.__getitem__, bag), np.int64, len(bag))
+        for i, rows in enumerate(bags):
+            if len(rows):
                 out[i] = self.value[rows[self.cost[rows].argmin(0)], every]
         return out
 
