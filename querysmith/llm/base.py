@@ -127,13 +127,13 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about SLICE_BYTES of the column (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about so many bytes of the column (one row at least)."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > size:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n + 64

@@ -23,8 +23,9 @@ from .packing import only
 #: units that all other words share by their ends, least number of classes, most rounds of exchange.
 KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 4
 #: Weight of the class frequencies in a class's transitions; words and bigrams a worker counts before it
-#: hands them on; training tokens for which there is one block of units.
-SMOOTHING, FLUSH, PAIRS, TASK = 20.0, 400_000, 2_000_000, 1_000_000
+#: hands them on; training tokens for which there is one block of units; bytes of texts
+#: that are handled at once.
+SMOOTHING, FLUSH, PAIRS, TASK, SLICE = 20.0, 300_000, 2_000_000, 1_000_000, 2 << 20
 
 
 def short(word: bytes) -> bytes:
@@ -140,7 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     counts: Counter = Counter()
     only()
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         t = Texts(batch.column("text").to_pylist())
         for i, n in zip(t.first.tolist(), t.n.tolist(), strict=True):
             counts[t.word(i)] += n
@@ -230,7 +231,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch], known, blocks: int) -> Iterator[
             cut = list(zip(edges, edges[1:]))  # noqa: B905
             yield record(BLOCKS, block[edges[:-1]].tolist(), [into] * len(cut), [_pack(key[i:j]) for i, j in cut], [count[i:j].tobytes() for i, j in cut])
 
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         t = Texts(batch.column("text").to_pylist())
         chain = np.concatenate([np.zeros(1, np.int64), t.tokens(units.numbers(t))])
         keys.append(chain[:-1] * units.count + chain[1:])
@@ -370,7 +371,7 @@ def _score(batches: Iterator[pa.RecordBatch], known, model) -> Iterator[pa.Recor
     rid = TaskContext.get().partitionId() << 40
     log_c, log_more, seen = np.log10(np.maximum(m["counts"], 1)), np.log10(m["counts"] + 1), m["counts"] > 0
     only()
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         t = Texts(batch.column("text").to_pylist())
         numbers = units.numbers(t)
         at = t.tokens(numbers)

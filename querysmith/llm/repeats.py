@@ -46,6 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: two symbols could be made to agree.
 SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 LONG_WORD = 512
+#: Bytes of text whose words are hashed at once.
+BLOCK_BYTES = 1 << 19
 
 
 def words_of(text: bytes, ends: list[int] | None = None, longest: int = LONG_WORD, digest: Callable = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +66,15 @@ def words_of(text: bytes, ends: list[int] | None = None, longest: int = LONG_WOR
     cut[np.array(ends)] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    prefix = prefix_hash(BYTE_VALUES[symbols])
     length = end - start
-    out = mix((prefix[end] - prefix[start]) * powers(len(symbols))[1][start] + length.astype(np.uint64))
+    out = np.empty(len(start), np.uint64)
+    blocks = np.searchsorted(start, np.arange(0, len(symbols) + BLOCK_BYTES, BLOCK_BYTES))
+    for i, j in zip(blocks, blocks[1:]):  # noqa: B905  one shorter
+        if i < j:
+            first, reach = start[i], np.minimum(length[i:j], LONG_WORD)
+            a = start[i:j] - first
+            prefix = prefix_hash(BYTE_VALUES[symbols[first : start[j - 1] + reach[-1]]])
+            out[i:j] = mix((prefix[a + reach] - prefix[a]) * powers(len(prefix))[1][a] + reach.astype(np.uint64))
     for i in np.flatnonzero(length > longest).tolist():
         out[i] = digest(text[start[i] : end[i]])
     return out, start, end, np.diff(np.searchsorted(start, np.array([0, *ends])))
