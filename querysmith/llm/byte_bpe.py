@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .base import column, map_arrow, record, slices
 from .packing import CACHE, Cached
 
-#: Bytes of a leaf of the encoding tree, tokens of the first boundary window on each side.
+#: Bytes of a leaf of the encoding tree (and parts of one of the decoding tree), tokens of the first boundary window on each side.
 LEAF, WINDOW = 16, 2
 #: White space as the rank files' library understands it (fixed values of the Unicode property).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -24,7 +24,8 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def joined(parts: list[bytes]) -> bytes:
-    """Concatenation up a tree: neighbours are joined, then neighbours of those, until one is left."""
+    """Concatenation up a tree: leaves of LEAF parts, then neighbours are joined, then neighbours of those, until one is left."""
+    parts = [b"".join(parts[i : i + LEAF]) for i in range(0, len(parts), LEAF)]
     while len(parts) > 1:
         odd = parts[-1:] if len(parts) % 2 else []
         parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + odd  # noqa: B905  an odd last one is added
@@ -46,9 +47,9 @@ class ByteBPE:
         self.none = len(self.ranks) + max(self.bytes_of)
         ours = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s+", f"[{SPACE}]+")
         self.pattern = regex.compile(ours)
-        self.pairs = Cached(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p], CACHE // 3)
-        self.words = Cached(lambda w: array("I", self.encode(w.encode())), CACHE // 3)
-        self.chunks = Cached(self._chunk, CACHE)
+        self.pairs = Cached(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p])
+        self.words = Cached(lambda w: array("I", self.encode(w.encode())))
+        self.chunks = Cached(self._chunk, CACHE // 3)
 
     def merge(self, data: bytes) -> list[int]:
         """Apply the merges by rank, leftmost first, on a few bytes."""
@@ -132,7 +133,7 @@ def digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, id_col:
             listed = " ".join(lists).encode()
             n.append(listed.count(b" ") + 1 if listed else 0)
             ids_sha.append(hashlib.sha256(listed).hexdigest())
-            text_sha.append(hashlib.sha256(joined(list(data))).hexdigest())
+            text_sha.append(hashlib.sha256(joined(data)).hexdigest())
         yield record(kind, batch.column(id_col).cast(pa.int64()), n, ids_sha, text_sha)
 
 

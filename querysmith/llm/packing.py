@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 import re
 import struct
-import sys
 import unicodedata
 import weakref
 import zlib
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 from ..operators.ranks import bucket_count, ranked
 from .base import column, hash60, map_arrow, record, settle, slices
 
-#: Bytes that a cache of words may hold in a worker, and the longest key that is kept.
-CACHE, LONGEST = 96 << 20, 64
+#: Entries that a cache of words may hold in a worker, and the longest key that is kept: with keys of at most 64
+#: characters, an entry takes about 220 bytes and 700 at most, which bounds a cache's bytes.
+CACHE, LONGEST = 1_000_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -44,39 +44,27 @@ def only(*kept: dict) -> None:
 
 
 class Cached(dict):
-    """A dict that makes missing values by a function, bounded by the bytes of its keys and values.
+    """A dict that makes missing values by a function, and forgets its older half when it is full.
 
-    When it is full it forgets its older half. Keys longer than LONGEST (texts without spaces) are never kept.
+    Keys longer than LONGEST (texts without spaces) are never kept, so entries and bytes are bounded.
     """
 
     def __init__(self, make: Callable, most: int = CACHE):
         super().__init__()
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most = make, most
         _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.make(key)
         if isinstance(key, bytes | str) and len(key) > LONGEST:
             return value
-        if self.held >= self.most:
-            newer = list(self.items())[len(self) // 2 :]
+        if len(self) >= self.most:
+            newer = list(self.items())[self.most // 2 :]
             self.clear()
             self.update(newer)
-            self.held = sum(map(_weight, newer))
         self[key] = value
-        self.held += _weight((key, value))
         return value
 
-    def clear(self) -> None:
-        super().clear()
-        self.held = 0
-
-
-def _weight(item: tuple) -> int:
-    """Bytes of an entry: key, value (with what a tuple holds), and their places."""
-    key, value = item
-    return 120 + sys.getsizeof(key) + sys.getsizeof(value) + (sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else 0)
-
 
 class WordTokenizer:
     """Ids of a tokenizer file whose pieces never cross white space, word by word through caches.
@@ -94,7 +82,7 @@ class WordTokenizer:
         self.plain = re.compile("[\x00-\u024f]+").fullmatch
         self.split = regex.compile(PIECE).findall
         self.words = Cached(self._word)
-        self.pieces = Cached(self._piece, CACHE // 3)
+        self.pieces = Cached(self._piece, CACHE // 2)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin1").translate(BYTE_CHARS)
