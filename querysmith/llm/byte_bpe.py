@@ -49,7 +49,7 @@ class ByteBPE:
         self.pattern = regex.compile(ours)
         self.pairs = Cached(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p])
         self.words = Cached(lambda w: array("I", self.encode(w.encode())))
-        self.chunks = Cached(self._chunk, CACHE // 3)
+        self.chunks = Cached(self._chunk, CACHE * 2 // 3)
 
     def merge(self, data: bytes) -> list[int]:
         """Apply the merges by rank, leftmost first, on a few bytes."""
