@@ -146,7 +146,7 @@ def judged(spark: SparkSession, pairs: DataFrame, seconds: float = LIMIT, worker
             both = p.status == g.status == "ok"
             right, error = both and p.key == g.key, p.error or g.error
             if both and not right and p.rows == g.rows and p.rows:
-                found = limited(spark, lambda: same_results(p.frame, g.frame, sizes=(p.rows, g.rows)), seconds)
+                found = limited(spark, lambda: same_results(p.frame, g.frame, sizes=(p.rows, g.rows), unequal=True), seconds)
                 right, error = found.status == "ok" and bool(found.value), found.error[:500]
             return (r["idx"], p.status, g.status, p.rows, bool(right), error)
 
