@@ -49,3 +49,11 @@ f AS (SELECT g, min(id) AS class_id FROM k GROUP BY g),
 {REACHED}
 SELECT k.id AS doc_id, f.class_id, (SELECT count(*) FROM l WHERE a = k.id) AS n_links, coalesce(c.root, k.id) AS component_id, coalesce(c.root, k.id) = k.id AS kept FROM k JOIN f ON k.g = f.g LEFT JOIN c ON k.id = c.id
 """
+
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(64 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""

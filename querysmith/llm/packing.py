@@ -56,8 +56,9 @@ class Cached(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if isinstance(key, bytes | str) and len(key) > LONGEST:
-            return value
+        return value if isinstance(key, bytes | str) and len(key) > LONGEST else self.put(key, value)
+
+    def put(self, key, value):
         if len(self) >= self.most:
             newer = list(self.items())[self.most // 2 :]
             self.clear()

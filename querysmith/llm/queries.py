@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     byte_bpe,
     class_lm,
+    conversations,
     embedding_dedup,
     fingerprint,
     jaccard_join,
@@ -17,6 +19,7 @@ from . import (
     sharding,
     substring_dedup,
     suffix_dedup,
+    topk,
 )
 from .base import table
 
@@ -69,6 +72,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_class_lm": op1_class_lm,
     "op2_packing": op2_packing,
@@ -80,6 +98,9 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_topk": op11_topk,
+    "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
 }
 #: SQL can't express the others, or is too slow on whole tables (op9); tests compare those with brute force.
 ORACLE_SQL = {
@@ -87,4 +108,5 @@ ORACLE_SQL = {
     "op7_substring_dedup": oracles.SUBSTRING,
     "op8_embedding_dedup": oracles.EMBEDDINGS,
     "op10_jaccard_join": oracles.JACCARD,
+    "op11_topk": oracles.TOPK,
 }
