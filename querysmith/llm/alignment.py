@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,13 +21,16 @@ from ..session import importable
 from .base import column, map_arrow, record, settle, slices
 from .packing import BYTE_CHARS, LONGEST, Cached, only
 
-#: Bytes of text whose documents share one list of distinct links, and words whose alignment a worker keeps.
-CHUNK, WORDS_KEPT = 32 << 20, 400_000
+#: Characters of text whose documents share one list of distinct links, words whose alignment a worker keeps, and
+#: words that go to the tokenizers together.
+CHUNK, WORDS_KEPT, LOT = 8 << 20, 400_000, 4096
+#: Bytes of text that are cut into words at once.
+SLICE = 2 << 20
 #: A space between two characters that no Unicode definition calls white space: both tokenizers start a token there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: A step of the transducer: (leading side, its unmatched bytes, next token of the other side).
-State = tuple[int, bytes, int]
+#: A state of the transducer: leading side, its unmatched bytes.
+State = tuple[int, bytes]
 #: Tokens of side A, groups as text, packed links (A id in the upper, B id in the lower 32 bits); None: bytes differ.
 Word = tuple[int, str, bytes] | None
 
@@ -53,43 +57,64 @@ class Transducer:
     """Aligns two token sequences of the same bytes.
 
     The state is which side leads and the bytes of its last token that the other side hasn't matched yet. The
-    next token always comes from the side behind; what it does to a state is memoised by (side, residual,
-    token). Each such token overlaps exactly the leading token, which is a link; an empty residual closes a
-    group.
+    next token always comes from the side behind; what it does to a state is memoised by (state, token). Each
+    such token overlaps exactly the leading token, which is a link; an empty residual closes a group. States are
+    numbered; their residuals are ends of tokens, so the vocabularies bound them.
     """
 
     def __init__(self, *sides: list[bytes]):
         self.sides = sides
+        self.states: list[State] = [(0, b"")]
+        self.numbers: dict[State, int] = {}
         self.moves = Cached(self._move)
 
-    def _move(self, state: State) -> tuple[int, bytes] | None:
-        lead, residual, token = state
+    def state(self, lead: int, residual: bytes) -> int:
+        """Twice the number of a state, plus its side; 0 for no residual."""
+        if not residual:
+            return 0
+        if (lead, residual) not in self.numbers:
+            self.numbers[lead, residual] = 2 * len(self.states) + lead
+            self.states.append((lead, residual))
+        return self.numbers[lead, residual]
+
+    def _move(self, key: int) -> int:
+        """The next state; -1 where bytes differ. From the empty state, a token of A leads."""
+        (lead, residual), token = self.states[key >> 33], key & 0xFFFFFFFF
+        if not residual:
+            return self.state(0, self.sides[0][token])
         data = self.sides[1 - lead][token]
         if len(data) <= len(residual):
-            return (lead, residual[len(data) :]) if residual.startswith(data) else None
-        return (1 - lead, data[len(residual) :]) if data.startswith(residual) else None
+            return self.state(lead, residual[len(data) :]) if residual.startswith(data) else -1
+        return self.state(1 - lead, data[len(residual) :]) if data.startswith(residual) else -1
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]] | None:
         """Groups (ids of A, ids of B) and links in order; None if the sequences' bytes differ."""
-        queues, groups, links, moves = (iter(a), iter(b)), [], [], self.moves
-        for first in queues[0]:
-            group, lead, residual, last = ([first], []), 0, self.sides[0][first], first
-            while residual:
-                token = next(queues[1 - lead], None)
-                move = None if token is None else moves[lead, residual, token]
-                if move is None:
-                    return None
-                group[1 - lead].append(token)
-                links.append((token << 32 | last) if lead else (last << 32 | token))
-                if move[0] != lead:
-                    last = token
-                lead, residual = move
-            groups.append(group)
-        return (groups, links) if next(queues[1], None) is None else None
+        more_a, more_b, moves = iter(a), iter(b), self.moves
+        groups, links = [], []
+        for first in more_a:
+            state, last, xs, ys = moves[first], first, [first], []
+            while state:
+                if state & 1:
+                    if (token := next(more_a, -1)) < 0 or (new := moves[state << 32 | token]) < 0:
+                        return None
+                    xs.append(token)
+                    links.append(token << 32 | last)
+                    if not new & 1:
+                        last = token
+                else:
+                    if (token := next(more_b, -1)) < 0 or (new := moves[state << 32 | token]) < 0:
+                        return None
+                    ys.append(token)
+                    links.append(last << 32 | token)
+                    if new & 1:
+                        last = token
+                state = new
+            groups.append((xs, ys))
+        return (groups, links) if next(more_b, None) is None else None
 
 
 def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
+    return ";".join([f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
 
 
 class Aligner:
@@ -116,13 +141,14 @@ class Aligner:
         return CUT.split(text) if self.cut else [text]
 
     def _batch(self, words: list[str]) -> Iterator[tuple[str, Word]]:
-        left, right = self.sides
-        a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for word, x, ys in zip(words, a, self.b.encode(words, num_threads=1), strict=True):
-            xs, data = x.ids, b" " + word.encode()
-            same = b"".join([left[i] for i in xs]) == data == b"".join([right[i] for i in ys])
-            found = self.machine.align(xs, ys) if same else None
-            yield word, (len(xs), shown(found[0]), struct.pack(f"<{len(found[1])}q", *found[1])) if found else None
+        left = self.sides[0]
+        for i in range(0, len(words), LOT):
+            lot = words[i : i + LOT]
+            a = self.a.encode_batch_fast([" " + w for w in lot], add_special_tokens=False)
+            for word, x, ys in zip(lot, a, self.b.encode(lot, num_threads=1), strict=True):
+                xs = x.ids
+                found = self.machine.align(xs, ys) if b"".join([left[t] for t in xs]) == b" " + word.encode() else None
+                yield word, (len(xs), shown(found[0]), array("q", found[1]).tobytes()) if found else None
 
     def __call__(self, texts: list[str | None]) -> list[list[Word]]:
         """The alignment of each space+text in parts; no part for a text without tokens. Words that no text before
@@ -148,6 +174,7 @@ _aligners: dict[tuple[str, str], Aligner] = {}
 def aligner(a_path: str, b_path: str) -> Aligner:
     if (a_path, b_path) not in _aligners:
         _aligners[a_path, b_path] = Aligner(a_path, b_path)
+        gc.freeze()  # the vocabularies stay; looking them over again and again takes a tenth of a task's time
     return _aligners[a_path, b_path]
 
 
@@ -181,7 +208,7 @@ def _documents(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, chun
         if len(pairs):
             yield record(_KIND, [chunk], *[[None]] * 8, pa.ListArray.from_arrays([0, len(pairs)], pa.array(pairs)), pa.ListArray.from_arrays([0, len(count)], pa.array(count.astype(np.int32))))
 
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         texts = column(batch, "text")
         for doc, text, words in zip(column(batch, "doc_id"), texts, own(texts), strict=True):
             sizes, listed, packed = zip(*words, strict=True) if words else ((), (), ())
@@ -238,7 +265,7 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """Align each whole text's tokens by two tokenizers: byte-level A on space+text, pieces B on the text.
 
-    Words align through the memoised transducer. The documents of a chunk (chunk_bytes of text, one document at
+    Words align through the memoised transducer. The documents of a chunk (chunk_bytes characters of text, one document at
     least) share a list of distinct links; those lists are summed by pair in Spark, and counts go back to
     their chunk, so what moves is a row for each distinct pair of a chunk, whatever the number of its
     occurrences. Only the highest count of each A id (bounded by A's vocabulary) reaches all tasks. A worker
@@ -265,7 +292,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             out = []
             for words in own(column(batch, "text")):
                 rows, at = [], 0
