@@ -98,12 +98,19 @@ def _is_query(group: Token) -> bool:
     return group.kind == "group" and bool(group.inside) and group.inside[0].upper in ("SELECT", "WITH")
 
 
+def _joins(part: list[Token], i: int) -> bool:
+    """Whether a word of a join stands at i: before a parenthesis it is a function (LEFT, RIGHT), in a name's place a name."""
+    word = part[i].upper if part[i].kind == "word" else ""
+    called = i + 1 < len(part) and part[i + 1].kind == "group" and word != "JOIN" and not _is_query(part[i + 1])
+    return (word in JOIN_WORDS or word == "JOIN") and not called and not (i and part[i - 1].text == ".")
+
+
 def _sources(sql: str, part: list[Token]) -> list[Source]:
     found: list[Source] = []
     i, how = 0, ""
     while i < len(part):
         word = part[i].upper
-        if word in JOIN_WORDS:
+        if word in JOIN_WORDS and _joins(part, i):
             kinds = []
             while i < len(part) and part[i].upper in JOIN_WORDS:
                 kinds.append(part[i].upper)
@@ -117,7 +124,7 @@ def _sources(sql: str, part: list[Token]) -> list[Source]:
             continue
         if word in ("ON", "USING"):
             end = i + 1
-            while end < len(part) and part[end].text != "," and part[end].upper not in JOIN_WORDS and part[end].upper != "JOIN":
+            while end < len(part) and part[end].text != "," and not _joins(part, end):
                 end += 1
             if found:
                 found[-1].on = _text(sql, part[i + 1 : end])
@@ -260,7 +267,7 @@ def _conditions(part: list[Token]) -> Iterator[list[Token]]:
     while i < len(part):
         if part[i].upper in ("ON", "USING"):
             end = i + 1
-            while end < len(part) and part[end].text != "," and part[end].upper not in JOIN_WORDS and part[end].upper != "JOIN":
+            while end < len(part) and part[end].text != "," and not _joins(part, end):
                 end += 1
             yield part[i + 1 : end]
             i = end

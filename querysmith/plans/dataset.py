@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sql_text, text
+from ..functions import dialect, sql_text, text
 from ..operators import dedup, stats
 from ..sources import files
 from . import execute
@@ -92,16 +92,19 @@ def build(samples: DataFrame, folder: str, seed: int = 42, ratio: float = 0.05,
     return out
 
 
-def clean(samples: DataFrame, folder: str, judge: DataFrame | None = None, least: float = 0.7) -> DataFrame:
+def clean(samples: DataFrame, folder: str, judge: DataFrame | None = None, least: float = 0.7, schemas: dict[str, dialect.Schema] | None = None) -> DataFrame:
     """Samples whose query runs and returns rows and, given a judge's replies (idx, reply), that it accepts.
 
-    Each stage is written under folder; a stage that is there is not run again.
+    The stages loaded and executed are written under folder, and one that is there is not run again; a judge's
+    stage is made anew. With schemas (by db_id), queries run as Spark's rewriting of the benchmark's dialect; the
+    samples keep their own texts.
     """
     spark = samples.sparkSession
     loaded = files.resume(spark, folder, "loaded") or files.checkpoint(files.usable(samples), folder, "loaded")
     ran = files.resume(spark, folder, "executed")
     if ran is None:
-        facts = execute.validated(spark, loaded, "SQL", "idx").filter("status = 'ok' AND n_rows > 0")
+        texts = loaded if schemas is None else dialect.rewritten(loaded, "SQL", schemas, "db_id")
+        facts = execute.validated(spark, texts, "SQL", "idx").filter("status = 'ok' AND n_rows > 0")
         ran = files.checkpoint(loaded.join(facts.select("idx", "n_rows"), "idx"), folder, "executed")
     if judge is None:
         return ran

@@ -159,12 +159,21 @@ def judged(spark: SparkSession, pairs: DataFrame, seconds: float = LIMIT, worker
 
 
 def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows: int = 3, seconds: float = SHORT_LIMIT) -> DataFrame:
-    """key, status, total, preview: each result's number of rows and its first rows, as a JSON array of arrays of texts."""
+    """key, status, total, preview: each result's number of rows and its first rows, as a JSON array of arrays of texts.
+
+    A query runs once. Its own order counts where it has one at its end, else the first rows are the least ones.
+    """
 
     def ask(df: DataFrame) -> tuple[int, str]:
-        cells = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-        first = cells.limit(rows).select(F.array(*(F.col(c).cast("string") for c in cells.columns)).alias("r"))
-        return df.count(), json.dumps([r["r"] for r in first.collect()], ensure_ascii=False)
+        in_order = is_sorted(df)
+        kept = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            total = kept.count()
+            first = kept if in_order else kept.orderBy(*kept.columns)
+            cells = first.limit(rows).select(F.array(*(F.col(c).cast("string") for c in kept.columns)).alias("r"))
+            return total, json.dumps([r["r"] for r in cells.collect()], ensure_ascii=False)
+        finally:
+            kept.unpersist()
 
     def one(page: list) -> list[tuple]:
         found = each(spark, (r[1] for r in page), ask, seconds)
@@ -174,6 +183,14 @@ def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows:
     return gathered(spark, map(one, pages(queries.select(key, sql))), f"{key} {kind}, status string, total long, preview string")
 
 
+def is_sorted(df: DataFrame) -> bool:
+    """Whether a query ends with an order of all its rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "GlobalLimit", "LocalLimit", "Offset") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "Sort"
+
+
 def refine(spark: SparkSession, queries: DataFrame, key: str, sql: str, rounds: int = 3, fix: Callable | None = None, seconds: float = SHORT_LIMIT) -> DataFrame:
     """Queries after up to `rounds` rounds of repair of those that fail: key, sql, status, rounds.
 

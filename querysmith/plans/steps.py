@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import schema_text, text
+from ..functions import dialect, schema_text, text
 from ..functions.text import word_count
 from ..operators import evaluate, lsh, profile, stats
 from ..sources import catalog, files
@@ -80,9 +80,10 @@ def schemas(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def clean_data(spark: SparkSession, config: Config) -> DataFrame:
-    catalog.Database.at(spark, config["root"]).register()
+    db = catalog.Database.at(spark, config["root"]).register()
     samples = files.read_array(spark, config["samples"]).withColumn("idx", F.monotonically_increasing_id())
-    out = dataset.clean(samples, config["out"])
+    schemas = {config["root"].rstrip("/").rsplit("/", 1)[-1]: dialect.schema_of(spark, db.names)} if config.get("dialect") == "sqlite" else None
+    out = dataset.clean(samples, config["out"], schemas=schemas)
     stats.stage_statistics(out, "question", "SQL", "db_id").crossJoin(stats.stage_details(out)).show(truncate=False)  # one row each
     return out
 
@@ -136,9 +137,13 @@ def predict_all(spark: SparkSession, config: Config, generators: list[predict.Ge
 
 
 def evaluate_all(spark: SparkSession, config: Config) -> str:
-    """Judge pairs, and write the log of predictions, the results and the report under out."""
-    catalog.Database.at(spark, config["root"]).register()
+    """Judge pairs, and write the log of predictions, the results and the report under out. With dialect "sqlite" both
+    queries of a pair run as Spark's rewriting of them, and the log shows that."""
+    db = catalog.Database.at(spark, config["root"]).register()
     pairs = spark.read.schema("idx int, pred_sql string, gold_sql string, difficulty string, db_id string, question string").json(config["pairs"])
+    if config.get("dialect") == "sqlite":
+        for side in ("pred_sql", "gold_sql"):
+            pairs = dialect.rewritten(pairs, side, {"": dialect.schema_of(spark, db.names)})
     facts = files.checkpoint(pairs.join(execute.judged(spark, pairs), "idx").withColumnRenamed("pred_status", "status"), config["out"], "facts")
     shown = execute.previews(spark, pairs.select(F.explode(F.array("pred_sql", "gold_sql")).alias("sql")).distinct().select(F.col("sql").alias("key"), "sql"), "key", "sql").withColumnRenamed("key", "sql")
     samples = evaluate.per_sample(facts, shown)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import schema_text, sql_parse, sql_text, text
+from .functions import dialect, schema_text, sql_parse, sql_text, text
 from .operators import collections, compare, dedup, evaluate, lsh, profile, ranks, reward, stats, vectors, vote
 from .plans import execute, workload
 from .sources import catalog, files
@@ -531,6 +531,61 @@ def _(spark, sf_dir):
     return execute.validated(spark, workload.questions(spark), "gold", "qid").select("qid", "status", "n_rows")
 
 
+#: Query texts in the dialect of the benchmark databases, made for each order priority ({p}; {q} in lower case), and
+#: the rows that each has for a priority p, in SQL.
+DIALECT_FORMS = {
+    "least": "SELECT o_orderkey, MIN(o_totalprice) FROM orders WHERE o_orderpriority = '{p}' LIMIT 0, 5",
+    "greatest": 'SELECT o_orderstatus, o_custkey, MAX(o_orderkey) AS "last one" FROM orders WHERE o_orderpriority = "{p}" GROUP BY o_orderstatus ORDER BY o_orderstatus',
+    "dependent": "SELECT c.c_name, COUNT(o.o_orderkey) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderpriority = '{p}' GROUP BY c.c_custkey ORDER BY n DESC, c.c_name LIMIT 2, 3",
+    "truths": "SELECT SUM(iif(o_totalprice > 100000, 1, 0)), SUM(o_orderstatus = 'F'), TOTAL(o_custkey % 2 = 0) FROM orders WHERE o_orderpriority LIKE '{q}'",
+    "listed": "SELECT o_orderstatus, length(group_concat(o_orderkey)), group_concat(DISTINCT o_orderstatus) FROM orders WHERE o_orderpriority = '{p}' GROUP BY o_orderstatus ORDER BY 1",
+    "divided": "SELECT SUM(o_orderkey) / COUNT(*), COUNT(*) / 7 * 2, MAX(o_custkey) % 0, MAX(o_orderkey) / 2.0 FROM orders WHERE o_orderpriority = '{p}'",
+    "months": "SELECT strftime('%Y-%m', o_orderdate) AS month, COUNT(*) AS n FROM orders WHERE o_orderpriority = '{p}' GROUP BY month ORDER BY n DESC, month LIMIT 1, 2",
+    "shapes": "SELECT COUNT(*) FROM orders WHERE o_orderpriority GLOB '[1-3]-*' AND o_orderpriority IS '{p}' AND o_orderstatus IS NOT 'P'",
+    "quoted": 'SELECT COUNT(*) AS "number of orders" FROM [orders] WHERE "o_orderpriority" = "{p}" AND max(o_custkey, 50) > 50',
+    "broken": "SELECT COUNT(*) FROM orders WHERE o_orderpriority = '{p}' AND no_such_column / 2 > 1",
+}
+
+
+def _json_sql(*cells: str) -> str:
+    """A row of texts as JSON shows it."""
+    return "'[' || " + " || ', ' || ".join(f"coalesce('\"' || CAST({c} AS VARCHAR) || '\"', 'null')" for c in cells) + " || ']'"
+
+
+def _dialect_sql() -> str:
+    o = "(SELECT *, o_orderpriority AS p FROM orders)"
+    rows = {
+        "least": f"SELECT p, 1 AS r, {_json_sql('o_orderkey', 'o_totalprice')} AS row FROM {o} QUALIFY row_number() OVER (PARTITION BY p ORDER BY o_totalprice, o_orderkey) = 1",
+        "greatest": f"SELECT p, row_number() OVER (PARTITION BY p ORDER BY o_orderstatus), {_json_sql('o_orderstatus', 'o_custkey', 'o_orderkey')} FROM (SELECT * FROM {o} QUALIFY row_number() OVER (PARTITION BY p, o_orderstatus ORDER BY o_orderkey DESC) = 1)",
+        "dependent": f"SELECT p, r, {_json_sql('c_name', 'n')} FROM (SELECT p, c_name, n, row_number() OVER (PARTITION BY p ORDER BY n DESC, c_name) AS r FROM (SELECT p, o_custkey, any_value(c_name) AS c_name, count(*) AS n FROM {o} JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)) WHERE r BETWEEN 3 AND 5",
+        "truths": f"SELECT p, 1, {_json_sql('count(*) FILTER (WHERE o_totalprice > 100000)', "count(*) FILTER (WHERE o_orderstatus = 'F')", 'CAST(count(*) FILTER (WHERE o_custkey % 2 = 0) AS DOUBLE)')} FROM {o} GROUP BY p",
+        "listed": f"SELECT p, row_number() OVER (PARTITION BY p ORDER BY o_orderstatus), {_json_sql('o_orderstatus', 'n', 'o_orderstatus')} FROM (SELECT p, o_orderstatus, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) - 1 AS BIGINT) AS n FROM {o} GROUP BY 1, 2)",
+        "divided": f"SELECT p, 1, {_json_sql('CAST(sum(o_orderkey) AS BIGINT) // count(*)', 'count(*) // 7 * 2', 'NULL', 'max(o_orderkey) / 2')} FROM {o} GROUP BY p",
+        "months": f"SELECT p, r, {_json_sql('m', 'n')} FROM (SELECT p, strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, strftime(o_orderdate, '%Y-%m')) AS r FROM {o} GROUP BY 1, 2) WHERE r IN (2, 3)",
+        "shapes": f"SELECT p, 1, {_json_sql("count(*) FILTER (WHERE p[1] IN ('1', '2', '3') AND p[2] = '-' AND o_orderstatus <> 'P')")} FROM {o} GROUP BY p",
+        "quoted": f"SELECT p, 1, {_json_sql('count(*) FILTER (WHERE o_custkey > 50)')} FROM {o} GROUP BY p",
+    }
+    found = " UNION ALL ".join(f"SELECT '{form}' AS form, * FROM ({sql}) AS t(p, r, row)" for form, sql in rows.items())
+    return f"""SELECT form, p AS priority, 'ok' AS status, count(*) AS total, '[' || string_agg(row, ', ' ORDER BY r) || ']' AS preview FROM ({found}) GROUP BY form, p
+UNION ALL SELECT DISTINCT 'broken', o_orderpriority, 'error', 0, '[]' FROM orders"""
+
+
+def dialect_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """form, priority and text of a query for each form and each priority that an order has."""
+    forms = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), F.lit(v).alias("text")) for k, v in DIALECT_FORMS.items()))).alias("f")
+    each = read(spark, sf_dir, "orders").filter("o_orderpriority IS NOT NULL").select(F.col("o_orderpriority").alias("priority")).distinct()
+    made = F.replace(F.replace(F.col("f.text"), F.lit("{p}"), F.col("priority")), F.lit("{q}"), F.lower("priority"))
+    return each.select("priority", forms).select(F.concat_ws("|", "f.form", "priority").alias("key"), "f.form", "priority", made.alias("sql"))
+
+
+@query("gold_dialect", _dialect_sql())
+def _(spark, sf_dir):
+    _registered(spark, sf_dir)
+    texts = dialect_texts(spark, sf_dir)
+    ready = dialect.rewritten(texts, "sql", {"": dialect.schema_of(spark, ["orders", "customer"])})
+    return texts.select("key", "form", "priority").join(execute.previews(spark, ready, "key", "sql", rows=5), "key").drop("key")
+
+
 def _judged_sql() -> str:
     """Multiset equality of each candidate's rows and the gold rows, by position; right only if both run."""
     gold = {q: g for q, *_, g in workload.QUESTIONS}
