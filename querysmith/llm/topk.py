@@ -26,7 +26,7 @@ BLOCK = 256
 def shards_of(rows: int, most: int = SHARD) -> int:
     """Shards grow with the square root of the rows, so that a query's copies and a shard's size both stay small,
     and beyond that so that none holds more than `most` rows on average."""
-    return max(1, math.ceil(math.sqrt(rows) / 32), math.ceil(rows / most))
+    return max(1, math.ceil(math.sqrt(rows) / 8), math.ceil(rows / most))
 
 
 def quantised(vector: list | None, steps: int = STEPS) -> list[int] | None:
