@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+from . import nearest
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
@@ -17,27 +20,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def top_k(entries: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """The k nearest entries (id, v) of each query (qid, q): qid, id, distance, rank; ties: the smaller id.
-
-    queries is a stated set against all rows; Spark broadcasts it if its size allows. With same, only entries that agree in that column are looked
-    at, and the search is an equi-join; an entry isn't its own hit.
-    """
-    if same:
-        met = entries.join(queries, same)
-    else:
-        met = entries.crossJoin(queries)
-    alike = entries.schema["id"].dataType == queries.schema["qid"].dataType
-    itself = F.col("id") == F.col("qid") if alike else F.col("id").cast("string") == F.col("qid").cast("string")
-    near = met.filter(~itself).select("qid", "id", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return near.filter(F.col("distance").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k nearest entries (id, v) of each query (qid, q): qid, id, distance, rank; ties: the smaller id; an entry
+    isn't its own hit. With same, only entries that agree in that column are looked at. See nearest.search."""
+    return nearest.search(entries, queries, k, same)
 
 
 def top_k_or_any(entries: DataFrame, queries: DataFrame, k: int, same: str) -> DataFrame:
     """top_k within the column's value; queries for which there is no entry get hits from everywhere."""
-    within = top_k(entries, queries, k, same)
+    within = files.settled(nearest.search(entries, queries, k, same))
     rest = queries.join(within.select("qid").distinct(), "qid", "left_anti").drop(same)
-    return within.unionByName(top_k(entries.drop(same), rest, k))
+    if rest.isEmpty():
+        return within
+    return within.unionByName(nearest.search(entries.drop(same), rest, k))
 
 
 def value_hints(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,3 +192,31 @@ def config(path: str, preset: str | None = None) -> dict:
 
 def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
+
+
+_settled: list[tuple[SparkSession, str]] = []
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: one evaluation, and
+    lineage ends there. Only a local master may leave the folder unset; the files go when the driver ends."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
+    path = f"{shared}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _settled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _settled:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the JVM may already be gone
+            return
