@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from ..session import importable
 from ..sources import files
@@ -151,14 +151,34 @@ class Search:
     cells: DataFrame
     asked: DataFrame
     k: int
-    kinds: tuple[DataType, DataType]
+
+    def hits(self, report: dict | None = None) -> DataFrame:
+        """The k nearest entries of each query, in two rounds; see search."""
+        nearest = Window.partitionBy("qid").orderBy("angle", "place")
+        ranked = self.asked.withColumn("nth", F.row_number().over(nearest))
+        first = self.visit(ranked.filter("nth = 1").withColumn("bound", F.lit(None).cast("double")))
+        first = files.settled(first)
+        kth = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= self.k, F.max("distance")).alias("bound"))
+        rest = ranked.filter("nth > 1").join(kth, "qid", "left")
+        reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("bound"))))
+        open_ = rest.filter(F.col("bound").isNull() | (F.col("angle") - F.col("radius") <= reach + SLACK))
+        if report is not None:
+            total = lambda df: df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            report.update(met=total(ranked.filter("nth = 1")) + total(open_), all=total(self.asked))
+        hits = first.unionByName(self.visit(open_))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+        return hits.withColumn("rank", rank).filter(F.col("rank") <= self.k)
+
+    def entries_of(self, visits: DataFrame) -> DataFrame:
+        """id, v, place of the entries that the visits may need."""
+        return self.entries
 
     def visit(self, visits: DataFrame) -> DataFrame:
         """Hits of visits (qid, bound, place, blocks): a cell's entries are cut into blocks by a hash of their ids,
         which each visitor goes through."""
-        id_kind, qid_kind = self.kinds
+        id_kind, qid_kind = self.entries.schema["id"].dataType, self.queries.schema["qid"].dataType
         number = lambda salt: F.xxhash64(F.col("place"), salt)
-        theirs = self.entries.join(self.cells.select("place", "blocks"), "place").select(number(F.pmod(F.xxhash64("id", "v"), "blocks")).alias("block"), F.lit(None).cast(qid_kind).alias("qid"), "id", "v", F.lit(None).cast("double").alias("bound"))
+        theirs = self.entries_of(visits).join(self.cells.select("place", "blocks"), "place").select(number(F.pmod(F.xxhash64("id", "v"), "blocks")).alias("block"), F.lit(None).cast(qid_kind).alias("qid"), "id", "v", F.lit(None).cast("double").alias("bound"))
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         ours = visits.withColumn("salt", salts).join(self.queries, "qid").select(number(F.col("salt")).alias("block"), "qid", F.lit(None).cast(id_kind).alias("id"), "v", "bound")
         parts = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,25 +195,40 @@ def _arrow(kind: DataType) -> pa.Field:
     return pa.field("x", to_arrow_type(kind))
 
 
+def same_kind(entries: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ids of one type: whole numbers as long, else as text."""
+    kinds = {entries.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()}
+    if len(kinds) == 1:
+        return entries, queries
+    both = "bigint" if kinds <= {"int", "bigint"} else "string"
+    return entries.withColumn("id", F.col("id").cast(both)), queries.withColumn("qid", F.col("qid").cast(both))
+
+
+def celled(entries: DataFrame, middle: list[np.ndarray]) -> DataFrame:
+    """Entries (id, v, group and others) with dim, cell, angle and place."""
+    return placed(entries, "id", "v", middle, every=False).withColumn("place", F.xxhash64("group", "dim", "cell"))
+
+
+def cell_sizes(own: DataFrame) -> DataFrame:
+    """place, group, dim, cell, radius and size of each cell that has entries."""
+    return own.groupBy("place", "group", "dim", "cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size"))
+
+
+def asking(queries: DataFrame, cells: DataFrame, middle: list[np.ndarray]) -> DataFrame:
+    """qid, place, blocks, size, angle, radius, group, cell of each cell that a query (qid, v, group) may visit."""
+    met = placed(queries, "qid", "v", middle, every=True).join(cells, ["group", "dim", "cell"])
+    return files.settled(met.select("qid", "place", "blocks", "size", "angle", "radius", "group", "cell"))
+
+
 def prepared(entries: DataFrame, queries: DataFrame, k: int, same: str | None, centres: int, block: int) -> Search:
-    id_kind, qid_kind = entries.schema["id"].dataType, queries.schema["qid"].dataType
-    if id_kind != qid_kind:
-        both = LongType() if {id_kind.simpleString(), qid_kind.simpleString()} <= {"int", "bigint"} else "string"
-        entries, queries = entries.withColumn("id", F.col("id").cast(both)), queries.withColumn("qid", F.col("qid").cast(both))
-        id_kind, qid_kind = entries.schema["id"].dataType, queries.schema["qid"].dataType
+    entries, queries = same_kind(entries, queries)
     group = F.col(same) if same else F.lit(0)
-    entries = entries.filter("id IS NOT NULL").select("id", F.col("v").cast("array<double>").alias("v"), group.alias("group"))
-    queries = queries.filter("qid IS NOT NULL").select("qid", F.col("q").cast("array<double>").alias("v"), group.alias("group"))
-    if same:
-        entries, queries = entries.filter("group IS NOT NULL"), queries.filter("group IS NOT NULL")
+    entries = entries.filter("id IS NOT NULL").select("id", F.col("v").cast("array<double>").alias("v"), group.alias("group")).filter("group IS NOT NULL")
+    queries = queries.filter("qid IS NOT NULL").select("qid", F.col("q").cast("array<double>").alias("v"), group.alias("group")).filter("group IS NOT NULL")
     middle = sampled(entries, max(1, min(centres, entries.count() // PER_CENTRE)))
-    place = F.xxhash64("group", "dim", "cell").alias("place")
-    own = files.settled(placed(entries, "id", "v", middle, every=False).select("id", "v", "group", "dim", "cell", "angle", place))
-    cells = own.groupBy("place", "group", "dim", "cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
-    cells = files.settled(cells)
-    asked = placed(queries, "qid", "v", middle, every=True)
-    met = asked.join(cells, ["group", "dim", "cell"]).select("qid", "place", "blocks", "size", "angle", "radius")
-    return Search(own.select("id", "v", "place"), queries.select("qid", "v"), cells, files.settled(met), k, (id_kind, qid_kind))
+    own = files.settled(celled(entries, middle))
+    cells = files.settled(cell_sizes(own).withColumn("blocks", F.ceil(F.col("size") / block)))
+    return Search(own.select("id", "v", "place"), queries.select("qid", "v"), cells, asking(queries, cells, middle), k)
 
 
 def search(entries: DataFrame, queries: DataFrame, k: int, same: str | None = None, centres: int = CENTRES, block: int = BLOCK, report: dict | None = None) -> DataFrame:
@@ -210,19 +245,5 @@ def search(entries: DataFrame, queries: DataFrame, k: int, same: str | None = No
     have no distance and no hits, nor have vectors of different lengths; null ids take no part; queries hold each
     qid once. Ties: the smaller id. report takes the numbers of pairs that were compared (met) and that there are (all).
     """
-    s = prepared(entries, queries, k, same, centres, block)
-    nearest = Window.partitionBy("qid").orderBy("angle", "place")
-    ranked = s.asked.withColumn("nth", F.row_number().over(nearest))
-    first = s.visit(ranked.filter("nth = 1").withColumn("bound", F.lit(None).cast("double")))
-    first = files.settled(first)
-    kth = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-    rest = ranked.filter("nth > 1").join(kth, "qid", "left")
-    reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("bound"))))
-    open_ = rest.filter(F.col("bound").isNull() | (F.col("angle") - F.col("radius") <= reach + SLACK))
-    if report is not None:
-        total = lambda df: df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        report.update(met=total(ranked.filter("nth = 1")) + total(open_), all=total(s.asked))
-    hits = first.unionByName(s.visit(open_))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return prepared(entries, queries, k, same, centres, block).hits(report)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dialect, schema_text, text
 from ..functions.text import word_count
 from ..operators import evaluate, lsh, profile, stats
-from ..sources import catalog, files
+from ..sources import catalog, files, store
 from . import dataset, execute, predict, training
 
 Config = dict
@@ -45,7 +45,7 @@ def enriched(spark: SparkSession, db_id: str, place: str, folder: str, describe:
     rows = files.cached(spark, f"{folder}/profiles", db_id, place, lambda: profile.profiles(tables))
     if describe is not None:
         keyed = rows.withColumn("key", text.cache_key(F.lit(db_id), F.col("table"), F.col("column"), F.col("min"), F.col("max")))
-        rows = files.answered(keyed, f"{folder}/descriptions", "key", describe).drop("key")
+        rows = store.answered(keyed, f"{folder}/descriptions", "key", describe).drop("key")
     else:
         rows = rows.withColumn("description", F.lit(""))
     columns = catalog.column_keys(db.columns(), db.foreign_keys()).join(rows.select("table", "column", "description"), ["table", "column"], "left")

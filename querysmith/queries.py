@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dialect, schema_text, sql_parse, sql_text, text
 from .operators import collections, compare, dedup, evaluate, lsh, profile, ranks, reward, stats, vectors, vote
 from .plans import execute, workload
-from .sources import catalog, files
+from .sources import catalog, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1011,4 +1011,31 @@ _LETTERS = "[" + ", ".join(f"length(regexp_replace(lower({{0}}), '[^{c}]', '', '
 def _(spark, sf_dir):
     entries = collections.cells({"nation": read(spark, sf_dir, "nation").select("n_name")}, _letters)
     asked = read(spark, sf_dir, "region").select(F.col("r_name").alias("qid"), F.col("r_name").alias("text"))
-    return collections.nearest(entries, asked, _letters, 3).join(entries.select("id", F.col("document").alias("value")), "id").select("qid", "value", F.round("distance", 6).alias("distance"))
+    return collections.hits(entries, asked, _letters, 3).join(entries.select("id", F.col("document").alias("value")), "id").select("qid", "value", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "stored_collection",
+    f"WITH e AS {_VECTORS}, q AS (SELECT * FROM e WHERE id % 100 = 0), d AS (SELECT q.id AS qid, e.id, {_COSINE} AS distance FROM q JOIN e ON e.label = q.label AND e.id <> q.id) "
+    "SELECT qid, id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM d WHERE distance IS NOT NULL QUALIFY rank <= 5",
+)
+def _(spark, sf_dir):
+    """A collection that is built, appended to (entries that are there stay), and searched within labels."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    folder = files.passing_folder(spark, "collection")
+    collections.append(e.filter("id % 3 <> 0"), folder, by="label")
+    collections.append(e, folder, by="label")
+    asked = e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("part"))
+    return collections.search(spark, folder, asked, 5, same=True).withColumn("distance", F.round("distance", 6))
+
+
+@query("answer_store", "SELECT doc_id, sha256(text) AS key, CAST(length(text) AS INTEGER) AS answer, 1 AS stored FROM documents WHERE text IS NOT NULL")
+def _(spark, sf_dir):
+    """Two runs that answer the same keys beside each other: the second commits while the first is about to."""
+    wanted = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    folder, reply = files.passing_folder(spark, "answers"), lambda df: df.withColumn("answer", F.length("text"))
+    later = iter([lambda: store.answered(wanted.filter("doc_id % 3 > 0"), folder, "key", reply)])
+    store.answered(wanted.filter("doc_id % 2 = 0"), folder, "key", reply, before=lambda: next(later, lambda: None)())
+    found = store.answered(wanted, folder, "key", reply)
+    copies = store.rows(spark, folder).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("stored"))
+    return found.select("doc_id", "key", "answer").join(copies, "key")

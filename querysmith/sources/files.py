@@ -106,17 +106,6 @@ def total_bytes(spark: SparkSession, folder: str) -> int:
     return system.getContentSummary(path).getLength() if system.exists(path) else 0
 
 
-def answered(wanted: DataFrame, folder: str, key: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """wanted with the columns that answer adds: rows whose key is stored under folder are read, only the others
-    are answered, and their answers are added to the store."""
-    spark = wanted.sparkSession
-    store = resume(spark, *folder.rsplit("/", 1))
-    misses = wanted if store is None else wanted.join(store.select(key), key, "left_anti")
-    made = answer(misses)
-    made.select(key, *(c for c in made.columns if c not in wanted.columns)).dropDuplicates([key]).write.mode("append").parquet(folder)
-    return wanted.join(spark.read.parquet(folder), key)
-
-
 def cached(spark: SparkSession, folder: str, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A result stored under a key of its source's files (paths, sizes, times), made anew when they change."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
@@ -197,19 +186,24 @@ def schema_of(ddl: str) -> StructType:
 _settled: list[tuple[SparkSession, str]] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: one evaluation, and
-    lineage ends there. Only a local master may leave the folder unset; the files go when the driver ends."""
-    spark = df.sparkSession
+def passing_folder(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder where all executors see it (spark.checkpoint.dir), which goes when the driver ends. Only a local
+    master may leave that setting out."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
-    path = f"{shared}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
     _settled.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to a passing folder and read back: one evaluation, and lineage ends there."""
+    path = passing_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

@@ -122,7 +122,7 @@ def test_collections(spark, tmp_path):
     collections.append(collections.cells(tables, embed), folder)
     assert collections.stored(spark, folder).count() == 4
     asked = spark.createDataFrame([(1, "xxx")], "qid int, text string")
-    assert collections.nearest(built, asked, embed, 1).first()["distance"] < 1e-9
+    assert collections.hits(built, asked, embed, 1).first()["distance"] < 1e-9
 
 
 def test_files(spark, tmp_path):
