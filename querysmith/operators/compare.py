@@ -64,7 +64,7 @@ def same_results(pred: DataFrame | None, gold: DataFrame | None, tolerance: floa
         if n <= ranks.BUCKET_ROWS:
             place = F.row_number().over(Window.partitionBy(*(exact or ["__all"])).orderBy(*order))
             return rows.coalesce(1).select(*(F.col(c).alias(prefix + c) for c in df.columns), place.alias(prefix + "__place"))
-        out = ranks.ranked(rows, exact or ["__all"], ranks.range_bucket(rows, close[0]), order, "__place", "__of")
+        out = ranks.ranked(ranks.in_ranges(rows, close[0]), exact or ["__all"], F.col("__b"), order, "__place", "__of")
         return out.select(*(F.col(c).alias(prefix + c) for c in [*df.columns, "__place"]))
 
     left, right = placed(p, ""), placed(g, "g_")

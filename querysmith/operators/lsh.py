@@ -83,6 +83,7 @@ def look_up(entries: DataFrame, queries: DataFrame, k: int = 5, crowded: int = C
     among the k best are compared whole, and only queries whose k-th hit doesn't beat that bound go on to their
     crowded postings, which are spread over `salts` keys. Nothing is dropped: both ways give the same hits.
     """
+    entries, queries = files.settled(entries.select("value", "signature")), files.settled(queries.select("qid", "signature"))  # hashed once
     asked = postings(queries, "qid")
     whole = queries.select("qid", F.size("signature").alias("places"))
     sizes = postings(entries, "value").join(asked.select("place", "h").distinct(), ["place", "h"], "left_semi").groupBy("place", "h").agg(F.count(F.lit(1)).alias("size"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, TimestampNTZType, TimestampType
 
 PROFILE = ("table", "column", "row_count", "null_count", "distinct_count", "min", "max")
 
@@ -23,23 +23,46 @@ def shown(value: Column, kind: DataType) -> Column:
     return value.cast("string")
 
 
-def profile(table: str, df: DataFrame) -> DataFrame:
-    """A row for each column. Each column is read by itself (a column-pruned scan) and grouped by value with
-    partial sums, so no row is expanded, and distinct values are all that moves."""
+def widened(kind: DataType) -> DataType:
+    """The type in which a column's values are told apart and ordered; columns of one such type share a field."""
+    if isinstance(kind, ByteType | ShortType | IntegerType):
+        return LongType()
+    return DoubleType() if isinstance(kind, FloatType) else kind
 
-    def one(name: str, kind: DataType) -> DataFrame:
-        groups = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-        return groups.agg(
-            F.lit(table).alias("table"), F.lit(name).alias("column"), count(F.col("n")).alias("row_count"), count(F.when(F.col("v").isNull(), F.col("n"))).alias("null_count"),
-            F.count("v").alias("distinct_count"), shown(F.min("v"), kind).alias("min"), shown(F.max("v"), kind).alias("max"),
-        ).select(*PROFILE)
 
-    return reduce(DataFrame.unionByName, (one(f.name, f.dataType) for f in df.schema.fields))
+def profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each column of each table: row, null and distinct counts, least and greatest value as text.
+
+    Each table is scanned once. A row gives one entry for each column, with its value in the field of its type;
+    entries are counted by (column, value) in each task before they move, and one shuffle brings all columns'
+    values together, so what moves is distinct values. NaN is a value and the greatest one.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    columns = [(t, f.name, f.dataType) for t, df in tables.items() for f in df.schema.fields]
+    kinds = {widened(k).simpleString(): widened(k) for *_, k in columns}
+    names = {k: f"v{i}" for i, k in enumerate(kinds)}
+    parts, at = [], 0
+    for df in tables.values():
+        entries = []
+        for f in df.schema.fields:
+            own = widened(f.dataType).simpleString()
+            values = [(F.col(f"`{f.name}`").cast(kind) if k == own else F.lit(None).cast(kind)).alias(names[k]) for k, kind in kinds.items()]
+            entries.append(F.struct(F.lit(at).alias("at"), *values))
+            at += 1
+        parts.append(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    groups = reduce(DataFrame.unionByName, parts).groupBy("at", *names.values()).agg(F.count(F.lit(1)).alias("n"))
+    value = reduce(lambda a, b: a | b, (F.col(v).isNotNull() for v in names.values()))
+    ends = [f(F.col(v)).alias(f"{n}_{v}") for v in names.values() for n, f in (("min", F.min), ("max", F.max))]
+    found = groups.groupBy("at").agg(F.sum("n").alias("row_count"), F.sum(F.when(~value, F.col("n")).otherwise(0)).alias("null_count"), F.count_if(value).alias("distinct_count"), *ends)
+    text = lambda end: F.coalesce(*(F.when(F.col(f"{end}_{v}").isNotNull(), shown(F.col(f"{end}_{v}"), kinds[k])) for k, v in names.items())).alias(end)
+    asked = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(columns)], "at int, table string, column string")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return asked.join(found, "at", "left").select("table", "column", *map(count, ("row_count", "null_count", "distinct_count")), text("min"), text("max"))
 
 
-def profiles(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (profile(t, df) for t, df in tables.items()))
+def profile(table: str, df: DataFrame) -> DataFrame:
+    """profiles() of one table."""
+    return profiles({table: df})
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 #: Rows that one bucket aims to hold, and the most buckets that are made.
 BUCKET_ROWS, MAX_BUCKETS = 1024, 1 << 20
 
@@ -47,18 +49,18 @@ def ranked(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence
     return out.drop("__b", "__r", "__ahead", *(f"__k_{k}" for k in keys))
 
 
-def range_bucket(df: DataFrame, key: str) -> Column:
-    """Equal ranges of a numeric column as buckets that are monotone in it (nulls first), as many as the rows ask for."""
-    value = F.col(key).cast("double")
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    buckets = bucket_count(got["n"])
-    if got["lo"] is None or not got["hi"] > got["lo"]:
-        return F.when(value.isNull(), -1).otherwise(0).cast("long")
-    width = (got["hi"] - got["lo"]) / buckets
-    return F.when(value.isNull(), -1).otherwise(F.floor((value - F.lit(got["lo"])) / F.lit(width))).cast("long")
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """df with the number of the range that each row lies in (__b, monotone in the order, nulls first).
+
+    Spark samples the order and cuts it into as many ranges as a shuffle has partitions, each with about as many
+    rows whatever the values are: outliers, infinities and text are ranged as well as even numbers. Equal values
+    share a range. The rows are written once, so that all readers see the same cuts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.settled(df.repartitionByRange(parts, F.col(order).asc_nulls_first()).withColumn("__b", F.spark_partition_id().cast("long")))
 
 
 def numbered(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
-    """df with 1-based places in the order of a numeric key, which has to be unique."""
-    marked = df.withColumn("__all", F.lit(0))
-    return ranked(marked, ["__all"], range_bucket(df, key), [F.col(key)], out, "__total").drop("__all", "__total").withColumn(out, F.col(out).cast("long"))
+    """df with 1-based places in the order of a key, which has to be unique."""
+    marked = in_ranges(df.withColumn("__all", F.lit(0)), key)
+    return ranked(marked, ["__all"], F.col("__b"), [F.col(key)], out, "__total").drop("__all", "__total").withColumn(out, F.col(out).cast("long"))

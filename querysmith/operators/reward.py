@@ -62,14 +62,14 @@ def exact_mean(value: Column, over: WindowSpec | None = None, scale: int = 6) ->
 
 
 def trailing_mean(steps: DataFrame, order: str, value: str, width: int = 100, by: str | None = None, block: int = 10_000) -> DataFrame:
-    """steps with the mean of the last width values in a numeric, unique order (of each key of by), as a decimal.
+    """steps with the mean of the last width values in a unique order (of each key of by), as a decimal.
 
     Rows get exact ranks and are averaged in blocks of ranks; a block also gets the last width - 1 rows of
     the one before it, so a key with most of the rows is as many tasks as it has blocks.
     """
     key = by or "__all"
     rows = steps if by else steps.withColumn("__all", F.lit(0))
-    placed = ranks.ranked(rows, [key], ranks.range_bucket(rows, order), [F.col(order)], "__rank", "__total")
+    placed = ranks.ranked(ranks.in_ranges(rows, order), [key], F.col("__b"), [F.col(order)], "__rank", "__total")
     block = max(block, width)
     home = F.expr(f"(__rank - 1) div {block}")
     edge = (F.col("__rank") - 1) % block >= block - width + 1
@@ -80,12 +80,12 @@ def trailing_mean(steps: DataFrame, order: str, value: str, width: int = 100, by
 
 
 def running_mean(steps: DataFrame, order: str, value: str, by: str) -> DataFrame:
-    """steps with the mean of all values so far in a numeric, unique order of each key, as a decimal.
+    """steps with the mean of all values so far in a unique order of each key, as a decimal.
 
     Running sums within ranges of the order, plus the sums of the ranges before.
     """
     x = F.col(value).cast("decimal(28,6)")
-    rows = steps.withColumn("__b", ranks.range_bucket(steps, order))
+    rows = ranks.in_ranges(steps, order)
     parts = rows.groupBy(by, "__b").agg(F.sum(x).alias("__s"), F.count(value).alias("__n"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     ahead = parts.select(F.col(by).alias(f"__k_{by}"), F.col("__b").alias("__k___b"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
