@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from . import canonical
 
 #: System messages of the five tasks (fixed values, as trained models expect them).
 SYSTEM_MESSAGES = {
@@ -103,9 +106,13 @@ def trainable(messages: Column) -> Column:
     return F.coalesce(F.size(messages) >= 2, F.lit(False))
 
 
+#: Messages of a chat.
+MESSAGES = ArrayType(StructType([StructField("role", StringType()), StructField("content", StringType())]))
+
+
 def message_hash(messages: Column) -> Column:
-    """Equal for equal messages; the bytes are those of compact JSON."""
-    return F.sha2(F.to_json(messages), 256)
+    """SHA-256 of the messages' canonical JSON, characters beyond ASCII as they are."""
+    return F.sha2(canonical.written(messages, MESSAGES, ascii_only=False), 256)
 
 
 def numbered(steps: Column) -> Column:
@@ -141,8 +148,9 @@ def example_question(schema: Column, question: Column, evidence: Column, example
 
 
 def cache_key(*parts: Column) -> Column:
-    """SHA-256 of a JSON array of the parts (null: empty text), by which answers are cached."""
-    return F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 256)
+    """SHA-256 of a canonical JSON array of the parts (null: empty text), by which answers are cached."""
+    texts = F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.sha2(canonical.written(texts, ArrayType(StringType())), 256)
 
 
 def descriptions(reply: Column) -> Column:
@@ -209,10 +217,33 @@ def collection_name(db_id: Column, prefix: str = "cells_", longest: int = 63) ->
     return F.regexp_replace(F.regexp_replace(name, r"^[^A-Za-z0-9]+", ""), r"[^A-Za-z0-9]+$", "")
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def turn_spans(ids: Column, header: list[int], end: int) -> Column:
+    """Spans (start, end) of turns in token ids: from behind each occurrence of the header's ids to behind the next
+    end id, or to the last id where none follows."""
+    h, wanted = len(header), F.array(*map(F.lit, header))
+
+    def spans(x: Column) -> Column:
+        n = F.size(x)
+        found = F.filter(F.sequence(F.lit(0), F.greatest(n - h, F.lit(0))), lambda i: (F.get(x, i) == header[0]) & (F.slice(x, i + 1, F.lit(h)) == wanted))
+
+        def span(i: Column) -> Column:
+            close = F.array_position(F.slice(x, i + h + 1, F.greatest(n - h - i, F.lit(0))), F.lit(end)).cast("int")
+            return F.struct((i + h).alias("start"), F.when(close > 0, i + h + close).otherwise(n).alias("end"))
+
+        return F.when(n >= h, F.transform(found, span)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    return bound(ids, spans)
+
+
 def masked_labels(ids: Column, spans: Column, ignore: int = -100) -> Column:
     """ids where a span (start, end) of the assistant covers them, else ignore."""
-    covered = lambda i: F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-    return F.transform(ids, lambda x, i: F.when(covered(i), x).otherwise(ignore))
+    covered = lambda s, i: F.exists(s, lambda x: (x["start"] <= i) & (i < x["end"]))
+    return bound(spans, lambda s: F.transform(ids, lambda x, i: F.when(covered(s, i), x).otherwise(ignore)))
 
 
 def padded(ids: Column, length: Column, fill: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dialect, sql_text, text
 from ..operators import dedup, stats
 from ..sources import files
-from . import execute
+from . import execute, repair
 
 Builder = Callable[[DataFrame], DataFrame]
 
@@ -92,8 +92,9 @@ def build(samples: DataFrame, folder: str, seed: int = 42, ratio: float = 0.05,
     return out
 
 
-def clean(samples: DataFrame, folder: str, judge: DataFrame | None = None, least: float = 0.7, schemas: dict[str, dialect.Schema] | None = None) -> DataFrame:
-    """Samples whose query runs and returns rows and, given a judge's replies (idx, reply), that it accepts.
+def clean(samples: DataFrame, folder: str, judge: DataFrame | repair.Ask | None = None, least: float = 0.7, schemas: dict[str, dialect.Schema] | None = None) -> DataFrame:
+    """Samples whose query runs and returns rows and, given a judge or its replies (idx, reply), that it accepts. A
+    judge is asked about samples that no run has asked about yet, with the first rows of their results.
 
     The stages loaded and executed are written under folder, and one that is there is not run again; a judge's
     stage is made anew. With schemas (by db_id), queries run as Spark's rewriting of the benchmark's dialect; the
@@ -108,5 +109,11 @@ def clean(samples: DataFrame, folder: str, judge: DataFrame | None = None, least
         ran = files.checkpoint(loaded.join(facts.select("idx", "n_rows"), "idx"), folder, "executed")
     if judge is None:
         return ran
+    if callable(judge):
+        texts = ran if schemas is None else dialect.rewritten(ran, "SQL", schemas, "db_id")
+        shown = execute.previews(spark, texts, "idx", "SQL", rows=repair.SHOWN).select("idx", "preview")
+        known = ran if "schema_text" in ran.columns else ran.withColumn("schema_text", F.lit(None).cast("string"))
+        told = repair.verdicts(known.join(shown, "idx"), judge, f"{folder}/verdicts")
+        return files.checkpoint(told.filter(F.col("valid") & (F.col("confidence") >= least)).select(*ran.columns), folder, "semantic")
     seen = judge.select("idx", text.verdict(F.col("reply")).alias("v"))
     return files.checkpoint(ran.join(seen, "idx").filter(F.col("v.valid") & (F.col("v.confidence") >= least)).drop("v"), folder, "semantic")

@@ -159,7 +159,7 @@ def judged(spark: SparkSession, pairs: DataFrame, seconds: float = LIMIT, worker
 
 
 def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows: int = 3, seconds: float = SHORT_LIMIT) -> DataFrame:
-    """key, status, total, preview: each result's number of rows and its first rows, as a JSON array of arrays of texts.
+    """key, status, total, preview, error: each result's number of rows and its first rows, as a JSON array of arrays of texts.
 
     A query runs once. Its own order counts where it has one at its end, else the first rows are the least ones.
     """
@@ -177,10 +177,10 @@ def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows:
 
     def one(page: list) -> list[tuple]:
         found = each(spark, (r[1] for r in page), ask, seconds)
-        return [(r[0], found[r[1]].status, *(found[r[1]].value or (0, "[]"))) for r in page]
+        return [(r[0], found[r[1]].status, *(found[r[1]].value or (0, "[]")), found[r[1]].error[:500]) for r in page]
 
     kind = queries.schema[key].dataType.simpleString()
-    return gathered(spark, map(one, pages(queries.select(key, sql))), f"{key} {kind}, status string, total long, preview string")
+    return gathered(spark, map(one, pages(queries.select(key, sql))), f"{key} {kind}, status string, total long, preview string, error string")
 
 
 def is_sorted(df: DataFrame) -> bool:

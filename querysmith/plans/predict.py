@@ -24,7 +24,7 @@ class Predictor:
     """Parts of a prediction; each works on all questions at once.
 
     generators: each takes questions (qid, question, db_id, evidence, schema_text, prompt) and gives (qid,
-    reply); a generator that raises is left out, as is a question without a reply. schema: db_id, schema_text.
+    reply); a generator that raises is left out (failures says why), as is a question without a reply. schema: db_id, schema_text.
     examples(questions) gives (qid, examples) for the prompts. method: tournament or self_consistency.
     """
 
@@ -36,6 +36,8 @@ class Predictor:
     method: str = "tournament"
     rounds: int = 3
     timing: dict[str, float] = field(default_factory=dict)
+    #: What generators that raised said, by their number.
+    failures: dict[int, str] = field(default_factory=dict)
 
     def _timed(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
         start = time.time()
@@ -62,7 +64,8 @@ class Predictor:
             try:
                 made = generate(rows).select("qid", F.lit(i).alias("i"), extract_sql(F.col("reply")).alias("sql")).filter(F.trim("sql") != "").persist()
                 made.count()
-            except Exception:  # a generator that fails leaves its candidates out
+            except Exception as e:  # a generator that fails leaves its candidates out
+                self.failures[i] = str(e)[:500]
                 continue
             out = made if out is None else out.unionByName(made)
         fallback = rows.select("qid", F.lit(len(self.generators)).alias("i"), F.lit(NOTHING).alias("sql"))
@@ -95,7 +98,7 @@ class Predictor:
         A question without text or database is answered by NOTHING with the method error and no candidates.
         Seconds of each stage are in timing, with total and mean a question.
         """
-        self.timing = {}
+        self.timing, self.failures = {}, {}
         whole = text.present(F.col("question")) & text.present(F.col("db_id"))
         good, bad = questions.filter(whole), questions.filter(~F.coalesce(whole, F.lit(False)))
         rows = self._timed("schema", lambda: self._prompts(good))

@@ -145,7 +145,7 @@ def evaluate_all(spark: SparkSession, config: Config) -> str:
         for side in ("pred_sql", "gold_sql"):
             pairs = dialect.rewritten(pairs, side, {"": dialect.schema_of(spark, db.names)})
     facts = files.checkpoint(pairs.join(execute.judged(spark, pairs), "idx").withColumnRenamed("pred_status", "status"), config["out"], "facts")
-    shown = execute.previews(spark, pairs.select(F.explode(F.array("pred_sql", "gold_sql")).alias("sql")).distinct().select(F.col("sql").alias("key"), "sql"), "key", "sql").withColumnRenamed("key", "sql")
+    shown = execute.previews(spark, pairs.select(F.explode(F.array("pred_sql", "gold_sql")).alias("sql")).distinct().select(F.col("sql").alias("key"), "sql"), "key", "sql").drop("error").withColumnRenamed("key", "sql")
     samples = evaluate.per_sample(facts, shown)
     rows, errors = evaluate.accuracy(facts), evaluate.error_taxonomy(facts)
     files.write_lines(samples, f"{config['out']}/predictions")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dialect, schema_text, sql_parse, sql_text, text
+from .functions import dialect, schema_text, sql_parse, sql_text, text, tokens
 from .operators import collections, compare, dedup, evaluate, lsh, profile, ranks, reward, stats, vectors, vote
-from .plans import execute, workload
+from .plans import execute, models, repair, training, workload
 from .sources import catalog, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,7 +583,7 @@ def _(spark, sf_dir):
     _registered(spark, sf_dir)
     texts = dialect_texts(spark, sf_dir)
     ready = dialect.rewritten(texts, "sql", {"": dialect.schema_of(spark, ["orders", "customer"])})
-    return texts.select("key", "form", "priority").join(execute.previews(spark, ready, "key", "sql", rows=5), "key").drop("key")
+    return texts.select("key", "form", "priority").join(execute.previews(spark, ready, "key", "sql", rows=5), "key").drop("key", "error")
 
 
 def _judged_sql() -> str:
@@ -763,14 +763,17 @@ def _(spark, sf_dir):
     return execute.mutated(spark, workload.questions(spark), "qid", "gold").select("qid", "error_type")
 
 
-_PREVIEWED = [(q, i, s) for q, i, s in workload.CANDIDATES if (q, i) in {(1, 0), (2, 1), (3, 1), (5, 1), (9, 0)}]
+def _previewed_sql() -> str:
+    one = "SELECT {n} AS idx, {q} AS qid, '{status}' AS status, {total} AS total, least(3, {total}) AS shown"
+    return " UNION ALL ".join(one.format(n=n, q=q, status="error" if (q, i) in workload.BROKEN else "ok", total="0" if (q, i) in workload.BROKEN else f"(SELECT count(*) FROM ({s}))") for n, (q, i, s) in enumerate(workload.CANDIDATES))
 
 
-@query("result_previews", " UNION ALL ".join(f"SELECT {q} AS qid, (SELECT count(*) FROM ({s})) AS total, least(3, (SELECT count(*) FROM ({s}))) AS shown" for q, _, s in _PREVIEWED))
+@query("result_previews", _previewed_sql())
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    got = execute.previews(spark, spark.createDataFrame(_PREVIEWED, "qid int, i int, sql string"), "qid", "sql")
-    return got.select("qid", "total", F.size(F.from_json("preview", "array<array<string>>")).cast("long").alias("shown"))
+    texts = spark.createDataFrame([(n, q, s) for n, (q, _, s) in enumerate(workload.CANDIDATES)], "idx int, qid int, sql string")
+    got = execute.previews(spark, texts, "idx", "sql").join(texts.select("idx", "qid"), "idx")
+    return got.select("idx", "qid", "status", "total", F.size(F.from_json("preview", "array<array<string>>")).cast("long").alias("shown"))
 
 
 @query("rewards", f"SELECT f.qid, f.i, round(CAST(CASE WHEN pred_status <> 'ok' THEN 0.0 WHEN correct THEN 1.0 ELSE 0.1 END + CASE WHEN tables = gold_tables THEN 0.05 ELSE 0 END AS DOUBLE), 4) AS reward FROM {_FACTS} f JOIN {_NAMED} ON f.qid = t.qid AND f.i = t.i")
@@ -1039,3 +1042,105 @@ def _(spark, sf_dir):
     found = store.answered(wanted, folder, "key", reply)
     copies = store.rows(spark, folder).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("stored"))
     return found.select("doc_id", "key", "answer").join(copies, "key")
+
+
+def _chats(spark, sf_dir):
+    """conv_id and messages of each conversation, in the order of its turns."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+@query("message_hashes", "SELECT conv_id, sha256('[' || string_agg('{\"content\": ' || CAST(to_json(text) AS VARCHAR) || ', \"role\": ' || CAST(to_json(role) AS VARCHAR) || '}', ', ' ORDER BY turn) || ']') AS hash FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    return _chats(spark, sf_dir).select("conv_id", text.message_hash(F.col("messages")).alias("hash"))
+
+
+@query("assistant_labels")
+def _(spark, sf_dir):
+    """Token ids and labels of all conversations in padded batches; SQL has no tokenizer, tests have brute force."""
+    import public_tokenizers
+
+    rows = tokens.labelled(_chats(spark, sf_dir), "messages", public_tokenizers.path("byte_bpe_50k.json"), training.templated).select("conv_id", "ids", "labels")
+    return tokens.batched(rows, "conv_id", 8, pad=50256).select("conv_id", "batch", "ids", "labels", "mask")
+
+
+@query("positional_lines", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS idx FROM customer) SELECT o.idx, o_orderkey, c_custkey, c_name FROM o JOIN c ON o.idx = c.idx")
+def _(spark, sf_dir):
+    """Two files of lines without a key, joined by the places of their lines."""
+    left, right = files.passing_folder(spark, "lines"), files.passing_folder(spark, "lines")
+    files.write_lines(read(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey"), left)
+    files.write_lines(read(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy(F.desc("c_name"), "c_custkey"), right)
+    return files.read_numbered(spark, left, "o_orderkey long").join(files.read_numbered(spark, right, "c_custkey long, c_name string"), "idx")
+
+
+def _letter_model():
+    """Stands for a model: the number of letters of a text; it can't answer long texts."""
+
+    def model(texts: list[str]) -> list[str]:
+        for t in texts:
+            if len(t) > 600:
+                raise ValueError("text is too long")
+        return [str(sum(c.isascii() and c.isalpha() for c in t)) for t in texts]
+
+    return model
+
+
+@query("model_replies", "SELECT conv_id, turn, CASE WHEN length(text) <= 600 THEN CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS VARCHAR) END AS reply, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) > 600 THEN 'ValueError: text is too long' END AS error FROM conversations")
+def _(spark, sf_dir):
+    answered = read(spark, sf_dir, "conversations").select("conv_id", "turn", models.call(F.col("text"), "letters", _letter_model, tries=2, wait=0.0).alias("r"))
+    return answered.select("conv_id", "turn", F.col("r.value").alias("reply"), F.col("r.error").alias("error"))
+
+
+@query(
+    "streamed_means",
+    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(round(1000000.0 * count(DISTINCT lower(trim(event_type))) / count(*)) AS BIGINT) AS m FROM events GROUP BY 1, 2)
+SELECT user_id, CAST(day AS VARCHAR) AS day, sum(m) OVER w / count(*) OVER w / 1000000.0 AS running_mean, sum(m) OVER v / count(*) OVER v / 1000000.0 AS trailing_mean FROM d
+WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY user_id ORDER BY day ROWS 2 PRECEDING)""",
+)
+def _(spark, sf_dir):
+    """The diversity of each user's day as a stream that arrives in two parts; the second run goes on from the first one's state."""
+    from .streaming import monitors, rollups
+
+    days = read(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list("event_type").alias("responses"))
+    middle = days.agg(F.percentile_approx(F.unix_date(F.to_date("day")), 0.5)).first()[0] or 0
+    early = F.unix_date(F.to_date("day")) < middle
+    source, out, state = (files.passing_folder(spark, n) for n in ("stream", "means", "state"))
+    for part in (days.filter(early), days.filter(~early)):
+        part.write.mode("append").parquet(source)
+        stream = rollups.read(spark, source, "user_id bigint, day string, responses array<string>")
+        checks = stream.select("user_id", "day", monitors.group_diversity(F.col("responses")).alias("diversity"))
+        rollups.drained(monitors.means(checks, "user_id", "day", "diversity", 3), out, state)
+    return spark.read.parquet(out)
+
+
+#: Answers to "How many parts of brand B are there?" by the brand's number: right, broken but mendable by rules, broken
+#: beyond them, empty, about another brand, and beyond repair.
+_REPAIR_CASES = {
+    0: "SELECT COUNT(*) FROM part WHERE p_brand = '{b}'", 1: "SELECT COUNT(*) FROM (SELECT p_name FROM part WHERE p_brand = '{b}'", 2: "SELECT COUNT(p_nothing) FROM part WHERE p_brand = '{b}'",
+    3: "SELECT p_name FROM part WHERE p_brand = '{b}' AND p_size < 0", 4: "SELECT COUNT(*) FROM part WHERE p_brand = 'other'", 5: "SELECT COUNT(lost) FROM part WHERE p_brand = '{b}'",
+}
+
+
+def _repairs_sql() -> str:
+    case = " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''").replace("{b}", "' || p_brand || '") + (");" if k == 1 else "")) for k, v in _REPAIR_CASES.items() if k in (0, 1, 5))
+    right = _REPAIR_CASES[0].replace("'", "''").replace("{b}", "' || p_brand || '")
+    return f"""WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) % 6 AS k FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL))
+SELECT p_brand AS qid, CASE k {case} ELSE '{right}' END AS "SQL", CASE WHEN k = 5 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k IN (0, 5) THEN 0 ELSE 1 END AS rounds, k = 5 AS open FROM b"""
+
+
+@query("judged_repairs", _repairs_sql())
+def _(spark, sf_dir):
+    """Questions about each brand with right, broken and doubtful answers, judged and repaired in rounds."""
+    _registered(spark, sf_dir)
+    brands = ranks.numbered(read(spark, sf_dir, "part").select("p_brand").filter("p_brand IS NOT NULL").distinct(), "p_brand", "n")
+    cases = F.create_map(*(x for k, v in _REPAIR_CASES.items() for x in (F.lit(k), F.lit(v))))
+    samples = brands.select(
+        F.col("p_brand").alias("qid"), F.concat(F.lit("How many parts of brand "), "p_brand", F.lit(" are there?")).alias("question"), F.lit("sales").alias("db_id"), F.lit("CREATE TABLE part (p_brand VARCHAR)").alias("schema_text"),
+        F.replace(cases[(F.col("n") % 6).cast("int")], F.lit("{b}"), F.col("p_brand")).alias("SQL"),
+    )
+    brand = F.regexp_extract("prompt", r"parts of brand (.*) are there", 1)
+    fits, other = '{"valid": true, "confidence": 0.9, "reason": "fits"}', '```json\n{"valid": false, "confidence": 0.9, "reason": "another brand"}\n```'
+    judge = lambda df: df.select("key", F.when(F.col("prompt").contains(F.concat(F.lit("p_brand = '"), brand, F.lit("'"))), fits).otherwise(other).alias("reply"))
+    fix = lambda df: df.select("key", F.when(F.col("prompt").contains("COUNT(lost)"), "").otherwise(F.concat(F.lit("```sql\nSELECT COUNT(*) FROM part WHERE p_brand = '"), brand, F.lit("'\n```"))).alias("reply"))
+    done = repair.repair(samples, files.passing_folder(spark, "repair"), judge, fix, rounds=2)
+    return done.select("qid", "SQL", "status", "rounds", F.col("issue").isNotNull().alias("open"))

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +31,27 @@ def read_lines(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, out: str = "idx") -> DataFrame:
+    """idx (from 0) and value of the lines that aren't blank, in the order of the files' names and of their lines.
+
+    Files are split for reading, and any task may read any split. A line's place within its split, the split's
+    place in its file and the counts of all splits before add up to its number: only a row for each split is
+    put in order, never the lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
+    full = lines.filter(F.trim("value") != "")
+    within = Window.partitionBy("file", "at").orderBy("place")
+    local = settled(full.withColumn("nth", F.row_number().over(within)).select("value", "file", "at", "nth"))
+    splits = local.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"))
+    ahead = splits.select("file", "at", (F.sum("n").over(Window.orderBy("file", "at")) - F.col("n")).alias("ahead"))
+    return local.join(ahead, ["file", "at"]).select((F.col("ahead") + F.col("nth") - 1).alias(out), "value")
+
+
+def read_numbered(spark: SparkSession, path: str, schema: str = SAMPLE, out: str = "idx") -> DataFrame:
+    """JSON objects of lines with their number; a line that is no object has nulls."""
+    return numbered_lines(spark, path, out).select(out, F.from_json("value", schema).alias("o")).select(out, "o.*")
+
+
 def write_lines(df: DataFrame, path: str, single: bool = False) -> None:
     """JSON lines; single: one part file, for small results only."""
     (df.coalesce(1) if single else df).write.mode("overwrite").json(path)
