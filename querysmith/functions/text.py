@@ -1,13 +1,16 @@
-"""Functions over questions, model replies and chat messages. All are built-in expressions."""
+"""Functions over questions, model replies and chat messages; built-in expressions but for the scanner of questions."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..session import importable
 from . import canonical
 
 #: System messages of the five tasks (fixed values, as trained models expect them).
@@ -43,12 +46,60 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
+#: What a quoted string starts and ends with.
+QUOTES = ("'", '"')
+
+
+def _runs(text: str) -> list[str]:
+    """Runs of letters, digits and underscores, and every other character by itself."""
+    return re.findall(r"\w+|.", text, re.S)
+
+
+def _without_strings(text: str) -> str:
+    """A quote that has another one behind it, with something between them, opens a string; either kind closes either."""
+    out, at = [], 0
+    while at < len(text):
+        close = next((i for i in range(at + 1, len(text)) if text[i] in QUOTES), None) if text[at] in QUOTES else None
+        if close is not None and close > at + 1:
+            out.append("<STRING>")
+            at = close + 1
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
+def skeleton_of(text: str) -> str:
+    """Quoted strings, then dates (three numbers with hyphens or slashes between them, of four digits for the year, which
+    comes first or last, and of one or two for the others), then numbers, with a fraction or not."""
+    runs = _runs(_without_strings(text))
+    size = lambda i: len(runs[i]) if i < len(runs) and runs[i].isdecimal() else 0
+    for wanted in (("4", "12", "12"), ("12", "12", "4")):
+        i = 0
+        while i + 4 < len(runs):
+            if all(str(size(i + 2 * n)) in widths for n, widths in enumerate(wanted)) and runs[i + 1] in "-/" and runs[i + 3] in "-/":
+                runs[i : i + 5] = ["<DATE>"]
+            i += 1
+    out, i = [], 0
+    while i < len(runs):
+        if size(i):
+            out.append("<NUMBER>")
+            i += 2 if i + 2 < len(runs) and runs[i + 1] == "." and size(i + 2) else 0
+        else:
+            out.append(runs[i])
+        i += 1
+    return "".join(out)
+
+
 def question_skeleton(text: Column) -> Column:
-    """Quoted strings, then dates (year first or last, by hyphens or slashes), then numbers, as <STRING>, <DATE>, <NUMBER>."""
-    day = r"\d{1,2}"
-    date = rf"\b(?:\d{{4}}[-/]{day}[-/]{day}|{day}[-/]{day}[-/]\d{{4}})\b"
-    out = F.regexp_replace(text, r"""['"][^'"]+['"]""", "<STRING>")
-    return F.regexp_replace(F.regexp_replace(out, date, "<DATE>"), r"\b\d+(?:\.\d+)?\b", "<NUMBER>")
+    """skeleton_of a column of questions, over Arrow batches: strings, dates and numbers as <STRING>, <DATE>, <NUMBER>."""
+    importable()
+
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else skeleton_of(x))
+
+    return scan(text)
 
 
 def trimmed(text: Column) -> Column:

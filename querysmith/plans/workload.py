@@ -35,42 +35,11 @@ CANDIDATES = [
     (10, 0, "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type ORDER BY n DESC LIMIT 3"), (10, 1, "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type ORDER BY n ASC LIMIT 3"),
     (11, 0, "SELECT s_name FROM supplier ORDER BY s_age DESC LIMIT 1"), (11, 1, "SELECT s_name FROM supplier WHERE s_suppkey = 1"),
 ]
-#: Replies of a model in the forms that occur.
-REPLIES = [
-    (1, "Here it is:\n```sql\nSELECT 1\n```\nDone."), (2, "```\nSELECT a FROM t\n```"), (3, "Answer: SELECT b FROM t WHERE x = 1\n\nThat is all."), (4, "[SQL] SELECT c FROM u [/SQL]"),
-    (11, "Query :\n  select a\nFROM t\n\nmore"), (12, "```python\nprint(1)\n``` then ```SELECT z FROM t```"), (13, "[sql]SELECT 2"),
-    (5, "I think SELECT a FROM t; or rather SELECT a, b FROM t WHERE c > 2; would do"), (6, "no query here"), (7, "  DELETE FROM t; explained"), (8, "SELECT name FROM students;"), (9, "SQL: SELECT x\nFROM y"), (10, ""),
-]
-#: What each reply gives, by the rules: sql fence, fenced SELECT, labelled SELECT, tag, longest SELECT, text.
-EXTRACTED = [
-    (1, "SELECT 1"), (2, "SELECT a FROM t"), (3, "SELECT b FROM t WHERE x = 1"), (4, "SELECT c FROM u"), (5, "SELECT a, b FROM t WHERE c > 2;"), (6, "no query here"), (7, "DELETE FROM t;"),
-    (8, "SELECT name FROM students;"), (9, "SELECT x\nFROM y"), (10, ""), (11, "select a\nFROM t"), (12, "SELECT z FROM t"), (13, "SELECT 2"),
-]
-#: qid, aggregations, joins, conditions, ordering, group_by, has_subquery, has_distinct of the gold queries, read by hand.
-COMPONENTS = [
-    (1, "COUNT(*)", 0, "", "", "", False, False), (2, "", 0, "", "c_mktsegment", "", False, True), (3, "", 0, "n_regionkey = 1", "n_name", "", False, False), (4, "COUNT(*)", 1, "", "", "c.c_mktsegment", False, False),
-    (5, "AVG(p_retailprice)", 0, "p_brand = 'Brand#12' AND p_size > 10", "", "", False, False), (6, "", 0, "s_acctbal < 0", "s_acctbal ASC", "", False, False),
-    (7, "SUM(l.l_extendedprice * (1 - l.l_discount))", 3, "", "revenue DESC", "n.n_name", False, False), (8, "AVG(c_acctbal)", 0, "c_acctbal > (SELECT AVG(c_acctbal) FROM customer) AND c_nationkey = 3", "", "", True, False),
-    (9, "COUNT(*)", 0, "o_orderstatus = 'F'", "", "", False, False), (10, "COUNT(*)", 0, "", "n DESC", "event_type", False, False), (11, "", 0, "", "s_birthday", "", False, False),
-]
-JOINS = [
-    (4, "JOIN", "orders", "c.c_custkey = o.o_custkey"), (7, "JOIN", "orders", "l.l_orderkey = o.o_orderkey"), (7, "JOIN", "customer", "o.o_custkey = c.c_custkey"), (7, "JOIN", "nation", "c.c_nationkey = n.n_nationkey"),
-]
-COLUMNS = [
-    (1, ""), (2, "customer.c_mktsegment"), (3, "nation.n_name,nation.n_regionkey"), (4, "customer.c_custkey,customer.c_mktsegment,orders.o_custkey"), (5, "part.p_brand,part.p_retailprice,part.p_size"), (6, "supplier.s_acctbal,supplier.s_name"),
-    (7, "customer.c_custkey,customer.c_nationkey,lineitem.l_discount,lineitem.l_extendedprice,lineitem.l_orderkey,nation.n_name,nation.n_nationkey,orders.o_custkey,orders.o_orderkey"),
-    (8, "customer.c_acctbal,customer.c_name,customer.c_nationkey"), (9, "orders.o_orderstatus"), (10, "events.event_type"), (11, "supplier.s_birthday,supplier.s_name"),
-]
 #: Tables of the gold queries; candidates name the same ones but for those listed.
 TABLES = {1: "customer", 2: "customer", 3: "nation", 4: "customer,orders", 5: "part", 6: "supplier", 7: "customer,lineitem,nation,orders", 8: "customer", 9: "orders", 10: "events", 11: "supplier"}
 OTHER_TABLES = {(1, 2): "customers", (4, 0): "customer"}
 #: The first kind of difference of a candidate that runs, has rows and isn't right: columns, filter, join, aggregation, or other.
 DIFFERENCES = {(1, 0): "wrong_columns", (2, 1): "wrong_columns", (3, 0): "wrong_filter", (4, 0): "wrong_columns", (4, 1): "wrong_columns", (5, 0): "wrong_columns", (7, 0): "wrong_columns", (8, 0): "wrong_columns", (9, 0): "wrong_columns", (6, 1): "wrong_columns", (1, 1): "wrong_columns", (5, 1): "wrong_columns"}
-#: Joins that the reader has to tell apart: id, query, and the types found.
-JOIN_FORMS = [
-    (1, "SELECT * FROM a LEFT OUTER JOIN b ON a.x = b.x", "LEFT JOIN"), (2, "SELECT * FROM a NATURAL JOIN b", "NATURAL JOIN"), (3, "SELECT * FROM a FULL JOIN b USING (x) CROSS JOIN c", "FULL JOIN,CROSS JOIN"),
-    (4, "SELECT '(JOIN)' AS \"JOIN\" FROM a, b -- JOIN c", ""), (5, "SELECT x FROM (SELECT * FROM a INNER JOIN b ON a.x = b.x) s RIGHT JOIN c ON s.x = c.x", "RIGHT JOIN,INNER JOIN"),
-]
 #: Mutations of the gold queries that run, as the text that each replaces and what it puts there, worked out by hand.
 MUTANTS = {
     (1, "missing_distinct"): ("SELECT", "SELECT DISTINCT"), (2, "missing_distinct"): ("SELECT DISTINCT", "SELECT"), (2, "wrong_order"): ("BY c_mktsegment", "BY c_mktsegment DESC"),
@@ -83,8 +52,6 @@ MUTANTS = {
     (9, "missing_condition"): (" WHERE o_orderstatus = 'F'", ""), (9, "wrong_operator"): ("=", "!="), (9, "missing_distinct"): ("SELECT", "SELECT DISTINCT"),
     (10, "missing_distinct"): ("SELECT", "SELECT DISTINCT"), (10, "wrong_order"): ("DESC", "ASC"),
 }
-#: Replies of a judge.
-VERDICTS = [(1, '{"valid": true, "confidence": 0.9, "reason": "fits"}'), (2, '```json\n{"valid": false, "confidence": 1.7, "reason": "wrong table"}\n```'), (3, "I cannot say"), (4, '{"valid": true, "confidence": -2}')]
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -95,14 +62,6 @@ def candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CANDIDATES, "qid int, i int, sql string")
 
 
-def replies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "rid int, reply string")
-
-
-def verdicts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VERDICTS, "rid int, reply string")
-
-
 def values(rows: list[tuple], names: str, alias: str) -> str:
     """The rows as a VALUES relation of standard SQL."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "NULL" if x is None else str(x)
@@ -111,5 +70,3 @@ def values(rows: list[tuple], names: str, alias: str) -> str:
 
 QUESTIONS_SQL = values(QUESTIONS, "qid, db_id, difficulty, question, evidence, gold", "w")
 CANDIDATES_SQL = values(CANDIDATES, "qid, i, sql", "k")
-REPLIES_SQL = values(REPLIES, "rid, reply", "r")
-VERDICTS_SQL = values(VERDICTS, "rid, reply", "v")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dialect, schema_text, sql_parse, sql_text, text, tokens
 from .operators import collections, compare, dedup, evaluate, lsh, profile, ranks, reward, stats, vectors, vote
-from .plans import execute, models, repair, training, workload
+from .plans import execute, generated, models, repair, training, workload
 from .sources import catalog, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,8 +123,14 @@ def _(spark, sf_dir):
     return profile.samples(read(spark, sf_dir, "part"), "p_brand").unionByName(profile.samples(read(spark, sf_dir, "customer"), "c_mktsegment"))
 
 
+#: Text columns whose examples schema texts show, besides a numeric one.
+_EXAMPLES = [("region", "r_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus")]
+
+
 def _examples(spark, sf_dir, columns):
-    pick = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_mktsegment", "c_nationkey"]}
+    pick = {"customer": ["c_nationkey"]}
+    for t, c in _EXAMPLES:
+        pick.setdefault(t, []).append(c)
     parts = [profile.samples(read(spark, sf_dir, t), c, 3).withColumn("table", F.lit(t)) for t, cs in pick.items() for c in cs]
     found = parts[0]
     for p in parts[1:]:
@@ -133,31 +140,31 @@ def _examples(spark, sf_dir, columns):
 
 def _example_sql() -> str:
     one = "SELECT '{t}' AS \"table\", '{c}' AS \"column\", string_agg({q}, ', ' ORDER BY v) AS examples FROM (SELECT DISTINCT {c} AS v FROM {t} ORDER BY {o} LIMIT 3)"
-    text_ = [("region", "r_name"), ("nation", "n_name"), ("customer", "c_mktsegment")]
+    text_ = _EXAMPLES
     return " UNION ALL ".join([one.format(t=t, c=c, q="'''' || v || ''''", o="v") for t, c in text_] + [one.format(t="customer", c="c_nationkey", q="CAST(v AS VARCHAR)", o="v")])
 
 
 @query(
     "schema_light",
-    f"""WITH c AS (SELECT * FROM ({_COLUMNS}) WHERE "table" IN ('region', 'nation', 'customer')), e AS ({_example_sql()})
+    f"""WITH c AS ({_COLUMNS}), e AS ({_example_sql()})
 SELECT c."table", '### Table: ' || c."table" || chr(10) || '| Column | Type | Key | Description |' || chr(10) || '|--------|------|-----|-------------|' || chr(10) ||
 string_agg('| ' || c."column" || ' | ' || "type" || ' | ' || "key" || ' | ' || coalesce('e.g. ' || e.examples, '') || ' |', chr(10) ORDER BY cid) AS schema_text
 FROM c LEFT JOIN e ON c."table" = e."table" AND c."column" = e."column" GROUP BY c."table\"""",
 )
 def _(spark, sf_dir):
-    db = catalog.Database.at(spark, sf_dir, ["region", "nation", "customer"])
+    db = sales(spark, sf_dir)
     columns = catalog.column_keys(db.columns(), db.foreign_keys())
     return schema_text.light(columns, _examples(spark, sf_dir, columns))
 
 
 @query(
     "schema_ddl",
-    f"""WITH c AS (SELECT * FROM ({_COLUMNS}) WHERE "table" IN ('region', 'nation', 'customer')), e AS ({_example_sql()})
+    f"""WITH c AS ({_COLUMNS}), e AS ({_example_sql()})
 SELECT c."table", 'CREATE TABLE "' || c."table" || '" (' || chr(10) || string_agg('  "' || c."column" || '" ' || "type" || CASE WHEN pk.c IS NOT NULL THEN ' PRIMARY KEY' ELSE '' END || coalesce('  -- e.g. ' || e.examples, ''), ',' || chr(10) ORDER BY cid) || chr(10) || ');' AS schema_text
 FROM c LEFT JOIN e ON c."table" = e."table" AND c."column" = e."column" LEFT JOIN {_PKS} ON pk.t = c."table" AND pk.c = c."column" GROUP BY c."table\"""",
 )
 def _(spark, sf_dir):
-    db = catalog.Database.at(spark, sf_dir, ["region", "nation", "customer"])
+    db = sales(spark, sf_dir)
     columns = db.columns()
     return schema_text.ddl(columns, _examples(spark, sf_dir, columns))
 
@@ -339,46 +346,67 @@ def _(spark, sf_dir):
     return _generated(spark, sf_dir).select("p_partkey", sql_text.skeleton(F.col("sql")).alias("skeleton")).filter(F.trim("skeleton") != "")
 
 
-@query("sql_extract", f"SELECT rid, sql FROM {workload.values(workload.EXTRACTED, 'rid, sql', 'x')}")
+def _samples(spark, sf_dir):
+    return generated.samples(read(spark, sf_dir, "part"))
+
+
+@query("sql_extract", f"SELECT p_partkey, {generated.case('p_partkey % 7', [x[1].replace('{q}', generated.SHORT) for x in generated.REPLIES])} AS sql FROM part")
 def _(spark, sf_dir):
-    return workload.replies(spark).select("rid", sql_parse.extract_sql(F.col("reply")).alias("sql"))
+    reply = F.expr(generated.case("p_partkey % 7", [x[0].replace("{q}", generated.SHORT) for x in generated.REPLIES]))
+    return read(spark, sf_dir, "part").select("p_partkey", sql_parse.extract_sql(reply).alias("sql"))
 
 
 _NAMED = workload.values([(q, i, workload.OTHER_TABLES.get((q, i), workload.TABLES[q]), workload.TABLES[q]) for q, i, _ in workload.CANDIDATES], "qid, i, tables, gold_tables", "t")
 
 
-@query("sql_tables", f"SELECT qid, i, tables FROM {_NAMED}")
+_GOLD_TABLES = [",".join(sorted(t)) for t in generated.TABLES]
+
+
+@query("sql_tables", f"SELECT p_partkey, {generated.case(generated.FORM, _GOLD_TABLES, True)} AS gold_tables, array_to_string(list_sort(list_distinct(string_split({generated.case(generated.FORM, _GOLD_TABLES, True)}, ',') || CASE WHEN {generated.VARIANT} = 2 THEN ['events', 'region'] ELSE [] END)), ',') AS tables FROM part")
 def _(spark, sf_dir):
-    return workload.candidates(spark).select("qid", "i", F.array_join(sql_text.tables(F.col("sql")), ",").alias("tables"))
+    named = lambda c: F.array_join(sql_text.tables(F.col(c)), ",")
+    return _samples(spark, sf_dir).select("p_partkey", named("gold").alias("gold_tables"), named("sql").alias("tables"))
 
 
-@query("sql_components", f"SELECT qid, aggregations, CAST(joins AS BIGINT) AS joins, conditions, ordering, group_by, has_subquery, has_distinct FROM {workload.values(workload.COMPONENTS, 'qid, aggregations, joins, conditions, ordering, group_by, has_subquery, has_distinct', 'c')}")
+@query(
+    "sql_components",
+    f"""SELECT p_partkey, {generated.case(generated.FORM, generated.AGGREGATIONS, True)} AS aggregations, CAST({generated.case(generated.FORM, map(len, generated.JOINS))} AS BIGINT) AS joins, {generated.case(generated.FORM, generated.CONDITIONS)} AS conditions,
+{generated.case(generated.FORM, generated.ORDERING, True)} AS ordering, {generated.case(generated.FORM, generated.GROUPS, True)} AS group_by, {generated.FORM} = 2 AS has_subquery, {generated.FORM} = 1 AS has_distinct FROM part""",
+)
 def _(spark, sf_dir):
-    flat = workload.questions(spark).select("qid", sql_parse.components(F.col("gold")).alias("c"))
+    flat = _samples(spark, sf_dir).select("p_partkey", sql_parse.components(F.col("gold")).alias("c"))
     joined = lambda x: F.element_at(F.concat(F.col(f"c.{x}"), F.array(F.lit(""))), 1).alias(x)
-    return flat.select("qid", joined("aggregations"), F.size("c.joins").cast("bigint").alias("joins"), joined("conditions"), joined("ordering"), joined("group_by"), "c.has_subquery", "c.has_distinct")
+    return flat.select("p_partkey", joined("aggregations"), F.size("c.joins").cast("bigint").alias("joins"), joined("conditions"), joined("ordering"), joined("group_by"), "c.has_subquery", "c.has_distinct")
 
 
-@query("sql_joins", f"SELECT * FROM {workload.values(workload.JOINS, 'qid, type, \"table\", \"on\"', 'j')}")
+@query("sql_joins", " UNION ALL ".join(f"SELECT p_partkey, '{kind}' AS type, '{table}' AS \"table\", {on} AS \"on\" FROM part WHERE {generated.FORM} = {form}" for form, joins in enumerate(generated.JOINS) for kind, table, on in joins))
 def _(spark, sf_dir):
-    c = workload.questions(spark).select("qid", F.explode(sql_parse.components(F.col("gold"))["joins"]).alias("j"))
-    return c.select("qid", "j.type", "j.table", "j.on")
+    c = _samples(spark, sf_dir).select("p_partkey", F.explode(sql_parse.components(F.col("gold"))["joins"]).alias("j"))
+    return c.select("p_partkey", "j.type", "j.table", "j.on")
 
 
-@query("sql_join_forms", f"SELECT id, types FROM {workload.values(workload.JOIN_FORMS, 'id, sql, types', 'f')}")
+#: Joins that the reader has to tell apart, as SQL expressions over a nation, and the types that each has.
+_JOIN_FORMS = (
+    ("'SELECT * FROM a LEFT OUTER JOIN b ON a.x = ' || n_nationkey", "LEFT JOIN"), ("'SELECT * FROM ' || n_name || ' NATURAL JOIN b'", "NATURAL JOIN"),
+    ("'SELECT * FROM a FULL JOIN b USING (k_' || n_nationkey || ') CROSS JOIN c'", "FULL JOIN,CROSS JOIN"), ("'SELECT ''(' || n_name || ' JOIN)'' AS x FROM a, b -- JOIN ' || n_name", ""),
+    ("'SELECT x FROM (SELECT * FROM a INNER JOIN b ON LEFT(a.x, ' || n_nationkey || ') = b.x) s RIGHT JOIN c ON s.x = c.x'", "RIGHT JOIN,INNER JOIN"),
+)
+
+
+@query("sql_join_forms", f"SELECT n_nationkey, {generated.case('n_nationkey % 5', [t for _, t in _JOIN_FORMS], True)} AS types FROM nation")
 def _(spark, sf_dir):
-    forms = spark.createDataFrame(workload.JOIN_FORMS, "id int, sql string, types string")
-    return forms.select("id", F.array_join(F.transform(sql_parse.components(F.col("sql"))["joins"], lambda j: j["type"]), ",").alias("types"))
+    made = F.expr(generated.case("n_nationkey % 5", [e for e, _ in _JOIN_FORMS]))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(sql_parse.components(made)["joins"], lambda j: j["type"]), ",").alias("types"))
 
 
-@query("column_refs", f"SELECT * FROM {workload.values(workload.COLUMNS, 'qid, refs', 'r')}")
+@query("column_refs", f"SELECT p_partkey, {generated.case(generated.FORM, generated.COLUMNS, True)} AS refs FROM part")
 def _(spark, sf_dir):
-    return workload.questions(spark).select("qid", F.array_join(sql_text.column_refs(F.col("gold")), ",").alias("refs"))
+    return _samples(spark, sf_dir).select("p_partkey", F.array_join(sql_text.column_refs(F.col("gold")), ",").alias("refs"))
 
 
-@query("complex_flag", f"SELECT qid, joins > 2 OR has_subquery AS is_complex FROM {workload.values(workload.COMPONENTS, 'qid, aggregations, joins, conditions, ordering, group_by, has_subquery, has_distinct', 'c')}")
+@query("complex_flag", f"SELECT p_partkey, {generated.FORM} BETWEEN 1 AND 3 AS is_complex FROM part")
 def _(spark, sf_dir):
-    return workload.questions(spark).select("qid", sql_text.is_complex(F.col("gold")).alias("is_complex"))
+    return _samples(spark, sf_dir).select("p_partkey", sql_text.is_complex(F.col("gold")).alias("is_complex"))
 
 
 def _pairs(spark):
@@ -388,25 +416,20 @@ def _pairs(spark):
 _PAIRS = f"(SELECT k.qid, k.i, k.sql, w.gold, w.difficulty, w.db_id, w.question FROM {workload.CANDIDATES_SQL} JOIN {workload.QUESTIONS_SQL} ON k.qid = w.qid)"
 
 
-@query("table_set_equal", f"SELECT qid, i, tables = gold_tables AS same FROM {_NAMED}")
+@query("table_set_equal", f"SELECT p_partkey, {generated.VARIANT} < 2 AS same FROM part")
 def _(spark, sf_dir):
-    return _pairs(spark).select("qid", "i", sql_text.same_tables(F.col("sql"), F.col("gold")).alias("same"))
+    return _samples(spark, sf_dir).select("p_partkey", sql_text.same_tables(F.col("sql"), F.col("gold")).alias("same"))
 
 
-@query("sql_normalised", f"SELECT qid, i, lower(rtrim(trim(sql), ';')) = lower(rtrim(trim(gold), ';')) AS same FROM {_PAIRS}")
+@query("sql_normalised", f"SELECT p_partkey, {generated.VARIANT} = 0 AS same FROM part")
 def _(spark, sf_dir):
-    return _pairs(spark).select("qid", "i", (text.normalised_sql(F.col("sql")) == text.normalised_sql(F.col("gold"))).alias("same"))
+    return _samples(spark, sf_dir).select("p_partkey", (text.normalised_sql(F.col("sql")) == text.normalised_sql(F.col("gold"))).alias("same"))
 
 
-@query(
-    "error_differences",
-    rf"""SELECT qid, i, len(p) > 0 AND p <> g AS columns_differ, len(regexp_extract_all(sql, '(?i)\bJOIN\b')) <> len(regexp_extract_all(gold, '(?i)\bJOIN\b')) AS joins_differ, pa <> ga AS aggregates_differ
-FROM (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(sql), '(?s)SELECT\s+(.*?)\s+FROM', 1))) AS p, list_sort(list_distinct(regexp_extract_all(upper(gold), '(?s)SELECT\s+(.*?)\s+FROM', 1))) AS g,
-list_sort(list_distinct(regexp_extract_all(upper(sql), '\b(COUNT|SUM|AVG|MIN|MAX)\s*\(', 1))) AS pa, list_sort(list_distinct(regexp_extract_all(upper(gold), '\b(COUNT|SUM|AVG|MIN|MAX)\s*\(', 1))) AS ga FROM {_PAIRS})""",
-)
+@query("error_differences", f"SELECT p_partkey, {generated.VARIANT} > 0 AS columns_differ, {generated.VARIANT} = 2 AS joins_differ, {generated.VARIANT} = 2 AS aggregates_differ FROM part")
 def _(spark, sf_dir):
     s, g = F.col("sql"), F.col("gold")
-    return _pairs(spark).select("qid", "i", sql_text.differs_in_columns(s, g).alias("columns_differ"), sql_text.differs_in_joins(s, g).alias("joins_differ"), sql_text.differs_in_aggregates(s, g).alias("aggregates_differ"))
+    return _samples(spark, sf_dir).select("p_partkey", sql_text.differs_in_columns(s, g).alias("columns_differ"), sql_text.differs_in_joins(s, g).alias("joins_differ"), sql_text.differs_in_aggregates(s, g).alias("aggregates_differ"))
 
 
 #: Three forms of generated queries, with the parts that mutations change in brackets, as SQL text expressions over part.
@@ -462,27 +485,48 @@ def _(spark, sf_dir):
     return lists.select("conv_id", text.last_of(F.col("m"), "user").alias("last_user"), text.last_of(F.col("m"), "assistant").alias("last_assistant"), text.trainable(F.col("m")).alias("trainable"))
 
 
-@query("prompts", f"SELECT qid, 'Database Schema:' || chr(10) || db_id || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || CASE WHEN trim(evidence) <> '' THEN 'Evidence: ' || evidence || chr(10) || chr(10) ELSE '' END || 'Generate the SQL query.' AS prompt FROM {workload.QUESTIONS_SQL}")
+@query("prompts", f"SELECT qid, 'Database Schema:' || chr(10) || db_id || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || CASE WHEN trim(evidence) <> '' THEN 'Evidence: ' || evidence || chr(10) || chr(10) ELSE '' END || 'Generate the SQL query.' AS prompt FROM {generated.SAMPLES_SQL}")
 def _(spark, sf_dir):
-    return workload.questions(spark).select("qid", text.user_prompt(F.col("db_id"), F.col("question"), F.col("evidence")).alias("prompt"))
+    return _samples(spark, sf_dir).select("qid", text.user_prompt(F.col("db_id"), F.col("question"), F.col("evidence")).alias("prompt"))
 
 
-@query("chat_records", f"SELECT qid, '{text.SYSTEM_MESSAGES['text2sql']}' AS system, question AS \"user\", gold AS assistant FROM {workload.QUESTIONS_SQL}")
+@query("chat_records", " UNION ALL ".join(f"SELECT qid, '{task}' AS task, '{message.replace(chr(39), chr(39) * 2)}' AS system, question AS \"user\", gold AS assistant FROM {generated.SAMPLES_SQL}" for task, message in text.SYSTEM_MESSAGES.items()))
 def _(spark, sf_dir):
-    m = workload.questions(spark).select("qid", text.chat("text2sql", F.col("question"), F.col("gold")).alias("m"))
-    return m.select("qid", *(text.last_of(F.col("m"), r).alias(r) for r in ("system", "user", "assistant")))
+    rows = _samples(spark, sf_dir)
+    each = [rows.select("qid", F.lit(task).alias("task"), text.chat(task, F.col("question"), F.col("gold")).alias("m")) for task in text.SYSTEM_MESSAGES]
+    m = functools.reduce(DataFrame.unionByName, each)
+    return m.select("qid", "task", *(text.last_of(F.col("m"), r).alias(r) for r in ("system", "user", "assistant")))
+
 
+def _icl_sql() -> str:
+    """Prompts of three styles for each brand, with its three first samples as examples; every second has a reasoning."""
+    why = f"'Reasoning: ' || CASE WHEN qid % 2 = 0 THEN 'sizes decide in ' || qid ELSE '{text.NO_REASONING}' END || chr(10)"
+    shown = lambda style: f"string_agg('Example ' || r || ':' || chr(10) || 'Question: ' || question || chr(10) || {why if style == 'cot' else chr(39) * 2} || 'SQL: ' || gold, chr(10) || chr(10) ORDER BY r)"
+    last = lambda style: (text.DIVIDE if style == "divide" else text.INSTRUCTION).replace("'", "''")
+    rows = f"(SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY qid) AS r FROM {generated.SAMPLES_SQL})"
+    one = "SELECT p_brand, '{s}' AS style, '### Database Schema:' || chr(10) || p_brand || chr(10) || chr(10) || '### Examples:' || chr(10) || {shown} || chr(10) || chr(10) || '### Question:' || chr(10) || 'Which part?' || chr(10) || chr(10) || '### Evidence:' || chr(10) || 'of ' || p_brand || chr(10) || chr(10) || '{last}' AS prompt FROM {rows} WHERE r <= 3 GROUP BY p_brand"
+    return " UNION ALL ".join(one.format(s=s, shown=shown(s), last=last(s), rows=rows) for s in ("direct", "cot", "divide"))
 
-@query("icl_prompt", f"SELECT db_id, string_agg('Example ' || r || ':' || chr(10) || 'Question: ' || question || chr(10) || 'SQL: ' || gold, chr(10) || chr(10) ORDER BY r) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY qid) AS r FROM {workload.QUESTIONS_SQL}) GROUP BY db_id")
+
+@query("icl_prompt", _icl_sql())
 def _(spark, sf_dir):
-    lists = workload.questions(spark).groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("qid", "question", F.col("gold").alias("sql"), F.lit(None).cast("string").alias("reasoning")))).alias("e"))
-    return lists.select("db_id", text.examples_prompt(F.col("e")).alias("prompt"))
+    first = _samples(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("qid"))).filter("r <= 3")
+    reasoning = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("sizes decide in "), F.col("qid").cast("string")))
+    lists = first.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("qid", "question", F.col("gold").alias("sql"), reasoning.alias("reasoning")))).alias("e"))
+    styles = [lists.select("p_brand", F.lit(s).alias("style"), text.example_question(F.col("p_brand"), F.lit("Which part?"), F.concat(F.lit("of "), "p_brand"), F.col("e"), s).alias("prompt")) for s in ("direct", "cot", "divide")]
+    return functools.reduce(DataFrame.unionByName, styles)
+
 
+_SURE = f"CAST({generated.SHARE} AS DOUBLE)"
 
-@query("judge_verdicts", r"""SELECT rid, coalesce(valid, false) AS valid, CASE WHEN valid IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(confidence, 0.0))) END AS confidence, CASE WHEN valid IS NULL THEN 'parse error' ELSE coalesce(reason, '') END AS reason
-FROM (SELECT rid, CAST(json_extract_string(j, '$.valid') AS BOOLEAN) AS valid, CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS confidence, json_extract_string(j, '$.reason') AS reason FROM (SELECT rid, CASE WHEN json_valid(t) THEN t END AS j FROM (SELECT rid, regexp_extract(reply, '(?s)\{.*\}') AS t FROM """ + workload.VERDICTS_SQL + ")))")
+
+@query(
+    "judge_verdicts",
+    f"SELECT p_partkey, p_partkey % 4 IN (0, 3) AS valid, CASE p_partkey % 4 WHEN 0 THEN {_SURE} WHEN 1 THEN least(1.0, p_size + 0.5) ELSE 0.0 END AS confidence, CASE p_partkey % 4 WHEN 0 THEN 'part ' || p_partkey WHEN 1 THEN 'wrong table' WHEN 2 THEN 'parse error' ELSE '' END AS reason FROM part",
+)
 def _(spark, sf_dir):
-    return workload.verdicts(spark).select("rid", text.verdict(F.col("reply")).alias("v")).select("rid", "v.*")
+    reply = F.expr(generated.case("p_partkey % 4", generated.VERDICTS))
+    return read(spark, sf_dir, "part").select("p_partkey", text.verdict(reply).alias("v")).select("p_partkey", "v.*")
 
 
 @query("durations", "SELECT p_partkey, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(floor(s) AS BIGINT) % 60 || 's' ELSE CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor(s / 60) AS BIGINT) % 60 || 'm' END AS shown FROM (SELECT p_partkey, p_retailprice * p_size / 8 AS s FROM part)")
@@ -509,10 +553,10 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.chosen(["LEFT", "RIGHT", "INNER"], F.col("p_name")).alias("choice"))
 
 
-@query("repaired_sql", "SELECT * FROM (VALUES (1, 'SELECT (1);'), (2, 'SELECT 1;'), (3, 'SELECT `nope` FROM t'), (4, 'SELECT 1')) AS r(id, fixed)")
+@query("repaired_sql", f"SELECT p_partkey, {generated.case('p_partkey % 4', [b[2] for b in generated.BROKEN])} AS fixed FROM part")
 def _(spark, sf_dir):
-    broken = [(1, "SELECT (1", ""), (2, "SELECT 1", ""), (3, "SELECT nope FROM t;", "[UNRESOLVED_COLUMN.WITH_SUGGESTION] A column `nope` cannot be resolved"), (4, "SELECT 1) ", "")]
-    return spark.createDataFrame(broken, "id int, sql string, error string").select("id", sql_text.repaired(F.col("sql"), F.col("error")).alias("fixed"))
+    sql, error = (F.expr(generated.case("p_partkey % 4", [b[i] for b in generated.BROKEN])) for i in (0, 1))
+    return read(spark, sf_dir, "part").select("p_partkey", sql_text.repaired(sql, error).alias("fixed"))
 
 
 # Execution, comparison, evaluation
@@ -866,7 +910,7 @@ _SHARED = {
     "subquery_exists": "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "subquery_in": "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "subquery_correlated": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.8 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
-    "cte_recursive": "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t",
+    "cte_recursive": "WITH RECURSIVE t(n, total) AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, total + n_regionkey FROM t JOIN nation ON n_nationkey = n + 5) SELECT n, total FROM t",
     "group_having": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS q, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
     "group_rollup": "SELECT coalesce(c_mktsegment, 'all') AS segment, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment)",
     "agg_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(DISTINCT o_custkey) AS c FROM orders GROUP BY o_orderpriority",
@@ -919,26 +963,22 @@ def _(spark, sf_dir):
     return evaluate.positional(left, ranks.numbered(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("idx", "c_name"))
 
 
-_STEPS = [
-    "1. Identify the relevant tables: `lineitem`, `orders`, `customer`, `nation`|2. Join the tables: JOIN `orders` ON l.l_orderkey = o.o_orderkey; JOIN `customer` ON o.o_custkey = c.c_custkey; JOIN `nation` ON c.c_nationkey = n.n_nationkey|3. Apply aggregation functions: SUM(l.l_extendedprice * (1 - l.l_discount))|4. Group the results: n.n_name|5. Order the results: revenue DESC",
-    "1. Identify the relevant tables: `customer`|2. Apply filter conditions: WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer) AND c_nationkey = 3|3. Apply aggregation functions: AVG(c_acctbal)|4. Use a subquery to compute an intermediate result",
-]
-
-
-@query("reasoning_steps", f"SELECT replace(s, '|', chr(10)) || chr(10) || chr(10) || 'SQL: ' || gold AS answer FROM {workload.values([(7, _STEPS[0]), (8, _STEPS[1])], 'q, s', 'x')} JOIN {workload.QUESTIONS_SQL} ON x.q = w.qid")
+@query("reasoning_steps", f"SELECT {generated.steps_sql()} || chr(10) || chr(10) || 'SQL: ' || {generated.GOLD_SQL} AS answer FROM part WHERE {generated.FORM} BETWEEN 1 AND 3")
 def _(spark, sf_dir):
     from .plans import dataset
 
-    q = workload.questions(spark).select("qid", "db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
-    # A condition inside a subquery is a condition of its own only where the subquery has one.
+    q = _samples(spark, sf_dir).select("db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
     return dataset.reasoning(q).select(text.last_of(F.col("messages"), "assistant").alias("answer"))
 
 
-@query("dataset_records", f"SELECT t AS task_type, db_id, count(*) AS n FROM {workload.QUESTIONS_SQL}, (VALUES ('text2sql'), ('schema_linking'), ('skeleton_extraction'), ('chain_of_thought')) AS b(t) WHERE CASE t WHEN 'skeleton_extraction' THEN qid IN (3, 5, 6, 7, 8, 9) WHEN 'chain_of_thought' THEN qid IN (7, 8) ELSE true END GROUP BY t, db_id")
+@query(
+    "dataset_records",
+    f"SELECT t AS task_type, db_id, count(*) AS n FROM (SELECT *, {generated.FORM} AS form FROM {generated.SAMPLES_SQL}), (VALUES ('text2sql'), ('schema_linking'), ('skeleton_extraction'), ('chain_of_thought')) AS b(t) WHERE CASE t WHEN 'skeleton_extraction' THEN form < 4 WHEN 'chain_of_thought' THEN form BETWEEN 1 AND 3 ELSE true END GROUP BY t, db_id",
+)
 def _(spark, sf_dir):
     from .plans import dataset
 
-    q = workload.questions(spark).select("qid", "db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
+    q = _samples(spark, sf_dir).select("db_id", "question", "evidence", F.col("gold").alias("SQL"), F.lit("").alias("schema_text"))
     return dataset.assemble(q).groupBy("task_type", "db_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -967,11 +1007,11 @@ def _(spark, sf_dir):
     return training.texts(_chats(spark, sf_dir)).groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rl_prompts", f"SELECT '{text.SYSTEM_MESSAGES['text2sql']}' AS system, 'Database Schema:' || chr(10) || '-- Schema for database: ' || db_id || ' (not available)' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || CASE WHEN trim(evidence) <> '' THEN 'Evidence: ' || evidence || chr(10) || chr(10) ELSE '' END || 'Generate the SQL query.' AS \"user\", db_id, gold AS gold_sql FROM {workload.QUESTIONS_SQL} UNION ALL SELECT '{text.SYSTEM_MESSAGES['text2sql']}', question, db_id, gold FROM {workload.QUESTIONS_SQL}")
+@query("rl_prompts", f"SELECT '{text.SYSTEM_MESSAGES['text2sql']}' AS system, 'Database Schema:' || chr(10) || '-- Schema for database: ' || db_id || ' (not available)' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || CASE WHEN trim(evidence) <> '' THEN 'Evidence: ' || evidence || chr(10) || chr(10) ELSE '' END || 'Generate the SQL query.' AS \"user\", db_id, gold AS gold_sql FROM {generated.SAMPLES_SQL} UNION ALL SELECT '{text.SYSTEM_MESSAGES['text2sql']}', question, db_id, gold FROM {generated.SAMPLES_SQL}")
 def _(spark, sf_dir):
     from .plans import training
 
-    q = workload.questions(spark)
+    q = _samples(spark, sf_dir)
     chats = q.select(text.chat("text2sql", F.col("question"), F.concat(F.lit("```sql\n"), "gold", F.lit("\n```"))).alias("messages"), "db_id")
     dead = chats.select(F.filter("messages", lambda m: m["role"] != "user").alias("messages"), "db_id")
     raw = q.select("question", F.col("gold").alias("SQL"), "db_id", "evidence")
@@ -1044,7 +1084,7 @@ def _(spark, sf_dir):
     return found.select("doc_id", "key", "answer").join(copies, "key")
 
 
-def _chats(spark, sf_dir):
+def _messages(spark, sf_dir):
     """conv_id and messages of each conversation, in the order of its turns."""
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
@@ -1052,7 +1092,7 @@ def _chats(spark, sf_dir):
 
 @query("message_hashes", "SELECT conv_id, sha256('[' || string_agg('{\"content\": ' || CAST(to_json(text) AS VARCHAR) || ', \"role\": ' || CAST(to_json(role) AS VARCHAR) || '}', ', ' ORDER BY turn) || ']') AS hash FROM conversations GROUP BY conv_id")
 def _(spark, sf_dir):
-    return _chats(spark, sf_dir).select("conv_id", text.message_hash(F.col("messages")).alias("hash"))
+    return _messages(spark, sf_dir).select("conv_id", text.message_hash(F.col("messages")).alias("hash"))
 
 
 @query("assistant_labels")
@@ -1060,7 +1100,7 @@ def _(spark, sf_dir):
     """Token ids and labels of all conversations in padded batches; SQL has no tokenizer, tests have brute force."""
     import public_tokenizers
 
-    rows = tokens.labelled(_chats(spark, sf_dir), "messages", public_tokenizers.path("byte_bpe_50k.json"), training.templated).select("conv_id", "ids", "labels")
+    rows = tokens.labelled(_messages(spark, sf_dir), "messages", public_tokenizers.path("byte_bpe_50k.json"), training.templated).select("conv_id", "ids", "labels")
     return tokens.batched(rows, "conv_id", 8, pad=50256).select("conv_id", "batch", "ids", "labels", "mask")
 
 

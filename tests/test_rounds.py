@@ -77,7 +77,7 @@ def test_labels_of_conversations(spark, tiny):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = lambda t: tok.encode(t, add_special_tokens=False).ids
     header, end = encode("<|im_start|>assistant\n"), encode("<|im_end|>")[0]
-    chats = {r["conv_id"]: r["messages"] for r in queries._chats(spark, tiny).collect()}
+    chats = {r["conv_id"]: r["messages"] for r in queries._messages(spark, tiny).collect()}
     got = queries.QUERIES["assistant_labels"](spark, tiny).collect()
     assert {r["conv_id"] for r in got} == set(chats)
     longest = {}
