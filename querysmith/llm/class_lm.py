@@ -23,9 +23,9 @@ from .packing import only
 #: units that all other words share by their ends, least number of classes, most rounds of exchange.
 KNOWN, KNOWN_BYTES, ENDINGS, CLASSES, ROUNDS = 150_000, 64, 128, 64, 4
 #: Weight of the class frequencies in a class's transitions; words and bigrams a worker counts before it
-#: hands them on; training tokens for which there is one block of units; bytes of texts
-#: that are handled at once.
-SMOOTHING, FLUSH, PAIRS, TASK, SLICE = 20.0, 300_000, 2_000_000, 1_000_000, 2 << 20
+#: hands them on; units of a block, and least number of blocks; counts that a block gathers before it adds them up;
+#: bytes of texts that are handled at once.
+SMOOTHING, FLUSH, PAIRS, UNITS, BLOCKS_LEAST, GATHERED, SLICE = 20.0, 300_000, 2_000_000, 1024, 16, 4_000_000, 2 << 20
 
 
 def short(word: bytes) -> bytes:
@@ -245,30 +245,40 @@ SIDES = ("out", "into")
 ROWS = pa.schema([("block", pa.int32()), *((f"{side}_{part}", pa.binary()) for side in SIDES for part in ("keys", "n"))])
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order with their counts, those of equal keys added up."""
+    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.int64)
+    n = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's counts of all tasks, added up; rows come by block."""
+    """Each block's counts of all tasks, added up; rows come by block. However many tasks have counted, a block holds
+    its different bigrams and GATHERED counts more, so a hot unit takes as much as it has neighbours."""
+    now, parts, held = None, {False: [], True: []}, 0
 
-    def solve(block: int, parts: dict[bool, list]) -> pa.RecordBatch:
-        row: list = [[block]]
+    def solved() -> pa.RecordBatch:
+        row: list = [[now]]
         for into in (False, True):
-            keys = np.concatenate([_unpack(k) for k, _ in parts[into]]) if parts[into] else np.zeros(0, np.int64)
-            n = np.concatenate([np.frombuffer(c, np.int32) for _, c in parts[into]]) if parts[into] else np.zeros(0, np.int32)
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            row += [[_pack(keys[first])], [(np.add.reduceat(n, first) if len(first) else n).tobytes()]]
+            keys, n = _summed(parts[into])
+            row += [[_pack(keys)], [n.tobytes()]]
         return record(ROWS, *row)
 
-    now, parts = None, {False: [], True: []}
     for batch in batches:
         for block, into, keys, n in zip(*(batch.column(c).to_pylist() for c in ("block", "into", "keys", "n")), strict=True):
-            if block != now and now is not None:
-                yield solve(now, parts)
-                parts = {False: [], True: []}
-            now = block
-            parts[into].append((keys, n))
+            if block != now:
+                if now is not None:
+                    yield solved()
+                now, parts, held = block, {False: [], True: []}, 0
+            parts[into].append((_unpack(keys), np.frombuffer(n, np.int32).astype(np.int64)))
+            held += len(n) // 4
+            if held > GATHERED:
+                parts, held = {i: [_summed(p)] for i, p in parts.items()}, 0
     if now is not None:
-        yield solve(now, parts)
+        yield solved()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -293,10 +303,12 @@ def _joint(batches: Iterator[pa.RecordBatch], model, blocks: int) -> Iterator[pa
 
 
 def _moves(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """One round of exchange over the units of a task, which sees the moves of its own units only."""
-    of, counts = model.value
-    of, joint, moved, classes = of.copy(), Joint(counts), {}, len(counts)
-    for out, into in _blocks(batches, len(of)):
+    """One round of exchange over the units of each block, which sees the moves of its own units only, so that they
+    follow from the block whatever else a task has to do."""
+    before, counts = model.value
+    moved, classes = {}, len(counts)
+    for out, into in _blocks(batches, len(before)):
+        of, joint = before.copy(), Joint(counts)
         units = np.union1d(out[0], into[0])
         edges = [np.searchsorted(side[0], np.append(units, len(of))) for side in (out, into)]
         for k, u in enumerate(units.tolist()):
@@ -317,12 +329,13 @@ def _moves(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def cluster(training: DataFrame, share: Handle, total: np.ndarray, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Class of each unit, and bigram counts of classes: exchange over sparse rows of bigram counts, in blocks of units.
 
-    The rows stay in Spark; in each round every task moves its units, given the classes that all units had
-    before. Only classes of units and counts of classes reach the driver. Moves that tasks make beside each
-    other can lower the likelihood; then the best classes found are kept.
+    The rows stay in Spark; in each round every block moves its units, given the classes that all units had
+    before. Only classes of units and counts of classes reach the driver. Moves that blocks make beside each
+    other can lower the likelihood; then the best classes found are kept. Blocks follow from the number of units
+    alone, so classes are the same on any cluster and however files are split.
     """
     sc = training.sparkSession.sparkContext
-    blocks = max(2 * sc.defaultParallelism, int(total.sum()) // TASK)
+    blocks = max(BLOCKS_LEAST, -(-len(total) // UNITS))
     sent = map_arrow(training, lambda b: _bigrams(b, share, blocks), "block int, into boolean, keys binary, n binary")
     dealt = sent.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
     rows = settle(map_arrow(dealt, _merged, "block int, out_keys binary, out_n binary, into_keys binary, into_n binary"))
@@ -425,12 +438,16 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     unit_end = F.pmod(F.crc32(F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))), F.lit(ENDINGS)).cast("int")
     counts = settle(counted.withColumn("size", size).withColumn("ending", unit_end))
     sizes = sorted(((r["size"], r["n"]) for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, held = 1 << 30, 0
+    least, held, cut = 1 << 30, 0, None
     for at, n in sizes:
         if held + n > KNOWN:
+            cut = at  # of this size only the first words are known
             break
         least, held = at, held + n
-    top = sorted(((r["c"], bytes(r["word"])) for r in counts.filter(F.col("size") >= least).select("c", "word").collect()), key=lambda x: (-x[0], x[1]))
+    found = counts.filter(F.col("size") >= least).select("c", "word").collect()
+    if cut is not None and held < KNOWN:
+        found += counts.filter(F.col("size") == cut).select("c", "word").orderBy(F.desc("c"), "word").limit(KNOWN - held).collect()
+    top = sorted(((r["c"], bytes(r["word"])) for r in found), key=lambda x: (-x[0], x[1]))
     known = [w for _, w in top]
     ends = {r["ending"]: r for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("int")).alias("n1")).collect()}
     n_end = training.count()

@@ -113,6 +113,32 @@ def test_class_lm_clusters_words_past_the_first_thousand(spark):
     assert got[1000] > got[1001] + 20  # the same words: only their classes tell the texts apart
 
 
+def test_class_lm_follows_from_the_data_alone(spark, tiny, monkeypatch):
+    """The same scores however the rows are split, and in whatever order counts are added up."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    held = lambda: quality.held_out("doc_id", 7, 2)
+    scores = lambda df: {r["doc_id"]: (r["n_known"], round(r["score"], 6)) for r in class_lm.score_texts(df, held()).collect()}
+    one = scores(docs.repartition(1))
+    for parts, gathered, pairs in ((3, class_lm.GATHERED, class_lm.PAIRS), (11, 500, 2000)):
+        monkeypatch.setattr(class_lm, "GATHERED", gathered)
+        monkeypatch.setattr(class_lm, "PAIRS", pairs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{parts * 10}k")
+        try:
+            other = scores(docs.repartition(parts, "doc_id"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert other.keys() == one.keys() and all(other[i][0] == one[i][0] and abs(other[i][1] - one[i][1]) < 1e-5 for i in one)
+
+
+def test_class_lm_knows_the_first_of_equally_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "KNOWN", 50)
+    known = {}
+    monkeypatch.setattr(class_lm, "cluster", lambda training, share, *a, own=class_lm.cluster: known.update(words=share.value) or own(training, share, *a))
+    docs = spark.createDataFrame([(0, " ".join(f"w{i:03d}" for i in range(200)))], "doc_id long, text string")
+    [row] = class_lm.score_texts(docs, F.lit(False)).collect()
+    assert known["words"] == [f"w{i:03d}".encode() for i in range(50)] and row["n_known"] == 201 and row["n_unknown"] == 0
+
+
 # Packing
 
 
