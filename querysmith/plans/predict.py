@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import vote
 from ..operators.compare import ERROR_KEY
-from . import execute
+from ..sources import files
+from . import execute, repair
 
 #: What is answered where nothing was generated (fixed value), and the names of the stages that are timed.
 NOTHING, STAGES = "SELECT 1;", ("schema", "icl_retrieval", "generation", "refinement", "selection")
@@ -25,13 +26,20 @@ class Predictor:
 
     generators: each takes questions (qid, question, db_id, evidence, schema_text, prompt) and gives (qid,
     reply); a generator that raises is left out (failures says why), as is a question without a reply. schema: db_id, schema_text.
-    examples(questions) gives (qid, examples) for the prompts. method: tournament or self_consistency.
+    examples(questions) gives (qid, examples) for the prompts, and values(questions) gives (qid, hints), lines of
+    values that a question may mean (see vectors.value_hints), which follow the schema. judge and fix (see repair)
+    look over candidates in rounds, with answers kept under folder; without them only queries that fail are
+    repaired, by rules. method: tournament or self_consistency.
     """
 
     spark: SparkSession
     generators: list[Generator]
     schema: DataFrame | None = None
     examples: Callable[[DataFrame], DataFrame] | None = None
+    values: Callable[[DataFrame], DataFrame] | None = None
+    judge: repair.Ask | None = None
+    fix: repair.Ask | None = None
+    folder: str | None = None
     style: str = "direct"
     method: str = "tournament"
     rounds: int = 3
@@ -49,7 +57,10 @@ class Predictor:
     def _prompts(self, questions: DataFrame) -> DataFrame:
         rows = questions.withColumn("evidence", F.coalesce("evidence", F.lit("")))
         rows = rows.join(F.broadcast(self.schema), "db_id", "left") if self.schema is not None else rows.withColumn("schema_text", F.lit(""))
-        return rows.withColumn("schema_text", F.coalesce("schema_text", F.lit("")))
+        rows = rows.withColumn("schema_text", F.coalesce("schema_text", F.lit("")))
+        if self.values is None:
+            return rows
+        return rows.join(self.values(rows).select("qid", "hints"), "qid", "left").withColumn("schema_text", F.concat_ws("\n\n", "schema_text", "hints")).drop("hints")
 
     def _with_examples(self, rows: DataFrame) -> DataFrame:
         none = F.from_json(F.lit("[]"), "array<struct<question:string,sql:string,reasoning:string>>")
@@ -71,17 +82,22 @@ class Predictor:
         fallback = rows.select("qid", F.lit(len(self.generators)).alias("i"), F.lit(NOTHING).alias("sql"))
         return fallback if out is None else out.unionByName(fallback.join(out.select("qid"), "qid", "left_anti"))
 
-    def _refined(self, candidates: DataFrame) -> DataFrame:
+    def _refined(self, candidates: DataFrame, rows: DataFrame) -> DataFrame:
         keyed = candidates.withColumn("key", F.concat_ws(":", "qid", "i"))
+        if self.judge is not None or self.fix is not None:
+            samples = keyed.join(rows.select("qid", "question", "db_id", "schema_text"), "qid").select(F.col("key").alias("qid"), "question", "db_id", "schema_text", F.col("sql").alias("SQL"))
+            mended = repair.repair(samples, self.folder or files.passing_folder(self.spark, "repair"), self.judge, self.fix, self.rounds)
+            return keyed.drop("sql").join(mended.select(F.col("qid").alias("key"), F.col("SQL").alias("sql")), "key").select("qid", "i", "sql")
         done = execute.refine(self.spark, keyed, "key", "sql", self.rounds).select("key", F.col("sql").alias("fixed"))
         return keyed.join(done, "key").select("qid", "i", F.col("fixed").alias("sql"))
 
     def _selected(self, candidates: DataFrame, questions: DataFrame) -> DataFrame:
-        rows = candidates.select("qid", "i", "sql").collect()
-        known = execute.fingerprints(self.spark, [r["sql"] for r in rows])
-        facts = [(r["qid"], r["i"], r["sql"], known[r["sql"]].status, known[r["sql"]].rows, known[r["sql"]].key) for r in rows]
+        def page_facts(page: list) -> list[tuple]:
+            known = execute.fingerprints(self.spark, [r["sql"] for r in page])
+            return [(r["qid"], r["i"], r["sql"], known[r["sql"]].status, known[r["sql"]].rows, known[r["sql"]].key) for r in page]
+
         kind = candidates.schema["qid"].dataType.simpleString()
-        facts = self.spark.createDataFrame(facts, f"qid {kind}, i int, sql string, status string, n_rows long, key string")
+        facts = execute.gathered(self.spark, map(page_facts, execute.pages(candidates.select("qid", "i", "sql"))), f"qid {kind}, i int, sql string, status string, n_rows long, key string")
         if self.method == "tournament":
             scored = facts.join(questions.select("qid", "question"), "qid").withColumn("score", text.result_score(F.col("status"), F.col("n_rows"), F.col("sql"), F.col("question")))
             best = vote.tournament(scored.select("qid", "i", "score"))
@@ -104,7 +120,7 @@ class Predictor:
         rows = self._timed("schema", lambda: self._prompts(good))
         rows = self._timed("icl_retrieval", lambda: self._with_examples(rows))
         made = self._timed("generation", lambda: self._candidates(rows))
-        fixed = self._timed("refinement", lambda: self._refined(made))
+        fixed = self._timed("refinement", lambda: self._refined(made, rows))
         best = self._timed("selection", lambda: self._selected(fixed, rows))
         n = questions.count()
         self.timing["total"] = round(sum(self.timing[s] for s in STAGES), 3)

@@ -124,10 +124,13 @@ def train_rl(spark: SparkSession, config: Config) -> None:
 
 
 def predict_all(spark: SparkSession, config: Config, generators: list[predict.Generator] | None = None) -> DataFrame:
-    """Predictions for questions (qid, question, db_id, evidence), as JSON lines. Without generators, replies are
-    read from config['replies'] (qid, reply)."""
+    """Predictions for questions (qid, question, db_id, evidence), as JSON lines, or for the samples at config['dev'].
+    Without generators, replies are read from config['replies'] (qid, reply)."""
     catalog.Database.at(spark, config["root"]).register()
-    questions = spark.read.schema("qid long, question string, db_id string, evidence string").json(config["questions"])
+    if config.get("dev"):
+        questions = files.dev_samples(spark, config["dev"]).select(F.col("idx").alias("qid"), "question", "db_id", "evidence")
+    else:
+        questions = spark.read.schema("qid long, question string, db_id string, evidence string").json(config["questions"])
     generators = generators or [lambda q: q.select("qid").join(spark.read.schema("qid long, reply string").json(config["replies"]), "qid")]
     made = predict.Predictor(spark, generators, schemas(spark, config["schemas"]) if config.get("schemas") else None, method=config.get("method", "tournament"))
     out = made.predict_batch(questions)

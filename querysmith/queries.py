@@ -426,10 +426,10 @@ def _(spark, sf_dir):
     return _samples(spark, sf_dir).select("p_partkey", (text.normalised_sql(F.col("sql")) == text.normalised_sql(F.col("gold"))).alias("same"))
 
 
-@query("error_differences", f"SELECT p_partkey, {generated.VARIANT} > 0 AS columns_differ, {generated.VARIANT} = 2 AS joins_differ, {generated.VARIANT} = 2 AS aggregates_differ FROM part")
+@query("error_differences", f"SELECT p_partkey, {generated.VARIANT} > 0 AS columns_differ, CASE {generated.FORM} WHEN 0 THEN {generated.VARIANT} <> 1 WHEN 2 THEN true ELSE false END AS filters_differ, {generated.VARIANT} = 2 AS joins_differ, {generated.VARIANT} = 2 AS aggregates_differ FROM part")
 def _(spark, sf_dir):
     s, g = F.col("sql"), F.col("gold")
-    return _samples(spark, sf_dir).select("p_partkey", sql_text.differs_in_columns(s, g).alias("columns_differ"), sql_text.differs_in_joins(s, g).alias("joins_differ"), sql_text.differs_in_aggregates(s, g).alias("aggregates_differ"))
+    return _samples(spark, sf_dir).select("p_partkey", sql_text.differs_in_columns(s, g).alias("columns_differ"), sql_text.differs_in_filter(s, g).alias("filters_differ"), sql_text.differs_in_joins(s, g).alias("joins_differ"), sql_text.differs_in_aggregates(s, g).alias("aggregates_differ"))
 
 
 #: Three forms of generated queries, with the parts that mutations change in brackets, as SQL text expressions over part.

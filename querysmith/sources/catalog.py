@@ -19,8 +19,10 @@ FOREIGN_KEYS = [
     ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 ]
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "binary": "BLOB"}
-#: Places under a root where a database's tables may lie, in order of preference.
-LAYOUTS = ("{id}", "{id}/{id}", "databases/{id}", "database/{id}", "train/{id}", "dev/{id}", "train/databases/{id}", "dev/databases/{id}", "train_databases/{id}", "dev_databases/{id}")
+#: Folders under a root in which databases lie, in order of preference (fixed values); a database is a folder there,
+#: or one of the same name inside that.
+PLACES = ("train/train_databases/", "dev/dev_databases/", "train/", "dev/", "train_databases/", "dev_databases/", "databases/", "database/", "train/databases/", "dev/databases/", "")
+LAYOUTS = tuple(f"{place}{inside}" for inside in ("{id}/{id}", "{id}") for place in PLACES)
 COLUMNS = "table string, cid int, column string, type string, notnull boolean, default string, pk boolean"
 LINKS = "from_table string, from_column string, to_table string, to_column string, place int"
 

@@ -83,6 +83,16 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if listed(spark, p)), None)
 
 
+def dev_samples(spark: SparkSession, place: str, schema: str = SAMPLE) -> DataFrame:
+    """Samples with their place in the file (idx) of the first of place/dev.json, place/questions.json and place itself
+    that is there."""
+    found = first_existing(spark, [f"{place}/dev.json", f"{place}/questions.json", place])
+    if found is None:
+        raise FileNotFoundError(f"no dev samples at {place}")
+    raw = spark.read.text(found, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("idx", "o"))
+    return raw.select(F.col("idx").cast("long"), "o.*")
+
+
 def first_filled(frames: list[Callable[[], DataFrame]]) -> DataFrame | None:
     """The first frame that can be read and has a row."""
     for make in frames:

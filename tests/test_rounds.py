@@ -155,6 +155,24 @@ def test_failed_generators_are_named(spark, tiny):
     assert made.predict_batch(asked).first()["sql"] == "SELECT 1;" and "division" in made.failures[0]
 
 
+def test_predictions_with_values_and_a_judge(spark):
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").createOrReplaceTempView("named")
+    prompts = []
+
+    def generate(q):
+        prompts.extend(r["prompt"] for r in q.collect())
+        return q.select("qid", F.lit("```sql\nSELECT id FROM named WHERE name = 'b'\n```").alias("reply"))
+
+    made = predict.Predictor(
+        spark, [generate], values=lambda q: q.filter("qid = 1").select("qid", F.lit("- named.name: 'a'").alias("hints")),
+        judge=lambda df: df.select("key", F.when(F.col("prompt").contains("'b'"), '{"valid": false, "confidence": 1, "reason": "not a"}').otherwise('{"valid": true, "confidence": 1}').alias("reply")),
+        fix=lambda df: df.select("key", F.lit("```sql\nSELECT id FROM named WHERE name = 'a'\n```").alias("reply")),
+    )
+    asked = spark.createDataFrame([(1, "Which is a?", "db", ""), (2, "Which?", "db", "")], "qid int, question string, db_id string, evidence string")
+    assert {r["qid"]: r["sql"] for r in made.predict_batch(asked).collect()} == dict.fromkeys((1, 2), "SELECT id FROM named WHERE name = 'a'")
+    assert sorted("- named.name: 'a'" in p for p in prompts) == [False, True]
+
+
 def test_judged_repair_asks_nothing_twice(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").createOrReplaceTempView("named")
     asked = []
