@@ -56,7 +56,8 @@ def mean_diversity(groups: DataFrame) -> DataFrame:
 
 
 def exact_mean(value: Column, over: WindowSpec | None = None, scale: int = 6) -> Column:
-    """Mean of the values to `scale` decimals, summed as decimals, so that neither order nor partitions show."""
+    """Mean of the values to `scale` decimals, summed as decimals, so that neither order nor partitions show. Values count
+    to `scale` decimals and have to be below 10^(28 - scale) in size; larger ones are an overflow error."""
     total, n = F.sum(value.cast(f"decimal(28,{scale})")), F.count(value)
     return (total.over(over) / n.over(over)) if over is not None else total / n
 

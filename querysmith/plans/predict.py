@@ -46,10 +46,12 @@ class Predictor:
     timing: dict[str, float] = field(default_factory=dict)
     #: What generators that raised said, by their number.
     failures: dict[int, str] = field(default_factory=dict)
+    _kept: list[DataFrame] = field(default_factory=list)
 
     def _timed(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
         start = time.time()
         out = work().persist()
+        self._kept.append(out)
         out.count()
         self.timing[stage] = round(self.timing.get(stage, 0.0) + time.time() - start, 3)
         return out
@@ -74,6 +76,7 @@ class Predictor:
         for i, generate in enumerate(self.generators):
             try:
                 made = generate(rows).select("qid", F.lit(i).alias("i"), extract_sql(F.col("reply")).alias("sql")).filter(F.trim("sql") != "").persist()
+                self._kept.append(made)
                 made.count()
             except Exception as e:  # a generator that fails leaves its candidates out
                 self.failures[i] = str(e)[:500]
@@ -126,7 +129,11 @@ class Predictor:
         self.timing["total"] = round(sum(self.timing[s] for s in STAGES), 3)
         self.timing["mean"] = round(self.timing["total"] / max(n, 1), 3)
         failed = bad.select("qid", "question", "db_id", "evidence", F.lit(NOTHING).alias("sql"), F.array().cast("array<string>").alias("candidates"), F.lit("error").alias("selected_method"), F.lit(True).alias("runs"))
-        return good.select("qid", "question", "db_id", "evidence").join(best, "qid").unionByName(failed)
+        out = files.settled(good.select("qid", "question", "db_id", "evidence").join(best, "qid").unionByName(failed))
+        for stage in self._kept:  # nothing reads the stages any more
+            stage.unpersist()
+        self._kept.clear()
+        return out
 
     def predict(self, question: str, db_id: str, evidence: str = "") -> dict:
         """The answer to one question, with its candidates, method and times."""
