@@ -567,6 +567,22 @@ def test_collisions_reach_the_recall(spark):
     assert (met >= embedding_dedup.COLLISIONS).mean() >= 0.99
 
 
+def test_planted_pairs_are_linked(spark):
+    """End to end on 10,000 vectors: 3,000 pairs at cosines of 0.90 to 0.92, and nothing else that is near."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rng.standard_normal((3000, 64)))
+    side = rng.standard_normal((3000, 64))
+    side = unit(side - (side * a).sum(1)[:, None] * a)
+    cosine = rng.uniform(0.9001, 0.92, 3000)[:, None]
+    vectors = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side, unit(rng.standard_normal((4000, 64)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(df).collect()}
+    linked = sum(got[3000 + i] == (1, i) and got[i] == (1, i) for i in range(3000))
+    assert linked >= 0.99 * 3000
+    assert all(got[i] == (0, i) for i in range(6000, 10_000)) and sum(n for n, _ in got.values()) == 2 * linked
+
+
 # Pipeline
 
 
