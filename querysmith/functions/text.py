@@ -50,45 +50,47 @@ def word_count(text: Column) -> Column:
 QUOTES = ("'", '"')
 
 
-def _runs(text: str) -> list[str]:
-    """Runs of letters, digits and underscores, and every other character by itself."""
-    return re.findall(r"\w+|.", text, re.S)
+def _quote(text: str, start: int) -> int:
+    """Where the next quote is; -1 for none."""
+    found = [at for at in (text.find(q, start) for q in QUOTES) if at >= 0]
+    return min(found, default=-1)
 
 
 def _without_strings(text: str) -> str:
     """A quote that has another one behind it, with something between them, opens a string; either kind closes either."""
-    out, at = [], 0
-    while at < len(text):
-        close = next((i for i in range(at + 1, len(text)) if text[i] in QUOTES), None) if text[at] in QUOTES else None
-        if close is not None and close > at + 1:
-            out.append("<STRING>")
-            at = close + 1
-        else:
-            out.append(text[at])
-            at += 1
-    return "".join(out)
+    out, at, start = [], 0, _quote(text, 0)
+    while start >= 0 and (close := _quote(text, start + 1)) >= 0:
+        if close == start + 1:
+            start = close
+            continue
+        out += [text[at:start], "<STRING>"]
+        at = close + 1
+        start = _quote(text, at)
+    return "".join([*out, text[at:]])
+
+
+#: Runs of letters, digits and underscores, and what is between them.
+RUN = re.compile(r"\w+|\W+")
 
 
 def skeleton_of(text: str) -> str:
     """Quoted strings, then dates (three numbers with hyphens or slashes between them, of four digits for the year, which
     comes first or last, and of one or two for the others), then numbers, with a fraction or not."""
-    runs = _runs(_without_strings(text))
-    size = lambda i: len(runs[i]) if i < len(runs) and runs[i].isdecimal() else 0
-    for wanted in (("4", "12", "12"), ("12", "12", "4")):
-        i = 0
-        while i + 4 < len(runs):
-            if all(str(size(i + 2 * n)) in widths for n, widths in enumerate(wanted)) and runs[i + 1] in "-/" and runs[i + 3] in "-/":
-                runs[i : i + 5] = ["<DATE>"]
-            i += 1
-    out, i = [], 0
-    while i < len(runs):
-        if size(i):
-            out.append("<NUMBER>")
-            i += 2 if i + 2 < len(runs) and runs[i + 1] == "." and size(i + 2) else 0
-        else:
-            out.append(runs[i])
-        i += 1
-    return "".join(out)
+    runs = RUN.findall(_without_strings(text))
+    size = {i: len(run) for i, run in enumerate(runs) if run.isdecimal()}
+    for wanted in (((4,), (1, 2), (1, 2)), ((1, 2), (1, 2), (4,))):
+        for i in list(size):
+            if all(size.get(i + 2 * n) in widths for n, widths in enumerate(wanted)) and runs[i + 1] in ("-", "/") and runs[i + 3] in ("-", "/"):
+                runs[i : i + 5] = ["<DATE>", "", "", "", ""]
+                for n in (0, 2, 4):
+                    del size[i + n]
+    for i in list(size):
+        if i in size:
+            runs[i] = "<NUMBER>"
+            if i + 2 in size and runs[i + 1] == ".":
+                runs[i + 1] = runs[i + 2] = ""
+                del size[i + 2]
+    return "".join(runs)
 
 
 def question_skeleton(text: Column) -> Column:
