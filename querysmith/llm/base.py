@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -141,6 +142,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hand memory that an earlier operator has freed in this worker back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bucketed, importable, map_arrow, record
+from .base import bucketed, give_back, importable, map_arrow, record
 from .packing import only
 
 #: Bytes of text in a chunk; runs that a bucket of minimisers aims to hold.
@@ -151,6 +151,7 @@ def store(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
 
         schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("text", pa.binary()), ("rows", pa.list_(pa.string()))])
         only()
+        give_back()
         chunk, ids, parts, rows, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def made():
