@@ -33,7 +33,7 @@ def split(df: DataFrame, key: str, seed: int, ratio: float | None = 0.05, size:
     """df with split: val for exactly max(1, floor(n * ratio)) rows, or size rows if there are more; else train.
 
     The border is the order key of the last validation row. It is found by halving over counts of hash
-    prefixes, so no global sort or single-task window is needed.
+    prefixes, so no global sort or single-task window is needed. Keys have to be unique; a null key comes last.
     """
     marked = df.withColumn("__s", seeded_order(seed, F.col(key)))
     n = marked.count()
@@ -42,20 +42,20 @@ def split(df: DataFrame, key: str, seed: int, ratio: float | None = 0.05, size:
         return df.withColumn("split", F.lit("train"))
     digits, prefix, left = 4, "", want
     while True:
-        inside = marked.filter(F.col("__s").startswith(prefix)) if prefix else marked
+        inside = marked.filter(F.col("__s").startswith(prefix))
         counts = sorted((r["p"], r["n"]) for r in inside.groupBy(F.substring("__s", 1, len(prefix) + digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
         for p, c in counts:
             if c > left:
                 break
             left -= c
         else:
-            return df.withColumn("split", F.lit("val"))
+            return marked.withColumn("split", F.when(F.col("__s").isNotNull() | F.lit(left > 0), "val").otherwise("train")).drop("__s")
         if left == 0 or c <= 4096 or len(p) >= 28:
             break
         prefix = p
     rest = [r for r in marked.filter(F.col("__s").startswith(p)).select("__s", key).orderBy("__s", key).limit(left).collect()] if left else []
     val = F.col("__s") < F.lit(p)
     if rest:
-        last = rest[-1]
-        val = val | (F.struct("__s", key) <= F.struct(F.lit(last[0]), F.lit(last[1])))
+        last, kind = rest[-1], df.schema[key].dataType
+        val = val | (F.col("__s") < last[0]) | ((F.col("__s") == last[0]) & (F.col(key) <= F.lit(last[1]).cast(kind)))
     return marked.withColumn("split", F.when(val, "val").otherwise("train")).drop("__s")

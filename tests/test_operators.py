@@ -139,6 +139,18 @@ def test_first_copies_and_splits(spark):
     assert sorted(rows(dedup.split(df, "idx", 9, 0.3).select("idx", "split"))) == sorted(rows(dedup.split(shuffledrows, "idx", 9, 0.3).select("idx", "split")))
 
 
+def test_splits_by_long_keys(spark):
+    # The border lies within a hash prefix, so that the last row's key is compared; a null key comes last.
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    order = sorted(range(5000), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))
+    first = next(i for i in range(1, 5000) if hashlib.md5(f"7:{order[i - 1]}".encode()).hexdigest()[:4] == hashlib.md5(f"7:{order[i]}".encode()).hexdigest()[:4])
+    for cast in ("long", "int", "string"):
+        got = dedup.split(df.select(F.col("k").cast(cast).alias("k")), "k", 7, size=first)
+        assert {int(r["k"]) for r in got.collect() if r["split"] == "val"} == set(order[:first])
+    parts = {r["k"]: r["split"] for r in dedup.split(df.unionByName(spark.createDataFrame([(None,)], "k long")), "k", 7, size=5000).collect()}
+    assert parts.pop(None) == "train" and set(parts.values()) == {"val"}
+
+
 def test_statistics(spark):
     turns = spark.createDataFrame([(1, "user", "a b"), (1, "assistant", "c"), (2, "user", ""), (2, "assistant", None), (3, "user", "x y z")], "c int, role string, text string")
     got = {r["segment"]: (r["n"], r["min"], r["max"], r["mean"], r["median"]) for r in stats.word_lengths(turns, "c", "role", "text").collect()}
