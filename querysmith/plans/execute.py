@@ -29,8 +29,11 @@ class Outcome:
     error: str = ""
 
 
-def limited(spark: SparkSession, work: Callable[[], object], seconds: float = LIMIT) -> Outcome:
-    """Run work, whose jobs are cancelled after the limit; the caller doesn't wait for stragglers."""
+def limited(spark: SparkSession, work: Callable[[], object], seconds: float | None = LIMIT) -> Outcome:
+    """Run work, whose jobs are cancelled after the limit; the caller doesn't wait for stragglers.
+
+    What a limit cuts off depends on the machine and the size of the tables; without one (None), results don't.
+    """
     tag = f"limited-{uuid.uuid4().hex}"
     box: list[Outcome] = []
 
@@ -70,7 +73,7 @@ def gathered(spark: SparkSession, parts: Iterable[list[tuple]], schema: str) ->
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
 
-def each(spark: SparkSession, queries: Iterable[str], ask: Callable[[DataFrame], object], seconds: float = LIMIT, workers: int = WORKERS) -> dict[str, Outcome]:
+def each(spark: SparkSession, queries: Iterable[str], ask: Callable[[DataFrame], object], seconds: float | None = LIMIT, workers: int = WORKERS) -> dict[str, Outcome]:
     """ask of each distinct query's result, by query. ask has to reduce the result in Spark (a count, a key)."""
     distinct = list(dict.fromkeys(queries))
 
@@ -81,7 +84,7 @@ def each(spark: SparkSession, queries: Iterable[str], ask: Callable[[DataFrame],
         return dict(zip(distinct, pool.map(one, distinct), strict=True))
 
 
-def validated(spark: SparkSession, samples: DataFrame, sql: str, key: str, seconds: float = LIMIT) -> DataFrame:
+def validated(spark: SparkSession, samples: DataFrame, sql: str, key: str, seconds: float | None = LIMIT) -> DataFrame:
     """key, status, n_rows, error of each sample's query; queries, not data, reach the driver, a page at a time."""
 
     def one(page: list) -> list[tuple]:
@@ -103,7 +106,7 @@ class Known:
     frame: DataFrame | None = None
 
 
-def fingerprints(spark: SparkSession, queries: Iterable[str], seconds: float = SHORT_LIMIT, keep: bool = False) -> dict[str, Known]:
+def fingerprints(spark: SparkSession, queries: Iterable[str], seconds: float | None = SHORT_LIMIT, keep: bool = False) -> dict[str, Known]:
     """Each distinct query's result key from one run of it. With keep, results stay persisted (memory, then
     disk; a lost part is computed again), so that later questions don't run the query anew; see forget."""
 
@@ -130,7 +133,7 @@ def forget(known: dict[str, Known]) -> None:
 JUDGED = "idx int, pred_status string, gold_status string, n_rows long, correct boolean, error string"
 
 
-def judged(spark: SparkSession, pairs: DataFrame, seconds: float = LIMIT, workers: int = WORKERS) -> DataFrame:
+def judged(spark: SparkSession, pairs: DataFrame, seconds: float | None = LIMIT, workers: int = WORKERS) -> DataFrame:
     """idx, pred_status, gold_status, n_rows, correct, error for pairs (idx, pred_sql, gold_sql).
 
     Distinct queries of a page run once for their key. A prediction is right only if both queries ran; equal
@@ -158,7 +161,7 @@ def judged(spark: SparkSession, pairs: DataFrame, seconds: float = LIMIT, worker
     return gathered(spark, map(page_facts, pages(pairs.select("idx", "pred_sql", "gold_sql"))), JUDGED)
 
 
-def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows: int = 3, seconds: float = SHORT_LIMIT) -> DataFrame:
+def previews(spark: SparkSession, queries: DataFrame, key: str, sql: str, rows: int = 3, seconds: float | None = SHORT_LIMIT) -> DataFrame:
     """key, status, total, preview, error: each result's number of rows and its first rows, as a JSON array of arrays of texts.
 
     A query runs once. Its own order counts where it has one at its end, else the first rows are the least ones.
@@ -191,7 +194,7 @@ def is_sorted(df: DataFrame) -> bool:
     return plan.nodeName() == "Sort"
 
 
-def refine(spark: SparkSession, queries: DataFrame, key: str, sql: str, rounds: int = 3, fix: Callable | None = None, seconds: float = SHORT_LIMIT) -> DataFrame:
+def refine(spark: SparkSession, queries: DataFrame, key: str, sql: str, rounds: int = 3, fix: Callable | None = None, seconds: float | None = SHORT_LIMIT) -> DataFrame:
     """Queries after up to `rounds` rounds of repair of those that fail: key, sql, status, rounds.
 
     fix(sql column, error column) gives the next text; a repaired query counts only if it runs.
@@ -217,10 +220,10 @@ def refine(spark: SparkSession, queries: DataFrame, key: str, sql: str, rounds:
     return gathered(spark, map(one, pages(queries.select(key, sql))), f"{key} {kind}, sql string, status string, rounds int")
 
 
-def mutated(spark: SparkSession, samples: DataFrame, key: str, sql: str, seconds: float = SHORT_LIMIT) -> DataFrame:
+def mutated(spark: SparkSession, samples: DataFrame, key: str, sql: str, seconds: float | None = SHORT_LIMIT) -> DataFrame:
     """For each sample the first mutation (in a seeded order) that runs and gives another result: key, error_type, wrong_sql.
 
-    One round for each place in the order; only samples that have none yet go on.
+    One round for each place in the order; only samples that have none yet go on. Each query of a page runs once.
     """
     from ..functions.sql_text import MUTATIONS
 
@@ -230,9 +233,10 @@ def mutated(spark: SparkSession, samples: DataFrame, key: str, sql: str, seconds
 
     def one(page: list) -> list[tuple]:
         done, waiting = [], page
+        known: dict[str, Known] = {}
         for place in range(len(MUTATIONS)):
             tries = [(r, r["order"][place], r[r["order"][place]]) for r in waiting if r[r["order"][place]]]
-            known = fingerprints(spark, [q for r, _, m in tries for q in (r["gold"], m)], seconds)
+            known |= fingerprints(spark, [q for r, _, m in tries for q in (r["gold"], m) if q not in known], seconds)
             hit = {r[key]: (n, m) for r, n, m in tries if known[m].status == known[r["gold"]].status == "ok" and known[m].key != known[r["gold"]].key}
             done += [(k, n, m) for k, (n, m) in hit.items()]
             waiting = [r for r in waiting if r[key] not in hit]

@@ -572,7 +572,7 @@ _COUNTED = " UNION ALL ".join(f"SELECT {q} AS qid, 'error' AS status, 0 AS n_row
 @query("exec_validation", _COUNTED)
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    return execute.validated(spark, workload.questions(spark), "gold", "qid").select("qid", "status", "n_rows")
+    return execute.validated(spark, workload.questions(spark), "gold", "qid", seconds=None).select("qid", "status", "n_rows")
 
 
 #: Query texts in the dialect of the benchmark databases, made for each order priority ({p}; {q} in lower case), and
@@ -627,7 +627,7 @@ def _(spark, sf_dir):
     _registered(spark, sf_dir)
     texts = dialect_texts(spark, sf_dir)
     ready = dialect.rewritten(texts, "sql", {"": dialect.schema_of(spark, ["orders", "customer"])})
-    return texts.select("key", "form", "priority").join(execute.previews(spark, ready, "key", "sql", rows=5), "key").drop("key", "error")
+    return texts.select("key", "form", "priority").join(execute.previews(spark, ready, "key", "sql", rows=5, seconds=None), "key").drop("key", "error")
 
 
 def _judged_sql() -> str:
@@ -646,7 +646,7 @@ def _judged_sql() -> str:
 def _judged(spark, sf_dir):
     _registered(spark, sf_dir)
     pairs = _numbered(spark).select("idx", F.col("sql").alias("pred_sql"), F.col("gold").alias("gold_sql"))
-    return execute.judged(spark, pairs)
+    return execute.judged(spark, pairs, seconds=None)
 
 
 def _numbered(spark):
@@ -764,7 +764,7 @@ SELECT m.qid, CAST(coalesce(b.i, m.i) AS BIGINT) AS i, coalesce(b.votes, 0) AS v
 )
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    keys = execute.fingerprints(spark, (s for _, _, s in workload.CANDIDATES))
+    keys = execute.fingerprints(spark, (s for _, _, s in workload.CANDIDATES), seconds=None)
     rows = [(q, i, keys[s].key) for q, i, s in workload.CANDIDATES]
     return vote.majority(spark.createDataFrame(rows, "qid int, i int, key string"))
 
@@ -788,7 +788,7 @@ _BROKEN_FORMS = [(1, "SELECT COUNT(*) FROM customer"), (2, "SELECT MAX(s_acctbal
 @query("refined_queries", "SELECT * FROM (VALUES (1, 'ok', 0), (2, 'error', 2), (3, 'ok', 1), (4, 'ok', 1)) AS r(qid, status, rounds)")
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    return execute.refine(spark, spark.createDataFrame(_BROKEN_FORMS, "qid int, sql string"), "qid", "sql", 2).select("qid", "status", "rounds")
+    return execute.refine(spark, spark.createDataFrame(_BROKEN_FORMS, "qid int, sql string"), "qid", "sql", 2, seconds=None).select("qid", "status", "rounds")
 
 
 def _verified_sql() -> str:
@@ -804,7 +804,7 @@ def _verified_sql() -> str:
 @query("verified_mutations", _verified_sql())
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
-    return execute.mutated(spark, workload.questions(spark), "qid", "gold").select("qid", "error_type")
+    return execute.mutated(spark, workload.questions(spark), "qid", "gold", None).select("qid", "error_type")
 
 
 def _previewed_sql() -> str:
@@ -816,7 +816,7 @@ def _previewed_sql() -> str:
 def _(spark, sf_dir):
     _registered(spark, sf_dir)
     texts = spark.createDataFrame([(n, q, s) for n, (q, _, s) in enumerate(workload.CANDIDATES)], "idx int, qid int, sql string")
-    got = execute.previews(spark, texts, "idx", "sql").join(texts.select("idx", "qid"), "idx")
+    got = execute.previews(spark, texts, "idx", "sql", seconds=None).join(texts.select("idx", "qid"), "idx")
     return got.select("idx", "qid", "status", "total", F.size(F.from_json("preview", "array<array<string>>")).cast("long").alias("shown"))
 
 
@@ -1182,5 +1182,5 @@ def _(spark, sf_dir):
     fits, other = '{"valid": true, "confidence": 0.9, "reason": "fits"}', '```json\n{"valid": false, "confidence": 0.9, "reason": "another brand"}\n```'
     judge = lambda df: df.select("key", F.when(F.col("prompt").contains(F.concat(F.lit("p_brand = '"), brand, F.lit("'"))), fits).otherwise(other).alias("reply"))
     fix = lambda df: df.select("key", F.when(F.col("prompt").contains("COUNT(lost)"), "").otherwise(F.concat(F.lit("```sql\nSELECT COUNT(*) FROM part WHERE p_brand = '"), brand, F.lit("'\n```"))).alias("reply"))
-    done = repair.repair(samples, files.passing_folder(spark, "repair"), judge, fix, rounds=2)
+    done = repair.repair(samples, files.passing_folder(spark, "repair"), judge, fix, rounds=2, seconds=None)
     return done.select("qid", "SQL", "status", "rounds", F.col("issue").isNotNull().alias("open"))

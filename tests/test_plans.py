@@ -52,6 +52,26 @@ def test_every_question_is_mutated(spark, tiny, monkeypatch):
     assert seen == [{q[0] for q in workload.QUESTIONS}]
 
 
+def test_no_question_is_lost_to_a_time_limit(spark, tiny, monkeypatch):
+    # Tables so large that no query ends within a limit: registered queries wait, and mutations run each query once.
+    limited, ran, each = execute.limited, [], execute.each
+    catalog.Database.at(spark, tiny, ["customer", "nation", "part", "orders", "supplier", "lineitem", "events"]).register()
+    want = {r["qid"] for r in execute.mutated(spark, workload.questions(spark), "qid", "gold", 600.0).collect()}
+    monkeypatch.setattr(execute, "limited", lambda s, work, seconds: limited(s, work, None) if seconds is None else execute.Outcome("timeout"))
+
+    def counted(s, queries, *a):
+        asked = list(dict.fromkeys(queries))
+        ran.extend(asked)
+        return each(s, asked, *a)
+
+    monkeypatch.setattr(execute, "each", counted)
+    found = {r["qid"] for r in __spark_entry__.queries()["verified_mutations"](spark, tiny).collect()}
+    assert found == want and len(want) > 5 and len(ran) == len(set(ran))
+    for name in ("exec_validation", "result_previews", "refined_queries"):
+        assert not __spark_entry__.queries()[name](spark, tiny).filter("status = 'timeout'").count()
+    assert not __spark_entry__.queries()["result_compare"](spark, tiny).filter("pred_status = 'timeout'").count()
+
+
 def test_two_failed_queries_are_not_right(spark):
     pairs = spark.createDataFrame([(1, "SELECT nope", "SELECT nope2"), (2, "SELECT 1", "SELECT nope"), (3, "SELECT 1.00001", "SELECT 1"), (4, "SELECT 2", "SELECT 1")], "idx int, pred_sql string, gold_sql string")
     got = {r["idx"]: (r["pred_status"], r["gold_status"], r["correct"]) for r in execute.judged(spark, pairs).collect()}
