@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from ..operators import ranks
 from ..session import importable
 from . import text
 
+#: Characters and texts that are encoded together: what an encoding takes is a hundred times its text.
+SLICE, TEXTS = 1 << 19, 256
+
 _loaded: dict = {}
 
 
@@ -27,14 +31,34 @@ def ids_of(texts: list[str], path: str) -> list[list[int]]:
     return [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def token_ids(value: Column, path: str) -> Column:
-    """Ids of each text; null has none. A worker loads the file once."""
+def slices(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, as many at a time as fit in SLICE and TEXTS; a longer text comes alone."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        if part and (size + len(t) > SLICE or len(part) == TEXTS):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def token_ids(value: Column, path: str, most: int | None = None) -> Column:
+    """Ids of each text, the first `most` of them; null has none.
+
+    A worker loads the file once. It holds the encodings of a slice, whatever the rows and lengths of a batch.
+    """
     importable()
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(ids_of([t or "" for t in batch], path), dtype=object)
+            if batch.empty:
+                yield pd.Series([], dtype=object)
+            for part in slices(t or "" for t in batch):
+                yield pd.Series([np.array(x[:most], dtype=np.int32) for x in ids_of(part, path)], dtype=object)
 
     return ids(value)
 
@@ -46,7 +70,7 @@ def labelled(chats: DataFrame, messages: str, path: str, templated, role: str =
     as they are found in the ids themselves, so truncated chats and any tokenizer file go the same way.
     """
     header, end = ids_of([f"{turn[0]}{role}\n"], path)[0], ids_of([turn[1]], path)[0][0]
-    rows = chats.withColumn("ids", F.slice(token_ids(templated(F.col(messages)), path), 1, most))
+    rows = chats.withColumn("ids", token_ids(templated(F.col(messages)), path, most))
     labels = text.bound(F.col("ids"), lambda ids: text.masked_labels(ids, text.turn_spans(ids, header, end)))
     return rows.withColumn("labels", labels)
 

@@ -104,6 +104,24 @@ def test_token_ids_of_nulls(spark):
     assert [len(r[0]) for r in df.orderBy("i").select(tokens.token_ids(F.col("t"), public_tokenizers.path("byte_bpe_50k.json"))).collect()] == [2, 0, 0]
 
 
+def test_encodings_of_a_batch_are_bounded(spark):
+    # A batch of many and long texts is encoded in slices; order, nulls and cuts stay as they are.
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sizes = [3, 200_000, 400_000, 0, 600_000, *[50] * 1500]
+    whole = [None if i % 100 == 7 else ("word " * n)[:n] for i, n in enumerate(sizes)]
+    parts = list(tokens.slices(t or "" for t in whole))
+    assert [t for p in parts for t in p] == [t or "" for t in whole]
+    assert all(len(p) <= 256 and (len(p) == 1 or sum(map(len, p)) <= 1 << 19) for p in parts) and list(tokens.slices([])) == []
+
+    df = spark.createDataFrame(list(enumerate(whole)), "i int, t string").coalesce(1)
+    got = {r["i"]: r["x"] for r in df.select("i", tokens.token_ids(F.col("t"), path, 20).alias("x")).collect()}
+    want = tokens.ids_of([t or "" for t in whole], path)
+    assert got == {i: x[:20] for i, x in enumerate(want)}
+    assert df.limit(0).select(tokens.token_ids(F.col("t"), path)).collect() == []
+
+
 def test_models_load_once_and_keep_failed_rows(spark, tmp_path):
     marks = str(tmp_path)
 
