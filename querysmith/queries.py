@@ -465,7 +465,8 @@ def _mutation(name: str) -> None:
     @query(f"mutate_{name}", _mutated_sql(_MUTATED[name]))
     def _(spark, sf_dir):
         quoted = [form.replace("''' || p_brand || '''", "\\'' || p_brand || '\\'") for form in _FORMS]  # Spark escapes quotes by backslashes
-        forms = read(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE p_partkey % 3 {' '.join(f'WHEN {n} THEN {form}' for n, form in enumerate(quoted))} END AS sql")
+        rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work a row
+        forms = rows.selectExpr("p_partkey", f"CASE p_partkey % 3 {' '.join(f'WHEN {n} THEN {form}' for n, form in enumerate(quoted))} END AS sql")
         return forms.select("p_partkey", sql_text.MUTATIONS[name](F.col("sql")).alias("mutated"))
 
 

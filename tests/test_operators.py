@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from querysmith.functions import schema_text, sql_parse, sql_text, text
+from querysmith.functions import mutations, schema_text, sql_parse, sql_text, text
 from querysmith.operators import compare, dedup, evaluate, lsh, profile, reward, stats, vectors, vote
 from querysmith.queries import QUERIES
 from querysmith.sources import catalog
@@ -151,6 +151,21 @@ def test_splits_by_long_keys(spark):
     assert parts.pop(None) == "train" and set(parts.values()) == {"val"}
 
 
+def test_mutations_are_spread_and_read_equal_texts_once(spark, tiny, tmp_path):
+    marks = str(tmp_path)
+
+    def slow(x):
+        open(f"{marks}/{random.random()}", "w").close()
+        return f"{x}!" if x != "b" else None
+
+    df = spark.createDataFrame([(i, ["a", "b", None][i % 3]) for i in range(3000)], "i int, t string").coalesce(1)
+    assert sorted(rows(df.select("t", mutations.of(F.col("t"), slow).alias("m")).distinct()), key=str) == sorted([("a", "a!"), ("b", None), (None, None)], key=str)
+    assert len(list(tmp_path.iterdir())) <= 2 * 2
+    for name in ("missing_condition", "wrong_order", "table_alias"):
+        made = QUERIES[f"mutate_{name}"](spark, tiny)
+        assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_statistics(spark):
     turns = spark.createDataFrame([(1, "user", "a b"), (1, "assistant", "c"), (2, "user", ""), (2, "assistant", None), (3, "user", "x y z")], "c int, role string, text string")
     got = {r["segment"]: (r["n"], r["min"], r["max"], r["mean"], r["median"]) for r in stats.word_lengths(turns, "c", "role", "text").collect()}
